@@ -64,6 +64,20 @@ def fround(c, places: int = 2) -> Column:
     return F.round(col_(c).cast("double") * F.lit(m), 0) / F.lit(m)
 
 
+def cents(c) -> Column:
+    """Money as whole cents (long): exact, order-independent sums."""
+    return F.round(col_(c).cast("double") * F.lit(100.0), 0).cast("long")
+
+
+def money_sum(c) -> Column:
+    """Exact sum of a 2-decimal money column (summed as long cents).
+
+    Double sums depend on the order rows arrive in; cents do not, so the
+    result is reproducible across partitionings, retries and engines.
+    """
+    return F.sum(cents(c)) / F.lit(100.0)
+
+
 def round4(c) -> Column:
     """Output rounding shared with the SQL oracle (see SURVEY 7.5)."""
     return fround(c, 4)
@@ -85,8 +99,8 @@ def normalize_entity_id(c) -> Column:
     hex_digits = F.regexp_replace(suffix, "^0[xX]", "")
     hashed = F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % F.lit(INT32_MOD)
     return (
-        F.when(is_ascii_digits(s), F.try_cast(s, "long"))
-        .when(s.contains("_") & is_ascii_digits(suffix), F.try_cast(suffix, "long"))
+        F.when(is_ascii_digits(s), s.try_cast("long"))
+        .when(s.contains("_") & is_ascii_digits(suffix), suffix.try_cast("long"))
         .when(s.contains("_") & hex_ok, F.conv(hex_digits, 16, 10).cast("long") % F.lit(INT32_MOD))
         .otherwise(hashed)
     )

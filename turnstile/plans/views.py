@@ -139,7 +139,34 @@ SQL_REQUEST_LOG = """request_log AS (
   FROM events)"""
 
 
+# Composite fragments (B4 / B5 outputs) reused by several oracles.
+SQL_EVENT_METRICS = """event_metrics AS (
+  WITH sales AS (SELECT event_id, sum(quantity) AS s, avg(ticket_price) AS a, max(quantity) AS m
+                 FROM txns GROUP BY event_id),
+  inv AS (SELECT e.event_id, e.promoter_id, e.start_time, e.capacity, coalesce(s.s, 0) AS sold,
+                 coalesce(s.a, e.base_price) AS avg_ticket_price, coalesce(s.m, 0) AS viewers
+          FROM ticket_events e LEFT JOIN sales s USING (event_id)),
+  prom AS (SELECT promoter_id, avg(sold) AS ps FROM inv WHERE promoter_id IS NOT NULL GROUP BY promoter_id),
+  mx AS (SELECT coalesce(nullif(max(ps), 0), 1) AS m FROM prom)
+  SELECT event_id, promoter_id, start_time AS event_timestamp,
+         CAST(greatest(capacity - sold, 0) AS BIGINT) AS current_inventory,
+         least(greatest(sold / capacity, 0.0), 1.0) AS sell_through_rate_5min,
+         CAST(viewers AS BIGINT) AS concurrent_viewers, CAST(sold AS BIGINT) AS total_tickets_sold,
+         avg_ticket_price, coalesce(ps / mx.m, 0.0) AS promoter_success_rate
+  FROM inv LEFT JOIN prom USING (promoter_id) CROSS JOIN mx)"""
+
+SQL_USER_METRICS = """user_metrics AS (
+  WITH agg AS (SELECT user_id, sum(quantity) AS p, avg(CAST(is_fraud AS DOUBLE)) AS r FROM txns GROUP BY user_id),
+  cnt AS (SELECT t.user_id, e.category, count(*) AS n FROM txns t JOIN ticket_events e USING (event_id)
+          GROUP BY t.user_id, e.category),
+  pref AS (SELECT user_id, arg_max(category, (n, category)) AS preferred_category FROM cnt GROUP BY user_id)
+  SELECT u.user_id, u.signup_date AS event_timestamp, CAST(coalesce(a.p, 0) AS BIGINT) AS lifetime_purchases,
+         least(greatest(coalesce(a.r, 0.0), 0.0), 1.0) AS fraud_risk_score, pref.preferred_category
+  FROM users u LEFT JOIN agg a USING (user_id) LEFT JOIN pref USING (user_id))"""
+
 SQL_VIEWS = {
+    "event_metrics": SQL_EVENT_METRICS,
+    "user_metrics": SQL_USER_METRICS,
     "txns": SQL_TXNS,
     "ticket_events": SQL_TICKET_EVENTS,
     "users": SQL_USERS,
@@ -154,7 +181,8 @@ def with_views(sql: str, *names: str) -> str:
     A body that starts with its own ``WITH`` has its CTEs appended after
     the view fragments.
     """
-    head = ",\n".join(SQL_VIEWS[n] for n in names)
+    order = ["txns", "ticket_events", "users", "raw_events", "request_log", "event_metrics", "user_metrics"]
+    head = ",\n".join(SQL_VIEWS[n] for n in sorted(set(names), key=order.index))
     body = sql.lstrip()
     if body[:5].upper() == "WITH ":
         return "WITH " + head + ",\n" + body[5:]
