@@ -13,5 +13,6 @@ from turnstile.plans.registry import ORACLE, QUERIES, register, round_doubles  #
 # Importing the per-group modules runs their @register decorators.
 from turnstile.plans import q_metrics  # noqa: E402,F401
 from turnstile.plans import q_features  # noqa: E402,F401
+from turnstile.plans import q_monitoring  # noqa: E402,F401
 
 __all__ = ["QUERIES", "ORACLE"]

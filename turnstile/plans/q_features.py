@@ -227,7 +227,7 @@ def q_normalize(spark, d):
 SELECT t.transaction_id AS request_id,
        CASE WHEN t.is_fraud THEN 1.0 ELSE CAST(um.lifetime_purchases AS DOUBLE) END AS lifetime_purchases,
        round(CAST(um.fraud_risk_score AS DOUBLE), 4) AS fraud_risk_score,
-       0.0 AS velocity_score
+       0.0::DOUBLE AS velocity_score
 FROM txns t LEFT JOIN user_metrics um USING (user_id)""", "txns", "ticket_events", "users", "user_metrics"))
 def q_feature_frame(spark, d):
     ev, tx, us = V.ticket_events(spark, d), V.txns(spark, d), V.users(spark, d)
