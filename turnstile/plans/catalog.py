@@ -15,5 +15,6 @@ from turnstile.plans import q_metrics  # noqa: E402,F401
 from turnstile.plans import q_features  # noqa: E402,F401
 from turnstile.plans import q_monitoring  # noqa: E402,F401
 from turnstile.plans import q_requests  # noqa: E402,F401
+from turnstile.plans import q_models  # noqa: E402,F401
 
 __all__ = ["QUERIES", "ORACLE"]
