@@ -221,10 +221,14 @@ def normalize_ids(df: DataFrame, cols) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D7
-def build_feature_frame(requests: DataFrame, model_columns, overrides_col: str = "overrides") -> DataFrame:
+def build_feature_frame(requests: DataFrame, model_columns, overrides_col: str = "overrides",
+                        null_as: float | None = None) -> DataFrame:
     """Model input frame — a request's override map replaces its own
     feature values, unknown override names are ignored, absent model columns
-    are filled with 0.0; fixed column order (request_id first)."""
+    are filled with 0.0; fixed column order (request_id first).
+
+    ``null_as`` also fills values that are present but null (entity missing
+    from the online store) — needed by models that reject NaN inputs."""
     have = set(requests.columns)
     cols = [F.col("request_id")]
     ov = F.col(overrides_col) if overrides_col in have else None
@@ -232,6 +236,8 @@ def build_feature_frame(requests: DataFrame, model_columns, overrides_col: str =
         base = F.col(c).cast("double") if c in have else F.lit(0.0)
         if ov is not None:
             base = F.coalesce(F.try_element_at(ov, F.lit(c)), base)
+        if c in have and null_as is not None:
+            base = F.coalesce(base, F.lit(float(null_as)))
         cols.append(F.coalesce(base, F.lit(0.0)).alias(c) if c not in have else base.alias(c))
     return requests.select(*cols)
 

@@ -17,5 +17,6 @@ from turnstile.plans import q_monitoring  # noqa: E402,F401
 from turnstile.plans import q_requests  # noqa: E402,F401
 from turnstile.plans import q_models  # noqa: E402,F401
 from turnstile.plans import q_streaming  # noqa: E402,F401
+from turnstile.plans import q_workflows  # noqa: E402,F401
 
 __all__ = ["QUERIES", "ORACLE"]
