@@ -29,9 +29,15 @@ def safe_div(num, den, default=0.0) -> Column:
     return F.coalesce(F.try_divide(col_(num), col_(den)), F.lit(default))
 
 
+# The characters Python's str.isspace() accepts (str.strip() default).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: all leading/trailing whitespace."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: all leading/trailing whitespace (a character
+    trim, no regular expression)."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def is_ascii_digits(c) -> Column:

@@ -87,15 +87,41 @@ def _gamma(key: np.ndarray, shape: np.ndarray, stream: int) -> np.ndarray:
     return np.where(small, out * boost, out)
 
 
-def beta_draw(key: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-    """Reproducible Beta(α, β) = X/(X+Y) with X~Γ(α), Y~Γ(β) from a 64-bit key."""
+def beta_draw(key: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Reproducible Beta(α, β) = X/(X+Y) with X~Γ(α), Y~Γ(β) from 64-bit keys."""
+    x = _gamma(key, np.asarray(alpha, dtype=np.float64), 1)
+    y = _gamma(key, np.asarray(beta, dtype=np.float64), 2)
+    return x / (x + y)
+
+
+def _arm_fields(a):
+    return (a["arm_order"], a["arm"], a["alpha"], a["beta"]) if isinstance(a, dict) else tuple(a)
+
+
+def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
+    """Per request: Beta draw for every arm, return the arm with the largest
+    draw (ties → lower ``arm_order``).  ``arms`` holds the same bandit state
+    on every row (a one-row side joined to all requests), so draws are
+    vectorised per arm across the whole Arrow batch."""
+    if len(key) == 0:
+        return pd.Series([], dtype=object)
+    state = sorted(_arm_fields(a) for a in arms.iloc[0])
     k = key.to_numpy().astype(np.int64).view(np.uint64)
-    x = _gamma(k, alpha.to_numpy(dtype=np.float64), 1)
-    y = _gamma(k, beta.to_numpy(dtype=np.float64), 2)
-    return pd.Series(x / (x + y))
+    n = len(k)
+    best = np.full(n, -np.inf)
+    pick = np.zeros(n, dtype=np.int64)
+    for i, (order, _name, a, b) in enumerate(state):
+        with np.errstate(over="ignore"):
+            ka = _splitmix(k ^ _splitmix(np.full(n, int(order) + 1, dtype=np.uint64)))
+        draw = beta_draw(ka, np.full(n, float(a)), np.full(n, float(b)))
+        better = draw > best
+        best = np.where(better, draw, best)
+        pick = np.where(better, i, pick)
+    names = np.array([s[1] for s in state], dtype=object)
+    return pd.Series(names[pick])
 
 
-_beta_udf = F.pandas_udf(beta_draw, T.DoubleType())
+_thompson_udf = F.pandas_udf(_thompson, T.StringType())
 
 
 def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: str = "arm_hint",
@@ -103,27 +129,22 @@ def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: s
     """H2: the hinted arm, else the arm with the largest Beta(α, β) draw
     (ties → the earlier arm of the state table's ``arm_order``).
 
-    The arm table is a handful of rows; it is packed into a one-row array
-    (bounded by the number of arms) and exploded next to each request.
-    ``deterministic=True`` ranks arms by posterior mean α/(α+β) instead.
+    The bandit state (a handful of arms) is packed into one array row and
+    joined to every request as a bounded one-row side; no explode and no
+    shuffle.  Draws come from a hash of (request id, seed, arm), so they do
+    not depend on partitioning or retries.  ``deterministic=True`` ranks
+    arms by posterior mean α/(α+β) instead.
     """
-    arms = state.select(F.collect_list(F.struct("arm_order", "arm", "alpha", "beta")).alias("_arms"))
-    keep = [c for c in requests.columns]
-    rows = requests.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*keep).alias("_req"))
-    x = rows.crossJoin(F.broadcast(arms)).select("_rid", "_req", F.explode("_arms").alias("_a"))
-    key_col = F.col("_req.request_id")
+    arms = state.select(F.array_sort(F.collect_list(F.struct("arm_order", "arm", "alpha", "beta"))).alias("_arms"))
+    x = requests.crossJoin(F.broadcast(arms))
     if deterministic:
-        draw = F.col("_a.alpha") / (F.col("_a.alpha") + F.col("_a.beta"))
+        scored = F.transform("_arms", lambda a: F.struct(
+            (a["alpha"] / (a["alpha"] + a["beta"])).alias("m"), (-a["arm_order"]).alias("o"), a["arm"].alias("arm")))
+        sampled = F.array_max(scored)["arm"]
     else:
-        key = F.xxhash64(key_col, F.col("_a.arm"), F.lit(seed))
-        draw = _beta_udf(key, F.col("_a.alpha").cast("double"), F.col("_a.beta").cast("double"))
-    x = x.withColumn("_draw", draw)
-    # one group per request row (request ids need not be unique)
-    best = x.groupBy("_rid").agg(F.first("_req").alias("_req"),
-                                 F.max_by(F.col("_a.arm"), F.struct(F.col("_draw"), -F.col("_a.arm_order")))
-                                 .alias("_sampled"))
-    hint = F.col(f"_req.{hint_col}") if hint_col in keep else F.lit(None).cast("string")
-    return best.select("_req.*", F.coalesce(hint, F.col("_sampled")).alias("arm"))
+        sampled = _thompson_udf(F.xxhash64(F.col("request_id"), F.lit(seed)), F.col("_arms"))
+    hint = F.col(hint_col) if hint_col in requests.columns else F.lit(None).cast("string")
+    return x.select(*requests.columns, F.coalesce(hint, sampled).alias("arm"))
 
 
 def initial_arms(spark, arms=ARMS) -> DataFrame:
