@@ -70,3 +70,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     sub = tempfile.mkdtemp(prefix=f"{name}-", dir=root) if root.startswith("/") else \
         f"{root}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
     return sub
+
+
+def reuse(df):
+    """Materialise an intermediate that several branches of a plan consume.
+
+    Spark does not share a sub-plan between branches whose column pruning
+    differs, so each consumer would recompute it from the base tables.  A
+    reliable ``checkpoint()`` writes it once to the shared checkpoint folder
+    (survives executor loss, cuts lineage) and every branch reads that copy.
+    Use only for intermediates much smaller than their inputs.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
