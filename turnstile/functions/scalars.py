@@ -14,14 +14,15 @@ def col_(c) -> Column:
 
 
 def clip(c, lo=None, hi=None) -> Column:
-    """Null-preserving clip (``least``/``greatest`` would skip nulls)."""
+    """numpy-style clip: nulls stay null and NaN stays NaN (``least`` and
+    ``greatest`` skip nulls, and Spark orders NaN above every number)."""
     c = col_(c)
     out = c
     if lo is not None:
         out = F.greatest(out, F.lit(lo))
     if hi is not None:
         out = F.least(out, F.lit(hi))
-    return F.when(c.isNull(), F.lit(None)).otherwise(out)
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(out)
 
 
 def safe_div(num, den, default=0.0) -> Column:
