@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstile.session import reuse
+
 # Buckets per factor of two; a bucket spans 2**(1/256) ≈ 0.27 % of its value.
 PER_OCTAVE = 256
 # Larger than |floor(log2(x) * PER_OCTAVE)| for every finite double.
@@ -72,6 +74,9 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict[str, Callable[[C
     b = "_os_bucket"
     counts = (df.where(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("_os_c"))
                 .withColumn(b, value_bucket(F.col(v))))
+    # Several branches read the distinct-value counts; materialise them once
+    # instead of re-scanning and re-aggregating the input per branch.
+    counts = reuse(counts)
     tot = counts.groupBy(*by, b).agg(F.sum("_os_c").alias("_os_bc"))
     w_off = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)

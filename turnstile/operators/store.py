@@ -95,10 +95,13 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
 
     Built as union + window (Spark has no as-of join).  To keep a hot key
     from landing in one task, the window is partitioned by (keys, time
-    bucket); the latest feature row of every earlier bucket is carried
-    forward through a second, much smaller union + window over one row per
-    (keys, bucket).  Feature rows are wrapped in a struct so a latest row
-    holding nulls is still the latest row.
+    bucket).  Entity rows travel through the union as one struct, so no
+    row id and no join back to the entity table are needed.  For entities
+    whose bucket holds no earlier feature row, the last feature row of the
+    nearest earlier bucket is carried forward by a second, small window
+    over one row per (keys, bucket), and joined on (keys, bucket) — the
+    partitioning the first window already produced.  Feature rows are
+    wrapped in a struct so a latest row holding nulls is still the latest.
     """
     keys = list(view.entities)
     feats = list(features or view.feature_names)
@@ -106,48 +109,48 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
     fts = F.col(view.timestamp)
     fpay = F.struct(fts.alias("ts"), _ingested(feature_df, view).alias("ing"), *[F.col(f) for f in feats])
     pay_type = feature_df.select(fpay.alias("p")).schema["p"].dataType
-    rid = "_pit_row"
-    ent = entity_df.withColumn(rid, F.monotonically_increasing_id())
-    ent_cols = [c for c in ent.columns]
-
-    def with_bucket(df, ts):
-        return df.withColumn("_pit_us", F.unix_micros(F.col(ts).cast("timestamp"))) \
-                 .withColumn("_pit_b", F.floor(F.col("_pit_us") / F.lit(bucket_us)))
-
-    f_rows = with_bucket(feature_df.select(*keys, fpay.alias("_pit_p"), fts.alias("_pit_t")), "_pit_t") \
-        .select(*keys, "_pit_us", "_pit_b", F.lit(0).alias("_pit_side"),
-                F.col("_pit_p.ing").alias("_pit_ing"), "_pit_p", F.lit(None).cast("long").alias(rid))
-    e_rows = with_bucket(ent.select(*keys, F.col(entity_ts).alias("_pit_t"), rid), "_pit_t") \
-        .select(*keys, "_pit_us", "_pit_b", F.lit(1).alias("_pit_side"),
-                F.lit(None).cast(pay_type["ing"].dataType).alias("_pit_ing"),
-                F.lit(None).cast(pay_type).alias("_pit_p"), rid)
-    u = f_rows.unionByName(e_rows)
+    ent_type = entity_df.select(F.struct(*entity_df.columns).alias("e")).schema["e"].dataType
+
+    def us_of(c):
+        return F.unix_micros(c.cast("timestamp"))
+
+    def bucket_of(c):
+        return F.floor(us_of(c) / F.lit(bucket_us))
+
+    f_rows = feature_df.select(*keys, us_of(fts).alias("_pit_us"), bucket_of(fts).alias("_pit_b"),
+                               F.lit(0).alias("_pit_side"), _ingested(feature_df, view).alias("_pit_ing"),
+                               fpay.alias("_pit_p"), F.lit(None).cast(ent_type).alias("_pit_e"))
+    ets = F.col(entity_ts)
+    e_rows = entity_df.select(*keys, us_of(ets).alias("_pit_us"), bucket_of(ets).alias("_pit_b"),
+                              F.lit(1).alias("_pit_side"), F.lit(None).cast(pay_type["ing"].dataType).alias("_pit_ing"),
+                              F.lit(None).cast(pay_type).alias("_pit_p"),
+                              F.struct(*[F.col(c) for c in entity_df.columns]).alias("_pit_e"))
     w = (Window.partitionBy(*keys, "_pit_b").orderBy("_pit_us", "_pit_side", "_pit_ing")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inb = (u.withColumn("_pit_in", F.last("_pit_p", ignorenulls=True).over(w))
-            .where(F.col("_pit_side") == 1)
-            .select(*keys, "_pit_b", rid, "_pit_in"))
-    # Last feature row of each (keys, bucket), carried forward to later buckets.
+    inb = (f_rows.unionByName(e_rows)
+           .withColumn("_pit_in", F.last("_pit_p", ignorenulls=True).over(w))
+           .where(F.col("_pit_side") == 1)
+           .select(*keys, "_pit_b", "_pit_e", "_pit_in"))
+    # Last feature row of each (keys, bucket), and every entity bucket; a
+    # bucket's own feature summary sorts after its entity marker, so only
+    # strictly earlier buckets are carried.
     last_per_b = f_rows.groupBy(*keys, "_pit_b").agg(
         F.max_by("_pit_p", F.struct("_pit_us", "_pit_ing")).alias("_pit_lb"))
-    need = inb.where(F.col("_pit_in").isNull()).select(*keys, "_pit_b").distinct()
-    # A bucket's own feature rows sort after its request row: only strictly
-    # earlier buckets are carried (same-bucket rows were handled above).
+    ent_b = entity_df.select(*keys, bucket_of(ets).alias("_pit_b")).distinct()
     u2 = (last_per_b.select(*keys, "_pit_b", F.lit(1).alias("_pit_side"), "_pit_lb")
-          .unionByName(need.select(*keys, "_pit_b", F.lit(0).alias("_pit_side"),
-                                   F.lit(None).cast(pay_type).alias("_pit_lb"))))
+          .unionByName(ent_b.select(*keys, "_pit_b", F.lit(0).alias("_pit_side"),
+                                    F.lit(None).cast(pay_type).alias("_pit_lb"))))
     w2 = (Window.partitionBy(*keys).orderBy("_pit_b", "_pit_side")
           .rowsBetween(Window.unboundedPreceding, -1))
     carried = (u2.withColumn("_pit_prev", F.last("_pit_lb", ignorenulls=True).over(w2))
-                 .where(F.col("_pit_side") == 0).select(*keys, "_pit_b", "_pit_prev"))
-    res = (inb.join(carried, [*keys, "_pit_b"], "left")
-              .select(rid, F.coalesce("_pit_in", "_pit_prev").alias("_pit_f")))
-    out = ent.join(res, rid, "left")
-    ttl_ok = F.col("_pit_f.ts").cast("timestamp") >= \
-        F.col(entity_ts).cast("timestamp") - F.make_dt_interval(secs=F.lit(float(view.ttl_seconds)))
+                 .where((F.col("_pit_side") == 0) & F.col("_pit_prev").isNotNull())
+                 .select(*keys, "_pit_b", "_pit_prev"))
+    res = inb.join(carried, [*keys, "_pit_b"], "left") \
+             .withColumn("_pit_f", F.coalesce("_pit_in", "_pit_prev"))
+    ttl_ok = us_of(F.col("_pit_f.ts")) >= us_of(F.col(f"_pit_e.{entity_ts}")) - F.lit(view.ttl_seconds * 1_000_000)
     pre = prefix if prefix is not None else ""
     fcols = [F.when(ttl_ok, F.col(f"_pit_f.{f}")).alias(f"{pre}{f}") for f in feats]
-    return out.select(*[c for c in ent_cols if c != rid], *fcols)
+    return res.select(*[F.col(f"_pit_e.{c}").alias(c) for c in entity_df.columns], *fcols)
 
 
 # ---------------------------------------------------------------- D3
