@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions.ordered import running_totals
 from turnstile.functions.scalars import numeric_columns
+from turnstile.session import reuse
 
 # Thresholds of the reference's monitoring code.
 DRIFT_THRESHOLD = 0.3          # detection (>=) for scores in [0, 1]
@@ -111,47 +112,48 @@ def distribution_tests(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     """F4 per column: numeric → two-sample KS statistic vs its 5 % critical
     value; string → Jensen-Shannon distance (base 2) vs 0.1.
 
-    Long format: (column, kind, statistic, threshold, drifted).  The KS
-    CDFs come from per-(column, value) counts and a two-level running total
-    (no single-task window, however skewed a value is).
+    Long format: (column, kind, statistic, threshold, drifted).  Each side
+    is read once: numeric and string columns are stacked into one long
+    (column, value) frame and counted per distinct value; those counts are
+    materialised once and feed both tests.  The KS CDFs come from a
+    two-level running total (no single-task window, however skewed a value).
     """
     num = common_numeric(ref, cur, cols)
     cat = [c for c, t in ref.dtypes if t == "string" and c in cur.columns and (cols is None or c in cols)]
+    if not num and not cat:
+        return ref.sparkSession.createDataFrame(
+            [], "column string, kind string, statistic double, threshold double, drifted boolean")
+
+    def side(df, rc, cc):
+        items = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"),
+                          F.lit(None).cast("string").alias("s")) for c in num]
+        items += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("v"),
+                           F.col(c).alias("s")) for c in cat]
+        return df.select(F.inline(F.array(*items))).select("*", F.lit(rc).alias("rc"), F.lit(cc).alias("cc"))
+    counts = reuse(side(ref, 1, 0).unionByName(side(cur, 0, 1))
+                   .where(F.col("s").isNotNull() | F.col("v").isNotNull() | F.col("column").isin(*cat))
+                   .groupBy("column", "v", "s").agg(F.sum("rc").alias("rc"), F.sum("cc").alias("cc")))
+    sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
     parts = []
     if num:
-        def side(df, rc, cc):
-            s = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                             for c in num])))
-            return s.where(F.col("v").isNotNull()).select("column", "v", F.lit(rc).alias("rc"), F.lit(cc).alias("cc"))
-        counts = side(ref, 1, 0).unionByName(side(cur, 0, 1)).groupBy("column", "v").agg(
-            F.sum("rc").alias("rc"), F.sum("cc").alias("cc"))
-        cum = running_totals(counts, "v", ["rc", "cc"], by=["column"])
-        sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
+        nc = counts.where(F.col("column").isin(*num)).select("column", "v", "rc", "cc")
+        cum = running_totals(nc, "v", ["rc", "cc"], by=["column"])
         d = (cum.join(sizes, "column")
                 .groupBy("column", "n_ref", "n_cur")
                 .agg(F.max(F.abs(F.col("cum_rc") / F.col("n_ref") - F.col("cum_cc") / F.col("n_cur"))).alias("statistic")))
         thr = _ks_critical(F.col("n_ref").cast("double"), F.col("n_cur").cast("double"))
         parts.append(d.select("column", F.lit("ks").alias("kind"), "statistic", thr.alias("threshold")))
     if cat:
-        def cside(df, rc, cc):
-            s = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in cat])))
-            return s.select("column", "v", F.lit(rc).alias("rc"), F.lit(cc).alias("cc"))
-        counts = cside(ref, 1, 0).unionByName(cside(cur, 0, 1)).groupBy("column", "v").agg(
-            F.sum("rc").alias("rc"), F.sum("cc").alias("cc"))
-        sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
         p = F.col("rc") / F.col("n_ref")
         q = F.col("cc") / F.col("n_cur")
         m = (p + q) / 2
 
         def kl(a):
             return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-        js = (counts.join(sizes, "column").groupBy("column")
+        js = (counts.where(F.col("column").isin(*cat)).join(sizes, "column").groupBy("column")
                     .agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl(p)) + 0.5 * F.sum(kl(q)))).alias("statistic")))
         parts.append(js.select("column", F.lit("jensen_shannon").alias("kind"), "statistic",
                                F.lit(JS_THRESHOLD).alias("threshold")))
-    if not parts:
-        return ref.sparkSession.createDataFrame(
-            [], "column string, kind string, statistic double, threshold double, drifted boolean")
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("drifted", F.col("statistic") > F.col("threshold"))
 
