@@ -41,6 +41,23 @@ def common_numeric(ref: DataFrame, cur: DataFrame, cols=None) -> list[str]:
 
 
 # ---------------------------------------------------------------- F1
+def _moments(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: row counts, reference means and sample stds, current means
+    (one aggregate pass per side)."""
+    r = ref.agg(F.count(F.lit(1)).alias("_rn"),
+                *[F.avg(F.col(c).cast("double")).alias(f"rm_{c}") for c in cols],
+                *[F.stddev_samp(F.col(c).cast("double")).alias(f"rs_{c}") for c in cols])
+    k = cur.agg(F.count(F.lit(1)).alias("_cn"), *[F.avg(F.col(c).cast("double")).alias(f"cm_{c}") for c in cols])
+    return r.crossJoin(k)
+
+
+def _score(c: str) -> Column:
+    rs = F.col(f"rs_{c}")
+    std = F.when(rs.isNull() | (rs == 0) | F.isnan(rs), F.lit(1.0)).otherwise(rs)
+    # least() skips nulls: an undefined mean scores 1.0 like the reference's min(1.0, nan)
+    return F.least(F.lit(1.0), F.abs(F.col(f"cm_{c}") - F.col(f"rm_{c}")) / (std + F.lit(STD_EPSILON)))
+
+
 def mean_shift_scores(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     """F1 per column: min(1, |mean_cur - mean_ref| / (std_ref + 1e-8)),
     sample std; a null/zero std counts as 1."""
@@ -48,19 +65,29 @@ def mean_shift_scores(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     if not cols:
         return ref.sparkSession.createDataFrame(
             [], "column string, ref_mean double, cur_mean double, ref_std double, score double")
-    r = ref.agg(*[F.avg(F.col(c).cast("double")).alias(f"rm_{c}") for c in cols],
-                *[F.stddev_samp(F.col(c).cast("double")).alias(f"rs_{c}") for c in cols])
-    k = cur.agg(*[F.avg(F.col(c).cast("double")).alias(f"cm_{c}") for c in cols])
-    long = _stack(r.crossJoin(k), cols, {"ref_mean": "rm_", "cur_mean": "cm_", "ref_std": "rs_"})
-    std = F.when(F.col("ref_std").isNull() | (F.col("ref_std") == 0) | F.isnan("ref_std"), F.lit(1.0)) \
-           .otherwise(F.col("ref_std"))
-    # least() skips nulls: an undefined mean scores 1.0 like the reference's min(1.0, nan)
-    score = F.least(F.lit(1.0), F.abs(F.col("cur_mean") - F.col("ref_mean")) / (std + F.lit(STD_EPSILON)))
-    return long.withColumn("score", score)
+    one = _moments(ref, cur, cols)
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"rm_{c}").alias("ref_mean"), F.col(f"cm_{c}").alias("cur_mean"),
+                 F.col(f"rs_{c}").alias("ref_std"), _score(c).alias("score")) for c in cols])))
+
+
+def _summary_from(one: DataFrame, cols: list[str], threshold: float) -> DataFrame:
+    """Overall score, flag and score map as expressions over the moments row
+    (no second aggregation, so each side is read once)."""
+    if cols:
+        scores = F.array(*[_score(c) for c in cols])
+        overall = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.lit(float(len(cols)))
+        cmap = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), scores)
+    else:
+        overall = F.lit(0.0)
+        cmap = F.create_map().cast("map<string,double>")
+    return one.select(overall.alias("drift_score"), F.lit(len(cols)).cast("long").alias("n_columns"),
+                      cmap.alias("column_scores"), "_rn", "_cn") \
+              .withColumn("drift_detected", drift_decision(F.col("drift_score"), threshold))
 
 
 def summarize_scores(scores: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """Overall = plain mean of column scores (0 without columns); F2 flag."""
+    """Overall = plain mean of per-column scores (0 without columns); F2 flag."""
     one = scores.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("drift_score"),
                      F.count(F.lit(1)).alias("n_columns"),
                      F.map_from_entries(F.collect_list(F.struct("column", "score"))).alias("column_scores"))
@@ -69,7 +96,8 @@ def summarize_scores(scores: DataFrame, threshold: float = DRIFT_THRESHOLD) -> D
 
 def mean_shift_drift(ref: DataFrame, cur: DataFrame, cols=None, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """F1 summary row: drift_score, n_columns, column_scores map, drift_detected."""
-    return summarize_scores(mean_shift_scores(ref, cur, cols), threshold)
+    cols = common_numeric(ref, cur, cols)
+    return _summary_from(_moments(ref, cur, cols), cols, threshold).drop("_rn", "_cn")
 
 
 # ---------------------------------------------------------------- F2
@@ -276,13 +304,13 @@ def check_feature_drift(current: DataFrame, reference: DataFrame,
     """drift of the realtime feature table against the reference build.
 
     Uses the feature columns present on both sides, drops all-null rows,
-    and scores with F1.  An empty side yields score 0 with a note.
+    and scores with F1.  An empty side yields score 0 with a note.  Row
+    counts come from the same aggregate pass as the moments.
     """
     cols = [c for c in FEATURE_COLUMNS if c in current.columns and c in reference.columns]
     cur = current.select(*cols).dropna(how="all")
     ref = reference.select(*cols).dropna(how="all")
-    sizes = ref.agg(F.count(F.lit(1)).alias("_rn")).crossJoin(cur.agg(F.count(F.lit(1)).alias("_cn")))
-    s = mean_shift_drift(ref, cur, cols, threshold).crossJoin(sizes)
+    s = _summary_from(_moments(ref, cur, cols), cols, threshold)
     empty = (F.col("_rn") == 0) | (F.col("_cn") == 0)
     return s.select(F.when(empty, F.lit(0.0)).otherwise(F.col("drift_score")).alias("drift_score"),
                     F.when(empty, F.lit(False)).otherwise(F.col("drift_detected")).alias("drift_detected"),

@@ -123,10 +123,28 @@ def preferred_category(txns: DataFrame, events: DataFrame) -> DataFrame:
 
 def user_metrics(users: DataFrame, txns: DataFrame, events: DataFrame | None = None,
                  sort: bool = True) -> DataFrame:
-    """Lifetime purchases, fraud risk score per user (+ B6 category)."""
-    agg = txns.groupBy("user_id").agg(
-        F.sum("quantity").alias("_purchases"),
-        F.avg(F.col("is_fraud").cast("double")).alias("_fraud_rate"))
+    """Lifetime purchases, fraud risk score per user (+ B6 category).
+
+    With ``events`` the transactions are read once: partial sums per
+    (user, category) feed both the per-user totals and the preferred
+    category (transactions of unknown events still count in the totals).
+    """
+    if events is None:
+        agg = txns.groupBy("user_id").agg(
+            F.sum("quantity").alias("_purchases"),
+            F.avg(F.col("is_fraud").cast("double")).alias("_fraud_rate"))
+    else:
+        per_cat = (txns.select("user_id", "event_id", "quantity", "is_fraud")
+                   .join(events.select("event_id", "category"), "event_id", "left")
+                   .groupBy("user_id", "category")
+                   .agg(F.sum("quantity").alias("_q"), F.sum(F.col("is_fraud").cast("double")).alias("_f"),
+                        F.count("is_fraud").alias("_nf"), F.count(F.lit(1)).alias("_n")))
+        known = F.col("category").isNotNull()
+        agg = per_cat.groupBy("user_id").agg(
+            F.sum("_q").alias("_purchases"),
+            (F.sum("_f") / F.sum("_nf")).alias("_fraud_rate"),
+            F.max_by(F.when(known, F.col("category")),
+                     F.when(known, F.struct(F.col("_n"), F.col("category")))).alias("preferred_category"))
     j = users.join(agg, "user_id", "left")
     cols = [
         F.col("user_id"),
@@ -135,7 +153,6 @@ def user_metrics(users: DataFrame, txns: DataFrame, events: DataFrame | None = N
         clip(F.coalesce(F.col("_fraud_rate"), F.lit(0.0)), 0.0, 1.0).alias("fraud_risk_score"),
     ]
     if events is not None:
-        j = j.join(preferred_category(txns, events), "user_id", "left")
         cols.append(F.col("preferred_category"))
     out = j.select(*cols)
     return out.orderBy("user_id") if sort else out

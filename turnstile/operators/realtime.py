@@ -27,8 +27,9 @@ def user_realtime_features(raw: DataFrame, as_of=None) -> DataFrame:
     """Per user count, amount sum (nulls skipped, all-null → 0), distinct
     events, average = sum / max(count, 1); both timestamps = ``as_of``.
 
-    ``as_of`` may be a literal, a Column, or None to use ``max(timestamp)``
-    of the input (computed as a one-row aggregate, not a window).
+    ``as_of`` may be a literal, a Column, None to use ``max(timestamp)`` of
+    the input (a one-row aggregate, not a window), or the name of a column
+    already carrying the bound (no extra pass over the input).
     Null user ids are dropped, as the reference's group-by does.
     """
     agg = (raw.where(F.col("user_id").isNotNull())
@@ -38,6 +39,17 @@ def user_realtime_features(raw: DataFrame, as_of=None) -> DataFrame:
                    F.countDistinct("event_id").alias("user_distinct_events_1h")))
     agg = agg.withColumn("user_avg_amount_24h",
                          F.col("user_txn_amount_1h") / F.greatest(F.col("user_txn_count_1h"), F.lit(1)))
+    if isinstance(as_of, str):
+        # the bound travels with the rows (see filter_recent(keep_bound=...))
+        return (raw.where(F.col("user_id").isNotNull()).groupBy("user_id")
+                   .agg(F.count("user_id").alias("user_txn_count_1h"),
+                        F.coalesce(money_sum("total_amount"), F.lit(0.0)).alias("user_txn_amount_1h"),
+                        F.countDistinct("event_id").alias("user_distinct_events_1h"),
+                        F.max(as_of).alias("event_timestamp"))
+                   .withColumn("user_avg_amount_24h",
+                               F.col("user_txn_amount_1h") / F.greatest(F.col("user_txn_count_1h"), F.lit(1)))
+                   .select("user_id", *FEATURES, "event_timestamp")
+                   .withColumn("ingested_at", F.col("event_timestamp")))
     if as_of is None:
         stamp = raw.agg(F.max("timestamp").alias("event_timestamp"))
         out = agg.crossJoin(F.broadcast(stamp))
@@ -66,10 +78,12 @@ def trailing_window(df: DataFrame, key: str, ts_col: str, aggs: dict, keep=None)
     keep = list(keep or df.columns)
     width = max(wu for wu, _ in aggs.values())
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("_tw_us", us).withColumn("_tw_b", F.floor(F.col("_tw_us") / F.lit(width)))
-    own = base.withColumn("_tw_own", F.lit(True))
-    ctx = base.withColumn("_tw_b", F.col("_tw_b") + 1).withColumn("_tw_own", F.lit(False))
-    both = own.unionByName(ctx)
+    b0 = F.floor(us / F.lit(width))
+    # every row is read once and emitted twice: in its own bucket and as
+    # context for the next one
+    both = df.withColumn("_tw_us", us).select(
+        "*", F.inline(F.array(F.struct(b0.alias("_tw_b"), F.lit(True).alias("_tw_own")),
+                              F.struct((b0 + 1).alias("_tw_b"), F.lit(False).alias("_tw_own")))))
     cols = [F.col(c) for c in keep]
     for name, (wu, fn) in aggs.items():
         w = Window.partitionBy(key, "_tw_b").orderBy("_tw_us").rangeBetween(-(wu - 1), Window.currentRow)

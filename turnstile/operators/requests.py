@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions.ordered import interpolated_percentiles, order_statistics
 from turnstile.functions.scalars import safe_div
+from turnstile.session import reuse
 
 # Fixed values from the reference: SLA limits, thresholds, histogram buckets.
 SLA_LIMITS_MS = {"p50": 50.0, "p95": 150.0, "p99": 200.0}
@@ -223,12 +224,16 @@ def error_ratio(log: DataFrame, window: str = "5 minutes", by=("service",), ts:
 # ---------------------------------------------------------------- I14
 def latency_buckets(log: DataFrame, by=("service",), col: str = "latency_ms",
                     bounds=PROM_BUCKETS, scale: float = 1e-3) -> DataFrame:
-    """Cumulative ``le`` bucket counts (the metrics client's histogram) from raw rows."""
+    """Cumulative ``le`` bucket counts (the metrics client's histogram) from raw rows.
+
+    The per-(key, bucket) counts are tiny (keys × 15) and materialised once;
+    the key grid and the cumulative window read that copy, not the log."""
     v = F.col(col) * F.lit(scale)
     finite = [b for b in bounds if b != float("inf")]
     idx = reduce(lambda acc, b: F.when(v <= F.lit(b[1]), F.lit(b[0])).otherwise(acc),
                  reversed(list(enumerate(finite))), F.lit(len(finite)))
-    counts = log.where(F.col(col).isNotNull()).groupBy(*by, idx.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = reuse(log.where(F.col(col).isNotNull()).groupBy(*by, idx.alias("_b"))
+                   .agg(F.count(F.lit(1)).alias("_c")))
     les = log.sparkSession.createDataFrame([(i, float(b)) for i, b in enumerate(bounds)], "_b int, le double")
     keys = counts.select(*by).distinct()
     grid = keys.crossJoin(F.broadcast(les))  # keys × ~15 bucket bounds
@@ -237,26 +242,29 @@ def latency_buckets(log: DataFrame, by=("service",), col: str = "latency_ms",
     return j.select(*by, "le", F.sum("_c").over(w).alias("count"), "_b")
 
 
-def histogram_quantile(buckets: DataFrame, q: float, by=("service",)) -> DataFrame:
-    """Quantile from cumulative ``le`` buckets, interpolating linearly
-    inside the bucket; a rank in the +Inf bucket returns the highest finite bound."""
+def histogram_quantile(buckets: DataFrame, q, by=("service",)) -> DataFrame:
+    """quantile(s) from cumulative ``le`` buckets, interpolating linearly
+    inside the bucket; a rank in the +Inf bucket returns the highest finite
+    bound.  ``q`` may be one value or a list (all computed in one pass)."""
     by = list(by)
+    qs = list(q) if isinstance(q, (list, tuple)) else [q]
     w = Window.partitionBy(*by).orderBy("le")
     b = (buckets.withColumn("_prev_le", F.lag("le").over(w)).withColumn("_prev_c", F.lag("count").over(w))
                 .withColumn("_total", F.max("count").over(Window.partitionBy(*by)))
                 .withColumn("_max_finite", F.max(F.when(~F.isnan("le") & (F.col("le") != float("inf")),
                                                         F.col("le"))).over(Window.partitionBy(*by))))
-    rank = F.lit(q) * F.col("_total")
+    b = b.select("*", F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("q"))
+    rank = F.col("q") * F.col("_total")
     hit = b.where((F.col("count") >= rank) & (F.col("_total") > 0))
-    first = hit.groupBy(*by).agg(F.min_by(F.struct("le", "count", "_prev_le", "_prev_c", "_total", "_max_finite"),
-                                          F.col("le")).alias("h"))
+    first = hit.groupBy(*by, "q").agg(F.min_by(F.struct("le", "count", "_prev_le", "_prev_c", "_total", "_max_finite"),
+                                               F.col("le")).alias("h"))
     lo = F.coalesce(F.col("h._prev_le"), F.lit(0.0))
     pc = F.coalesce(F.col("h._prev_c"), F.lit(0)).cast("double")
-    r = F.lit(q) * F.col("h._total")
+    r = F.col("q") * F.col("h._total")
     val = (F.when(F.col("h.le") == float("inf"), F.col("h._max_finite"))
             .when(F.col("h._prev_le").isNull() & (F.col("h.le") <= 0), F.col("h.le"))
             .otherwise(lo + (F.col("h.le") - lo) * (r - pc) / (F.col("h.count") - pc)))
-    return first.select(*by, F.lit(q).alias("q"), val.alias("value"))
+    return first.select(*by, "q", val.alias("value"))
 
 
 # ---------------------------------------------------------------- I15

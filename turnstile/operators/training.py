@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.functions.ordered import order_statistics, running_totals
+from turnstile.session import reuse
 
 # Fixed values from the reference: label threshold, split, search space, gate.
 FRAUD_LABEL_THRESHOLD = 0.05
@@ -131,25 +132,30 @@ def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LA
 def evaluate_scores(df: DataFrame, label: str = "label", score: str = "score",
                     threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """Exact ROC-AUC (ties count ½, Mann-Whitney) and accuracy at
-    score ≥ threshold, as one row (auc null with a single class).
+    score ≥ threshold over rows with a score and a 0/1 label, as one row
+    (auc null with a single class).
 
-    Scores are first counted per distinct value (positives, negatives); the
-    "negatives below" prefix sum is a two-level running total, so no
-    unpartitioned window or sort of the whole table is needed.
+    The input is read once: rows are counted per distinct score (positives,
+    negatives) and materialised; the "negatives below" prefix sum is a
+    two-level running total (no unpartitioned window, no global sort) and
+    accuracy is a sum over the same counts.
     """
     y = F.col(label).cast("double")
-    base = df.select(F.col(score).cast("double").alias("_s"), y.alias("_y")).where(F.col("_s").isNotNull())
-    counts = base.groupBy("_s").agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
-                                    F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"))
+    base = df.select(F.col(score).cast("double").alias("_s"), y.alias("_y")) \
+             .where(F.col("_s").isNotNull() & F.col("_y").isin(0.0, 1.0))
+    counts = reuse(base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"),
+                                          F.count_if(F.col("_y") == 0).alias("neg")))
     cum = running_totals(counts, "_s", ["neg"])
+    hit = F.when(F.col("_s") >= F.lit(threshold), F.col("pos")).otherwise(F.col("neg"))
     u = cum.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("_u"),
-                F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    acc = df.agg(F.avg(((F.col(score) >= F.lit(threshold)).cast("double") == y).cast("double")).alias("accuracy"),
-                 F.count(F.lit(1)).alias("n"))
-    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n")))
-    return u.crossJoin(acc).select(auc.alias("auc"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"),
-                                   "n", F.coalesce("_p", F.lit(0)).alias("positives"),
-                                   F.coalesce("_n", F.lit(0)).alias("negatives"))
+                F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
+                F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
+                F.sum(hit).alias("_hit"))
+    n = F.col("positives") + F.col("negatives")
+    auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
+                 F.col("_u") / (F.col("positives") * F.col("negatives")))
+    return u.select(auc.alias("auc"), F.coalesce(F.try_divide(F.col("_hit"), n), F.lit(0.0)).alias("accuracy"),
+                    n.alias("n"), "positives", "negatives")
 
 
 # ---------------------------------------------------------------- G5

@@ -55,8 +55,8 @@ FROM a""", "raw_events")
 
 @register("c1_user_realtime_features", SQL_C1)
 def q_user_realtime(spark, d):
-    recent = A.filter_recent(V.raw_events(spark, d), "timestamp", None, 24)
-    return round_doubles(R.user_realtime_features(recent))
+    recent = A.filter_recent(V.raw_events(spark, d), "timestamp", None, 24, keep_bound="_as_of")
+    return round_doubles(R.user_realtime_features(recent, as_of="_as_of"))
 
 
 register("c2_reference_features", with_views("""

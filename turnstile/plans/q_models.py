@@ -91,7 +91,7 @@ c AS (SELECT s, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y =
 k AS (SELECT *, sum(neg) OVER (ORDER BY s) AS cum_neg FROM c),
 u AS (SELECT sum(pos * (cum_neg - neg + 0.5 * neg)) AS u, sum(pos) AS pp, sum(neg) AS nn FROM k),
 a AS (SELECT avg(CAST((CAST(fraud_score >= 0.5 AS DOUBLE) = CAST(is_fraud AS DOUBLE)) AS DOUBLE)) AS accuracy,
-             count(*) AS n FROM request_log)
+             count(*) AS n FROM request_log WHERE fraud_score IS NOT NULL AND is_fraud IS NOT NULL)
 SELECT round(CASE WHEN pp > 0 AND nn > 0 THEN u / (pp * nn) END, 4) AS auc, round(coalesce(accuracy, 0.0), 4) AS accuracy,
        a.n AS n, CAST(coalesce(pp, 0) AS BIGINT) AS positives, CAST(coalesce(nn, 0) AS BIGINT) AS negatives
 FROM u, a"""

@@ -251,5 +251,6 @@ SELECT round(CASE WHEN n_reference = 0 OR n_current = 0 THEN 0.0 ELSE drift_scor
        n_columns, CASE WHEN n_reference = 0 OR n_current = 0 THEN 'reference or current empty' END AS note,
        n_reference, n_current FROM s, z""", "txns", "raw_events"))(
     lambda spark, d: round_doubles(D.check_feature_drift(
-        R.user_realtime_features(A.filter_recent(V.raw_events(spark, d), "timestamp", None, 24)),
+        R.user_realtime_features(A.filter_recent(V.raw_events(spark, d), "timestamp", None, 24, keep_bound="_as_of"),
+                                 as_of="_as_of"),
         R.reference_features(V.txns(spark, d))).drop("column_scores")))

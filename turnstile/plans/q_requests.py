@@ -228,8 +228,7 @@ SELECT service, q,
                        / (h[2] - coalesce(h[4], 0)) END, 4) AS value
 FROM f""", LOG))
 def q_histogram_quantile(spark, d):
-    b = I.latency_buckets(_log(spark, d))
-    return round_doubles(reduce(DataFrame.unionByName, [I.histogram_quantile(b, q) for q in QUANTILES]))
+    return round_doubles(I.histogram_quantile(I.latency_buckets(_log(spark, d)), list(QUANTILES)))
 
 
 # ------------------------------------------------------------------ I15

@@ -35,8 +35,11 @@ def hourly_features(spark: SparkSession, raw: DataFrame, event_metrics: DataFram
     result: dict = {"schema_ok": ok, "missing_columns": missing}
     if not ok:
         return result
-    recent = A.filter_recent(raw, "timestamp", as_of, window_hours)
-    feats = R.user_realtime_features(recent, as_of)
+    if as_of is None:
+        recent = A.filter_recent(raw, "timestamp", None, window_hours, keep_bound="_as_of")
+        feats = R.user_realtime_features(recent, "_as_of")
+    else:
+        feats = R.user_realtime_features(A.filter_recent(raw, "timestamp", as_of, window_hours), as_of)
     result["features_path"] = A.write_feature_table(feats, f"{out_root}/user_realtime_features")
     feats = spark.read.parquet(result["features_path"])  # the published table; lineage ends here
     agg = M.event_price_aggregates(event_metrics)

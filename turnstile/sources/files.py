@@ -38,12 +38,15 @@ def read_raw_events(spark: SparkSession, root: str, as_of: dt.datetime | None =
 
 
 # ---------------------------------------------------------------- A2
-def filter_recent(df: DataFrame, ts_col: str = "timestamp", as_of=None, hours: float = 24) -> DataFrame:
+def filter_recent(df: DataFrame, ts_col: str = "timestamp", as_of=None, hours: float = 24,
+                  keep_bound: str | None = None) -> DataFrame:
     """A2: keep rows with ``ts >= as_of - hours`` (inclusive, no upper bound).
 
     The column is parsed as UTC; unparsable values become null and drop.
     Skipped when the column is absent or ``hours <= 0``.  ``as_of`` is a
-    literal / Column, or None for the input's own max timestamp.
+    literal / Column, or None for the input's own max timestamp;
+    ``keep_bound`` names a column that keeps that bound on every row, so
+    later steps need no second pass to find it.
     """
     if ts_col not in df.columns or hours is None or hours <= 0:
         return df
@@ -53,9 +56,9 @@ def filter_recent(df: DataFrame, ts_col: str = "timestamp", as_of=None, hours: f
     micros = int(round(hours * 3600 * 1_000_000))
     if as_of is None:
         bound = df.agg(F.max(ts).alias("_as_of"))
-        return (df.crossJoin(F.broadcast(bound))
-                  .where(ts >= F.col("_as_of") - F.make_dt_interval(secs=F.lit(micros / 1e6)))
-                  .drop("_as_of"))
+        out = (df.crossJoin(F.broadcast(bound))
+                 .where(ts >= F.col("_as_of") - F.make_dt_interval(secs=F.lit(micros / 1e6))))
+        return out.withColumnRenamed("_as_of", keep_bound) if keep_bound else out.drop("_as_of")
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of)
     return df.where(ts >= as_of - F.make_dt_interval(secs=F.lit(micros / 1e6)))
 
