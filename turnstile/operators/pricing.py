@@ -98,15 +98,8 @@ def _arm_fields(a):
     return (a["arm_order"], a["arm"], a["alpha"], a["beta"]) if isinstance(a, dict) else tuple(a)
 
 
-def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
-    """Per request: Beta draw for every arm, return the arm with the largest
-    draw (ties → lower ``arm_order``).  ``arms`` holds the same bandit state
-    on every row (a one-row side joined to all requests), so draws are
-    vectorised per arm across the whole Arrow batch."""
-    if len(key) == 0:
-        return pd.Series([], dtype=object)
-    state = sorted(_arm_fields(a) for a in arms.iloc[0])
-    k = key.to_numpy().astype(np.int64).view(np.uint64)
+def _draw_best(k: np.ndarray, state) -> np.ndarray:
+    """Index (into the order-sorted state) of the arm with the largest draw per key."""
     n = len(k)
     best = np.full(n, -np.inf)
     pick = np.zeros(n, dtype=np.int64)
@@ -117,11 +110,33 @@ def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
         better = draw > best
         best = np.where(better, draw, best)
         pick = np.where(better, i, pick)
-    names = np.array([s[1] for s in state], dtype=object)
-    return pd.Series(names[pick])
+    return pick
+
+
+def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
+    """Per request: Beta draw for every arm, the arm with the largest draw
+    wins (ties → lower ``arm_order``).  ``arms`` holds the same bandit state
+    on every row (a one-row side joined to all requests), so draws are
+    vectorised per arm across the whole Arrow batch."""
+    if len(key) == 0:
+        return pd.Series([], dtype=object)
+    state = sorted(_arm_fields(a) for a in arms.iloc[0])
+    pick = _draw_best(key.to_numpy().astype(np.int64).view(np.uint64), state)
+    return pd.Series(np.array([x[1] for x in state], dtype=object)[pick])
 
 
 _thompson_udf = F.pandas_udf(_thompson, T.StringType())
+MAX_INLINE_ARMS = 1000
+
+
+def _thompson_const_udf(state):
+    names = np.array([x[1] for x in state], dtype=object)
+
+    def run(key: pd.Series) -> pd.Series:
+        if len(key) == 0:
+            return pd.Series([], dtype=object)
+        return pd.Series(names[_draw_best(key.to_numpy().astype(np.int64).view(np.uint64), state)])
+    return F.pandas_udf(run, T.StringType())
 
 
 def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: str = "arm_hint",
@@ -129,12 +144,20 @@ def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: s
     """H2: the hinted arm, else the arm with the largest Beta(α, β) draw
     (ties → the earlier arm of the state table's ``arm_order``).
 
-    The bandit state (a handful of arms) is packed into one array row and
-    joined to every request as a bounded one-row side; no explode and no
-    shuffle.  Draws come from a hash of (request id, seed, arm), so they do
-    not depend on partitioning or retries.  ``deterministic=True`` ranks
-    arms by posterior mean α/(α+β) instead.
+    Draws come from a hash of (request id, seed, arm), so they do not depend
+    on partitioning or retries.  The bandit state is a handful of arms: when
+    it has at most ``MAX_INLINE_ARMS`` rows it is read once and shipped
+    inside the UDF (checked size); a larger state is packed into one array
+    row joined to every request (exact, slower).  ``deterministic=True``
+    ranks arms by posterior mean α/(α+β) as a JVM expression instead.
     """
+    hint = F.col(hint_col) if hint_col in requests.columns else F.lit(None).cast("string")
+    key = F.xxhash64(F.col("request_id"), F.lit(seed))
+    if not deterministic:
+        small = state.select("arm_order", "arm", "alpha", "beta").limit(MAX_INLINE_ARMS + 1).collect()
+        if len(small) <= MAX_INLINE_ARMS:
+            st = sorted((int(r.arm_order), r.arm, float(r.alpha), float(r.beta)) for r in small)
+            return requests.select(*requests.columns, F.coalesce(hint, _thompson_const_udf(st)(key)).alias("arm"))
     arms = state.select(F.array_sort(F.collect_list(F.struct("arm_order", "arm", "alpha", "beta"))).alias("_arms"))
     x = requests.crossJoin(F.broadcast(arms))
     if deterministic:
@@ -142,8 +165,7 @@ def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: s
             (a["alpha"] / (a["alpha"] + a["beta"])).alias("m"), (-a["arm_order"]).alias("o"), a["arm"].alias("arm")))
         sampled = F.array_max(scored)["arm"]
     else:
-        sampled = _thompson_udf(F.xxhash64(F.col("request_id"), F.lit(seed)), F.col("_arms"))
-    hint = F.col(hint_col) if hint_col in requests.columns else F.lit(None).cast("string")
+        sampled = _thompson_udf(key, F.col("_arms"))
     return x.select(*requests.columns, F.coalesce(hint, sampled).alias("arm"))
 
 
