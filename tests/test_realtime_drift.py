@@ -111,3 +111,17 @@ def test_accuracy_and_alerts(spark):
     assert not row.select(D.alert_decision(F.col("d"), F.col("r"), F.col("r")).alias("a")).collect()[0].a
     missing = D.compare_performance(ref.select("target"), cur).collect()[0]
     assert missing.accuracy_reference == 0.0
+
+
+def test_split_variants_equal_two_frame_forms(spark):
+    rng = np.random.default_rng(4)
+    rows = [(bool(i % 3 == 0), float(np.round(rng.normal(i % 5, 1), 2)), int(rng.integers(0, 4)),
+             ["x", "y", "z"][i % 3 if i % 2 else 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "is_ref boolean, a double, b long, c string")
+    ref, cur = df.where("is_ref"), df.where("NOT is_ref")
+    two = {r.column: r.score for r in D.mean_shift_scores(ref, cur, ["a", "b"]).collect()}
+    one = {r.column: r.score for r in D.mean_shift_scores_split(df, F.col("is_ref"), ["a", "b"]).collect()}
+    assert two == pytest.approx(one)
+    t2 = {r.column: r.statistic for r in D.distribution_tests(ref, cur, ["a", "b", "c"]).collect()}
+    t1 = {r.column: r.statistic for r in D.distribution_tests_split(df, F.col("is_ref"), ["a", "b", "c"]).collect()}
+    assert t2 == pytest.approx(t1) and set(t1) == {"a", "b", "c"}

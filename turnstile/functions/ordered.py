@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from turnstile.session import reuse
 
-# Buckets per factor of two; a bucket spans 2**(1/256) ≈ 0.27 % of its value.
-PER_OCTAVE = 256
+# Buckets per factor of two; a bucket spans 2**(1/65536) ≈ 0.001 % of its
+# value.  Only populated buckets exist in the bucket table, and even values
+# spread uniformly over a 60-bit range leave under one row in 2**17 per
+# bucket, so no finishing window sees more than a sliver of a group.
+PER_OCTAVE = 65536
 # Larger than |floor(log2(x) * PER_OCTAVE)| for every finite double.
 _OFFSET = 1100 * PER_OCTAVE
 _NAN_BUCKET = 2 * _OFFSET + 1

@@ -51,6 +51,16 @@ def _moments(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     return r.crossJoin(k)
 
 
+def _moments_split(df: DataFrame, is_ref: Column, cols: list[str]) -> DataFrame:
+    """``_moments`` for two sides of one table in a single aggregate pass;
+    ``is_ref`` true → reference row, false → current row, null → neither."""
+    ref, cur = F.coalesce(is_ref, F.lit(False)), F.coalesce(~is_ref, F.lit(False))
+    return df.agg(F.count_if(ref).alias("_rn"), F.count_if(cur).alias("_cn"),
+                  *[F.avg(F.when(ref, F.col(c).cast("double"))).alias(f"rm_{c}") for c in cols],
+                  *[F.stddev_samp(F.when(ref, F.col(c).cast("double"))).alias(f"rs_{c}") for c in cols],
+                  *[F.avg(F.when(cur, F.col(c).cast("double"))).alias(f"cm_{c}") for c in cols])
+
+
 def _score(c: str) -> Column:
     rs = F.col(f"rs_{c}")
     std = F.when(rs.isNull() | (rs == 0) | F.isnan(rs), F.lit(1.0)).otherwise(rs)
@@ -65,12 +75,26 @@ def mean_shift_scores(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     if not cols:
         return ref.sparkSession.createDataFrame(
             [], "column string, ref_mean double, cur_mean double, ref_std double, score double")
-    one = _moments(ref, cur, cols)
+    return _scores_long(_moments(ref, cur, cols), cols)
+
+
+def _scores_long(one: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"rm_{c}").alias("ref_mean"), F.col(f"cm_{c}").alias("cur_mean"),
                  F.col(f"rs_{c}").alias("ref_std"), _score(c).alias("score")) for c in cols])))
 
 
+def mean_shift_scores_split(df: DataFrame, is_ref: Column, cols) -> DataFrame:
+    """F1 per column for two sides of one table (one pass)."""
+    return _scores_long(_moments_split(df, is_ref, list(cols)), list(cols))
+
+
+def mean_shift_drift_split(df: DataFrame, is_ref: Column, cols, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """F1 summary for two sides of one table (one pass)."""
+    cols = list(cols)
+    return _summary_from(_moments_split(df, is_ref, cols), cols, threshold).drop("_rn", "_cn")
+
+
 def _summary_from(one: DataFrame, cols: list[str], threshold: float) -> DataFrame:
     """Overall score, flag and score map as expressions over the moments row
     (no second aggregation, so each side is read once)."""
@@ -136,30 +160,16 @@ def _ks_critical(n: Column, m: Column, alpha: float = KS_ALPHA) -> Column:
     return F.lit(c) * F.sqrt((n + m) / (n * m))
 
 
-def distribution_tests(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
-    """F4 per column: numeric → two-sample KS statistic vs its 5 % critical
-    value; string → Jensen-Shannon distance (base 2) vs 0.1.
+def _stack_values(df: DataFrame, num: list[str], cat: list[str], rc: Column, cc: Column) -> DataFrame:
+    items = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"),
+                      F.lit(None).cast("string").alias("s")) for c in num]
+    items += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("v"),
+                       F.col(c).alias("s")) for c in cat]
+    return df.select(rc.alias("rc"), cc.alias("cc"), F.inline(F.array(*items)))
 
-    Long format: (column, kind, statistic, threshold, drifted).  Each side
-    is read once: numeric and string columns are stacked into one long
-    (column, value) frame and counted per distinct value; those counts are
-    materialised once and feed both tests.  The KS CDFs come from a
-    two-level running total (no single-task window, however skewed a value).
-    """
-    num = common_numeric(ref, cur, cols)
-    cat = [c for c, t in ref.dtypes if t == "string" and c in cur.columns and (cols is None or c in cols)]
-    if not num and not cat:
-        return ref.sparkSession.createDataFrame(
-            [], "column string, kind string, statistic double, threshold double, drifted boolean")
-
-    def side(df, rc, cc):
-        items = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"),
-                          F.lit(None).cast("string").alias("s")) for c in num]
-        items += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("v"),
-                           F.col(c).alias("s")) for c in cat]
-        return df.select(F.inline(F.array(*items))).select("*", F.lit(rc).alias("rc"), F.lit(cc).alias("cc"))
-    counts = reuse(side(ref, 1, 0).unionByName(side(cur, 0, 1))
-                   .where(F.col("s").isNotNull() | F.col("v").isNotNull() | F.col("column").isin(*cat))
+
+def _tests_from_stack(stacked: DataFrame, num: list[str], cat: list[str]) -> DataFrame:
+    counts = reuse(stacked.where(F.col("s").isNotNull() | F.col("v").isNotNull() | F.col("column").isin(*cat))
                    .groupBy("column", "v", "s").agg(F.sum("rc").alias("rc"), F.sum("cc").alias("cc")))
     sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
     parts = []
@@ -186,9 +196,44 @@ def distribution_tests(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     return out.withColumn("drifted", F.col("statistic") > F.col("threshold"))
 
 
-def drifted_share(ref: DataFrame, cur: DataFrame, cols=None, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """F4 summary: share of drifted columns as the drift score."""
-    t = distribution_tests(ref, cur, cols)
+_EMPTY_TESTS = "column string, kind string, statistic double, threshold double, drifted boolean"
+
+
+def distribution_tests(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
+    """F4 per column: numeric → two-sample KS statistic vs its 5 % critical
+    value; string → Jensen-Shannon distance (base 2) vs 0.1.
+
+    Long format: (column, kind, statistic, threshold, drifted).  Each side
+    is read once: numeric and string columns are stacked into one long
+    (column, value) frame and counted per distinct value; those counts are
+    materialised once and feed both tests.  The KS CDFs come from a
+    two-level running total (no single-task window, however skewed a value).
+    """
+    num = common_numeric(ref, cur, cols)
+    cat = [c for c, t in ref.dtypes if t == "string" and c in cur.columns and (cols is None or c in cols)]
+    if not num and not cat:
+        return ref.sparkSession.createDataFrame([], _EMPTY_TESTS)
+    stacked = _stack_values(ref, num, cat, F.lit(1), F.lit(0)).unionByName(
+        _stack_values(cur, num, cat, F.lit(0), F.lit(1)))
+    return _tests_from_stack(stacked, num, cat)
+
+
+def distribution_tests_split(df: DataFrame, is_ref: Column, cols) -> DataFrame:
+    """F4 for two sides of one table, in one pass over it."""
+    num = [c for c in cols if c in numeric_columns(df)]
+    cat = [c for c, t in df.dtypes if t == "string" and c in cols]
+    if not num and not cat:
+        return df.sparkSession.createDataFrame([], _EMPTY_TESTS)
+    d = df.where(is_ref.isNotNull())
+    stacked = _stack_values(d, num, cat, F.when(is_ref, 1).otherwise(0), F.when(is_ref, 0).otherwise(1))
+    return _tests_from_stack(stacked, num, cat)
+
+
+def drifted_share(ref: DataFrame, cur: DataFrame, cols=None, threshold: float = DRIFT_THRESHOLD,
+                  tests: DataFrame | None = None) -> DataFrame:
+    """F4 summary: share of drifted columns as the drift score (``tests``
+    may be passed in, e.g. from ``distribution_tests_split``)."""
+    t = tests if tests is not None else distribution_tests(ref, cur, cols)
     one = t.agg(F.count(F.lit(1)).alias("n_columns"), F.count_if("drifted").alias("n_drifted"))
     score = F.coalesce(F.try_divide(F.col("n_drifted"), F.col("n_columns")), F.lit(0.0))
     return one.select("n_columns", "n_drifted", score.alias("drift_score"),

@@ -25,13 +25,23 @@ DRIFT_COLS = ["quantity", "ticket_price", "total_amount"]
 
 
 def _txn_sides(spark, d, enrich=False):
-    t = V.txns(spark, d)
-    if enrich:
-        t = M.enrich_transactions(t, V.ticket_events(spark, d), V.users(spark, d))
+    t = _txn_table(spark, d, enrich)
     cut = F.lit(SPLIT_TXNS).cast("timestamp_ntz")
     return t.where(F.col("event_timestamp") < cut), t.where(F.col("event_timestamp") >= cut)
 
 
+def _txn_table(spark, d, enrich=False):
+    t = V.txns(spark, d)
+    if enrich:
+        t = t.join(V.users(spark, d).select("user_id", "loyalty_tier"), "user_id", "left")
+    return t
+
+
+def _is_ref_txn():
+    """Reference side = transactions before the split date (one pass over the table)."""
+    return F.col("event_timestamp") < F.lit(SPLIT_TXNS).cast("timestamp_ntz")
+
+
 def _log_sides(spark, d):
     log = V.request_log(spark, d)
     cut = F.lit(SPLIT_LOG).cast("timestamp_ntz")
@@ -59,7 +69,7 @@ ms AS ({rows})"""
 register("f1_mean_shift_scores", with_views(SQL_SIDES + ",\n" + _sql_mean_shift(DRIFT_COLS) + """
 SELECT "column", round(ref_mean, 4) AS ref_mean, round(cur_mean, 4) AS cur_mean, round(ref_std, 4) AS ref_std,
        round(score, 4) AS score FROM ms""", "txns"))(
-    lambda spark, d: round_doubles(D.mean_shift_scores(*_txn_sides(spark, d), DRIFT_COLS)))
+    lambda spark, d: round_doubles(D.mean_shift_scores_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS)))
 
 SQL_F1_SUMMARY = with_views(SQL_SIDES + ",\n" + _sql_mean_shift(DRIFT_COLS) + """,
 s AS (SELECT coalesce(avg(score), 0.0) AS drift_score, count(*) AS n_columns FROM ms)
@@ -68,13 +78,14 @@ SELECT round(drift_score, 4) AS drift_score, n_columns, drift_score >= 0.3 AS dr
 
 @register("f1_mean_shift_drift", SQL_F1_SUMMARY)
 def q_f1_summary(spark, d):
-    return round_doubles(D.mean_shift_drift(*_txn_sides(spark, d), DRIFT_COLS).drop("column_scores"))
+    return round_doubles(D.mean_shift_drift_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS)
+                         .drop("column_scores"))
 
 
 # ------------------------------------------------------------------ F2
 register("f2_drift_decision", with_views(SQL_SIDES + ",\n" + _sql_mean_shift(DRIFT_COLS) + """
 SELECT "column", round(score, 4) AS score, score >= 0.3 AS drift_detected FROM ms""", "txns"))(
-    lambda spark, d: round_doubles(D.mean_shift_scores(*_txn_sides(spark, d), DRIFT_COLS).select(
+    lambda spark, d: round_doubles(D.mean_shift_scores_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS).select(
         "column", "score", D.drift_decision(F.col("score")).alias("drift_detected"))))
 
 # ------------------------------------------------------------------ F3
@@ -121,8 +132,8 @@ SELECT col AS "column", kind, round(statistic, 4) AS statistic, round(threshold,
        statistic > threshold AS drifted FROM t""", "txns", "users")
 
 register("f4_distribution_tests", SQL_F4)(
-    lambda spark, d: round_doubles(D.distribution_tests(*_txn_sides(spark, d, enrich=True),
-                                                        DRIFT_COLS + ["loyalty_tier"])))
+    lambda spark, d: round_doubles(D.distribution_tests_split(_txn_table(spark, d, enrich=True), _is_ref_txn(),
+                                                              DRIFT_COLS + ["loyalty_tier"])))
 
 
 @register("f4_drifted_share", SQL_F4.replace(
@@ -132,7 +143,8 @@ register("f4_distribution_tests", SQL_F4)(
     "       round(coalesce(count(*) FILTER (WHERE statistic > threshold) / count(*), 0.0), 4) AS drift_score,\n"
     "       coalesce(count(*) FILTER (WHERE statistic > threshold) / count(*), 0.0) >= 0.3 AS drift_detected FROM t"))
 def q_drifted_share(spark, d):
-    return round_doubles(D.drifted_share(*_txn_sides(spark, d, enrich=True), DRIFT_COLS + ["loyalty_tier"]))
+    tests = D.distribution_tests_split(_txn_table(spark, d, enrich=True), _is_ref_txn(), DRIFT_COLS + ["loyalty_tier"])
+    return round_doubles(D.drifted_share(None, None, tests=tests))
 
 
 # ------------------------------------------------------------------ F5 / F6
@@ -165,7 +177,7 @@ SELECT round(drift_score, 4) AS drift_score, round(pr, 4) AS accuracy_reference,
        drift_score >= 0.3 OR coalesce(CASE WHEN pr > 0 THEN (pr - pc) / pr END >= 0.1, false) AS alert
 FROM s, a, b""", "txns", "request_log"))
 def q_alert(spark, d):
-    s = D.mean_shift_drift(*_txn_sides(spark, d), DRIFT_COLS).select("drift_score")
+    s = D.mean_shift_drift_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS).select("drift_score")
     p = D.compare_performance(*_log_sides(spark, d), "is_fraud", "blocked")
     j = s.crossJoin(p)
     return round_doubles(j.withColumn("alert", D.alert_decision(
@@ -177,12 +189,13 @@ register("f8_drift_metrics", with_views(SQL_SIDES + ",\n" + _sql_mean_shift(DRIF
 s AS (SELECT coalesce(avg(score), 0.0) AS drift_score FROM ms)
 SELECT 'ml_data_drift_score' AS metric, round(drift_score, 4) AS value FROM s
 UNION ALL SELECT 'ml_drift_detected', CASE WHEN drift_score >= 0.3 THEN 1.0 ELSE 0.0 END FROM s""", "txns"))(
-    lambda spark, d: round_doubles(D.drift_metrics(D.mean_shift_drift(*_txn_sides(spark, d), DRIFT_COLS))))
+    lambda spark, d: round_doubles(D.drift_metrics(D.mean_shift_drift_split(_txn_table(spark, d), _is_ref_txn(),
+                                                                            DRIFT_COLS))))
 
 
 # ------------------------------------------------------------------ F9 / F11
 def _write_summary(spark, d):
-    summary = D.mean_shift_drift(*_txn_sides(spark, d), DRIFT_COLS)
+    summary = D.mean_shift_drift_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS)
     run_ts = V.table(spark, d, "orders").agg(F.max("o_orderdate").alias("run_ts"))
     rec = D.drift_summary_record(summary.crossJoin(run_ts), F.col("run_ts"))
     return D.write_drift_summary(rec, scratch_path(spark, "drift_summary") + "/h")
@@ -223,7 +236,7 @@ SELECT round(drift_score, 4) AS drift_score, 0.3::DOUBLE AS drift_threshold, dri
        CASE WHEN drift_score >= 0.3 THEN 'trigger_retraining' ELSE 'skip_retraining' END AS action,
        n_columns, drift_score >= 0.3 AS drift_detected FROM s""", "txns"))(
     lambda spark, d: round_doubles(D.retrain_decision(
-        D.mean_shift_drift(*_txn_sides(spark, d), DRIFT_COLS).drop("column_scores"))))
+        D.mean_shift_drift_split(_txn_table(spark, d), _is_ref_txn(), DRIFT_COLS).drop("column_scores"))))
 
 # ------------------------------------------------------------------ F12
 _C1_SQL = """cur AS (
