@@ -64,3 +64,13 @@ def test_all_registered_queries_run_on_smoke_data(spark, sf_dir):
             continue
         df = fn(spark, sf_dir)
         df.limit(1).collect()
+
+
+def test_require_columns_and_resolve_source(spark, sf_dir):
+    raw = spark.createDataFrame([(1, 2)], "user_id long, event_id long")
+    assert A.require_columns(raw) == (False, ["total_amount"])
+    assert [r.present for r in A.schema_gate(spark, raw).collect()] == [True, True, False]
+    cfg = A.SourceConfig(local_root=sf_dir)
+    assert A.resolve_source(spark, cfg, "region").count() == 5
+    with pytest.raises(ValueError):
+        A.resolve_source(spark, A.SourceConfig(environment="production", offline_store="file"), "region")

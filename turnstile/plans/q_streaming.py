@@ -154,3 +154,17 @@ def q_stream_arms(spark, d):
     ch = spark.read.parquet(out)
     latest = ch.groupBy("arm").agg(F.max_by(F.struct("alpha", "beta"), F.col("batch_id")).alias("r"))
     return round_doubles(latest.select("arm", "r.alpha", "r.beta"))
+
+
+@register("c5_daily_mean_amount", with_views("""
+WITH m AS (SELECT max("timestamp") AS mx FROM raw_events),
+w AS (SELECT make_timestamp(CAST(floor(epoch_us("timestamp") / 86400000000) * 86400000000 AS BIGINT)) AS ws,
+             user_id, CAST(round(coalesce(total_amount, 0.0) * 100) AS BIGINT) AS c FROM raw_events)
+SELECT ws AS window_start, user_id, round(sum(c) / 100.0 / count(*), 4) AS user_avg_amount_24h
+FROM w, m WHERE ws + INTERVAL 1 DAY <= mx - INTERVAL 10 MINUTE GROUP BY ws, user_id""", "raw_events"))
+def q_daily_mean(spark, d):
+    out, ck = _dirs(spark, "daily_mean")
+    J.run_until_done(J.write_to_table(J.daily_mean_amount(_raw_stream(spark, d)), out, ck, mode="append"))
+    r = spark.read.parquet(out)
+    return round_doubles(r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id",
+                                  "user_avg_amount_24h"))

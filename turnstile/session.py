@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,11 +66,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint root."""
+    """A fresh sub-folder of the shared checkpoint root (local paths are
+    created; remote URIs get a unique name and are created by the writer)."""
     root = checkpoint_root(spark)
-    sub = tempfile.mkdtemp(prefix=f"{name}-", dir=root) if root.startswith("/") else \
-        f"{root}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    return sub
+    local = root[len("file:"):] if root.startswith("file:") else root
+    if local.startswith("/"):
+        os.makedirs(local, exist_ok=True)
+        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def reuse(df):
