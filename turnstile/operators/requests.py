@@ -202,19 +202,25 @@ def latency_histogram(log: DataFrame, bins: int = 50, col: str = "latency_ms") -
 
 
 # ---------------------------------------------------------------- I12 / I13
-def request_rate(log: DataFrame, window: str = "5 minutes", by=("service",), ts: str = "ts") -> DataFrame:
-    """Per-second request rate per tumbling window and key."""
-    g = log.groupBy(F.window(F.col(ts), window).alias("w"), *by).agg(F.count(F.lit(1)).alias("requests"))
+def _win(ts: str, window: str, slide: str | None):
+    return F.window(F.col(ts), window, slide) if slide else F.window(F.col(ts), window)
+
+
+def request_rate(log: DataFrame, window: str = "5 minutes", by=("service",), ts: str = "ts",
+                 slide: str | None = None) -> DataFrame:
+    """Per-second request rate per window and key (tumbling, or
+    sliding with ``slide`` like a range rate evaluated every step)."""
+    g = log.groupBy(_win(ts, window, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("requests"))
     span = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1e6
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
                     "requests", (F.col("requests") / span).alias("rps"))
 
 
 def error_ratio(log: DataFrame, window: str = "5 minutes", by=("service",), ts: str = "ts",
-                rule: str = "status", alert_above: float = ERROR_RATIO_ALERT) -> DataFrame:
+                rule: str = "status", alert_above: float = ERROR_RATIO_ALERT, slide: str | None = None) -> DataFrame:
     """Errors / requests per window and key; alert when > 1 %."""
     err = is_error(log, rule)
-    g = log.groupBy(F.window(F.col(ts), window).alias("w"), *by).agg(
+    g = log.groupBy(_win(ts, window, slide).alias("w"), *by).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(err).alias("errors"))
     ratio = F.col("errors") / F.col("requests")
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,

@@ -96,10 +96,12 @@ def sample_params(trials: int = N_TRIALS, seed: int = SPLIT_SEED) -> list[dict]:
 
 
 def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LABEL_COLUMN,
-                   trials: int = N_TRIALS, seed: int = SPLIT_SEED):
+                   trials: int = N_TRIALS, seed: int = SPLIT_SEED, parallelism: int = 1):
     """Random search maximising validation AUC over GBT settings; the
     best setting is refit on the training split.  Each trial is a
-    distributed fit; only the small parameter list lives on the driver.
+    distributed fit; ``parallelism`` trials run concurrently (as
+    ``TrainValidationSplit(parallelism=…)`` does); only the small parameter
+    list lives on the driver.
 
     Returns (best_model, trials_df) where trials_df lists params and AUC.
     """
@@ -111,16 +113,24 @@ def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LA
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     tr = train.select(*features, F.col(label).cast("double").alias("_label"))
     va = valid.select(*features, F.col(label).cast("double").alias("_label"))
-    rows, best = [], None
-    for i, p in enumerate(sample_params(trials, seed)):
+    def trial(i_p):
+        i, p = i_p
         gbt = GBTClassifier(featuresCol="_features", labelCol="_label", seed=seed, **p)
         model = Pipeline(stages=[asm, gbt]).fit(tr)
         ev = evaluate_scores(score_batch(va, model), label="_label", score="fraud_score").first()
         auc = float(ev["auc"]) if ev["auc"] is not None else 0.0
-        rows.append((i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"],
-                     p["featureSubsetStrategy"], auc, float(ev["accuracy"])))
-        if best is None or auc > best[0]:
-            best = (auc, p)
+        return (i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"],
+                p["featureSubsetStrategy"], auc, float(ev["accuracy"]))
+
+    points = list(enumerate(sample_params(trials, seed)))
+    if parallelism > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            rows = list(pool.map(trial, points))
+    else:
+        rows = [trial(x) for x in points]
+    best_i = max(rows, key=lambda r: (r[6], -r[0]))[0]  # best AUC, earliest trial on ties
+    best = (rows[best_i][6], points[best_i][1])
     gbt = GBTClassifier(featuresCol="_features", labelCol="_label", seed=seed, **best[1])
     final = Pipeline(stages=[asm, gbt]).fit(tr)
     trials_df = spark.createDataFrame(rows, "trial int, max_depth int, learning_rate double, n_estimators int, "

@@ -56,7 +56,8 @@ FEATURES = ["lifetime_purchases", "fraud_risk_score"]
 @register("g3_tune_and_train")
 def q_tune(spark, d):
     df = G.stratified_split(_training_frame(spark, d), G.LABEL_COLUMN, "user_id")
-    _, trials = G.tune_and_train(df.where("split = 'train'"), df.where("split = 'valid'"), FEATURES, trials=3)
+    _, trials = G.tune_and_train(df.where("split = 'train'"), df.where("split = 'valid'"), FEATURES, trials=3,
+                                 parallelism=3)
     return trials
 
 

@@ -309,3 +309,13 @@ def q_combine(spark, d):
     runs = {"first_half": log.where(F.col("ts") < cut),
             "second_half": log.where(F.col("ts") >= cut).drop("error", "timed_out")}
     return round_doubles(I.error_rate(I.combine_runs(runs), by=["run"]))
+
+
+register("i12_request_rate_sliding", with_views("""
+WITH w AS (SELECT service,
+                  make_timestamp(CAST((floor(epoch_us(ts) / 60000000) - i) * 60000000 AS BIGINT)) AS ws
+           FROM request_log, range(0, 5) t(i))
+SELECT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end, service, count(*) AS requests,
+       round(count(*) / 300.0, 4) AS rps
+FROM w GROUP BY ws, service""", LOG))(
+    lambda spark, d: round_doubles(I.request_rate(_log(spark, d), slide="1 minute")))

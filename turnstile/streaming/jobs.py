@@ -35,7 +35,6 @@ _PARSE_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("_corrupt_record
 TOPIC = "raw.transactions"
 MAX_EVENT_IDS_PER_USER = 5000
 PUSH_INTERVAL = "30 seconds"
-FLUSH_RECORDS = 500
 REQUIRED_KEYS = ("user_id", "event_id", "total_amount", "timestamp")
 
 
