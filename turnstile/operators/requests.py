@@ -240,9 +240,8 @@ def latency_buckets(log: DataFrame, by=("service",), col: str = "latency_ms",
                  reversed(list(enumerate(finite))), F.lit(len(finite)))
     counts = reuse(log.where(F.col(col).isNotNull()).groupBy(*by, idx.alias("_b"))
                    .agg(F.count(F.lit(1)).alias("_c")))
-    les = log.sparkSession.createDataFrame([(i, float(b)) for i, b in enumerate(bounds)], "_b int, le double")
-    keys = counts.select(*by).distinct()
-    grid = keys.crossJoin(F.broadcast(les))  # keys × ~15 bucket bounds
+    les = F.array(*[F.struct(F.lit(i).alias("_b"), F.lit(float(b)).alias("le")) for i, b in enumerate(bounds)])
+    grid = counts.select(*by).distinct().select(*by, F.inline(les))  # every key × the fixed bucket bounds
     j = grid.join(counts, [*by, "_b"], "left").fillna(0, subset=["_c"])
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*by, "le", F.sum("_c").over(w).alias("count"), "_b")
