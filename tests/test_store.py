@@ -79,3 +79,14 @@ def test_online_lookup_and_feature_frame(spark):
     got = {r.request_id: r for r in S.build_feature_frame(feats.withColumnRenamed("v__f", "f"), ["f", "g"]).collect()}
     assert got[1].f == 9.0 and got[1].g == 0.0
     assert got[2].f is None and got[2].g == 0.0
+
+
+def test_historical_features_multiple_views(spark):
+    v2 = S.FeatureView("w", ("user_id",), 86400, (("g", "double"),))
+    f1 = spark.createDataFrame([(1, T0, T0, 1.0)], "user_id long, event_timestamp timestamp_ntz, ingested_at timestamp_ntz, f double")
+    f2 = spark.createDataFrame([(1, T0 + dt.timedelta(hours=5), 7.0)], "user_id long, event_timestamp timestamp_ntz, g double")
+    ent = spark.createDataFrame([(1, T0 + dt.timedelta(hours=1)), (1, T0 + dt.timedelta(hours=6))],
+                                "user_id long, event_timestamp timestamp_ntz")
+    out = S.historical_features(ent, {VIEW: f1, v2: f2}, ["v:f", "w:g"], full_feature_names=True)
+    got = sorted((r.event_timestamp, r.v__f, r.w__g) for r in out.collect())
+    assert got == [(T0 + dt.timedelta(hours=1), 1.0, None), (T0 + dt.timedelta(hours=6), None, 7.0)]

@@ -153,6 +153,27 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
     return res.select(*[F.col(f"_pit_e.{c}").alias(c) for c in entity_df.columns], *fcols)
 
 
+def historical_features(entity_df: DataFrame, sources: dict[FeatureView, DataFrame], refs,
+                        entity_ts: str = "event_timestamp", full_feature_names: bool = False,
+                        bucket_seconds: int = 86400) -> DataFrame:
+    """D2 over several views: ``refs`` are ``view:feature`` strings.  One
+    point-in-time join per view, chained — entity rows pass through each
+    join unchanged, so no row id is needed.  Columns are the feature names,
+    or ``view__feature`` with ``full_feature_names``."""
+    by_view: dict[str, list[str]] = {}
+    for r in refs:
+        v, f = r.split(":", 1)
+        by_view.setdefault(v, []).append(f)
+    out = entity_df
+    for view, feats_df in sources.items():
+        if view.name not in by_view:
+            continue
+        out = get_historical_features(out, feats_df, view, entity_ts=entity_ts, features=by_view[view.name],
+                                      bucket_seconds=bucket_seconds,
+                                      prefix=f"{view.name}__" if full_feature_names else "")
+    return out
+
+
 # ---------------------------------------------------------------- D3
 def materialize(view_df: DataFrame, view: FeatureView, start=None, end=None) -> DataFrame:
     """D3: latest row per entity among rows with start <= ts <= end.

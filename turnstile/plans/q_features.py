@@ -302,3 +302,25 @@ FROM events""")(
     lambda spark, d: round_doubles(Q.validate_requests(V.table(spark, d, "events").select(
         F.col("event_id").alias("request_id"), (F.col("value") - 20).alias("amount"),
         (F.col("value") / 300).alias("fraud_score")))))
+
+
+@register("d2_historical_features_multi", with_views(SQL_USER_DAILY + """,
+e AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate AS event_timestamp FROM orders),
+a AS (SELECT e.*, CASE WHEN f.event_timestamp >= e.event_timestamp - INTERVAL 90 DAY THEN f.user_txn_count END
+             AS user_daily_purchases__user_txn_count
+      FROM e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.event_timestamp >= f.event_timestamp)
+SELECT a.o_orderkey, a.user_id, a.event_timestamp, a.user_daily_purchases__user_txn_count,
+       CASE WHEN u.event_timestamp >= a.event_timestamp - INTERVAL 365 DAY THEN u.lifetime_purchases END
+         AS user_purchase_behavior__lifetime_purchases,
+       CASE WHEN u.event_timestamp >= a.event_timestamp - INTERVAL 365 DAY THEN u.preferred_category END
+         AS user_purchase_behavior__preferred_category
+FROM a ASOF LEFT JOIN user_metrics u ON a.user_id = u.user_id AND a.event_timestamp >= u.event_timestamp""",
+    "txns", "ticket_events", "users", "user_metrics"))
+def q_historical_multi(spark, d):
+    ent = V.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"),
+                                              F.col("o_orderdate").alias("event_timestamp"))
+    um = M.user_metrics(V.users(spark, d), V.txns(spark, d), V.ticket_events(spark, d), sort=False)
+    return S.historical_features(
+        ent, {USER_DAILY: user_daily_features(spark, d), S.USER_PURCHASE: um},
+        ["user_daily_purchases:user_txn_count", "user_purchase_behavior:lifetime_purchases",
+         "user_purchase_behavior:preferred_category"], full_feature_names=True, bucket_seconds=30 * 86400)
