@@ -71,3 +71,14 @@ def test_land_stream_partitions_by_row_date(spark, sf_dir):
     assert landed.count() == V.raw_events(spark, sf_dir).count()
     assert landed.where(F.to_date("timestamp") != F.col("dt")).count() == 0
     assert any(n.startswith("dt=") for n in os.listdir(out))
+
+
+def test_online_changelog_compaction(spark):
+    root = _dir("changelog")
+    J.write_online_batch(spark.createDataFrame([(1, 1.0), (2, 2.0)], "user_id long, f double"), 0, root)
+    J.write_online_batch(spark.createDataFrame([(1, 5.0)], "user_id long, f double"), 1, root)
+    J.write_online_batch(spark.createDataFrame([(1, 5.0)], "user_id long, f double"), 1, root)  # replayed batch
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 5.0, 2: 2.0}
+    J.compact_online(spark, root)
+    J.write_online_batch(spark.createDataFrame([(2, 9.0)], "user_id long, f double"), 2, root)
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 5.0, 2: 9.0}

@@ -223,10 +223,14 @@ def get_online_features(entities: DataFrame, snapshots: dict[FeatureView, DataFr
             continue
         feats = by_view[view.name]
         keys = [k for k in view.entities if k in entities.columns]
-        side = snap.select(*keys, *[F.col(f).alias(f"{view.name}__{f}") for f in feats])
         if len(keys) < len(view.entities):
-            # Pick one row per available key deterministically (latest by name order of remaining keys).
-            side = side.groupBy(*keys).agg(*[F.max(f"{view.name}__{f}").alias(f"{view.name}__{f}") for f in feats])
+            # Keys missing from the request (e.g. promoter for an event) are
+            # resolved through the snapshot: the latest whole row per
+            # available key, never values mixed from different rows.
+            order = F.struct(*[F.col(c) for c in (view.timestamp, *[k for k in view.entities if k not in keys])
+                               if c in snap.columns])
+            snap = snap.groupBy(*keys).agg(F.max_by(F.struct(*feats), order).alias("_r")).select(*keys, "_r.*")
+        side = snap.select(*keys, *[F.col(f).alias(f"{view.name}__{f}") for f in feats])
         out = out.join(side, keys, "left")
     return out
 

@@ -183,19 +183,40 @@ def write_online_batch(batch: DataFrame, batch_id: int, root: str, keys=("user_i
          .write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
 
 
-def read_online(spark: SparkSession, root: str, keys=("user_id",)) -> DataFrame:
-    """Current online snapshot: latest row per key across the changelog."""
+def _online_rows(spark: SparkSession, root: str) -> DataFrame:
+    import os
     ch = spark.read.parquet(f"{root}/changes")
-    others = [c for c in ch.columns if c not in keys]
-    return ch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_r")) \
-             .select(*keys, "_r.*").drop("batch_id")
+    base_path = f"{root}/base"
+    local = base_path[len("file:"):] if base_path.startswith("file:") else base_path
+    if (not local.startswith("/")) or os.path.exists(local):
+        try:
+            ch = spark.read.parquet(base_path).unionByName(ch, allowMissingColumns=True)
+        except Exception:  # noqa: BLE001 — no compacted base yet
+            pass
+    return ch
+
+
+def read_online(spark: SparkSession, root: str, keys=("user_id",)) -> DataFrame:
+    """Current online snapshot: latest row per key over the compacted base
+    and the changelog (by batch id)."""
+    rows = _online_rows(spark, root)
+    others = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_r")) \
+               .select(*keys, "_r.*")
 
 
 def compact_online(spark: SparkSession, root: str, keys=("user_id",)) -> str:
-    """Fold the changelog into a base snapshot (run periodically, offline)."""
-    out = f"{root}/base"
-    read_online(spark, root, keys).write.mode("overwrite").parquet(out)
-    return out
+    """Fold base + changelog into a new base (run periodically, offline).
+    Rows keep their batch id, so change folders at or below the newest
+    folded batch can then be removed by retention."""
+    rows = _online_rows(spark, root)
+    others = [c for c in rows.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_r")) \
+                 .select(*keys, "_r.*")
+    tmp = f"{root}/base_next"
+    latest.write.mode("overwrite").parquet(tmp)
+    spark.read.parquet(tmp).write.mode("overwrite").parquet(f"{root}/base")
+    return f"{root}/base"
 
 
 def publish_user_features(aggregates: DataFrame, root: str, checkpoint: str,
