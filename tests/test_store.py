@@ -90,3 +90,12 @@ def test_historical_features_multiple_views(spark):
     out = S.historical_features(ent, {VIEW: f1, v2: f2}, ["v:f", "w:g"], full_feature_names=True)
     got = sorted((r.event_timestamp, r.v__f, r.w__g) for r in out.collect())
     assert got == [(T0 + dt.timedelta(hours=1), 1.0, None), (T0 + dt.timedelta(hours=6), None, 7.0)]
+
+
+def test_normalize_matches_python_rule_for_long_hex(spark):
+    M = 2 ** 31 - 1
+    cases = ["evt_" + "f" * 40, "u_0xDEADBEEFCAFEBABE1234", "u_-ff", "user_ 1f", "a_b_c0ffee"]
+    got = dict(spark.createDataFrame([(c,) for c in cases], "s string")
+               .select("s", normalize_entity_id(F.col("s")).alias("k")).collect())
+    for c in cases:
+        assert got[c] == int(c.strip().split("_")[-1], 16) % M

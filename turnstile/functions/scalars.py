@@ -90,25 +90,39 @@ def round4(c) -> Column:
     return fround(c, 4)
 
 
+def hex_mod(digits: Column, modulus: int = INT32_MOD) -> Column:
+    """Exact ``int(digits, 16) % modulus`` for hex strings of any length:
+    fold 7-digit chunks as acc·16^len + chunk (mod m), all in long
+    arithmetic (acc < 2^31, so acc·2^28 + chunk < 2^60)."""
+    chunks = F.regexp_extract_all(digits, F.lit(".{1,7}"), 0)
+    return F.aggregate(chunks, F.lit(0).cast("long"),
+                       lambda acc, x: (acc * F.pow(F.lit(16.0), F.length(x)).cast("long")
+                                       + F.conv(x, 16, 10).cast("long")) % F.lit(modulus))
+
+
 def normalize_entity_id(c) -> Column:
     """Map int / digit strings / ``prefix_123`` / ``prefix_hex`` / other
     strings onto a stable non-negative integer key.
 
     * integers pass through
     * trimmed all-digit strings → that integer
-    * ``x_<digits>`` → the digits; ``x_<hex>`` → hex value mod 2**31-1
+    * ``x_<digits>`` → the digits; ``x_<hex>`` (optional sign / ``0x``, any
+      length) → the hex value mod 2**31-1, exactly as Python's ``int(s, 16)``
     * anything else → first 15 hex digits of md5 mod 2**31-1 (stable across
       processes and engines, unlike a salted string hash)
     """
     s = py_strip(col_(c).cast("string"))
-    suffix = F.substring_index(s, "_", -1)
-    hex_ok = suffix.rlike(r"^(0[xX])?[0-9a-fA-F]+$") & (F.length(F.regexp_replace(suffix, "^0[xX]", "")) <= 15)
-    hex_digits = F.regexp_replace(suffix, "^0[xX]", "")
+    suffix = py_strip(F.substring_index(s, "_", -1))
+    hex_ok = suffix.rlike(r"^[+-]?(0[xX])?[0-9a-fA-F]+$")
+    digits = F.regexp_replace(suffix, r"^[+-]?(0[xX])?", "")
+    v = hex_mod(digits)
+    signed = F.when(suffix.startswith("-"), (F.lit(INT32_MOD) - v) % F.lit(INT32_MOD)).otherwise(v)
     hashed = F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % F.lit(INT32_MOD)
+    raw_suffix = F.substring_index(s, "_", -1)
     return (
         F.when(is_ascii_digits(s), s.try_cast("long"))
-        .when(s.contains("_") & is_ascii_digits(suffix), suffix.try_cast("long"))
-        .when(s.contains("_") & hex_ok, F.conv(hex_digits, 16, 10).cast("long") % F.lit(INT32_MOD))
+        .when(s.contains("_") & is_ascii_digits(raw_suffix), raw_suffix.try_cast("long"))
+        .when(s.contains("_") & hex_ok, signed)
         .otherwise(hashed)
     )
 

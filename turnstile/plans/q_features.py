@@ -194,9 +194,10 @@ def q_online(spark, d):
 SQL_NORMALIZE = """CASE WHEN regexp_matches({s}, '^[0-9]+$') THEN TRY_CAST({s} AS BIGINT)
   WHEN contains({s}, '_') AND regexp_matches(string_split({s}, '_')[-1], '^[0-9]+$')
     THEN TRY_CAST(string_split({s}, '_')[-1] AS BIGINT)
-  WHEN contains({s}, '_') AND regexp_matches(string_split({s}, '_')[-1], '^(0[xX])?[0-9a-fA-F]+$')
-       AND length(regexp_replace(string_split({s}, '_')[-1], '^0[xX]', '')) <= 15
-    THEN ('0x' || regexp_replace(string_split({s}, '_')[-1], '^0[xX]', ''))::BIGINT % 2147483647
+  WHEN contains({s}, '_') AND regexp_matches(trim(string_split({s}, '_')[-1]), '^[+-]?(0[xX])?[0-9a-fA-F]+$')
+    THEN CAST((((CASE WHEN starts_with(trim(string_split({s}, '_')[-1]), '-') THEN -1 ELSE 1 END)
+               * ('0x' || regexp_replace(trim(string_split({s}, '_')[-1]), '^[+-]?(0[xX])?', ''))::HUGEINT)
+              % 2147483647 + 2147483647) % 2147483647 AS BIGINT)
   ELSE ('0x' || substr(md5({s}), 1, 15))::BIGINT % 2147483647 END"""
 
 
