@@ -74,3 +74,19 @@ def test_require_columns_and_resolve_source(spark, sf_dir):
     assert A.resolve_source(spark, cfg, "region").count() == 5
     with pytest.raises(ValueError):
         A.resolve_source(spark, A.SourceConfig(environment="production", offline_store="file"), "region")
+
+
+def _scans(plan, table):
+    return plan.count(f"/{table}.parquet]")
+
+
+def test_scan_once_plans(spark, sf_dir):
+    q = E.queries()
+    b4 = _plan(q["b4_event_metrics"](spark, sf_dir))
+    assert _scans(b4, "lineitem") == 0 and "Scan ExistingRDD" in b4  # reads the checkpointed event table
+    f1 = _plan(q["f1_mean_shift_drift"](spark, sf_dir))
+    assert _scans(f1, "lineitem") == 1 and _scans(f1, "orders") == 1  # both sides in one pass
+    i2 = _plan(q["i2_latency_sla"](spark, sf_dir))
+    assert _scans(i2, "events") == 0  # order statistics read the materialised value counts
+    d2 = q["d2_get_historical_features"](spark, sf_dir)
+    assert "monotonically_increasing_id" not in d2._jdf.queryExecution().optimizedPlan().toString()
