@@ -148,3 +148,15 @@ def test_bandit_update_and_deterministic_draws(spark):
     assert arms.count("aggressive") > 300  # Beta(31, 1) beats Beta(1, 1) almost always
     again = [r.arm for r in H.choose_arm(req, upd, seed=1).collect()]
     assert arms == again
+
+
+def test_register_if_accepted_appends_next_version(spark):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="ts-registry-", dir="/tmp") + "/r"
+    ok = spark.createDataFrame([(0.9, 0.95, True)], "auc double, accuracy double, accepted boolean")
+    bad = spark.createDataFrame([(0.5, 0.5, False)], "auc double, accuracy double, accepted boolean")
+    assert G.register_if_accepted(ok, path, "m") and not G.register_if_accepted(bad, path, "m")
+    assert G.register_if_accepted(ok, path, "m")
+    reg = spark.read.parquet(path)
+    assert sorted(r.version for r in reg.collect()) == ["1", "2"]
+    assert G.select_model_version(reg, "Production").collect()[0].version == "2"

@@ -255,6 +255,25 @@ def select_model_version(registry: DataFrame, stage: str = "Production") -> Data
                        .alias("model_uri"))
 
 
+def register_if_accepted(gate: DataFrame, registry_path: str, name: str, source: str = "pyspark.ml") -> bool:
+    """Append the next version of ``name`` to the registry table when the
+    gate row says accepted (stage empty until promoted).  Returns accepted."""
+    spark = gate.sparkSession
+    row = gate.select("accepted", "auc", "accuracy").first()
+    if not row or not row["accepted"]:
+        return False
+    try:
+        reg = spark.read.parquet(registry_path)
+        nxt = reg.where(F.col("name") == name).agg(F.max(F.col("version").cast("long")).alias("v")).first()["v"]
+    except Exception:  # noqa: BLE001 — first registration
+        nxt = None
+    version = str((nxt or 0) + 1)
+    spark.createDataFrame([(name, version, None, f"auc={row['auc']:.4f};accuracy={row['accuracy']:.4f}", source)],
+                          "name string, version string, stage string, run_id string, source string") \
+         .write.mode("append").parquet(registry_path)
+    return True
+
+
 def list_model_versions(registry: DataFrame) -> DataFrame:
     """Listing: versions sorted numerically descending; a null stage shows as "None"."""
     return registry.select("name", F.col("version").cast("string").alias("version"),

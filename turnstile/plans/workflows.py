@@ -49,7 +49,13 @@ def hourly_features(spark: SparkSession, raw: DataFrame, event_metrics: DataFram
     window = feats.crossJoin(F.broadcast(end)).where(
         F.col("event_timestamp") >= F.col("e") - F.expr("INTERVAL 1 DAY")).drop("e")
     result["online"] = S.materialize(window, S.USER_REALTIME)
-    result["drift"] = D.check_feature_drift(feats, R.reference_features(reference_txns))
+    drift = D.check_feature_drift(feats, R.reference_features(reference_txns))
+    result["drift"] = drift
+    # append the run's summary to the history table P2 reads
+    run_ts = feats.agg(F.max("event_timestamp").alias("run_ts"))
+    result["drift_summary_path"] = D.write_drift_summary(
+        D.drift_summary_record(drift.crossJoin(run_ts), F.col("run_ts"), window_hours=window_hours),
+        f"{out_root}/drift_summary")
     return result
 
 
@@ -70,15 +76,21 @@ def daily_monitoring(spark: SparkSession, summary_path: str | None, predictions:
 
 
 # ---------------------------------------------------------------- P3
-def weekly_training(user_metrics: DataFrame, trials: int = G.N_TRIALS) -> dict:
-    """G1 → G2 → G3 → G4 → G5."""
+def weekly_training(user_metrics: DataFrame, trials: int = G.N_TRIALS, registry_path: str | None = None,
+                    model_name: str = "fraud_detection") -> dict:
+    """G1 → G2 → G3 → G4 → G5; an accepted model is added to the
+    registry table (next version, no stage) when ``registry_path`` is given."""
     frame = G.fraud_training_frame(user_metrics)
     split = G.stratified_split(frame, G.LABEL_COLUMN, "user_id")
     features = ["lifetime_purchases", "fraud_risk_score"]
     train, valid = split.where("split = 'train'"), split.where("split = 'valid'")
     model, trials_df = G.tune_and_train(train, valid, features, trials=trials)
     metrics = G.evaluate_scores(G.score_batch(valid, model), label=G.LABEL_COLUMN, score="fraud_score")
-    return {"model": model, "trials": trials_df, "metrics": metrics, "gate": G.baseline_gate(metrics)}
+    gate = G.baseline_gate(metrics)
+    out = {"model": model, "trials": trials_df, "metrics": metrics, "gate": gate}
+    if registry_path:
+        out["registered"] = G.register_if_accepted(gate, registry_path, model_name)
+    return out
 
 
 # ---------------------------------------------------------------- P4
