@@ -24,12 +24,16 @@ from turnstile.streaming import jobs as J
 
 
 # ---------------------------------------------------------------- P1
-def hourly_features(spark: SparkSession, raw: DataFrame, event_metrics: DataFrame, reference_txns: DataFrame,
-                    out_root: str, as_of: dt.datetime | None = None, window_hours: int = 24) -> dict:
-    """A1→A2→A3→C1→A4, B7→E1, D3, F12.
+def hourly_features(spark: SparkSession, raw: DataFrame, event_metrics: DataFrame, reference_txns: DataFrame | None,
+                    out_root: str, as_of: dt.datetime | None = None, window_hours: int = 24,
+                    reference_features: DataFrame | None = None) -> dict:
+    """A1→A2→A3→C1→A4, B7→E1, D3, F12 (+ F9 summary).
 
     ``raw`` is the landed table (``read_raw_events``); ``as_of`` None uses the
-    table's own newest timestamp so reruns are repeatable.
+    table's own newest timestamp so reruns are repeatable.  The drift
+    reference never changes with the target, so a stored C2 table can be
+    passed as ``reference_features`` instead of recomputing it from
+    ``reference_txns`` every hour.
     """
     ok, missing = A.require_columns(raw)
     result: dict = {"schema_ok": ok, "missing_columns": missing}
@@ -49,7 +53,8 @@ def hourly_features(spark: SparkSession, raw: DataFrame, event_metrics: DataFram
     window = feats.crossJoin(F.broadcast(end)).where(
         F.col("event_timestamp") >= F.col("e") - F.expr("INTERVAL 1 DAY")).drop("e")
     result["online"] = S.materialize(window, S.USER_REALTIME)
-    drift = D.check_feature_drift(feats, R.reference_features(reference_txns))
+    ref = reference_features if reference_features is not None else R.reference_features(reference_txns)
+    drift = D.check_feature_drift(feats, ref)
     result["drift"] = drift
     # append the run's summary to the history table P2 reads
     run_ts = feats.agg(F.max("event_timestamp").alias("run_ts"))
