@@ -125,3 +125,13 @@ def test_split_variants_equal_two_frame_forms(spark):
     t2 = {r.column: r.statistic for r in D.distribution_tests(ref, cur, ["a", "b", "c"]).collect()}
     t1 = {r.column: r.statistic for r in D.distribution_tests_split(df, F.col("is_ref"), ["a", "b", "c"]).collect()}
     assert t2 == pytest.approx(t1) and set(t1) == {"a", "b", "c"}
+
+
+def test_drift_score_grows_with_injected_level(spark):
+    from turnstile.operators import metrics as M
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(x), int(y)) for x, y in zip(rng.normal(50, 10, 500), rng.integers(1, 10, 500))],
+                               "price double, qty long")
+    scores = [D.mean_shift_drift(df, M.inject_drift(df, lvl, ["price", "qty"])).collect()[0].drift_score
+              for lvl in (0.0, 0.1, 0.5, 0.9)]
+    assert scores[0] == 0.0 and scores == sorted(scores) and scores[-1] >= 0.3
