@@ -90,3 +90,13 @@ def test_scan_once_plans(spark, sf_dir):
     assert _scans(i2, "events") == 0  # order statistics read the materialised value counts
     d2 = q["d2_get_historical_features"](spark, sf_dir)
     assert "monotonically_increasing_id" not in d2._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bucketed_table_aggregates_without_shuffle(spark, sf_dir):
+    from turnstile.operators import realtime as R
+    from turnstile.session import save_bucketed
+    t = save_bucketed(V.txns(spark, sf_dir), "txns_by_user", "user_id", 4)
+    feats = R.reference_features(t)
+    p = _plan(feats)
+    assert "Exchange hashpartitioning(user_id" not in p
+    assert feats.count() == R.reference_features(V.txns(spark, sf_dir)).count()

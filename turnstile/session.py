@@ -87,3 +87,20 @@ def reuse(df):
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def save_bucketed(df, name: str, by, buckets: int, sort: bool = True):
+    """Write ``df`` once as a catalog table bucketed (and sorted) by ``by``.
+
+    Later aggregations and joins on those keys read it without a shuffle —
+    e.g. the transactions view (lineitem ⋈ orders) bucketed by user for
+    the per-user jobs, so the big join and its exchange run once instead of
+    in every job.  Files go to the session's warehouse folder (shared
+    storage on a cluster).  Returns the table as a DataFrame.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *by)
+    if sort:
+        w = w.sortBy(*by)
+    w.saveAsTable(name)
+    return df.sparkSession.table(name)
