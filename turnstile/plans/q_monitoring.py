@@ -11,7 +11,6 @@ import math
 from pyspark.sql import functions as F
 
 from turnstile.operators import drift as D
-from turnstile.operators import metrics as M
 from turnstile.operators import realtime as R
 from turnstile.plans import views as V
 from turnstile.plans.registry import register, round_doubles
