@@ -100,3 +100,20 @@ def test_bucketed_table_aggregates_without_shuffle(spark, sf_dir):
     p = _plan(feats)
     assert "Exchange hashpartitioning(user_id" not in p
     assert feats.count() == R.reference_features(V.txns(spark, sf_dir)).count()
+
+
+def test_launcher_settings_survive_get_spark():
+    """Master and shuffle partitions given by a launcher are not overridden."""
+    import subprocess
+    import sys
+    code = ("from pyspark.sql import SparkSession\n"
+            "SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '4000')"
+            ".config('spark.ui.enabled', 'false').config('spark.sql.session.timeZone', 'Europe/Paris').getOrCreate()\n"
+            "from turnstile.session import get_spark\n"
+            "s = get_spark()\n"
+            "print('GOT', s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'),"
+            " s.conf.get('spark.sql.session.timeZone'))\n")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=120)
+    assert "GOT local[2] 4000 Europe/Paris" in out.stdout, out.stderr[-500:]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,8 @@ from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC time, AQE (coalescing, skew-join
 # splitting, runtime broadcast switch behind the size threshold), Arrow
-# transfer for the few pandas UDF paths, no web UI.
+# transfer for the few pandas UDF paths, streaming state in RocksDB.  Set on
+# the session only where the launcher has no value of its own.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,28 +23,46 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+# Process settings for a session that no launcher has started.
+LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "turnstile", extra: dict | None = None) -> SparkSession:
+              app_name: str | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster the
-    launcher's master wins because ``getOrCreate`` keeps an existing context.
+    Master, shuffle partitions and driver memory are left to the launcher
+    (``spark-submit``, ``spark-defaults.conf``) unless the caller passes
+    them, and a default above is not applied where a running session or the
+    launcher already has a value.
     """
-    if master is None:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    builder = SparkSession.builder.master(master).appName(app_name)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf["spark.driver.memory"] = os.environ.get("TURNSTILE_DRIVER_MEMORY", "16g")
-    conf.update(extra or {})
-    for k, v in conf.items():
+    given = {k: str(v) for k, v in (extra or {}).items()}
+    if shuffle_partitions is not None:
+        given.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if "TURNSTILE_DRIVER_MEMORY" in os.environ:
+        given.setdefault("spark.driver.memory", os.environ["TURNSTILE_DRIVER_MEMORY"])
+    running = SparkSession.getActiveSession()
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ  # spark-submit started this process
+    builder = SparkSession.builder
+    if master is not None:
+        builder = builder.master(master)
+    if app_name is not None or not (running or submitted):
+        builder = builder.appName(app_name or "turnstile")
+    for k, v in ({} if running or submitted else LOCAL_CONF).items():
+        builder = builder.config(k, v)
+    for k, v in given.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    for k, v in DEFAULT_CONF.items():
+        if k not in given and not launched.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
     return spark
@@ -51,13 +71,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, streaming state and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick a local
-    folder when the setting is absent (local runs and tests).
+    The cluster names it in ``spark.checkpoint.dir``.  A temporary local
+    folder is chosen only where the setting is absent *and* the master is
+    local (tests, laptops); on a cluster a missing setting is an error,
+    because executors cannot read each other's disks.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="turnstile-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -66,14 +88,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint root (local paths are
-    created; remote URIs get a unique name and are created by the writer)."""
-    root = checkpoint_root(spark)
-    local = root[len("file:"):] if root.startswith("file:") else root
-    if local.startswith("/"):
-        os.makedirs(local, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared checkpoint root, on whatever file system
+    that is; its writer creates it."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the file system it belongs to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def reuse(df):
