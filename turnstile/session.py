@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -99,6 +100,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per context.
+
+    Python functions of Spark jobs are pickled by reference, so executors
+    need the package: installed, by ``--py-files``, or through this call,
+    which hands Spark a zip of the sources to distribute.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_turnstile_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    spool = os.path.join(tempfile.mkdtemp(prefix="turnstile-py-"), "turnstile_src.zip")
+    with zipfile.ZipFile(spool, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(spool)
+    sc._turnstile_shipped = True
+
+
 def reuse(df):
     """Materialise an intermediate that several branches of a plan consume.
 
