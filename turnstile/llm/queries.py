@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, packing
+from turnstile.llm import bpe, minhash, packing
 from turnstile.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op2_bpe_forced_boundaries(spark: SparkSession, d: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's pieces with their sequence and place."""
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, d, "documents"))
