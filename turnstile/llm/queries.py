@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, minhash, packing
-from turnstile.llm.common import table
+from turnstile.llm import bpe, langid, minhash, packing
+from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,12 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+@register("op6_cross_parsing_language")
+def op6_cross_parsing_language(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted language of all documents, learned from the other folds."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    parser = langid.train(docs.where(learnable(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), parser)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
