@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, langid, minhash, packing
+from turnstile.llm import bpe, langid, minhash, packing, quality
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,12 @@ def op6_cross_parsing_language(spark: SparkSession, d: str) -> DataFrame:
     parser = langid.train(docs.where(learnable(F.col("doc_id"))))
     found = langid.identify(docs.select("doc_id", "text"), parser)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register("op3_quality_boosted_trees")
+def op3_quality_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Quality score of all documents, learned from the other folds' labels."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").where(learnable(F.col("doc_id")))
+    scored = quality.score_documents(docs, quality.train(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
