@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, langid, minhash, packing, quality
+from turnstile.llm import bpe, langid, minhash, packing, quality, secrets
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,20 @@ def op3_quality_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").where(learnable(F.col("doc_id")))
     scored = quality.score_documents(docs, quality.train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op9_secret_markov_scan")
+def op9_secret_markov_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets of all documents: counts and digest of the rules' spans, and
+    all spans."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = listed(F.filter("spans", lambda s: s["kind"] != "markov"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
