@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,9 @@ def op9_secret_markov_scan(spark: SparkSession, d: str) -> DataFrame:
     base = listed(F.filter("spans", lambda s: s["kind"] != "markov"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Language, quality, near-duplicates, secrets and packing in a row."""
+    return corpus_pipeline.run(spark, d)
