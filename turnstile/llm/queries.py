@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, langid, minhash, packing, quality, secrets
+from turnstile.llm import ann, bpe, embed_dedup, langid, minhash, packing, quality, secrets
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,25 @@ def op9_secret_markov_scan(spark: SparkSession, d: str) -> DataFrame:
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Language, quality, near-duplicates, secrets and packing in a row."""
     return corpus_pipeline.run(spark, d)
+
+
+@register("op5_spherical_cap_dedup")
+def op5_spherical_cap_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Links and components of all embeddings of one label."""
+    return embed_dedup.near_vectors(table(spark, d, "embeddings"))
+
+
+_NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5"""
+
+
+@register("op7_vantage_point_search", _NEAREST)
+def op7_vantage_point_search(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest neighbours of every fiftieth embedding among all."""
+    vectors = table(spark, d, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
