@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, embed_dedup, langid, minhash, packing, quality, secrets
+from turnstile.llm import ann, bpe, embed_dedup, langid, minhash, packing, quality, secrets, sharding
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,10 @@ def op7_vantage_point_search(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest neighbours of every fiftieth embedding among all."""
     vectors = table(spark, d, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@register("op1_lookup_table_sharding", sharding.oracle_sql("documents", "doc_id"))
+def op1_lookup_table_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """Slot and shard of every document."""
+    names = [f"shard-{k}" for k in range(sharding.SHARDS)]
+    return sharding.place(table(spark, d, "documents").select("doc_id"), "doc_id", names)
