@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, embed_dedup, langid, minhash, packing, quality, secrets, sharding
+from turnstile.llm import ann, bpe, embed_dedup, langid, licenses, minhash, packing, quality, secrets, sharding
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ def op1_lookup_table_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Slot and shard of every document."""
     names = [f"shard-{k}" for k in range(sharding.SHARDS)]
     return sharding.place(table(spark, d, "documents").select("doc_id"), "doc_id", names)
+
+
+@register("op4_license_paragraphs")
+def op4_license_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Licence paragraphs of all documents."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs))
