@@ -122,6 +122,8 @@ class CrossParser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text under each language, (texts, languages)."""
+        if not self.languages:
+            return np.zeros((len(texts), 0), dtype=np.int64)
         lanes, owner = [], []
         for i, codes in enumerate(texts):
             if len(codes):

@@ -2,8 +2,8 @@
 and of ordinary identifiers compared by log-likelihood ratio.
 
 The models are trained from labelled samples: the values that the rules find
-are random strings, and the other long tokens of the corpus are ordinary
-identifiers.  A token is a secret where, per character, the random model
+are random strings (beside generated ones), and the other tokens of the corpus
+are ordinary identifiers (beside common ones of program texts).  A token is a secret where, per character, the random model
 explains it better by more than a margin.
 """
 
@@ -30,11 +30,32 @@ KINDS = ("assign", "access", "hex", "markov")
 
 # Tokens that the models judge: characters of keys and identifiers.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN_CHARS = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MARGIN = 0.5            # nats per character
 SAMPLE_DOCS = 20_000    # bound: documents whose tokens the models learn from, on average
 SAMPLE_TOKENS = 40      # bound: tokens of each class taken from one of these documents
 SMOOTHING = 0.5
+LIMIT = 3.0             # most that one character can weigh, nats
+GENERATED = 400         # generated random strings among the labelled samples
+WEIGHT = 20             # times that each identifier below counts
+
+# Identifiers of program texts, labelled ordinary.
+IDENTIFIERS = """
+getElementById getElementsByClassName addEventListener removeEventListener documentElement innerHTML querySelectorAll
+XMLHttpRequest HttpServletRequest AbstractSingletonProxyFactoryBean NullPointerException IllegalArgumentException
+ConcurrentHashMap ArrayIndexOutOfBoundsException toString hashCode compareTo isEmpty SimpleDateFormat StringBuilder
+DataFrameReader SparkSession readStream writeStream setUpClass tearDown assertEqual assertRaises TestCase2 utf8 utf-8
+user_id customer_id order_date created_at updated_at is_active page_number total_amount first_name last_name
+max_connections default_timeout_seconds retry_count http_status_code base_url file_path output_directory version_2
+test_case_01 table_name_v2 column_3 step-1 chapter-12 figure-3-2 section_4_1 release-2024-01-15 build-1024 node-12
+background-color margin-left font-family border-radius text-align align-items main-content navigation-menu
+MAX_VALUE MIN_VALUE DEFAULT_CHARSET BUFFER_SIZE ERROR_CODE HTTP_NOT_FOUND CONTENT_TYPE README LICENSE TODO JSON XML
+/usr/local/bin /etc/hosts src/main/java com/example/service index/html static/images/logo lib/python3/site-packages
+2024-01-15 2023-12-31T23 1990-2000 123456 1000000 3600 192 255 phone-555-1234 id=12345 width=100 height=200 lang=en
+ISO-8859-1 SHA-256 Base64Encoder MD5Digest UTF8Decoder OAuth2Client Http2Connection Vector3D Matrix4x4 Point2D IPv4
+Internationalization18n accountSettingsPage1 userAccountSettings shoppingCartItems2 paymentMethodType_1 addressLine2
+""".split()
 
 Span = tuple[int, int, str]
 
@@ -83,17 +104,29 @@ class MarkovRatio:
         return self.per_character(token) > self.margin
 
 
+def builtin_counts() -> tuple[np.ndarray, np.ndarray]:
+    """Bigram counts of generated random strings (keys of all symbols, of
+    letters and digits, of capitals and digits, hex) and of IDENTIFIERS."""
+    rng = np.random.default_rng(31)
+    kinds = [ALPHABET, ALPHABET[:62], ALPHABET[26:62], "0123456789abcdef"]
+    strings = ["".join(rng.choice(list(kinds[k % 4]), 40)) for k in range(GENERATED)]
+    return _bigrams(strings), WEIGHT * _bigrams([x for x in IDENTIFIERS if TOKEN_CHARS.fullmatch(x)])
+
+
 def fit(random: np.ndarray, ordinary: np.ndarray, margin: float = MARGIN) -> MarkovRatio:
-    """Smoothed first-order models of both classes.  The random class leans
-    towards a uniform choice, so symbols that the sampled secrets happen to
-    lack are not held against a string."""
+    """First-order models of both classes from bigram counts of the corpus.
+    The random class has the generated strings' shape where the corpus has
+    little to say; no single character weighs more than LIMIT."""
     if not random.any() or not ordinary.any():
         return MarkovRatio(None, margin)
+    generated, known = builtin_counts()
+    # Both sources of random strings count alike, however many secrets the corpus has.
+    random = generated + random * (generated.sum() / random.sum())
 
-    def log_p(counts: np.ndarray, smoothing: float) -> np.ndarray:
-        counts = counts + smoothing
+    def log_p(counts: np.ndarray) -> np.ndarray:
+        counts = counts + SMOOTHING
         return np.log(counts / counts.sum(axis=1, keepdims=True))
-    return MarkovRatio(log_p(random, 10 * SMOOTHING) - log_p(ordinary, SMOOTHING), margin)
+    return MarkovRatio(np.clip(log_p(random) - log_p(ordinary + known), -LIMIT, LIMIT), margin)
 
 
 def _clear_of(start: int, end: int, spans: list[Span]) -> bool:
