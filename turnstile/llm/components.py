@@ -37,9 +37,9 @@ class Forest:
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m) with m the smallest neighbour of u.  Aggregate and
-    join instead of a window: a hot u is combined map-side and its join rows
-    can be split."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    join instead of a window: a hot u is combined map-side, and as the minima
+    are dealt anew for the join, its join rows can be split."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance"), "u")
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
