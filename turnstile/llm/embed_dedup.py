@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from turnstile.llm.common import stored
 from turnstile.llm.components import Forest, connected_components
-from turnstile.llm.minhash import by_group, in_blocks, meets
+from turnstile.llm.minhash import by_group, grouped, in_blocks, meets
 from turnstile.llm.vectors import as_matrix, cosine, vector_rows
 
 LINK = 0.98
@@ -135,22 +135,20 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     classes = usable.groupBy("label", "digest").agg(
         F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"),
         F.first("dims").alias("dims"), F.first("vec").alias("vec"))
-    classes = stored(classes.withColumn("key", F.xxhash64("label", "digest")), "vector_classes")
+    classes = stored(classes.withColumn("key", F.unhex(F.md5(F.concat("digest", F.encode("label", "UTF-8"))))), "vector_classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     filtered = _filters(classes, code_words(most)).withColumn("filter", F.explode("filters"))
     # Filters with one vector are dropped before vectors are moved a second time.
     filtered = stored(filtered, "filtered")
-    bucket = F.xxhash64("label", "dims", "filter")
-    sizes = filtered.groupBy("label", "dims", "filter").count().where("count > 1")
-    crowded = filtered.join(sizes, ["label", "dims", "filter"]).withColumn("bucket", bucket)
-    blocks = in_blocks(crowded, "bucket", "key", F.ceil(F.col("count") / BLOCK))
-    blocks = blocks.select("_group", "_own", "_lo", "_hi", "key", "class_id", "copies", "dims", "vec", "filter",
-                           "filters")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("links", T.LongType()),
+    cap = ["label", "dims", "filter"]
+    sizes = filtered.groupBy(*cap).count().where("count > 1")
+    crowded = filtered.join(sizes, cap)
+    blocks = in_blocks(crowded, "key", F.ceil(F.col("count") / BLOCK)).drop("digest", "count")
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("links", T.LongType()),
                            T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
     def run(batches):
-        for group in by_group(batches, "_group"):
+        for group in by_group(batches, cap):
             if group.num_rows < 2:
                 continue
             left, right, linked = _linked(group, link)
@@ -172,7 +170,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                  pa.array(count[touched].astype(np.int64)), ids.combine_chunks().take(pa.array(touched)),
                  ids.combine_chunks().take(pa.array(root[touched]))], names=schema.names)
 
-    found = stored(blocks.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, schema), "vector_links")
+    found = stored(grouped(blocks, cap).mapInArrow(run, schema), "vector_links")
     components = connected_components(found).withColumnRenamed("node", "class_id")
     links = found.groupBy("key").agg(F.sum("links").alias("linked"))
     named = classes.select("key", "label", "digest", "class_id", "copies").join(links, "key", "left") \

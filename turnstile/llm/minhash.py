@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from turnstile.llm.components import Forest, connected_components
 
 WORDS = 5               # words in a shingle
 LINK_PERCENT = 75       # 100 * intersection >= 75 * union
-BANDS, ROWS = 64, 6     # at similarity 0.75 a pair misses all bands once in 300,000
+BANDS, ROWS = 64, 6     # at similarity 0.75 a pair misses all bands once in 280,000
 SKETCH = 128            # minima kept as one byte each
 SKETCH_LEAST = 64       # equal bytes below which a pair of 0.75 is a 6-sigma event
 BLOCK = 512             # classes in a block
@@ -136,36 +137,44 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ blocks
-def in_blocks(rows: DataFrame, key: str, member: str, blocks) -> DataFrame:
+def in_blocks(rows: DataFrame, member: str, blocks) -> DataFrame:
     """Deal the members of each key to ``blocks`` blocks and bring every two
-    blocks of a key together once: adds ``_group`` (one task's unit), ``_own``
-    (the member's block), ``_lo`` and ``_hi`` (the two that meet)."""
+    blocks of a key together once: adds ``_own`` (the member's block), ``_lo``
+    and ``_hi`` (the two that meet); (key, _lo, _hi) is one task's unit."""
     own = F.pmod(F.xxhash64(member, F.lit("block")), blocks)
     rows = rows.withColumn("_own", own.cast("int")) \
                .withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     return rows.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")) \
-               .withColumn("_group", F.xxhash64(key, "_lo", "_hi")).drop("_other")
+               .drop("_other")
 
 
-def by_group(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
-    """Whole groups out of batches that are sorted by ``group``."""
+def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each unit together in one task, one unit after the other."""
+    unit = [*keys, "_lo", "_hi"]
+    return rows.repartition(*unit).sortWithinPartitions(*unit)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The units of ``grouped`` rows, whole, whatever batches they come in."""
+    unit = [*keys, "_lo", "_hi"]
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        keys = batch.column(group).to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if held and held[-1].column(group)[-1].as_py() != keys[0]:
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in unit):
             yield pa.Table.from_batches(held)
             held = []
-        bounds = [0, *cuts.tolist(), len(keys)]
+        differs = np.zeros(n - 1, dtype=bool)
+        for c in unit:
+            col = batch.column(c)
+            differs |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(differs) + 1).tolist(), n]
         for lo, hi in zip(bounds, bounds[1:]):
-            part = batch.slice(lo, hi - lo)
-            if hi < len(keys):
-                yield pa.Table.from_batches([*held, part])
+            held.append(batch.slice(lo, hi - lo))
+            if hi < n:
+                yield pa.Table.from_batches(held)
                 held = []
-            else:
-                held.append(part)
     if held:
         yield pa.Table.from_batches(held)
 
@@ -173,11 +182,12 @@ def by_group(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
 
-def forest_links(rows: DataFrame, member: str, join: Callable[[pa.Table, np.ndarray, Forest], None]) -> DataFrame:
-    """Links ``src, dst`` of the forests that ``join`` builds group by group."""
+def forest_links(rows: DataFrame, key: str, member: str,
+                 join: Callable[[pa.Table, np.ndarray, Forest], None]) -> DataFrame:
+    """Links ``src, dst`` of the forests that ``join`` builds unit by unit."""
     def run(batches):
         src, dst = [], []
-        for group in by_group(batches, "_group"):
+        for group in by_group(batches, [key]):
             ids = group.column(member).to_numpy()
             if len(ids) > 1:
                 forest = Forest(len(ids))
@@ -189,7 +199,7 @@ def forest_links(rows: DataFrame, member: str, join: Callable[[pa.Table, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))],
                                              names=["src", "dst"])
 
-    return rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, EDGES)
+    return grouped(rows, [key]).mapInArrow(run, EDGES)
 
 
 def meets(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = content.where("n = 2").select(F.col("least").alias("src"), F.col("most").alias("dst"))
     crowded = bucketed.join(content.where("n > 2").select("key", "n"), "key").select("key", "n", "class_id")
     crowded = crowded.join(classes.select("class_id", "sketch"), "class_id")
-    crowded = in_blocks(crowded, "key", "class_id", F.ceil(F.col("n") / BLOCK))
-    candidates = pairs.unionByName(forest_links(crowded, "class_id", _join_by_sketch))
+    crowded = in_blocks(crowded, "class_id", F.ceil(F.col("n") / BLOCK))
+    candidates = pairs.unionByName(forest_links(crowded, "key", "class_id", _join_by_sketch))
 
     # Whole sets of the groups, block by block.
     groups = connected_components(candidates).withColumnRenamed("node", "class_id")
@@ -278,8 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("text"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES))
     blocks = F.least(blocks, F.col("n"))
-    with_text = in_blocks(members.join(texts, "class_id"), "component", "class_id", blocks)
-    links = forest_links(with_text, "class_id", _join_by_sets)
+    with_text = in_blocks(members.join(texts, "class_id"), "class_id", blocks)
+    links = forest_links(with_text, "component", "class_id", _join_by_sets)
 
     components = connected_components(links).withColumnRenamed("node", "class_id")
     named = classes.select("digest", "class_id").join(components, "class_id", "left") \
