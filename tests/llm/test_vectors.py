@@ -149,3 +149,14 @@ def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0], 0)], SCHEMA)
     got = sorted(map(tuple, ann.nearest(df, df.where("vec_id = 1")).collect()))
     assert [x[:3] for x in got] == [(1, 1, 3), (1, 2, 2)]
+
+
+def test_tree_with_many_rows_at_one_distance():
+    """One-hot vectors are all equally far apart; a few odd ones are not."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.eye(300), rng.normal(size=(40, 300)), np.eye(300)[:20] + 0.01])
+    tree = ann.VantageTree(x)
+    best, score = tree.search(x[::7], 6, 1.0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = -np.sort(-(unit[::7] @ unit.T), axis=1)[:, :6]
+    assert np.allclose(score, want, atol=1e-9)

@@ -21,14 +21,15 @@ from turnstile.llm.vectors import as_matrix, cosine, vector_rows
 NEIGHBOURS = 5
 FACTOR = 1.0
 SHARD_VECTORS = 8192   # different vectors in a shard, on average
-LEAF = 64              # vectors in a leaf
-QUERY_BLOCK = 512      # queries searched together
+LEAF = 128             # vectors in a leaf
+QUERY_BLOCK = 1024     # queries searched together
 SLACK = 1e-7           # chords of equal cosines may differ by rounding
 
 
 class VantageTree:
-    """Node k: vantage point, radius (median chord of its rows), the rows
-    within it and the rows beyond it."""
+    """Node k: vantage point, radius (median chord of its rows to it), a child
+    with the rows within the radius and one with the rows beyond it; leaves
+    hold the rows."""
 
     def __init__(self, x: np.ndarray, seed: int = 7):
         self.x = x
@@ -52,14 +53,14 @@ class VantageTree:
         if len(rows) <= LEAF:
             return node
         point = int(self.rng.choice(rows))
-        rest = rows[rows != point]
-        chord = self._chords(point, rest)
+        chord = self._chords(point, rows)
         radius = float(np.median(chord))
         inside = chord <= radius
-        if inside.all():  # all rows at one distance: halve them, the bound still holds
-            inside = np.arange(len(rest)) < len(rest) // 2
-        self.point[node], self.radius[node], self.rows[node] = point, radius, np.array([point])
-        self.children[node] = (self._build(rest[inside]), self._build(rest[~inside]))
+        if inside.all():  # half of the rows or more are at the radius itself: they go beyond it
+            inside = np.zeros(len(rows), dtype=bool)
+            inside[np.argsort(chord, kind="stable")[: len(rows) // 2]] = True
+        self.point[node], self.radius[node], self.rows[node] = point, radius, rows[:0]
+        self.children[node] = (self._build(rows[inside]), self._build(rows[~inside]))
         return node
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +87,24 @@ class _Search:
         return np.where(np.isinf(worst), np.inf, np.sqrt(np.maximum(0.0, 2 - 2 * worst))) * self.factor + SLACK
 
     def offer(self, node: int, who: np.ndarray) -> None:
-        """Compare the rows of a node with the queries that reach it."""
+        """Compare the rows of a leaf with the queries that reach it, and keep
+        each query's ``k`` best, all queries at once."""
         rows = self.tree.rows[node]
         near = self.unit[who] @ self.tree.unit[rows].T >= self.score[who, -1][:, None] - SLACK
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            q, mine = int(who[i]), rows[near[i]]
-            exact = cosine(np.broadcast_to(self.queries[q], (len(mine), self.queries.shape[1])), self.tree.x[mine])
-            ids = np.concatenate([self.best[q], mine])
-            scores = np.concatenate([self.score[q], exact])
-            order = np.lexsort((ids, -scores))[: self.k]
-            self.best[q], self.score[q] = ids[order], scores[order]
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        exact = cosine(self.queries[who[i]], self.tree.x[rows[j]])
+        touched = np.unique(i)
+        place = np.searchsorted(touched, i)
+        held = who[touched]
+        q = np.concatenate([np.repeat(np.arange(len(touched)), self.k), place])
+        ids = np.concatenate([self.best[held].ravel(), rows[j]])
+        scores = np.concatenate([self.score[held].ravel(), exact])
+        order = np.lexsort((ids, -scores, q))
+        first = np.searchsorted(q[order], np.arange(len(touched)))
+        top = order[first[:, None] + np.arange(self.k)]
+        self.best[held], self.score[held] = ids[top], scores[top]
 
     def descend(self, node: int, who: np.ndarray) -> None:
         children = self.tree.children[node]
@@ -118,7 +127,6 @@ class _Search:
             if len(new):
                 self.offer(node, new)
             return
-        self.offer(node, who)
         chord, radius = self._distance(node, who), self.tree.radius[node]
         inner = who[chord - self.reach(who) <= radius]
         if len(inner):

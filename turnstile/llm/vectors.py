@@ -13,22 +13,27 @@ from pyspark.sql import types as T
 
 
 def as_matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of little-endian doubles as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dims)
+    """Rows of little-endian floats or doubles as a matrix of doubles."""
+    rows = column.to_pylist()
+    kind = "<f4" if len(rows[0]) == 4 * dims else "<f8"
+    return np.frombuffer(b"".join(rows), dtype=kind).reshape(-1, dims).astype(float)
 
 
 def vector_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:
-    """``vec_id, label, dims, vec, digest`` of every row; ``vec`` (doubles,
-    little-endian) is null where the vector is null, empty, zero, or holds a
+    """``vec_id, label, dims, vec, digest`` of every row; ``vec`` (little-endian
+    floats where the column holds floats, else doubles) is null where the vector is null, empty, zero, or holds a
     null or a component that is not finite.  Equal vectors have equal
     digests; -0.0 counts as 0.0."""
     label = F.col(label_col).cast("string") if label_col else F.lit("")
+    single = df.schema[vec_col].dataType == T.ArrayType(T.FloatType())
     src = df.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"),
-                    F.col(vec_col).cast("array<double>").alias("vec"))
+                    F.col(vec_col).cast("array<float>" if single else "array<double>").alias("vec"))
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("label", T.StringType()),
                            T.StructField("dims", T.IntegerType()), T.StructField("vec", T.BinaryType()),
                            T.StructField("digest", T.BinaryType())])
 
+    kind = "<f4" if single else "<f8"
+
     def run(batches):
         for batch in batches:
             col = batch.column("vec")
@@ -38,8 +43,9 @@ def vector_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str | None
             vecs, digests = [], []
             for end, n in zip(ends.tolist(), sizes.tolist()):
                 own = values[end - n:end] + 0.0
-                good = n > 0 and bool(np.isfinite(own).all()) and 0 < float((own * own).sum()) < np.inf
-                vecs.append(own.astype("<f8").tobytes() if good else None)
+                wide = own.astype(float)
+                good = n > 0 and bool(np.isfinite(own).all()) and 0 < float((wide * wide).sum()) < np.inf
+                vecs.append(own.astype(kind).tobytes() if good else None)
                 digests.append(hashlib.blake2b(vecs[-1], digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("label"), pa.array(sizes.astype(np.int32)),
