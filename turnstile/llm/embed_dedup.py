@@ -137,13 +137,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         F.first("dims").alias("dims"), F.first("vec").alias("vec"))
     classes = stored(classes.withColumn("key", F.unhex(F.md5(F.concat("digest", F.encode("label", "UTF-8"))))), "vector_classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    filtered = _filters(classes, code_words(most)).withColumn("filter", F.explode("filters"))
-    # Filters with one vector are dropped before vectors are moved a second time.
-    filtered = stored(filtered, "filtered")
+    filtered = stored(_filters(classes, code_words(most)), "filtered")
+    # Caps with one vector are dropped, and the rest dealt to blocks, before any vector moves.
     cap = ["label", "dims", "filter"]
-    sizes = filtered.groupBy(*cap).count().where("count > 1")
-    crowded = filtered.join(sizes, cap)
-    blocks = in_blocks(crowded, "key", F.ceil(F.col("count") / BLOCK)).drop("digest", "count")
+    light = filtered.select("key", "label", "dims", F.explode("filters").alias("filter"))
+    sizes = light.groupBy(*cap).count().where("count > 1")
+    blocks = in_blocks(light.join(sizes, cap), "key", F.ceil(F.col("count") / BLOCK)).drop("count")
+    blocks = blocks.join(filtered.select("key", "class_id", "copies", "vec", "filters"), "key")
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("links", T.LongType()),
                            T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
