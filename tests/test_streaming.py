@@ -49,20 +49,6 @@ def test_stream_publish_matches_batch(spark, sf_dir):
     assert r.parity and r.n_stream == r.n_batch > 0
 
 
-def test_last_n_state_caps_event_history(spark):
-    root, ck = _dir("lastn"), _dir("lastn-ck")
-    src = _dir("src")
-    spark.createDataFrame([(1, f"e{i % 4}", 1.0, f"2024-01-01 00:00:{i:02d}") for i in range(10)],
-                          "user_id long, event_id string, total_amount double, timestamp string") \
-        .withColumn("timestamp", F.to_timestamp("timestamp")).write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    s = J.file_stream(spark, src, schema)
-    agg = J.stream_user_aggregates_last_n(s, n=2)
-    J.run_until_done(J.write_to_table(agg, root, ck, mode="update"))
-    r = spark.read.parquet(root).orderBy(F.col("batch_id").desc()).collect()[0]
-    assert r.user_txn_count_1h == 10 and r.user_distinct_events_1h == 2 and r.user_txn_amount_1h == 10.0
-
-
 def test_land_stream_partitions_by_row_date(spark, sf_dir):
     out, ck = _dir("land"), _dir("land-ck")
     s = _raw_stream(spark, sf_dir)
@@ -84,6 +70,65 @@ def test_online_changelog_compaction(spark):
     assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 5.0, 2: 9.0}
 
 
+def test_unreadable_base_is_an_error(spark):
+    root = _dir("broken")
+    J.write_online_batch(spark.createDataFrame([(1, 1.0)], "user_id long, f double"), 0, root)
+    base = J.compact_online(spark, root).removeprefix("file:")
+    for n in os.listdir(base):
+        if n.endswith(".parquet"):
+            with open(os.path.join(base, n), "wb") as f:
+                f.write(b"not parquet")
+    J.write_online_batch(spark.createDataFrame([(2, 2.0)], "user_id long, f double"), 1, root)
+    with pytest.raises(Exception, match="(?i)parquet"):
+        J.read_online(spark, root).collect()
+    with pytest.raises(FileNotFoundError):
+        J.read_online(spark, _dir("nothing"))
+
+
+def test_new_checkpoint_beats_an_older_run(spark):
+    """Batch 0 of a new run is newer than batch 5 of the old one, and leaves
+    the old run's other rows alone."""
+    root = _dir("fresh")
+    schema = "user_id long, f double"
+    J.write_online_batch(spark.createDataFrame([(1, 1.0), (2, 2.0)], schema), 0, root, run_id="old")
+    J.write_online_batch(spark.createDataFrame([(1, 1.5)], schema), 5, root, run_id="old")
+    J.compact_online(spark, root)
+    J.write_online_batch(spark.createDataFrame([(1, 9.0)], schema), 0, root, run_id="new")
+    want = {1: 9.0, 2: 2.0}
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == want
+    J.compact_online(spark, root)
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == want
+
+
+def test_failure_in_mid_compaction_keeps_the_old_base(spark):
+    root = _dir("midway")
+    schema = "user_id long, f double"
+    J.write_online_batch(spark.createDataFrame([(1, 1.0)], schema), 0, root)
+    first = J.compact_online(spark, root)
+    unfinished = spark.createDataFrame([(1, -1.0)], schema).withColumn("event_timestamp", F.current_timestamp()) \
+        .withColumn("run_id", F.lit("z")).withColumn("batch_id", F.lit(99).cast("long"))
+    target = f"{root}/base/version=0000000001"
+    unfinished.write.parquet(target)
+    os.unlink(f"{target}/_SUCCESS")
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 1.0}
+    assert J.compact_online(spark, root).endswith("version=0000000001") and first.endswith("version=0000000000")
+    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 1.0}
+
+
+def test_streams_carry_their_run(spark, sf_dir):
+    """Two checkpoints over one root write two runs."""
+    root = _dir("runs")
+    for _ in range(2):
+        J.run_until_done(J.publish_user_features(J.stream_user_aggregates(_raw_stream(spark, sf_dir)), root,
+                                                 _dir("runs-ck"), trigger={"availableNow": True}))
+    assert len([n for n in os.listdir(f"{root}/changes") if n.startswith("run_id=")]) == 2
+
+
+def test_null_rewards_say_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", float("nan"))], "arm string, reward double")
+    assert [tuple(r) for r in J.stream_arm_updates(df).collect()] == [("a", 2.0, 1.0)]
+
+
 def _write_src(spark, folder, rows):
     spark.createDataFrame(rows, "user_id long, event_id string, total_amount double, timestamp timestamp") \
         .write.mode("append").parquet(folder)

@@ -83,18 +83,7 @@ SELECT user_id, n AS user_txn_count_1h, round(c / 100.0, 4) AS user_txn_amount_1
 def q_stream_agg(spark, d):
     out, ck = _dirs(spark, "user_agg")
     J.run_until_done(J.write_to_table(J.stream_user_aggregates(_raw_stream(spark, d)), out, ck, mode="update"))
-    ch = spark.read.parquet(out)
-    latest = ch.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in ch.columns if c not in ("user_id",)]),
-                                                F.col("batch_id")).alias("r")).select("user_id", "r.*")
-    return round_doubles(latest.drop("batch_id"))
-
-
-@register("c3_stream_user_aggregates_last_n", with_views(SQL_ALL_TIME, "raw_events"))
-def q_stream_last_n(spark, d):
-    out, ck = _dirs(spark, "user_agg_last_n")
-    J.run_until_done(J.publish_user_features(J.stream_user_aggregates_last_n(_raw_stream(spark, d)), out, ck,
-                                             trigger={"availableNow": True}))
-    return round_doubles(J.read_online(spark, out).drop("event_timestamp"))
+    return round_doubles(J.newest_batches(spark.read.parquet(out), ["user_id"]))
 
 
 @register("c4_publish_user_features", with_views(SQL_ALL_TIME, "raw_events"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC time, AQE (coalescing, skew-join
@@ -100,6 +101,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def writable(spark: SparkSession, path: str) -> bool:
+    """Whether the nearest existing folder above ``path`` may be written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not fs.exists(p) and p.getParent() is not None:
+        p = p.getParent()
+    try:
+        fs.access(p, spark._jvm.org.apache.hadoop.fs.permission.FsAction.WRITE)
+    except Py4JJavaError as e:
+        if "AccessControlException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def committed_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a glob in which a writer has finished (``_SUCCESS``),
+    sorted by name; asked of the file system they belong to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per context.
 

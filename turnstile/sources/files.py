@@ -7,30 +7,30 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from turnstile.functions.scalars import parse_utc
+from turnstile.session import path_exists, writable
 
 RAW_REQUIRED = ("user_id", "event_id", "total_amount")
+RAW_EMPTY = "user_id long, event_id long, total_amount double, timestamp string"
 
 
 # ---------------------------------------------------------------- A1
 def read_raw_events(spark: SparkSession, root: str, as_of: dt.datetime | None = None,
                     hours: float | None = None, schema=None) -> DataFrame:
-    """A1: every Parquet file under ``root`` (``dt=YYYY-MM-DD`` partitions),
-    merged by column name.  With ``as_of``/``hours`` a predicate on the
-    partition column prunes whole days before any file is opened.
-    Missing folder → empty frame (the step is skipped, not failed).
+    """A1: every Parquet file under ``root`` (``dt=YYYY-MM-DD`` partitions).
+    With ``as_of``/``hours`` a predicate on the partition column prunes whole
+    days before any file is opened.
+
+    With ``schema`` (the stored schema, as a scheduled job has it) no footer is
+    opened to plan the read; without it the files' columns are merged by name.
+    A folder that does not exist gives an empty frame (the step is skipped);
+    one that cannot be read is an error.
     """
-    reader = spark.read.option("mergeSchema", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
-    try:
-        df = reader.parquet(root)
-    except AnalysisException:
-        if schema is None:
-            return spark.createDataFrame([], "user_id long, event_id long, total_amount double, timestamp string")
-        return spark.createDataFrame([], schema)
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema or RAW_EMPTY)
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    df = reader.parquet(root)
     if as_of is not None and hours and hours > 0 and "dt" in df.columns:
         cutoff = (as_of - dt.timedelta(hours=hours)).date()
         df = df.where(F.col("dt") >= F.lit(cutoff))
@@ -71,26 +71,29 @@ def require_columns(df: DataFrame, cols=RAW_REQUIRED) -> tuple[bool, list[str]]:
 
 
 def schema_gate(spark: SparkSession, df: DataFrame, cols=RAW_REQUIRED) -> DataFrame:
-    """A3 as a table: one row per required column with ``present``."""
-    present = set(df.columns)
-    return spark.createDataFrame([(c, c in present) for c in cols], "column string, present boolean")
+    """A3 as a table: one row per required column with ``present`` and the rows
+    that have a value in it (0 where the column is absent); one pass."""
+    here = set(df.columns)
+    one = df.agg(*[(F.count(F.col(c)) if c in here else F.lit(0).cast("long")).alias(f"n_{i}")
+                   for i, c in enumerate(cols)]) if here & set(cols) else \
+        spark.range(1).select(*[F.lit(0).cast("long").alias(f"n_{i}") for i in range(len(cols))])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(c in here).alias("present"), F.col(f"n_{i}").alias("rows"))
+        for i, c in enumerate(cols)])))
 
 
 # ---------------------------------------------------------------- A4
 def write_feature_table(df: DataFrame, path: str, fallback: str | None = None,
                         partition_by=None) -> str:
-    """A4: overwrite a Parquet table; on failure retry at ``fallback``."""
+    """A4: overwrite a Parquet table, at ``fallback`` where ``path`` may not be
+    written.  The job runs once; a job that fails is an error."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    try:
-        w.parquet(path)
-        return path
-    except Exception:  # noqa: BLE001 — mirror the reference's fallback dir
-        if not fallback:
-            raise
-        w.parquet(fallback)
-        return fallback
+    if fallback and not writable(df.sparkSession, path):
+        path = fallback
+    w.parquet(path)
+    return path
 
 
 # ---------------------------------------------------------------- A9

@@ -9,15 +9,15 @@ the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from typing import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from turnstile.functions.scalars import cents, normalize_entity_id, parse_utc
+from turnstile.session import committed_folders, path_exists
 
 # The stream record (field, default) and the consumer's limits.
 RAW_FIELDS = [
@@ -33,7 +33,6 @@ RAW_FIELDS = [
 RAW_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t, _ in RAW_FIELDS])
 _PARSE_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
 TOPIC = "raw.transactions"
-MAX_EVENT_IDS_PER_USER = 5000
 PUSH_INTERVAL = "30 seconds"
 REQUIRED_KEYS = ("user_id", "event_id", "total_amount", "timestamp")
 
@@ -136,87 +135,70 @@ def stream_user_aggregates(stream: DataFrame) -> DataFrame:
                     (F.col("_cents") / F.lit(100.0) / F.col("user_txn_count_1h")).alias("user_avg_amount_24h"))
 
 
-_LAST_N_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("user_txn_count_1h", T.LongType()),
-                            T.StructField("user_txn_amount_1h", T.DoubleType()),
-                            T.StructField("user_distinct_events_1h", T.LongType()),
-                            T.StructField("user_avg_amount_24h", T.DoubleType())])
-_LAST_N_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("cents", T.LongType()),
-                              T.StructField("event_ids", T.ArrayType(T.StringType()))])
-
-
-def stream_user_aggregates_last_n(stream: DataFrame, n: int = MAX_EVENT_IDS_PER_USER,
-                                  order_col: str = "timestamp") -> DataFrame:
-    """C3 (exact reference form): count and sum over all time, distinct count
-    over the user's last ``n`` event ids, kept as per-key state with
-    ``applyInPandasWithState`` (update mode)."""
-    def step(key, pdfs: Iterator[pd.DataFrame], state):
-        if state.exists:
-            count, total, ids = state.get
-            ids = list(ids)
-        else:
-            count, total, ids = 0, 0, []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(order_col, kind="stable")
-            count += len(pdf)
-            total += int(pdf["_cents"].sum())
-            ids.extend(pdf["event_id"].astype(str).tolist())
-            if len(ids) > n:
-                ids = ids[-n:]
-        state.update((count, total, ids))
-        yield pd.DataFrame({"user_id": [key[0]], "user_txn_count_1h": [count], "user_txn_amount_1h": [total / 100.0],
-                            "user_distinct_events_1h": [len(set(ids))],
-                            "user_avg_amount_24h": [total / 100.0 / count if count else 0.0]})
-    s = stream.where(F.col("user_id").isNotNull()).select(
-        F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("string").alias("event_id"),
-        cents(F.coalesce(F.col("total_amount"), F.lit(0.0))).alias("_cents"), F.col(order_col))
-    return s.groupBy("user_id").applyInPandasWithState(step, _LAST_N_OUT, _LAST_N_STATE, "update", "NoTimeout")
+# ---------------------------------------------------------------- C4 / D4
+# Newest row first: by time of writing, then by run (one per checkpoint) and
+# batch, so a new checkpoint's batch 0 beats an older run's batch 5.
+_ORDER = ("event_timestamp", "run_id", "batch_id")
 
 
-# ---------------------------------------------------------------- C4 / D4
-def write_online_batch(batch: DataFrame, batch_id: int, root: str, keys=("user_id",)) -> None:
+def _run_id(batch: DataFrame) -> str:
+    """Id of the streaming query that delivers ``batch``, kept by its
+    checkpoint; rows written outside a stream share one run."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
+
+
+def write_online_batch(batch: DataFrame, batch_id: int, root: str, keys=("user_id",),
+                       run_id: str | None = None) -> None:
     """Append one micro-batch of changed rows to the online changelog.
 
-    Each batch lands in its own ``batch_id=`` folder, overwritten on replay,
-    so a retried batch is idempotent.  Only changed keys move (update mode),
-    never the whole table."""
+    Each batch of each run lands in its own folder, overwritten on replay, so
+    a retried batch is idempotent and no run touches another's rows.  Only
+    changed keys move (update mode), never the whole table."""
+    run = run_id or _run_id(batch)
     batch.withColumn("event_timestamp", F.current_timestamp()) \
-         .write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
+         .write.mode("overwrite").parquet(f"{root}/changes/run_id={run}/batch_id={batch_id}")
 
 
 def _online_rows(spark: SparkSession, root: str) -> DataFrame:
-    import os
-    ch = spark.read.parquet(f"{root}/changes")
-    base_path = f"{root}/base"
-    local = base_path[len("file:"):] if base_path.startswith("file:") else base_path
-    if (not local.startswith("/")) or os.path.exists(local):
-        try:
-            ch = spark.read.parquet(base_path).unionByName(ch, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 — no compacted base yet
-            pass
-    return ch
+    """Rows of the newest complete base and of the changelog.  A part that was
+    never written is skipped; a part that cannot be read is an error."""
+    parts = []
+    bases = committed_folders(spark, f"{root}/base/version=*")
+    if bases:
+        parts.append(spark.read.parquet(bases[-1]))
+    if path_exists(spark, f"{root}/changes"):
+        parts.append(spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes")
+                     .withColumn("run_id", F.col("run_id").cast("string"))
+                     .withColumn("batch_id", F.col("batch_id").cast("long")))
+    if not parts:
+        raise FileNotFoundError(f"no online rows under {root}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _newest(rows: DataFrame, keys) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*_ORDER)).alias("_r")).select(*keys, "_r.*")
 
 
 def read_online(spark: SparkSession, root: str, keys=("user_id",)) -> DataFrame:
-    """Current online snapshot: latest row per key over the compacted base
-    and the changelog (by batch id)."""
-    rows = _online_rows(spark, root)
-    others = [c for c in rows.columns if c not in keys and c != "batch_id"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_r")) \
-               .select(*keys, "_r.*")
+    """Current online snapshot: newest row per key over the compacted base and
+    the changelog."""
+    return _newest(_online_rows(spark, root), keys).drop("run_id", "batch_id")
 
 
 def compact_online(spark: SparkSession, root: str, keys=("user_id",)) -> str:
-    """Fold base + changelog into a new base (run periodically, offline).
-    Rows keep their batch id, so change folders at or below the newest
-    folded batch can then be removed by retention."""
-    rows = _online_rows(spark, root)
-    others = [c for c in rows.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_r")) \
-                 .select(*keys, "_r.*")
-    tmp = f"{root}/base_next"
-    latest.write.mode("overwrite").parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(f"{root}/base")
-    return f"{root}/base"
+    """Fold base + changelog into a new base version (run periodically).
+
+    The version counts once its writer has finished; until then, and after a
+    failure midway, readers keep the previous one.  Rows keep the run and
+    batch they come from, so change folders that a finished base has folded,
+    and older versions, can be removed by retention."""
+    latest = _newest(_online_rows(spark, root), keys)
+    versions = committed_folders(spark, f"{root}/base/version=*")
+    number = int(versions[-1].rsplit("=", 1)[1]) + 1 if versions else 0
+    target = f"{root}/base/version={number:010d}"
+    latest.write.mode("overwrite").parquet(target)  # an unfinished attempt of the same number is replaced
+    return target
 
 
 def publish_user_features(aggregates: DataFrame, root: str, checkpoint: str,
@@ -261,8 +243,9 @@ def daily_mean_amount(stream: DataFrame, ts_col: str = "timestamp", watermark: s
 def stream_arm_updates(rewards: DataFrame) -> DataFrame:
     """H3 as a stream: running reward sums per arm (update mode); the bandit
     state is (1 + Σr, 1 + Σ(1−r)) — additive, so batches can arrive in any order."""
-    r = F.least(F.greatest(F.col("reward").cast("double"), F.lit(0.0)), F.lit(1.0))
-    g = rewards.groupBy("arm").agg(F.sum(r).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    given = F.nanvl(F.col("reward").cast("double"), F.lit(None).cast("double"))  # null and NaN rewards say nothing
+    r = F.least(F.greatest(given, F.lit(0.0)), F.lit(1.0))
+    g = rewards.where(given.isNotNull()).groupBy("arm").agg(F.sum(r).alias("_s"), F.count(F.lit(1)).alias("_n"))
     return g.select("arm", (F.lit(1.0) + F.col("_s")).alias("alpha"),
                     (F.lit(1.0) + F.col("_n") - F.col("_s")).alias("beta"))
 
@@ -278,13 +261,22 @@ def run_until_done(query: StreamingQuery, timeout_s: float | None = None) -> Str
 
 def write_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
                    trigger: dict | None = None) -> StreamingQuery:
-    """Stream into a Parquet table (append) or through an idempotent
-    per-batch overwrite (update/complete)."""
+    """Stream into a Parquet table (append) or through an idempotent overwrite
+    per run and batch (update/complete); see ``newest_batches``."""
     if mode == "append":
         w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         return w.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.withColumn("written_at", F.current_timestamp()) \
+             .write.mode("overwrite").parquet(f"{path}/run_id={_run_id(batch)}/batch_id={batch_id}")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def newest_batches(df: DataFrame, keys) -> DataFrame:
+    """Newest row per key of a table that ``write_to_table`` wrote in update mode."""
+    keys = list(keys)
+    kept = [c for c in df.columns if c not in (*keys, "written_at", "run_id", "batch_id")]
+    order = F.struct("written_at", F.col("run_id").cast("string"), F.col("batch_id").cast("long"))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*kept), order).alias("_r")).select(*keys, "_r.*")
