@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnstile.functions.ordered import interpolated_percentiles, order_statistics, running_totals, value_bucket
+from turnstile.functions.ordered import COARSE, interpolated_percentiles, order_statistics, value_bucket
 
 
 def _data(seed=1, n=3000):
@@ -16,19 +16,11 @@ def _data(seed=1, n=3000):
 
 
 def test_value_bucket_is_monotone(spark):
-    xs = sorted(set([-1e300, -5.5, -1.0, -1e-300, 0.0, 1e-300, 1e-5, 0.5, 1.0, 1.0000001, 3.0, 1e10, 1e300]))
+    xs = sorted(set([float("-inf"), -1e300, -5.5, -1.0, -1e-300, 0.0, 1e-300, 1e-5, 0.5, 1.0, 1.0000001, 3.0, 1e10, 1e300, float("inf")])) + [float("nan")]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
-    got = [r.b for r in df.select("v", value_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert got == sorted(got)
-
-
-def test_running_totals_matches_cumsum(spark):
-    rows = _data()
-    df = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    out = running_totals(df, "v", ["c"], by=["k"]).collect()
-    for r in out:
-        expect = sum(1 for k, v in rows if k == r.k and v <= r.v)
-        assert r.cum_c == expect
+    for per in (COARSE, 65536):
+        got = [r.b for r in df.select("v", value_bucket(F.col("v"), per).alias("b")).orderBy("v").collect()]
+        assert got == sorted(got)
 
 
 def test_order_statistics_matches_sorted(spark):
@@ -62,3 +54,22 @@ def test_interpolated_percentiles_match_numpy(spark):
         vals = np.array([v for k, v in rows if k == r.k])
         for name, p in probs.items():
             assert getattr(r, name) == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+
+
+def test_infinities_and_narrow_ranges(spark):
+    """Infinite values are order statistics like any other; values that share a
+    coarse bucket are told apart."""
+    vals = [float("-inf"), float("-inf"), -1.0, 0.0, 2.5, float("inf")]
+    df = spark.createDataFrame([(x,) for x in vals], "v double")
+    r = order_statistics(df, "v", {f"r{k}": (lambda n, k=k: F.lit(k)) for k in range(6)}).collect()[0]
+    assert [r[f"r{k}"] for k in range(6)] == vals
+    close = [1_700_000_000_000_000 + 7 * k for k in range(2000)]
+    df = spark.createDataFrame([(x,) for x in close], "v long")
+    r = order_statistics(df, "v", {"a": lambda n: F.lit(0), "b": lambda n: F.floor(n / 2), "c": lambda n: n - 1}).collect()[0]
+    assert (r.a, r.b, r.c) == (close[0], close[1000], close[-1])
+
+
+def test_ranks_outside_a_group_are_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("b", None)], "k string, v double")
+    got = {r.k: (r.n, r.second) for r in order_statistics(df, "v", {"second": lambda n: F.lit(1)}, ["k"]).collect()}
+    assert got == {"a": (2, 2.0), "b": (1, None)}

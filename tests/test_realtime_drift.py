@@ -135,3 +135,73 @@ def test_drift_score_grows_with_injected_level(spark):
     scores = [D.mean_shift_drift(df, M.inject_drift(df, lvl, ["price", "qty"])).collect()[0].drift_score
               for lvl in (0.0, 0.1, 0.5, 0.9)]
     assert scores[0] == 0.0 and scores == sorted(scores) and scores[-1] >= 0.3
+
+
+def test_distribution_tests_with_an_empty_side(spark):
+    """No data on a side is no test; the summary then falls back to F1."""
+    ref = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "a double, c string")
+    for cur in (ref.limit(0), spark.createDataFrame([(None, None)], "a double, c string")):
+        got = {r.column: (r.kind, r.statistic, r.drifted) for r in D.distribution_tests(ref, cur, ["a"]).collect()}
+        assert got == {"a": ("no data", None, False)}
+        r = D.drifted_share(ref, cur, ["a"]).collect()[0]
+        f1 = D.mean_shift_drift(ref, cur, ["a"]).collect()[0]
+        assert r.n_columns == 0 and r.drift_score == f1.drift_score
+    assert {r.kind for r in D.distribution_tests(ref, ref.limit(0)).collect()} == {"no data"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ks_with_infinities_and_ties(spark, seed):
+    rnd = random.Random(seed)
+    pool = [float("-inf"), -3.0, -1e-9, 0.0, 1.0, 1.001, 1.002, 1.003, 50.0, float("inf")]
+    a, b = [[rnd.choice(pool[k:]) for _ in range(60)] for k in (0, 2)]
+    r = D.distribution_tests(spark.createDataFrame([(x,) for x in a], "x double"),
+                             spark.createDataFrame([(x,) for x in b], "x double")).collect()[0]
+    brute = max(abs(sum(x <= g for x in a) - sum(x <= g for x in b)) / 60 for g in pool)
+    assert r.statistic == pytest.approx(brute)
+
+
+def test_trailing_features_with_ties_and_nulls(spark):
+    """Equal times see each other; the window's far edge is open; null events
+    and amounts count as rows only."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [(1, 1, "a", at(0), 1.0), (2, 1, "a", at(0), 2.0), (3, 1, None, at(30), None), (4, 1, "b", at(60), 4.0),
+            (5, 1, "a", at(60), 8.0), (6, None, "a", at(61), 1.0), (7, 1, "a", at(24 * 60), 1.0),
+            (8, 1, "b", at(24 * 60 + 1), 1.0)]
+    df = spark.createDataFrame(rows, "transaction_id long, user_id long, event_id string, "
+                                     "event_timestamp timestamp_ntz, total_amount double")
+    got = {r.transaction_id: (r.user_txn_count_1h, r.user_txn_amount_1h, r.user_distinct_events_1h)
+           for r in R.trailing_user_features(df).collect()}
+    assert got == {1: (2, 3.0, 1), 2: (2, 3.0, 1), 3: (3, 3.0, 1), 4: (3, 12.0, 2), 5: (3, 12.0, 2), 6: (1, 1.0, 1),
+                   7: (1, 1.0, 1), 8: (2, 2.0, 2)}
+
+
+def test_collect_drift_without_history(spark, tmp_path):
+    import json
+    preds = spark.createDataFrame([(0.9, 0.0), (0.1, 0.0)], "prediction double, label double")
+    missing = D.collect_drift(spark, str(tmp_path / "none"), preds).collect()[0]
+    assert (missing.source, missing.drift_score) == ("calibration_gap", 0.5)
+    (tmp_path / "empty").mkdir()
+    assert D.collect_drift(spark, str(tmp_path / "empty"), preds).collect()[0].source == "calibration_gap"
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.json").write_text("\n".join(json.dumps(
+        {"drift_score": s, "drift_detected": s > .3, "run_ts": f"2024-01-0{k}T00:00:00Z"}) for k, s in ((1, .9), (2, .1))))
+    assert D.collect_drift(spark, str(tmp_path / "h"), preds).collect()[0].drift_score == 0.1
+
+
+def test_hourly_job_publishes_nothing_when_the_gate_fails(spark, tmp_path):
+    from turnstile.plans import workflows as W
+    raw = spark.createDataFrame([(1, "a", 1.0, T0)], "user_id long, event_id string, total_amount double, timestamp timestamp_ntz")
+    bad = spark.createDataFrame([], "event_id long, avg_ticket_price double, event_timestamp timestamp_ntz, "
+                                    "total_tickets_sold long, promoter_success_rate double")
+    with pytest.raises(W.ValidationFailed, match="empty"):
+        W.hourly_features(spark, raw, bad, raw, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_daily_job_writes_its_summary(spark, tmp_path):
+    from turnstile.plans import workflows as W
+    preds = spark.createDataFrame([(0.9, 0.0), (0.1, 0.0)], "prediction double, label double")
+    dec = W.daily_monitoring(spark, None, preds, daily_path=str(tmp_path / "daily")).collect()[0]
+    assert dec.needs_retrain
+    back = spark.read.json(str(tmp_path / "daily")).collect()
+    assert [(r.drift_score, r.source) for r in back] == [(0.5, "calibration_gap")]

@@ -1,17 +1,10 @@
-"""Running totals and exact order statistics without one-task windows.
+"""Exact order statistics without one-task windows or copies of the values.
 
-A ``Window.orderBy`` without ``partitionBy`` (or partitioned by a key that
-holds a third of the rows) sends everything to a single task.  Both helpers
-here use a *two-level* scheme instead:
-
-1. map every value to a bucket with a monotone function (``value_bucket``);
-2. aggregate per (key, bucket) — a small table, partially aggregated
-   map-side — and take prefix sums over buckets there;
-3. finish with a window partitioned by (key, bucket), which only ever sees
-   the distinct values of one narrow value band.
-
-Inputs are first collapsed to one row per distinct (key, value), so a value
-repeated a billion times costs one row in every window.
+A ``Window.orderBy`` over the values of a key that holds a third of the rows
+sends them all to a single task.  Here every value is first mapped to a bucket
+with a monotone function (``value_bucket``); counts per bucket are aggregated
+map-side into a table whose size does not depend on the number of rows, and
+only buckets that can hold the answer are opened.
 """
 
 from __future__ import annotations
@@ -23,50 +16,56 @@ from pyspark.sql import functions as F
 
 from turnstile.session import reuse
 
-# Buckets per factor of two; a bucket spans 2**(1/65536) ≈ 0.001 % of its
-# value.  Only populated buckets exist in the bucket table, and even values
-# spread uniformly over a 60-bit range leave under one row in 2**17 per
-# bucket, so no finishing window sees more than a sliver of a group.
+# Buckets per factor of two.  A coarse bucket spans about 1 % of its value, a
+# fine one 0.001 %.
+COARSE = 64
 PER_OCTAVE = 65536
-# Larger than |floor(log2(x) * PER_OCTAVE)| for every finite double.
-_OFFSET = 1100 * PER_OCTAVE
-_NAN_BUCKET = 2 * _OFFSET + 1
 
 
 def value_bucket(c: Column, per_octave: int = PER_OCTAVE) -> Column:
-    """Integer bucket that never decreases as ``c`` increases (NaN last)."""
-    lg = F.floor(F.log2(F.abs(c)) * F.lit(float(per_octave))).cast("long")
-    pos = F.lit(_OFFSET) + lg
-    return (F.when(F.isnan(c), F.lit(_NAN_BUCKET))
+    """Integer bucket that never decreases as ``c`` increases: -Inf first, then
+    finite values, +Inf, and NaN last."""
+    offset = 1100 * per_octave  # larger than |floor(log2(x) * per_octave)| of every finite double
+    finite = F.abs(c.cast("double")) < float("inf")
+    lg = F.floor(F.log2(F.when(finite, F.abs(c.cast("double")))) * F.lit(float(per_octave))).cast("long")
+    pos = F.lit(offset) + lg
+    last = 2 * offset
+    return (F.when(F.isnan(c.cast("double")), F.lit(last + 1))
+             .when(c == float("inf"), F.lit(last))
+             .when(c == float("-inf"), F.lit(-last))
              .when(c > 0, pos)
              .when(c < 0, -pos)
              .otherwise(F.lit(0)).cast("long"))
 
 
-def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
-                   by: Sequence[str] = (), prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<v>`` = sum of ``v`` over rows of the same ``by`` key whose
-    ``order_col`` is ≤ this row's (ties included).
+def _targets(totals: DataFrame, by: list[str], bucket: str, wanted: DataFrame | None, ranks: dict | None) -> DataFrame:
+    """Buckets that hold a wanted rank, with the rank inside the bucket.
 
-    ``df`` should already hold one row per distinct (by, order_col); the
-    result has the same rows plus the running columns.
-    """
-    by = list(by)
-    b = "_rt_bucket"
-    d = df.withColumn(b, value_bucket(F.col(order_col)))
-    tot = d.groupBy(*by, b).agg(*[F.sum(v).alias(f"_rt_t_{v}") for v in value_cols])
-    w_off = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, b, *[F.coalesce(F.sum(f"_rt_t_{v}").over(w_off), F.lit(0)).alias(f"_rt_o_{v}")
-                               for v in value_cols])
-    w_in = Window.partitionBy(*by, b).orderBy(order_col).rangeBetween(Window.unboundedPreceding, 0)
-    j = d.join(off, [*by, b], "inner")
-    return j.select(*df.columns, *[(F.col(f"_rt_o_{v}") + F.sum(v).over(w_in)).alias(prefix + v)
-                                   for v in value_cols])
+    ``totals`` has ``by, bucket, _c``.  At the first level (``ranks``) the
+    ranks follow from each group's size; further down they come from the
+    level above (``wanted``: by, _q, _r)."""
+    over = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    t = totals.withColumn("_before", F.coalesce(F.sum("_c").over(over), F.lit(0)))
+    if ranks is not None:
+        t = t.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+        each = F.array(*[F.struct(F.lit(name).alias("_q"), fn(F.col("_n")).cast("long").alias("_r"))
+                         for name, fn in ranks.items()])
+        t = t.select(*by, bucket, "_before", "_c", "_n", F.inline(each))
+    else:
+        t = t.join(wanted, by)
+    inside = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
+    return t.where(inside).withColumn("_r", F.col("_r") - F.col("_before")).drop("_before", "_c")
 
 
 def order_statistics(df: DataFrame, value_col: str, ranks: dict[str, Callable[[Column], Column]],
                      by: Sequence[str] = ()) -> DataFrame:
-    """Exact k-th smallest values per group.
+    """Exact k-th smallest values per group, without sorting or copying them.
+
+    Values are counted per coarse bucket; only the buckets that hold a wanted
+    rank are counted again per fine bucket, and only those fine buckets' values
+    are looked at one by one.  Counts are combined map-side, so what moves is
+    buckets (at most a few hundred thousand a group, whatever its size) and
+    slivers of values.
 
     ``ranks`` maps an output name to ``f(n) -> 0-based rank`` (n = non-null
     count of the group).  Returns one row per group that has values:
@@ -74,32 +73,28 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict[str, Callable[[C
     """
     by = list(by)
     v = value_col
-    b = "_os_bucket"
-    counts = (df.where(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("_os_c"))
-                .withColumn(b, value_bucket(F.col(v))))
-    # Several branches read the distinct-value counts; materialise them once
-    # instead of re-scanning and re-aggregating the input per branch.
-    counts = reuse(counts)
-    tot = counts.groupBy(*by, b).agg(F.sum("_os_c").alias("_os_bc"))
-    w_off = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*by)
-    tot = (tot.withColumn("_os_bo", F.coalesce(F.sum("_os_bc").over(w_off), F.lit(0)))
-              .withColumn("_os_n", F.sum("_os_bc").over(w_all)))
-    wanted = F.array(*[F.struct(F.lit(name).alias("_q"), fn(F.col("_os_n")).cast("long").alias("_r"))
-                       for name, fn in ranks.items()])
-    targets = (tot.select(*by, b, "_os_bo", "_os_bc", "_os_n", F.inline(wanted))
-                  .where((F.col("_r") >= F.col("_os_bo")) & (F.col("_r") < F.col("_os_bo") + F.col("_os_bc"))))
-    cand = counts.join(targets.select(*by, b).distinct(), [*by, b], "left_semi")
-    w_in = Window.partitionBy(*by, b).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_os_ci", F.sum("_os_c").over(w_in))
-    hit = (cand.join(targets, [*by, b], "inner")
-               .where((F.col("_os_bo") + F.col("_os_ci") - F.col("_os_c") <= F.col("_r"))
-                      & (F.col("_r") < F.col("_os_bo") + F.col("_os_ci"))))
-    sizes = tot.groupBy(*by).agg(F.max("_os_n").alias("n"))
+    d = df.where(F.col(v).isNotNull()).select(*by, v)
+    coarse = d.withColumn("_b1", value_bucket(F.col(v), COARSE))
+    counted = coarse.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("_c"))
+    # One row per group and rank: stored, because each next pass filters by it.
+    first = reuse(_targets(counted, by, "_b1", None, ranks))
+    # Bounded: one row per group and rank; Spark broadcasts it below its size threshold.
+    fine = coarse.join(first.select(*by, "_b1").distinct(), [*by, "_b1"], "left_semi") \
+                 .withColumn("_b2", value_bucket(F.col(v), PER_OCTAVE))
+    counted = fine.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
+    second = reuse(_targets(counted, [*by, "_b1"], "_b2", first.drop("_n"), None))
+    values = fine.join(second.select(*by, "_b1", "_b2").distinct(), [*by, "_b1", "_b2"], "left_semi") \
+                 .groupBy(*by, "_b1", "_b2", v).agg(F.count(F.lit(1)).alias("_c"))
+    hit = _targets(values, [*by, "_b1", "_b2"], v, second, None)
     picked = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == name, F.col(v))).alias(name) for name in ranks])
+    sizes = (first.groupBy(*by) if by else first).agg(F.max("_n").alias("n"))
+    if not ranks:
+        return sizes
     if by:
-        return sizes.join(picked, by, "left")
-    return sizes.crossJoin(picked)
+        # Groups none of whose ranks exist still have a size.
+        all_sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        return all_sizes.join(picked, by, "left")
+    return d.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n")).crossJoin(picked)
 
 
 def interpolated_percentiles(df: DataFrame, value_col: str, probs: dict[str, float],

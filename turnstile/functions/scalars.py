@@ -100,7 +100,7 @@ def hex_mod(digits: Column, modulus: int = INT32_MOD) -> Column:
                                        + F.conv(x, 16, 10).cast("long")) % F.lit(modulus))
 
 
-def normalize_entity_id(c) -> Column:
+def normalize_entity_id(c, modulus: int = INT32_MOD) -> Column:
     """Map int / digit strings / ``prefix_123`` / ``prefix_hex`` / other
     strings onto a stable non-negative integer key.
 
@@ -110,6 +110,10 @@ def normalize_entity_id(c) -> Column:
       length) → the hex value mod 2**31-1, exactly as Python's ``int(s, 16)``
     * anything else → first 15 hex digits of md5 mod 2**31-1 (stable across
       processes and engines, unlike a salted string hash)
+
+    In the 31-bit key space two of 55,000 hashed ids collide with even odds;
+    where keys need not fit it, ``modulus=2**60`` keeps all 60 bits of the hash
+    (hex suffixes stay in the 31-bit space, as their exact rule says).
     """
     s = py_strip(col_(c).cast("string"))
     suffix = py_strip(F.substring_index(s, "_", -1))
@@ -117,7 +121,7 @@ def normalize_entity_id(c) -> Column:
     digits = F.regexp_replace(suffix, r"^[+-]?(0[xX])?", "")
     v = hex_mod(digits)
     signed = F.when(suffix.startswith("-"), (F.lit(INT32_MOD) - v) % F.lit(INT32_MOD)).otherwise(v)
-    hashed = F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % F.lit(INT32_MOD)
+    hashed = F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % F.lit(modulus)
     raw_suffix = F.substring_index(s, "_", -1)
     return (
         F.when(is_ascii_digits(s), s.try_cast("long"))

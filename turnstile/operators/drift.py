@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstile.functions.ordered import running_totals
+from turnstile.functions.ordered import COARSE, value_bucket
 from turnstile.functions.scalars import numeric_columns
-from turnstile.session import reuse
+from turnstile.session import path_exists, reuse
 
 # Thresholds of the reference's monitoring code.
 DRIFT_THRESHOLD = 0.3          # detection (>=) for scores in [0, 1]
@@ -27,13 +27,6 @@ KS_ALPHA = 0.05                # two-sample KS at 5 %
 JS_THRESHOLD = 0.1             # Jensen-Shannon distance for categorical columns
 
 
-def _stack(one_row: DataFrame, cols: list[str], fields: dict[str, str]) -> DataFrame:
-    """Unpivot a one-row frame of ``{prefix}{col}`` aggregates to (column, field...)."""
-    structs = [F.struct(F.lit(c).alias("column"), *[F.col(f"{p}{c}").alias(name) for name, p in fields.items()])
-               for c in cols]
-    return one_row.select(F.inline(F.array(*structs)))
-
-
 def common_numeric(ref: DataFrame, cur: DataFrame, cols=None) -> list[str]:
     cols = cols or numeric_columns(ref)
     cur_num = set(numeric_columns(cur))
@@ -168,32 +161,68 @@ def _stack_values(df: DataFrame, num: list[str], cat: list[str], rc: Column, cc:
     return df.select(rc.alias("rc"), cc.alias("cc"), F.inline(F.array(*items)))
 
 
+def _ks_statistics(stacked: DataFrame) -> DataFrame:
+    """(column, n_ref, n_cur, statistic): the largest distance of two empirical
+    distribution functions, exactly.
+
+    First pass: counts per column and bucket (map-side, a bounded table), the
+    distance at every bucket's end, and how far it could rise inside a bucket.
+    Second pass: only buckets that could beat the best end are counted by
+    value.  No value is copied, and no task sees a column's whole range."""
+    values = stacked.where(F.col("v").isNotNull()).withColumn("b", value_bucket(F.col("v"), COARSE))
+    counts = [F.sum("rc").alias("rc"), F.sum("cc").alias("cc")]
+    whole = Window.partitionBy("column")
+    below = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(c):
+        return F.coalesce(F.sum(c).over(below), F.lit(0))
+    t = values.groupBy("column", "b").agg(*counts).select(
+        "column", "b", "rc", "cc", before("rc").alias("r0"), before("cc").alias("c0"),
+        F.sum("rc").over(whole).alias("n_ref"), F.sum("cc").over(whole).alias("n_cur"))
+    r0, r1 = F.col("r0") / F.col("n_ref"), (F.col("r0") + F.col("rc")) / F.col("n_ref")
+    c0, c1 = F.col("c0") / F.col("n_cur"), (F.col("c0") + F.col("cc")) / F.col("n_cur")
+    both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    t = t.where(both).withColumn("end", F.abs(r1 - c1)).withColumn("most", F.greatest(r1 - c0, c1 - r0)) \
+         .withColumn("best", F.max("end").over(whole))
+    t = reuse(t)  # a few thousand rows a column, whatever the data
+    opened = t.where("most > best").select("column", "b", "r0", "c0", "n_ref", "n_cur")
+    inside = values.join(opened.select("column", "b"), ["column", "b"], "left_semi") \
+                   .groupBy("column", "b", "v").agg(*counts).join(opened, ["column", "b"])
+    up_to = Window.partitionBy("column", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs((F.col("r0") + F.sum("rc").over(up_to)) / F.col("n_ref")
+                - (F.col("c0") + F.sum("cc").over(up_to)) / F.col("n_cur"))
+    found = inside.select("column", "n_ref", "n_cur", gap.alias("d")) \
+                  .unionByName(t.select("column", "n_ref", "n_cur", F.col("end").alias("d")))
+    return found.groupBy("column", "n_ref", "n_cur").agg(F.max("d").alias("statistic"))
+
+
 def _tests_from_stack(stacked: DataFrame, num: list[str], cat: list[str]) -> DataFrame:
-    counts = reuse(stacked.where(F.col("s").isNotNull() | F.col("v").isNotNull() | F.col("column").isin(*cat))
-                   .groupBy("column", "v", "s").agg(F.sum("rc").alias("rc"), F.sum("cc").alias("cc")))
-    sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
     parts = []
     if num:
-        nc = counts.where(F.col("column").isin(*num)).select("column", "v", "rc", "cc")
-        cum = running_totals(nc, "v", ["rc", "cc"], by=["column"])
-        d = (cum.join(sizes, "column")
-                .groupBy("column", "n_ref", "n_cur")
-                .agg(F.max(F.abs(F.col("cum_rc") / F.col("n_ref") - F.col("cum_cc") / F.col("n_cur"))).alias("statistic")))
+        d = _ks_statistics(stacked.where(F.col("column").isin(*num)))
         thr = _ks_critical(F.col("n_ref").cast("double"), F.col("n_cur").cast("double"))
         parts.append(d.select("column", F.lit("ks").alias("kind"), "statistic", thr.alias("threshold")))
     if cat:
+        counts = stacked.where(F.col("column").isin(*cat)).groupBy("column", "s") \
+                        .agg(F.sum("rc").alias("rc"), F.sum("cc").alias("cc"))
+        sizes = counts.groupBy("column").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur")) \
+                      .where("n_ref > 0 and n_cur > 0")
         p = F.col("rc") / F.col("n_ref")
         q = F.col("cc") / F.col("n_cur")
         m = (p + q) / 2
 
         def kl(a):
             return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-        js = (counts.where(F.col("column").isin(*cat)).join(sizes, "column").groupBy("column")
+        js = (counts.join(sizes, "column").groupBy("column")
                     .agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl(p)) + 0.5 * F.sum(kl(q)))).alias("statistic")))
         parts.append(js.select("column", F.lit("jensen_shannon").alias("kind"), "statistic",
                                F.lit(JS_THRESHOLD).alias("threshold")))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("drifted", F.col("statistic") > F.col("threshold"))
+    tested = reduce(DataFrame.unionByName, parts)
+    # A column without values on one side has no test: "no data", not drifted.
+    every = stacked.sparkSession.createDataFrame([(c,) for c in [*num, *cat]], "column string")
+    return every.join(tested, "column", "left").select(
+        "column", F.coalesce("kind", F.lit("no data")).alias("kind"), "statistic", "threshold",
+        F.coalesce(F.col("statistic") > F.col("threshold"), F.lit(False)).alias("drifted"))
 
 
 _EMPTY_TESTS = "column string, kind string, statistic double, threshold double, drifted boolean"
@@ -203,11 +232,8 @@ def distribution_tests(ref: DataFrame, cur: DataFrame, cols=None) -> DataFrame:
     """F4 per column: numeric → two-sample KS statistic vs its 5 % critical
     value; string → Jensen-Shannon distance (base 2) vs 0.1.
 
-    Long format: (column, kind, statistic, threshold, drifted).  Each side
-    is read once: numeric and string columns are stacked into one long
-    (column, value) frame and counted per distinct value; those counts are
-    materialised once and feed both tests.  The KS CDFs come from a
-    two-level running total (no single-task window, however skewed a value).
+    Long format: (column, kind, statistic, threshold, drifted).  A column
+    without values on one side has kind "no data" and null statistics.
     """
     num = common_numeric(ref, cur, cols)
     cat = [c for c, t in ref.dtypes if t == "string" and c in cur.columns and (cols is None or c in cols)]
@@ -232,10 +258,16 @@ def distribution_tests_split(df: DataFrame, is_ref: Column, cols) -> DataFrame:
 def drifted_share(ref: DataFrame, cur: DataFrame, cols=None, threshold: float = DRIFT_THRESHOLD,
                   tests: DataFrame | None = None) -> DataFrame:
     """F4 summary: share of drifted columns as the drift score (``tests``
-    may be passed in, e.g. from ``distribution_tests_split``)."""
+    may be passed in, e.g. from ``distribution_tests_split``).  Columns without
+    data on a side don't count; where no column has data on both, the score is
+    that of F1."""
     t = tests if tests is not None else distribution_tests(ref, cur, cols)
-    one = t.agg(F.count(F.lit(1)).alias("n_columns"), F.count_if("drifted").alias("n_drifted"))
-    score = F.coalesce(F.try_divide(F.col("n_drifted"), F.col("n_columns")), F.lit(0.0))
+    one = t.agg(F.count_if(F.col("kind") != "no data").alias("n_columns"), F.count_if("drifted").alias("n_drifted"))
+    score = F.try_divide(F.col("n_drifted"), F.col("n_columns"))
+    if ref is not None and cur is not None:
+        one = one.crossJoin(mean_shift_drift(ref, cur, cols).select(F.col("drift_score").alias("_f1")))
+        score = F.coalesce(score, F.col("_f1"))
+    score = F.coalesce(score, F.lit(0.0))
     return one.select("n_columns", "n_drifted", score.alias("drift_score"),
                       drift_decision(score, threshold).alias("drift_detected"))
 
@@ -315,22 +347,22 @@ def retrain_decision(summary: DataFrame, threshold: float = DRIFT_THRESHOLD) ->
 
 
 # ---------------------------------------------------------------- F11
+SUMMARY_SCHEMA = "drift_score double, drift_detected boolean, reference_source string, target_window_hours int, " \
+                 "run_ts string"
+
+
 def collect_drift(spark: SparkSession, summary_path: str | None, predictions: DataFrame | None = None,
                   pred: str = "prediction", label: str = "label") -> DataFrame:
-    """latest stored summary; without one, the calibration gap
+    """latest stored summary; without one (no table, or an empty one), the calibration gap
     |mean(pred) - mean(label)| over real prediction rows."""
-    if summary_path:
-        try:
-            hist = spark.read.json(summary_path)
-            latest = hist.agg(F.max_by(F.struct("drift_score", "drift_detected", "reference_source",
-                                                "target_window_hours", "run_ts"), F.col("run_ts")).alias("s"))
-            return latest.select(F.col("s.drift_score").cast("double").alias("drift_score"),
-                                 F.col("s.drift_detected").alias("drift_detected"),
-                                 F.lit("feature_pipeline").alias("source"),
-                                 F.col("s.reference_source").alias("reference_source"),
-                                 F.col("s.run_ts").alias("run_ts"))
-        except Exception:  # noqa: BLE001 — missing/corrupt summary → fall back
-            pass
+    if summary_path and path_exists(spark, summary_path):
+        hist = spark.read.schema(SUMMARY_SCHEMA).json(summary_path)
+        latest = hist.where("drift_score is not null").agg(F.max_by(F.struct(
+            "drift_score", "drift_detected", "reference_source", "run_ts"), F.col("run_ts")).alias("s"))
+        stored = latest.where(F.col("s").isNotNull())
+        if not stored.isEmpty():
+            return stored.select("s.drift_score", "s.drift_detected", F.lit("feature_pipeline").alias("source"),
+                                 "s.reference_source", "s.run_ts")
     if predictions is None:
         raise ValueError("no drift summary and no predictions to fall back on")
     gap = F.abs(F.avg(F.col(pred).cast("double")) - F.avg(F.col(label).cast("double")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions.scalars import cents, money_sum
+from turnstile.session import reuse
 
 FEATURES = ["user_txn_count_1h", "user_txn_amount_1h", "user_distinct_events_1h", "user_avg_amount_24h"]
 HOUR_US = 3600 * 1_000_000
@@ -65,47 +66,56 @@ def reference_features(seed_txns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C6
-def trailing_window(df: DataFrame, key: str, ts_col: str, aggs: dict, keep=None) -> DataFrame:
-    """Trailing-window aggregates over ``(ts - width, ts]`` as of every row.
-
-    ``aggs`` maps an output name to ``(width_us, f(window) -> Column)``.
-    Rows are bucketed by ``floor(ts / W)`` with W the widest window; each
-    bucket also receives a copy of the previous bucket as context, so every
-    window partition is (key, bucket) — at most 2·W of one key's rows —
-    instead of the key's whole history.  Rows at equal timestamps see each
-    other (point-in-time semantics).
-    """
-    keep = list(keep or df.columns)
-    width = max(wu for wu, _ in aggs.values())
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    b0 = F.floor(us / F.lit(width))
-    # every row is read once and emitted twice: in its own bucket and as
-    # context for the next one
-    both = df.withColumn("_tw_us", us).select(
-        "*", F.inline(F.array(F.struct(b0.alias("_tw_b"), F.lit(True).alias("_tw_own")),
-                              F.struct((b0 + 1).alias("_tw_b"), F.lit(False).alias("_tw_own")))))
-    cols = [F.col(c) for c in keep]
-    for name, (wu, fn) in aggs.items():
-        w = Window.partitionBy(key, "_tw_b").orderBy("_tw_us").rangeBetween(-(wu - 1), Window.currentRow)
-        cols.append(fn(w).alias(name))
-    return both.select(*cols, "_tw_own").where(F.col("_tw_own")).drop("_tw_own")
-
-
-def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp") -> DataFrame:
+def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp", bucket_hours: int = 1) -> DataFrame:
     """The realtime features as of each transaction (training-time form):
-    trailing 1 h count, amount and distinct events, trailing 24 h mean amount."""
-    base = txns.select("transaction_id", "user_id", "event_id", ts_col, cents("total_amount").alias("_cents"))
+    trailing 1 h count, amount and distinct events, trailing 24 h mean amount,
+    over ``(ts - width, ts]``; rows at equal timestamps see each other.
+
+    Every row adds its weight when it arrives and takes it back when it leaves
+    the 1 h and the 24 h window, so a trailing total is a running total over
+    these steps: linear, no frame is summed again.  An event counts as distinct
+    from an occurrence to its last repetition plus one hour, found from the
+    neighbouring occurrences of (user, event).  Running totals are taken per
+    (user, hour) and carried over by a table of one row per (user, hour), so
+    a busy user is many tasks.
+    """
     day = 24 * HOUR_US
-    out = trailing_window(base, "user_id", ts_col, {
-        "user_txn_count_1h": (HOUR_US, lambda w: F.count(F.lit(1)).over(w)),
-        "user_txn_amount_1h": (HOUR_US, lambda w: F.coalesce(F.sum("_cents").over(w), F.lit(0)) / F.lit(100.0)),
-        "user_distinct_events_1h": (HOUR_US, lambda w: F.size(F.collect_set("event_id").over(w)).cast("long")),
-        "_n24": (day, lambda w: F.count(F.lit(1)).over(w)),
-        "_s24": (day, lambda w: F.coalesce(F.sum("_cents").over(w), F.lit(0)) / F.lit(100.0)),
-    }, keep=["transaction_id", "user_id", ts_col])
-    return out.select("transaction_id", "user_id", ts_col, "user_txn_count_1h", "user_txn_amount_1h",
-                      "user_distinct_events_1h",
-                      (F.col("_s24") / F.greatest(F.col("_n24"), F.lit(1))).alias("user_avg_amount_24h"))
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    base = txns.select("transaction_id", "user_id", "event_id", ts_col, us.alias("_us"),
+                       cents("total_amount").alias("_cents"))
+    same = Window.partitionBy("user_id", "event_id").orderBy("_us")
+    last, after = F.lag("_us").over(same), F.lead("_us").over(same)
+    known = F.col("event_id").isNotNull()
+    base = base.withColumn("_starts", (known & F.coalesce(F.col("_us") - last >= HOUR_US, F.lit(True))).cast("int")) \
+               .withColumn("_ends", (known & F.coalesce(after - F.col("_us") >= HOUR_US, F.lit(True))).cast("int"))
+    c = F.coalesce(F.col("_cents"), F.lit(0))
+    zero = F.lit(0)
+
+    def step(at, own, n1, s1, d1, n24, s24):
+        return F.struct(at.alias("_at"), F.lit(own).alias("_own"), n1.alias("_n1"), s1.alias("_s1"), d1.alias("_d1"),
+                        n24.alias("_n24"), s24.alias("_s24"))
+    one = F.lit(1)
+    steps = F.array(step(F.col("_us"), True, one, c, F.col("_starts"), one, c),
+                    step(F.col("_us") + HOUR_US, False, -one, -c, -F.col("_ends"), zero, zero),
+                    step(F.col("_us") + day, False, zero, zero, zero, -one, -c))
+    width = bucket_hours * HOUR_US
+    points = reuse(base.select("transaction_id", "user_id", ts_col, F.inline(steps))
+                   .withColumn("_bucket", F.floor(F.col("_at") / F.lit(width))))
+    names = ["_n1", "_s1", "_d1", "_n24", "_s24"]
+    totals = points.groupBy("user_id", "_bucket").agg(*[F.sum(x).alias(x) for x in names])
+    before = Window.partitionBy("user_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(F.col("user_id").alias("_u"), F.col("_bucket").alias("_b"),
+                          *[F.coalesce(F.sum(x).over(before), zero).alias(f"{x}_0") for x in names])
+    up_to = Window.partitionBy("user_id", "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    running = points.select("*", *[F.sum(x).over(up_to).alias(f"{x}_r") for x in names]).where("_own")
+    j = running.join(carry, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_bucket") == F.col("_b")))
+
+    def total(x):
+        return F.col(f"{x}_0") + F.col(f"{x}_r")
+    return j.select("transaction_id", "user_id", ts_col, total("_n1").alias("user_txn_count_1h"),
+                    (total("_s1") / F.lit(100.0)).alias("user_txn_amount_1h"),
+                    total("_d1").alias("user_distinct_events_1h"),
+                    (total("_s24") / F.lit(100.0) / F.greatest(total("_n24"), F.lit(1))).alias("user_avg_amount_24h"))
 
 
 # ---------------------------------------------------------------- C7

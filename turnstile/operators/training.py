@@ -8,14 +8,13 @@ collect.
 from __future__ import annotations
 
 import random
-from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.functions.ordered import order_statistics, running_totals
-from turnstile.session import reuse
+from turnstile.functions.ordered import COARSE, order_statistics, value_bucket
+from turnstile.session import path_exists, reuse
 
 # Fixed values from the reference: label threshold, split, search space, gate.
 FRAUD_LABEL_THRESHOLD = 0.05
@@ -57,14 +56,14 @@ def split_hash(id_col: str, seed: int = SPLIT_SEED) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, frac: float = VALID_FRACTION,
-                     seed: int = SPLIT_SEED, exact: bool = False) -> DataFrame:
+                     seed: int = SPLIT_SEED, exact: bool = True) -> DataFrame:
     """Add ``split`` ∈ {train, valid}.
 
-    Default: a row is ``valid`` when its hash falls below ``frac`` of the hash
-    range — the same fraction in every class in expectation, no shuffle at
-    all, stable across re-runs and engines.  ``exact=True`` takes exactly
-    ceil(frac·n_class) rows of every class (per-class order statistic of the
-    hash, two-level, then a broadcast of one cut per class).
+    Default: exactly ceil(frac·n_class) rows of every class are ``valid``, those
+    of the smallest hashes (a per-class order statistic of the hash, joined
+    back as one cut per class).  ``exact=False`` compares the hash with ``frac``
+    of its range instead: the same share of every class in expectation, and
+    no pass over the data.
     """
     h = split_hash(id_col, seed)
     if not exact:
@@ -72,7 +71,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, frac: float = VALID
         return df.withColumn("split", F.when(h < F.lit(cut), F.lit("valid")).otherwise(F.lit("train")))
     d = df.withColumn("_h", h)
     cuts = order_statistics(d.select(label, "_h"), "_h", {"_cut": lambda n: F.ceil(F.lit(frac) * n) - 1}, [label])
-    return (d.join(F.broadcast(cuts.select(label, "_cut")), label, "left")
+    return (d.join(cuts.select(label, "_cut"), label, "left")
              .withColumn("split", F.when(F.col("_h") <= F.col("_cut"), F.lit("valid")).otherwise(F.lit("train")))
              .drop("_h", "_cut"))
 
@@ -111,8 +110,10 @@ def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LA
 
     spark = train.sparkSession
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    tr = train.select(*features, F.col(label).cast("double").alias("_label"))
-    va = valid.select(*features, F.col(label).cast("double").alias("_label"))
+    # Written once: every trial and evaluation reads these copies.
+    tr = reuse(train.select(*features, F.col(label).cast("double").alias("_label")))
+    va = reuse(valid.select(*features, F.col(label).cast("double").alias("_label")))
+
     def trial(i_p):
         i, p = i_p
         gbt = GBTClassifier(featuresCol="_features", labelCol="_label", seed=seed, **p)
@@ -145,27 +146,34 @@ def evaluate_scores(df: DataFrame, label: str = "label", score: str = "score",
     score ≥ threshold over rows with a score and a 0/1 label, as one row
     (auc null with a single class).
 
-    The input is read once: rows are counted per distinct score (positives,
-    negatives) and materialised; the "negatives below" prefix sum is a
-    two-level running total (no unpartitioned window, no global sort) and
-    accuracy is a sum over the same counts.
+    Scores are counted per bucket, map-side; a positive beats all negatives of
+    lower buckets, and inside a bucket the distinct scores are compared.  The
+    input is read twice, nothing is copied, and the only total over all
+    buckets is over a table of bounded size.
     """
-    y = F.col(label).cast("double")
-    base = df.select(F.col(score).cast("double").alias("_s"), y.alias("_y")) \
-             .where(F.col("_s").isNotNull() & F.col("_y").isin(0.0, 1.0))
-    counts = reuse(base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"),
-                                          F.count_if(F.col("_y") == 0).alias("neg")))
-    cum = running_totals(counts, "_s", ["neg"])
-    hit = F.when(F.col("_s") >= F.lit(threshold), F.col("pos")).otherwise(F.col("neg"))
-    u = cum.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("_u"),
-                F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
-                F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
-                F.sum(hit).alias("_hit"))
+    base = df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")) \
+             .where(F.col("_s").isNotNull() & F.col("_y").isin(0.0, 1.0)) \
+             .withColumn("_b", value_bucket(F.col("_s"), COARSE))
+    hit = (F.col("_s") >= F.lit(threshold)) == (F.col("_y") == 1)
+    sums = [F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")]
+
+    def wins(below: Column) -> Column:
+        return F.sum(F.col("pos") * below)
+    lower = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = base.groupBy("_b").agg(*sums, F.count_if(hit).alias("_hit")) \
+                  .withColumn("_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    between = buckets.agg(wins(F.col("_below")).alias("_u1"), F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
+                          F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"), F.sum("_hit").alias("_hit"))
+    up_to = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    within = base.groupBy("_b", "_s").agg(*sums) \
+                 .withColumn("_below", F.coalesce(F.sum("neg").over(up_to), F.lit(0)) + 0.5 * F.col("neg")) \
+                 .agg(wins(F.col("_below")).alias("_u2"))
     n = F.col("positives") + F.col("negatives")
     auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
-                 F.col("_u") / (F.col("positives") * F.col("negatives")))
-    return u.select(auc.alias("auc"), F.coalesce(F.try_divide(F.col("_hit"), n), F.lit(0.0)).alias("accuracy"),
-                    n.alias("n"), "positives", "negatives")
+                 (F.col("_u1") + F.col("_u2")) / (F.col("positives") * F.col("negatives")))
+    return between.crossJoin(within).select(
+        auc.alias("auc"), F.coalesce(F.try_divide(F.col("_hit"), n), F.lit(0.0)).alias("accuracy"),
+        n.alias("n"), "positives", "negatives")
 
 
 # ---------------------------------------------------------------- G5
@@ -215,9 +223,9 @@ def _permute_column(df: DataFrame, col: str, seed: int) -> DataFrame:
     schema = df.schema
 
     def perm(batches):
-        for pdf in batches:
+        for number, pdf in enumerate(batches):
             if len(pdf):
-                rng = np.random.default_rng(seed + int(pdf["_pid"].iloc[0]))
+                rng = np.random.default_rng((seed, int(pdf["_pid"].iloc[0]), number))
                 pdf[col] = pdf[col].to_numpy()[rng.permutation(len(pdf))]
             yield pdf.drop(columns=["_pid"])
     tagged = df.repartition(F.xxhash64(*df.columns, F.lit(seed))).withColumn("_pid", F.spark_partition_id())
@@ -229,6 +237,7 @@ def feature_attribution(model, df: DataFrame, features, label: str = LABEL_COLUM
     """Permutation importance — drop in AUC when one feature's values
     are shuffled — next to the GBT's own ``featureImportances``."""
     spark = df.sparkSession
+    df = reuse(df)  # read by every shuffle and evaluation
     base = evaluate_scores(score_batch(df, model), label=label, score="fraud_score").first()["auc"] or 0.0
     gbt = model.stages[-1] if hasattr(model, "stages") else model
     imp = list(gbt.featureImportances.toArray()) if hasattr(gbt, "featureImportances") else [None] * len(features)
@@ -256,19 +265,20 @@ def select_model_version(registry: DataFrame, stage: str = "Production") -> Data
 
 
 def register_if_accepted(gate: DataFrame, registry_path: str, name: str, source: str = "pyspark.ml") -> bool:
-    """Append the next version of ``name`` to the registry table when the
-    gate row says accepted (stage empty until promoted).  Returns accepted."""
+    """Append the next version of ``name`` to the registry table, in stage
+    Staging, when the gate row says accepted.  Returns accepted.  Only a
+    registry that was never written starts at version 1; one that cannot be
+    read is an error."""
     spark = gate.sparkSession
     row = gate.select("accepted", "auc", "accuracy").first()
     if not row or not row["accepted"]:
         return False
-    try:
+    nxt = None
+    if path_exists(spark, registry_path):
         reg = spark.read.parquet(registry_path)
         nxt = reg.where(F.col("name") == name).agg(F.max(F.col("version").cast("long")).alias("v")).first()["v"]
-    except Exception:  # noqa: BLE001 — first registration
-        nxt = None
     version = str((nxt or 0) + 1)
-    spark.createDataFrame([(name, version, None, f"auc={row['auc']:.4f};accuracy={row['accuracy']:.4f}", source)],
+    spark.createDataFrame([(name, version, "Staging", f"auc={row['auc']:.4f};accuracy={row['accuracy']:.4f}", source)],
                           "name string, version string, stage string, run_id string, source string") \
          .write.mode("append").parquet(registry_path)
     return True
@@ -279,6 +289,3 @@ def list_model_versions(registry: DataFrame) -> DataFrame:
     return registry.select("name", F.col("version").cast("string").alias("version"),
                            F.coalesce(F.col("stage"), F.lit("None")).alias("stage"), "run_id") \
         .orderBy("name", F.col("version").cast("long").desc())
-
-
-ModelLike = Callable

@@ -38,6 +38,22 @@ def q_write_feature_table(spark, d):
     return round_doubles(spark.read.parquet(path))
 
 
+@register("a3_schema_gate", """
+SELECT 'user_id' AS "column", true AS present, count(user_id) AS rows FROM events
+UNION ALL SELECT 'value', true, count(value) FROM events
+UNION ALL SELECT 'total_amount', false, CAST(0 AS BIGINT)""")
+def q_schema_gate(spark, d):
+    return A.schema_gate(spark, V.table(spark, d, "events"), ("user_id", "value", "total_amount"))
+
+
+@register("a9_resolve_source", """
+SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus""")
+def q_resolve_source(spark, d):
+    orders = A.resolve_source(spark, A.SourceConfig(local_root=d), "orders")
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                               F.countDistinct("o_custkey").alias("customers"))
+
+
 # ================================================================== C
 SQL_C1 = with_views("""
 WITH r AS (SELECT * FROM raw_events
@@ -67,9 +83,9 @@ SELECT user_id, n AS user_txn_count_1h, round(s, 4) AS user_txn_amount_1h, de AS
        round(s / greatest(n, 1), 4) AS user_avg_amount_24h FROM a""", "txns"))(
     lambda spark, d: round_doubles(R.reference_features(V.txns(spark, d))))
 
-register("c6_trailing_user_features", with_views("""
-WITH t AS (SELECT transaction_id, user_id, event_id, event_timestamp,
-                  CAST(round(total_amount * 100) AS BIGINT) AS cents, epoch_us(event_timestamp) AS us FROM txns)
+def _sql_trailing(rows: str) -> str:
+    return f"""
+WITH t AS ({rows})
 SELECT transaction_id, user_id, event_timestamp,
   count(*) OVER w1 AS user_txn_count_1h,
   round(coalesce(sum(cents) OVER w1, 0) / 100.0, 4) AS user_txn_amount_1h,
@@ -77,9 +93,22 @@ SELECT transaction_id, user_id, event_timestamp,
   round(coalesce(sum(cents) OVER w24, 0) / 100.0 / greatest(count(*) OVER w24, 1), 4) AS user_avg_amount_24h
 FROM t
 WINDOW w1 AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW),
-       w24 AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)""", "txns"))(
+       w24 AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)"""
+
+
+register("c6_trailing_user_features", with_views(_sql_trailing("""
+SELECT transaction_id, user_id, event_id, event_timestamp, CAST(round(total_amount * 100) AS BIGINT) AS cents,
+       epoch_us(event_timestamp) AS us FROM txns"""), "txns"))(
     lambda spark, d: round_doubles(R.trailing_user_features(V.txns(spark, d))))
 
+# The same over the event stream, whose timestamps are not day-grained.
+register("c6_trailing_user_features_events", _sql_trailing("""
+SELECT event_id AS transaction_id, user_id, event_type AS event_id, ts AS event_timestamp,
+       CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) AS us FROM events"""))(
+    lambda spark, d: round_doubles(R.trailing_user_features(V.table(spark, d, "events").select(
+        F.col("event_id").alias("transaction_id"), "user_id", F.col("event_type").alias("event_id"),
+        F.col("ts").alias("event_timestamp"), F.col("value").alias("total_amount")))))
+
 # ================================================================== D
 # Per-(user, day) purchase features, available from the next day: the
 # offline feature table D2-D4 and D8 read.
