@@ -99,3 +99,45 @@ def test_normalize_matches_python_rule_for_long_hex(spark):
                .select("s", normalize_entity_id(F.col("s")).alias("k")).collect())
     for c in cases:
         assert got[c] == int(c.strip().split("_")[-1], 16) % M
+
+
+KEYED = S.FeatureView("v", ("k",), 10 * 86400, (("x", "double"),), ingested=None)
+
+
+def test_null_keys_match_nothing(spark):
+    import datetime as dt
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    feats = spark.createDataFrame([(None, t(1), 7.0), (1, t(1), 3.0)], "k long, event_timestamp timestamp_ntz, x double")
+    ents = spark.createDataFrame([(10, None, t(2)), (11, 1, t(2)), (12, 2, t(2))],
+                                 "id long, k long, event_timestamp timestamp_ntz")
+    got = {r.id: r.x for r in S.get_historical_features(ents, feats, KEYED).collect()}
+    assert got == {10: None, 11: 3.0, 12: None}
+
+
+def test_crowded_buckets_are_cut_finer(spark, monkeypatch):
+    import datetime as dt
+    import random
+    rnd = random.Random(1)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda: t0 + dt.timedelta(seconds=rnd.randint(0, 3 * 86400))
+    feats = [(rnd.choice([1, 1, 1, 2]), at(), float(n)) for n in range(300)]
+    feats = list({(k, t): (k, t, x) for k, t, x in feats}.values())
+    ents = [(n, rnd.choice([1, 1, 2, 3]), at()) for n in range(300)]
+    monkeypatch.setattr(S, "HOT_ROWS", 20)
+    got = S.get_historical_features(spark.createDataFrame(ents, "id long, k long, event_timestamp timestamp_ntz"),
+                                    spark.createDataFrame(feats, "k long, event_timestamp timestamp_ntz, x double"), KEYED)
+    want = {i: max(((t, x) for k2, t, x in feats if k2 == k and t <= e), default=(None, None))[1] for i, k, e in ents}
+    assert {r.id: r.x for r in got.collect()} == want
+
+
+def test_repeated_snapshot_keys_do_not_multiply_requests(spark):
+    req = spark.createDataFrame([(1, 5), (2, 6)], "request_id long, k long")
+    snap = spark.createDataFrame([(5, 1, 1.0), (5, 2, 2.0)], "k long, event_timestamp long, x double")
+    got = sorted(map(tuple, S.get_online_features(req, {KEYED: snap}, ["v:x"]).select("request_id", "v__x").collect()))
+    assert got == [(1, 2.0), (2, None)]
+
+
+def test_an_update_beats_the_snapshot_at_equal_times(spark):
+    old = spark.createDataFrame([(1, 5, 1.0)], "k long, ts long, x double")
+    new = spark.createDataFrame([(1, 5, 2.0)], "k long, ts long, x double")
+    assert [r.x for r in S.upsert_snapshot(old, new, ["k"], "ts").collect()] == [2.0]

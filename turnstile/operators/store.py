@@ -9,10 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstile.functions.scalars import normalize_entity_id
+from turnstile.functions.scalars import INT32_MOD, normalize_entity_id
+from turnstile.session import reuse
+
+# Rows of one (keys, bucket) pair that one task may hold in the point-in-time join.
+HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,7 +99,8 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
 
     Built as union + window (Spark has no as-of join).  To keep a hot key
     from landing in one task, the window is partitioned by (keys, time
-    bucket).  Entity rows travel through the union as one struct, so no
+    bucket), and crowded buckets are cut finer.  Rows with a null key match
+    nothing; such entities keep null features.  Entity rows travel through the union as one struct, so no
     row id and no join back to the entity table are needed.  For entities
     whose bucket holds no earlier feature row, the last feature row of the
     nearest earlier bucket is carried forward by a second, small window
@@ -114,39 +119,46 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
     def us_of(c):
         return F.unix_micros(c.cast("timestamp"))
 
-    def bucket_of(c):
-        return F.floor(us_of(c) / F.lit(bucket_us))
-
-    f_rows = feature_df.select(*keys, us_of(fts).alias("_pit_us"), bucket_of(fts).alias("_pit_b"),
-                               F.lit(0).alias("_pit_side"), _ingested(feature_df, view).alias("_pit_ing"),
-                               fpay.alias("_pit_p"), F.lit(None).cast(ent_type).alias("_pit_e"))
+    have_keys = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    f_rows = feature_df.where(have_keys).select(
+        *keys, us_of(fts).alias("_pit_us"), F.lit(0).alias("_pit_side"), _ingested(feature_df, view).alias("_pit_ing"),
+        fpay.alias("_pit_p"), F.lit(None).cast(ent_type).alias("_pit_e"))
     ets = F.col(entity_ts)
-    e_rows = entity_df.select(*keys, us_of(ets).alias("_pit_us"), bucket_of(ets).alias("_pit_b"),
-                              F.lit(1).alias("_pit_side"), F.lit(None).cast(pay_type["ing"].dataType).alias("_pit_ing"),
-                              F.lit(None).cast(pay_type).alias("_pit_p"),
-                              F.struct(*[F.col(c) for c in entity_df.columns]).alias("_pit_e"))
+    e_rows = entity_df.select(
+        *keys, us_of(ets).alias("_pit_us"), F.lit(1).alias("_pit_side"),
+        F.lit(None).cast(pay_type["ing"].dataType).alias("_pit_ing"), F.lit(None).cast(pay_type).alias("_pit_p"),
+        F.struct(*[F.col(c) for c in entity_df.columns]).alias("_pit_e"))
+    # Both sides are read once; every later branch reads this copy.
+    u = reuse(f_rows.unionByName(e_rows))
+    coarse = F.floor(F.col("_pit_us") / F.lit(bucket_us)) * F.lit(bucket_us)
+    u = u.withColumn("_pit_c", coarse)
+    # (keys, bucket) pairs of more than HOT_ROWS rows are cut finer.  There are
+    # at most rows / HOT_ROWS such pairs, so they may be broadcast.
+    hot = u.groupBy(*keys, "_pit_c").count().where((F.col("count") > HOT_ROWS) & have_keys) \
+           .withColumn("_pit_w", F.ceil(F.lit(bucket_us) / F.ceil(F.col("count") / HOT_ROWS))).drop("count")
+    u = u.join(F.broadcast(hot), [*keys, "_pit_c"], "left")
+    fine = F.coalesce(F.floor((F.col("_pit_us") - F.col("_pit_c")) / F.col("_pit_w")) * F.col("_pit_w"), F.lit(0))
+    u = u.withColumn("_pit_b", (F.col("_pit_c") + fine).cast("long")).drop("_pit_c", "_pit_w")
+    keyed = u.where(have_keys)
     w = (Window.partitionBy(*keys, "_pit_b").orderBy("_pit_us", "_pit_side", "_pit_ing")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inb = (f_rows.unionByName(e_rows)
-           .withColumn("_pit_in", F.last("_pit_p", ignorenulls=True).over(w))
+    inb = (keyed.withColumn("_pit_in", F.last("_pit_p", ignorenulls=True).over(w))
            .where(F.col("_pit_side") == 1)
            .select(*keys, "_pit_b", "_pit_e", "_pit_in"))
-    # Last feature row of each (keys, bucket), and every entity bucket; a
-    # bucket's own feature summary sorts after its entity marker, so only
-    # strictly earlier buckets are carried.
-    last_per_b = f_rows.groupBy(*keys, "_pit_b").agg(
-        F.max_by("_pit_p", F.struct("_pit_us", "_pit_ing")).alias("_pit_lb"))
-    ent_b = entity_df.select(*keys, bucket_of(ets).alias("_pit_b")).distinct()
-    u2 = (last_per_b.select(*keys, "_pit_b", F.lit(1).alias("_pit_side"), "_pit_lb")
-          .unionByName(ent_b.select(*keys, "_pit_b", F.lit(0).alias("_pit_side"),
-                                    F.lit(None).cast(pay_type).alias("_pit_lb"))))
-    w2 = (Window.partitionBy(*keys).orderBy("_pit_b", "_pit_side")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carried = (u2.withColumn("_pit_prev", F.last("_pit_lb", ignorenulls=True).over(w2))
-                 .where((F.col("_pit_side") == 0) & F.col("_pit_prev").isNotNull())
-                 .select(*keys, "_pit_b", "_pit_prev"))
+    # One row per (keys, bucket): its last feature row, and whether entities
+    # are in it.  A bucket takes the last row of strictly earlier buckets.
+    per_b = keyed.groupBy(*keys, "_pit_b").agg(
+        F.max_by("_pit_p", F.when(F.col("_pit_side") == 0, F.struct("_pit_us", "_pit_ing"))).alias("_pit_lb"),
+        F.max("_pit_side").alias("_pit_has"))
+    w2 = Window.partitionBy(*keys).orderBy("_pit_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (per_b.withColumn("_pit_prev", F.last("_pit_lb", ignorenulls=True).over(w2))
+                    .where((F.col("_pit_has") == 1) & F.col("_pit_prev").isNotNull())
+                    .select(*keys, "_pit_b", "_pit_prev"))
     res = inb.join(carried, [*keys, "_pit_b"], "left") \
-             .withColumn("_pit_f", F.coalesce("_pit_in", "_pit_prev"))
+             .select("_pit_e", F.coalesce("_pit_in", "_pit_prev").alias("_pit_f"))
+    # An entity without a whole key has no features.
+    keyless = u.where(~have_keys).select("_pit_e", F.lit(None).cast(pay_type).alias("_pit_f"))
+    res = res.unionByName(keyless)
     ttl_ok = us_of(F.col("_pit_f.ts")) >= us_of(F.col(f"_pit_e.{entity_ts}")) - F.lit(view.ttl_seconds * 1_000_000)
     pre = prefix if prefix is not None else ""
     fcols = [F.when(ttl_ok, F.col(f"_pit_f.{f}")).alias(f"{pre}{f}") for f in feats]
@@ -189,8 +201,8 @@ def materialize(view_df: DataFrame, view: FeatureView, start=None, end=None) ->
         df = df.where(ts <= (end if isinstance(end, Column) else F.lit(end)))
     keys = list(view.entities)
     others = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*others), F.struct(ts, _ingested(df, view))).alias("_row"))
+    latest = df.groupBy(*keys).agg(F.max_by(
+        F.struct(*others), F.struct(ts, _ingested(df, view), F.xxhash64(*others))).alias("_row"))  # ties: one fixed row
     return latest.select(*keys, "_row.*")
 
 
@@ -198,11 +210,15 @@ def materialize(view_df: DataFrame, view: FeatureView, start=None, end=None) ->
 def upsert_snapshot(snapshot: DataFrame | None, updates: DataFrame, keys, ts_col: str) -> DataFrame:
     """New snapshot = latest row per key over (old snapshot ∪ updates).
 
-    Idempotent: re-applying the same batch gives the same snapshot."""
+    At equal times an update beats the snapshot.  Idempotent: re-applying the
+    same batch gives the same snapshot."""
     keys = list(keys)
-    both = updates if snapshot is None else snapshot.unionByName(updates, allowMissingColumns=True)
-    others = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ts_col)).alias("_r")).select(*keys, "_r.*")
+    both = updates.withColumn("_new", F.lit(1))
+    if snapshot is not None:
+        both = snapshot.withColumn("_new", F.lit(0)).unionByName(both, allowMissingColumns=True)
+    others = [c for c in both.columns if c not in keys and c != "_new"]
+    order = F.struct(F.col(ts_col), F.col("_new"), F.xxhash64(*others))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
 
 
 # ---------------------------------------------------------------- D5
@@ -217,34 +233,40 @@ def get_online_features(entities: DataFrame, snapshots: dict[FeatureView, DataFr
     for r in refs:
         v, f = r.split(":", 1)
         by_view.setdefault(v, []).append(f)
-    out = entities
+    # Views over one snapshot with the same request keys share a single join.
+    sides: dict[tuple, list] = {}
     for view, snap in snapshots.items():
-        if view.name not in by_view:
-            continue
-        feats = by_view[view.name]
-        keys = [k for k in view.entities if k in entities.columns]
-        if len(keys) < len(view.entities):
-            # Keys missing from the request (e.g. promoter for an event) are
-            # resolved through the snapshot: the latest whole row per
-            # available key, never values mixed from different rows.
-            order = F.struct(*[F.col(c) for c in (view.timestamp, *[k for k in view.entities if k not in keys])
-                               if c in snap.columns])
-            snap = snap.groupBy(*keys).agg(F.max_by(F.struct(*feats), order).alias("_r")).select(*keys, "_r.*")
-        side = snap.select(*keys, *[F.col(f).alias(f"{view.name}__{f}") for f in feats])
-        out = out.join(side, keys, "left")
+        if view.name in by_view:
+            keys = tuple(k for k in view.entities if k in entities.columns)
+            sides.setdefault((id(snap), keys), []).append((view, snap))
+    out = entities
+    for (_, keys), views in sides.items():
+        snap = views[0][1]
+        values = {f"{v.name}__{f}": F.col(f) for v, _ in views for f in by_view[v.name]}
+        # One whole row per key, the latest: repeated keys never multiply
+        # requests, and keys missing from the request (e.g. promoter for an
+        # event) are resolved without mixing values of different rows.
+        rest = [k for v, _ in views for k in v.entities if k not in keys and k in snap.columns]
+        times = [v.timestamp for v, _ in views if v.timestamp in snap.columns]
+        order = [F.col(c) for c in dict.fromkeys([*times, *rest])]
+        picked = F.struct(*[c.alias(n) for n, c in values.items()])
+        side = snap.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(
+            F.max_by(picked, F.struct(*order, F.xxhash64(*values.values()))).alias("_r")).select(*keys, "_r.*")
+        out = out.join(side, list(keys), "left")
     return out
 
 
 # ---------------------------------------------------------------- D6
-def normalize_ids(df: DataFrame, cols) -> DataFrame:
-    """D6 over whole columns: integral columns pass through, others are mapped."""
+def normalize_ids(df: DataFrame, cols, modulus: int = INT32_MOD) -> DataFrame:
+    """D6 over whole columns: integral columns pass through, others are mapped
+    (``modulus``: key space of hashed ids)."""
     types = dict(df.dtypes)
     out = {}
     for c in cols:
         if types[c] in ("tinyint", "smallint", "int", "bigint"):
             out[c] = F.col(c).cast("long")
         else:
-            out[c] = normalize_entity_id(F.col(c))
+            out[c] = normalize_entity_id(F.col(c), modulus)
     return df.withColumns(out)
 
 
@@ -300,7 +322,3 @@ def requests_from_transactions(txns: DataFrame, overrides: Column | None = None)
     if overrides is not None:
         cols.append(overrides.alias("overrides"))
     return txns.select(*cols)
-
-
-def spark_for(df: DataFrame) -> SparkSession:
-    return df.sparkSession
