@@ -105,7 +105,8 @@ def test_exact_split_sizes_and_hash_split(spark):
     ex = G.stratified_split(df, "y", "user_id", exact=True).groupBy("y", "split").count().collect()
     sizes = {(r.y, r.split): r["count"] for r in ex}
     assert sizes[(0, "valid")] == 180 and sizes[(1, "valid")] == 20
-    hs = G.stratified_split(df, "y", "user_id").where("split = 'valid'").count()
+    assert G.stratified_split(df, "y", "user_id").where("split = 'valid'").count() == 200  # exact is the default
+    hs = G.stratified_split(df, "y", "user_id", exact=False).where("split = 'valid'").count()
     assert 120 < hs < 280
 
 
@@ -158,5 +159,63 @@ def test_register_if_accepted_appends_next_version(spark):
     assert G.register_if_accepted(ok, path, "m") and not G.register_if_accepted(bad, path, "m")
     assert G.register_if_accepted(ok, path, "m")
     reg = spark.read.parquet(path)
-    assert sorted(r.version for r in reg.collect()) == ["1", "2"]
+    assert sorted((r.version, r.stage) for r in reg.collect()) == [("1", "Staging"), ("2", "Staging")]
     assert G.select_model_version(reg, "Production").collect()[0].version == "2"
+
+
+def test_unreadable_registry_is_an_error(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "part-0.parquet").write_text("no parquet")
+    ok = spark.createDataFrame([(0.9, 0.95, True)], "auc double, accuracy double, accepted boolean")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        G.register_if_accepted(ok, str(tmp_path / "r"), "m")
+
+
+NAN = float("nan")
+
+
+def test_nan_is_no_price_input(spark):
+    from turnstile.operators import store as S
+    req = spark.createDataFrame([(k, k, 100.0, "baseline") for k in range(1, 6)],
+                                "request_id long, event_id long, current_price double, arm_hint string")
+    snap = spark.createDataFrame([(1, 1.0, NAN), (2, NAN, 1.0), (3, None, 1.0), (4, 1.0, 1.0)],
+                                 "event_id long, current_inventory double, sell_through_rate_5min double")
+    got = {r.request_id: (r.recommended_price, r.arm) for r in H.price_batch(req, {S.EVENT_REALTIME: snap}).collect()}
+    assert got == {1: (105.0, "fallback"), 2: (105.0, "fallback"), 3: (105.0, "fallback"), 4: (100.0, "baseline"),
+                   5: (105.0, "fallback")}
+
+
+def test_every_new_arm_is_explored(spark):
+    """Unseen arms with equal state draw on their own; orders are different."""
+    state = H.update_arms(H.initial_arms(spark, ["baseline"]), spark.createDataFrame(
+        [("x", 0.5), ("y", 0.5), ("baseline", 0.5), ("y", None), ("z", NAN)], "arm string, reward double"))
+    rows = {r.arm: (r.arm_order, r.alpha, r.beta) for r in state.collect()}
+    assert rows == {"baseline": (0, 1.5, 1.5), "x": (1, 1.5, 1.5), "y": (2, 1.5, 1.5)}
+    req = spark.range(20_000).select(F.col("id").alias("request_id"))
+    share = {r.arm: r["count"] for r in H.choose_arm(req, state, seed=3).groupBy("arm").count().collect()}
+    assert set(share) == {"baseline", "x", "y"} and all(6_000 < n < 7_400 for n in share.values())
+
+
+def test_requests_need_their_required_fields(spark):
+    from turnstile.operators import quality as Q
+    df = spark.createDataFrame([(1, 2, None), (1, 2, 5.0), (None, 2, 5.0), (1, 2, -1.0)],
+                               "user_id long, event_id long, amount double")
+    assert [r.valid for r in Q.validate_requests(df).collect()] == [False, True, False, False]
+
+
+def test_histogram_ignores_nan_and_infinity(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(10)] + [(NAN,), (float("inf"),), (None,)], "latency_ms double")
+    bins = I.latency_histogram(df, bins=5).collect()
+    assert sum(r["count"] for r in bins) == 10 and max(r.bin_end for r in bins) == 9.0
+
+
+def test_percentiles_with_infinite_latency(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "latency_ms double")
+    r = I.latency_sla(df).collect()[0]
+    assert r.p50_ms == 2.0 and r.n == 3
+
+
+def test_auc_with_infinite_scores(spark):
+    rows = [(float("inf"), 1), (5.0, 0), (0.5, 1), (0.5, 0), (float("-inf"), 0)]
+    r = G.evaluate_scores(spark.createDataFrame(rows, "score double, label int")).collect()[0]
+    assert r.auc == pytest.approx((3 + 1.5) / 6)

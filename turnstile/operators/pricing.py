@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstile.functions.scalars import clip
 from turnstile.operators.store import get_online_features
 
 # Fixed values from the reference: arms, uplift, demand clip, band, fallback.
@@ -25,20 +26,22 @@ FALLBACK_UPLIFT = 1.05
 VELOCITY_COL = "event_realtime_metrics__sell_through_rate_5min"
 INVENTORY_COL = "event_realtime_metrics__current_inventory"
 
-PRICE_SCHEMA = ["recommended_price", "arm", "lower_confidence", "upper_confidence"]
-
 
 # ---------------------------------------------------------------- H1
 def recommend_price(req: DataFrame, price_col: str = "current_price", arm_col: str = "arm") -> DataFrame:
     """H1: price = max(base·(1+uplift)·clip(velocity / max(inventory, 1), 0.5, 2), 0),
-    band ±10 %.  Absent feature columns default to 1 (present nulls stay null)."""
-    vel = F.col(VELOCITY_COL).cast("double") if VELOCITY_COL in req.columns else F.lit(1.0)
-    inv = F.col(INVENTORY_COL).cast("double") if INVENTORY_COL in req.columns else F.lit(1.0)
+    band ±10 %.  Absent feature columns default to 1; a feature or price that is
+    null or NaN gives no price (H4 then falls back)."""
+    def number(name, default):
+        if name not in req.columns:
+            return F.lit(default)
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))  # NaN is no price input
+    vel, inv = number(VELOCITY_COL, 1.0), number(INVENTORY_COL, 1.0)
+    base = number(price_col, None)
     uplift = F.when(F.col(arm_col) == "aggressive", F.lit(AGGRESSIVE_UPLIFT)).otherwise(F.lit(0.0))
-    demand = F.least(F.greatest(vel / F.greatest(inv, F.lit(1.0)), F.lit(DEMAND_MIN)), F.lit(DEMAND_MAX))
-    demand = F.when(vel.isNull() | inv.isNull(), F.lit(None)).otherwise(demand)
-    price = F.greatest(F.col(price_col).cast("double") * (1 + uplift) * demand, F.lit(0.0))
-    price = F.when(demand.isNull() | F.col(price_col).isNull(), F.lit(None).cast("double")).otherwise(price)
+    demand = clip(vel / F.greatest(inv, F.lit(1.0)), DEMAND_MIN, DEMAND_MAX)
+    price = F.when(vel.isNotNull() & inv.isNotNull() & base.isNotNull(),
+                   F.greatest(base * (1 + uplift) * demand, F.lit(0.0)))
     return req.withColumn("recommended_price", price) \
               .withColumn("lower_confidence", F.col("recommended_price") * BAND_LOW) \
               .withColumn("upper_confidence", F.col("recommended_price") * BAND_HIGH)
@@ -94,78 +97,49 @@ def beta_draw(key: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarra
     return x / (x + y)
 
 
-def _arm_fields(a):
-    return (a["arm_order"], a["arm"], a["alpha"], a["beta"]) if isinstance(a, dict) else tuple(a)
-
-
-def _draw_best(k: np.ndarray, state) -> np.ndarray:
-    """Index (into the order-sorted state) of the arm with the largest draw per key."""
-    n = len(k)
-    best = np.full(n, -np.inf)
-    pick = np.zeros(n, dtype=np.int64)
-    for i, (order, _name, a, b) in enumerate(state):
-        with np.errstate(over="ignore"):
-            ka = _splitmix(k ^ _splitmix(np.full(n, int(order) + 1, dtype=np.uint64)))
-        draw = beta_draw(ka, np.full(n, float(a)), np.full(n, float(b)))
-        better = draw > best
-        best = np.where(better, draw, best)
-        pick = np.where(better, i, pick)
-    return pick
+MAX_ARMS = 10_000  # a catalogue of arms, not data; a larger state is an error
 
 
 def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
-    """Per request: Beta draw for every arm, the arm with the largest draw
-    wins (ties → lower ``arm_order``).  ``arms`` holds the same bandit state
-    on every row (a one-row side joined to all requests), so draws are
-    vectorised per arm across the whole Arrow batch."""
+    """Per request: a Beta draw for every arm, keyed by (request, arm name);
+    the largest wins, ties go to the earlier arm.  All rows carry the same
+    state, so draws are vectorised per arm over the Arrow batch."""
     if len(key) == 0:
         return pd.Series([], dtype=object)
-    state = sorted(_arm_fields(a) for a in arms.iloc[0])
-    pick = _draw_best(key.to_numpy().astype(np.int64).view(np.uint64), state)
-    return pd.Series(np.array([x[1] for x in state], dtype=object)[pick])
-
-
-_thompson_udf = F.pandas_udf(_thompson, T.StringType())
-MAX_INLINE_ARMS = 1000
-
-
-def _thompson_const_udf(state):
-    names = np.array([x[1] for x in state], dtype=object)
-
-    def run(key: pd.Series) -> pd.Series:
-        if len(key) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(names[_draw_best(key.to_numpy().astype(np.int64).view(np.uint64), state)])
-    return F.pandas_udf(run, T.StringType())
+    state = [(a["arm"], a["arm_key"], a["alpha"], a["beta"]) for a in arms.iloc[0]]
+    k = key.to_numpy().astype(np.int64).view(np.uint64)
+    best, pick = np.full(len(k), -np.inf), np.zeros(len(k), dtype=np.int64)
+    for i, (_, arm_key, a, b) in enumerate(state):
+        own = _splitmix(k ^ _splitmix(np.full(len(k), np.int64(arm_key)).view(np.uint64)))
+        draw = beta_draw(own, np.full(len(k), float(a)), np.full(len(k), float(b)))
+        pick = np.where(draw > best, i, pick)
+        best = np.maximum(best, draw)
+    return pd.Series(np.array([x[0] for x in state], dtype=object)[pick])
 
 
 def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: str = "arm_hint",
                deterministic: bool = False) -> DataFrame:
     """H2: the hinted arm, else the arm with the largest Beta(α, β) draw
-    (ties → the earlier arm of the state table's ``arm_order``).
-
-    Draws come from a hash of (request id, seed, arm), so they do not depend
-    on partitioning or retries.  The bandit state is a handful of arms: when
-    it has at most ``MAX_INLINE_ARMS`` rows it is read once and shipped
-    inside the UDF (checked size); a larger state is packed into one array
-    row joined to every request (exact, slower).  ``deterministic=True``
-    ranks arms by posterior mean α/(α+β) as a JVM expression instead.
+    (ties → the earlier ``arm_order``, then name).
+
+    Draws come from a hash of (request id, seed, arm name), so they do not
+    depend on partitioning, retries or the other arms, and every arm draws on
+    its own.  The state is a catalogue of at most ``MAX_ARMS`` arms, packed
+    into one row that joins every request; a larger one is an error.
+    ``deterministic=True`` ranks arms by posterior mean α/(α+β) as a JVM
+    expression instead.
     """
     hint = F.col(hint_col) if hint_col in requests.columns else F.lit(None).cast("string")
-    key = F.xxhash64(F.col("request_id"), F.lit(seed))
-    if not deterministic:
-        small = state.select("arm_order", "arm", "alpha", "beta").limit(MAX_INLINE_ARMS + 1).collect()
-        if len(small) <= MAX_INLINE_ARMS:
-            st = sorted((int(r.arm_order), r.arm, float(r.alpha), float(r.beta)) for r in small)
-            return requests.select(*requests.columns, F.coalesce(hint, _thompson_const_udf(st)(key)).alias("arm"))
-    arms = state.select(F.array_sort(F.collect_list(F.struct("arm_order", "arm", "alpha", "beta"))).alias("_arms"))
-    x = requests.crossJoin(F.broadcast(arms))
+    packed = F.array_sort(F.collect_list(F.struct("arm_order", "arm", F.xxhash64("arm").alias("arm_key"),
+                                                  "alpha", "beta")))
+    checked = F.when(F.count(F.lit(1)) <= MAX_ARMS, packed).otherwise(F.raise_error(F.lit("too many arms")))
+    x = requests.crossJoin(state.agg(checked.alias("_arms")))  # one row
     if deterministic:
-        scored = F.transform("_arms", lambda a: F.struct(
-            (a["alpha"] / (a["alpha"] + a["beta"])).alias("m"), (-a["arm_order"]).alias("o"), a["arm"].alias("arm")))
-        sampled = F.array_max(scored)["arm"]
+        means = F.transform("_arms", lambda a: a["alpha"] / (a["alpha"] + a["beta"]))
+        sampled = F.element_at("_arms", F.array_position(means, F.array_max(means)).cast("int"))["arm"]
     else:
-        sampled = _thompson_udf(key, F.col("_arms"))
+        key = F.xxhash64(F.col("request_id"), F.lit(seed))
+        sampled = F.pandas_udf(_thompson, T.StringType())(key, F.col("_arms"))
     return x.select(*requests.columns, F.coalesce(hint, sampled).alias("arm"))
 
 
@@ -178,13 +152,17 @@ def initial_arms(spark, arms=ARMS) -> DataFrame:
 # ---------------------------------------------------------------- H3
 def update_arms(state: DataFrame, rewards: DataFrame) -> DataFrame:
     """H3: α += clip(r, 0, 1), β += 1 − clip(r, 0, 1) per reward; an unseen
-    arm starts at (1, 1).  Additive, so rewards aggregate in any order."""
-    r = F.least(F.greatest(F.col("reward").cast("double"), F.lit(0.0)), F.lit(1.0))
-    agg = rewards.groupBy("arm").agg(F.sum(r).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    arm starts at (1, 1).  A null or NaN reward says nothing.  Additive, so
+    rewards aggregate in any order."""
+    given = F.nanvl(F.col("reward").cast("double"), F.lit(None).cast("double"))
+    r = F.least(F.greatest(given, F.lit(0.0)), F.lit(1.0))
+    agg = rewards.where(given.isNotNull()).groupBy("arm").agg(F.sum(r).alias("_s"), F.count(F.lit(1)).alias("_n"))
     j = state.join(agg, "arm", "full_outer")
+    # The catalogue of arms is small; new arms follow the known ones by name.
+    order = Window.orderBy(F.coalesce(F.col("arm_order"), F.lit(2 ** 31 - 1)), "arm")
     return j.select(
         "arm",
-        F.coalesce(F.col("arm_order"), F.lit(2 ** 31 - 1)).alias("arm_order"),  # new arms rank last
+        (F.row_number().over(order) - 1).cast("int").alias("arm_order"),
         (F.coalesce(F.col("alpha"), F.lit(1.0)) + F.coalesce(F.col("_s"), F.lit(0.0))).alias("alpha"),
         (F.coalesce(F.col("beta"), F.lit(1.0)) + F.coalesce(F.col("_n") - F.col("_s"), F.lit(0.0))).alias("beta"))
 

@@ -60,8 +60,13 @@ REQUEST_RULES = {
 }
 
 
-def validate_requests(df: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Add ``valid`` and ``reason`` (first violated rule) per row.
+# Fields a request must carry.
+REQUIRED_FIELDS = ("user_id", "event_id", "amount")
+
+
+def validate_requests(df: DataFrame, rules: dict | None = None, required=REQUIRED_FIELDS) -> DataFrame:
+    """Add ``valid`` and ``reason`` (first violated rule) per row; a null
+    in a required field that the frame has is the first violation.
 
     Callers split good/bad rows with ``where(valid)`` / ``where(~valid)``."""
     rules = rules or {c: r for c, r in REQUEST_RULES.items() if c in df.columns}
@@ -75,4 +80,6 @@ def validate_requests(df: DataFrame, rules: dict | None = None) -> DataFrame:
         bad = bad | F.isnan(F.col(c).cast("double"))
         rng = f"[{lo if lo is not None else '-inf'}, {hi if hi is not None else 'inf'}]"
         reason = F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{c} outside {rng}")).otherwise(reason)
+    for c in reversed([c for c in required if c in df.columns]):
+        reason = F.when(F.col(c).isNull(), F.lit(f"{c} is missing")).otherwise(reason)
     return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

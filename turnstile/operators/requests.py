@@ -173,8 +173,7 @@ def check_expectations(actual: DataFrame, expected: DataFrame,
     rel = F.abs(F.col("value") - F.col("expected")) / denom
     ok = F.when(F.col("value").isNull(), F.lit(False)).otherwise(rel <= F.lit(tolerance))
     why = (F.when(F.col("value").isNull(), F.concat(F.lit("Metric '"), F.col("metric"), F.lit("' not found in results")))
-            .when(~ok, F.concat(F.col("metric"), F.lit(": expected "), F.col("expected").cast("string"),
-                                F.lit(", got "), F.col("value").cast("string"))))
+            .when(~ok, F.format_string("%s: expected %.4f, got %.4f", "metric", "expected", "value")))
     return j.select("metric", "expected", F.col("value").alias("actual"), rel.alias("relative_error"),
                     ok.alias("passed"), why.alias("failure"))
 
@@ -188,8 +187,9 @@ def expectations_passed(checks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- I11
 def latency_histogram(log: DataFrame, bins: int = 50, col: str = "latency_ms") -> DataFrame:
     """Equal-width histogram; the maximum goes in the last bin.
-    Range from a one-row min/max aggregate; only non-empty bins are returned."""
-    v = log.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    Range from a one-row min/max aggregate; only non-empty bins are returned.
+    Null, NaN and infinite values are in no bin."""
+    v = log.select(F.col(col).cast("double").alias("v")).where(F.abs("v") < float("inf"))
     rng = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
@@ -296,6 +296,44 @@ def sustained_alerts(series: DataFrame, condition: Column, hold_seconds: int, st
                     F.when(firing, F.lit(severity)).alias("severity"))
 
 
+# The alert rules (condition bound, seconds it must hold), their
+# rate window and evaluation step.
+ALERT_RULES = {"ModelLatencyHigh": (0.2, 300), "ErrorRateHigh": (0.01, 300), "FeatureFreshnessStale": (300.0, 120),
+               "DataDriftDetected": (0.3, 120)}
+ALERT_RANGE, ALERT_STEP_S = "5 minutes", 30
+
+
+def alert_rules(log: DataFrame, freshness: DataFrame, drift: DataFrame, by=("service",), ts: str = "ts",
+                col: str = "latency_ms") -> DataFrame:
+    """I15 over all four rules: one row per firing point.
+
+    Latency and errors are rates over sliding windows of ``ALERT_RANGE`` every
+    ``ALERT_STEP_S`` seconds per key; ``freshness`` and ``drift`` are series
+    (``window_start``, ``value``) on the same step.  A rule fires where its
+    value has stayed above the bound for its holding time without a gap.
+    Returns ``rule, series, window_start, value, held_seconds, severity``.
+    """
+    by = list(by)
+    sliding = f"{ALERT_STEP_S} seconds"
+    errors = error_ratio(log, ALERT_RANGE, by, ts, slide=sliding) \
+        .select("window_start", *by, F.col("error_ratio").alias("value"))
+    windows = log.withColumn("window_start", _win(ts, ALERT_RANGE, sliding).start)
+    p99 = histogram_quantile(latency_buckets(windows, [*by, "window_start"], col), 0.99, [*by, "window_start"]) \
+        .select("window_start", *by, "value")
+
+    def firing(rule, series, key):
+        bound, hold = ALERT_RULES[rule]
+        out = sustained_alerts(series, F.col("value") > bound, hold, ALERT_STEP_S, key=key)
+        name = F.concat_ws("/", *[F.col(k).cast("string") for k in key]) if key else F.lit("")
+        return out.where("firing").select(F.lit(rule).alias("rule"), name.alias("series"), "window_start", "value",
+                                          "held_seconds", "severity")
+    # The two single series hold one point a step; a constant key stands for them.
+    parts = [firing("ModelLatencyHigh", p99, by), firing("ErrorRateHigh", errors, by),
+             firing("FeatureFreshnessStale", freshness.withColumn("view", F.col("view").cast("string")), ["view"]),
+             firing("DataDriftDetected", drift.withColumn("model", F.col("model").cast("string")), ["model"])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- I16
 PREDICTION_SCHEMA = "predictions array<struct<fraud_score: double, is_fraud: boolean>>"
 

@@ -144,8 +144,8 @@ FROM ticket_events""", "ticket_events"))(
 # ------------------------------------------------------------------ B13
 def risk_input(spark, d):
     """Transactions with the columns B13 reads, derived from the driver tables:
-    ip_country = the supplier's nation, velocity = the user's lines that day
-    (capped at 10), device_mismatch = returned line, fraud_probability = B9."""
+    ip_country = the supplier's nation, velocity = the user's n lines that day
+    on the score's scale of 0 to 10 as 10 n / (n + 10), device_mismatch = returned line, fraud_probability = B9."""
     li = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
                                               "l_extendedprice", "l_quantity")
     o = V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -160,7 +160,7 @@ def risk_input(spark, d):
                    F.col("n_name").alias("ip_country"), (F.col("l_returnflag") == "R").alias("device_mismatch"),
                    F.try_divide("l_extendedprice", "l_quantity").alias("ticket_price")))
     vel = t.groupBy("user_id", "event_timestamp").agg(
-        F.least(F.count(F.lit(1)), F.lit(10)).cast("double").alias("velocity_score"))
+        (F.count(F.lit(1)) * 10.0 / (F.count(F.lit(1)) + 10.0)).alias("velocity_score"))
     t = t.join(vel, ["user_id", "event_timestamp"]).join(u, "user_id", "left")
     return M.rule_fraud_probability(t)
 
@@ -171,7 +171,7 @@ WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS transaction_id, o_custkey AS
                   l_extendedprice / l_quantity AS ticket_price
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
            LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey),
-vel AS (SELECT user_id, event_timestamp, CAST(least(count(*), 10) AS DOUBLE) AS velocity_score
+vel AS (SELECT user_id, event_timestamp, count(*) * 10.0::DOUBLE / (count(*) + 10.0::DOUBLE) AS velocity_score
         FROM t GROUP BY user_id, event_timestamp),
 r AS (SELECT t.*, vel.velocity_score, u.country, u.loyalty_tier,
              least(greatest(0.03 + CASE WHEN t.ticket_price > 300 THEN 0.05 ELSE 0.0 END

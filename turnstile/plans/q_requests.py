@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.operators import requests as I
@@ -160,14 +160,13 @@ j AS (SELECT e.metric, e.expected, a.value,
       FROM e LEFT JOIN a USING (metric))
 SELECT metric, expected, round(value, 4) AS actual, round(rel, 4) AS relative_error,
        CASE WHEN value IS NULL THEN false ELSE rel <= 0.1 END AS passed,
-       CASE WHEN value IS NULL THEN 'Metric ''' || metric || ''' not found in results' END AS failure_missing
+       CASE WHEN value IS NULL THEN 'Metric ''' || metric || ''' not found in results'
+            WHEN rel > 0.1 THEN printf('%s: expected %.4f, got %.4f', metric, CAST(expected AS DOUBLE), CAST(value AS DOUBLE))
+       END AS failure
 FROM j""", LOG))
 def q_expectations(spark, d):
     exp = spark.createDataFrame(EXPECTED, "metric string, expected double")
-    out = I.check_expectations(_actual_metrics(spark, d), exp)
-    # The failure text embeds full-precision doubles; compare only the "missing" messages.
-    out = out.withColumn("failure_missing", F.when(F.col("actual").isNull(), F.col("failure"))).drop("failure")
-    return round_doubles(out)
+    return round_doubles(I.check_expectations(_actual_metrics(spark, d), exp))
 
 
 # ------------------------------------------------------------------ I11
@@ -317,3 +316,71 @@ SELECT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end, service, count(
        round(count(*) / 300.0, 4) AS rps
 FROM w GROUP BY ws, service""", LOG))(
     lambda spark, d: round_doubles(I.request_rate(_log(spark, d), slide="1 minute")))
+
+
+# ------------------------------------------------------------------ I15 over all rules
+# Freshness of each event type on the 30 s grid, and a daily drift figure of
+# the latency held for the first five minutes of its day.
+def _alert_inputs(spark, d):
+    log = _log(spark, d)
+    e = V.table(spark, d, "events").select(F.col("event_type").alias("view"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"),
+                                           F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    nxt = F.lead("us").over(Window.partitionBy("view").orderBy("us"))
+    first = F.ceil(F.col("us") / 30_000_000) * 30_000_000
+    points = e.withColumn("next", nxt).where(first < F.col("next")) \
+              .select("view", "us", F.explode(F.sequence(first, F.col("next") - 1, F.lit(30_000_000).cast("long"))).alias("p"))
+    fresh = points.select("view", F.timestamp_micros("p").cast("timestamp_ntz").alias("window_start"),
+                          ((F.col("p") - F.col("us")) / 1e6).alias("value"))
+    daily = log.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg("latency_ms").alias("m"))
+    whole = log.agg(F.avg("latency_ms").alias("mean"), F.stddev_samp("latency_ms").alias("std"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(270), F.lit(30))).alias("s")
+    drift = daily.crossJoin(whole).select(F.lit("latency").alias("model"), "day", steps, (
+        F.least(F.lit(1.0), F.abs(F.col("m") - F.col("mean")) / F.col("std"))).alias("value"))
+    start = (F.unix_micros(F.col("day").cast("timestamp")) + F.col("s") * 1_000_000).cast("long")
+    return log, fresh, drift.select("model", F.timestamp_micros(start).cast("timestamp_ntz").alias("window_start"), "value")
+
+
+def _islands(rule: str, key: str) -> str:
+    bound, hold = I.ALERT_RULES[rule]
+    return f"""
+SELECT '{rule}' AS rule, series, make_timestamp(us) AS window_start, round(value, 4) AS value, held AS held_seconds,
+       'warning' AS severity
+FROM (SELECT *, (us - min(us) OVER (PARTITION BY series, island)) / 1e6 AS held
+      FROM (SELECT *, sum(nw) OVER (PARTITION BY series ORDER BY us ROWS UNBOUNDED PRECEDING) AS island
+            FROM (SELECT *, CAST(NOT cond OR lag(us) OVER w IS NULL OR us - lag(us) OVER w <> 30000000
+                                 OR NOT coalesce(lag(cond) OVER w, false) AS INTEGER) AS nw
+                  FROM (SELECT *, coalesce(value > {bound}, false) AS cond FROM {key}) a
+                  WINDOW w AS (PARTITION BY series ORDER BY us)) b) c) e
+WHERE cond AND held >= {hold}"""
+
+
+@register("i15_alert_rules", with_views(f"""
+WITH wins AS (SELECT CAST(service AS VARCHAR) AS series, status, latency_ms,
+                     CAST(floor(epoch_us(ts) / 30000000) - i AS BIGINT) * 30000000 AS us
+              FROM request_log, range(0, 10) t(i)),
+errs AS (SELECT series, us, count(*) FILTER (WHERE coalesce(status, 200) >= 400) / count(*) AS value
+         FROM wins GROUP BY series, us),
+les(b, le) AS (VALUES {_LE_SQL}),
+cnt AS (SELECT series, us, {_IDX_SQL} AS b, count(*) AS c FROM wins WHERE latency_ms IS NOT NULL GROUP BY 1, 2, 3),
+tot AS (SELECT series, us, b, c, sum(c) OVER (PARTITION BY series, us) AS total,
+               sum(c) OVER (PARTITION BY series, us ORDER BY b) AS upto FROM cnt),
+hit AS (SELECT series, us, arg_min((b, c, upto, total), b) AS h FROM tot WHERE upto >= 0.99 * total GROUP BY series, us),
+p99 AS (SELECT series, us, CASE WHEN le.le = 'inf'::DOUBLE THEN lo.le
+                                ELSE coalesce(lo.le, 0.0) + (le.le - coalesce(lo.le, 0.0))
+                                     * (0.99 * h[4] - (h[3] - h[2])) / h[2] END AS value
+        FROM hit JOIN les le ON le.b = h[1] LEFT JOIN les lo ON lo.b = h[1] - 1),
+ev AS (SELECT event_type AS series, epoch_us(ts) AS e, lead(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS nx
+       FROM events),
+fresh AS (SELECT series, p AS us, (p - e) / 1e6 AS value
+          FROM (SELECT series, e, unnest(generate_series(CAST(ceil(e / 30000000) AS BIGINT) * 30000000, nx - 1, 30000000)) AS p
+                FROM ev WHERE nx IS NOT NULL AND CAST(ceil(e / 30000000) AS BIGINT) * 30000000 < nx) x),
+daily AS (SELECT date_trunc('day', ts) AS day, avg(latency_ms) AS m FROM request_log GROUP BY 1),
+whole AS (SELECT avg(latency_ms) AS mean, stddev_samp(latency_ms) AS std FROM request_log),
+drift AS (SELECT 'latency' AS series, epoch_us(CAST(day AS TIMESTAMP)) + s * 1000000 AS us,
+                 least(1.0, abs(m - mean) / std) AS value FROM daily, whole, range(0, 300, 30) r(s))
+{_islands('ModelLatencyHigh', 'p99')}
+UNION ALL {_islands('ErrorRateHigh', 'errs')}
+UNION ALL {_islands('FeatureFreshnessStale', 'fresh')}
+UNION ALL {_islands('DataDriftDetected', 'drift')}""", LOG))
+def q_alert_rules(spark, d):
+    return round_doubles(I.alert_rules(*_alert_inputs(spark, d)))

@@ -21,12 +21,52 @@ from turnstile.streaming import jobs as J
 # ------------------------------------------------------------------ P1
 @register("p1_hourly_features", q_features.SQL_C1)
 def q_hourly(spark, d):
+    return round_doubles(_hourly(spark, d)["online"])
+
+
+def _hourly(spark, d):
     raw = A.read_raw_events(spark, f"{d}/events.parquet").select(
         "user_id", F.col("event_type").alias("event_id"), F.col("value").alias("total_amount"),
         F.col("ts").alias("timestamp"))
     em = M.event_metrics(V.ticket_events(spark, d), V.txns(spark, d), sort=False)
-    out = W.hourly_features(spark, raw, em, V.txns(spark, d), scratch_path(spark, "hourly"))
-    return round_doubles(out["online"])
+    return W.hourly_features(spark, raw, em, V.txns(spark, d), scratch_path(spark, "hourly"))
+
+
+_F12 = ["user_txn_count_1h", "user_txn_amount_1h", "user_distinct_events_1h", "user_avg_amount_24h"]
+
+
+def _moments_sql(side: str) -> str:
+    return ", ".join(f"avg({c}) AS m_{k}, stddev_samp({c}) AS s_{k}" for k, c in enumerate(_F12)) + f" FROM {side}"
+
+
+# The job's decision in one row: gate, published rows, drift summary as written.
+@register("p1_hourly_decision", f"""
+WITH cur AS (SELECT user_id, count(*) AS user_txn_count_1h,
+                    coalesce(sum(CAST(round(value * 100) AS BIGINT)) / 100.0, 0.0) AS user_txn_amount_1h,
+                    count(DISTINCT event_type) AS user_distinct_events_1h,
+                    coalesce(sum(CAST(round(value * 100) AS BIGINT)) / 100.0, 0.0) / count(*) AS user_avg_amount_24h
+             FROM events WHERE user_id IS NOT NULL AND ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR
+             GROUP BY user_id),
+ref AS (SELECT o_custkey AS user_id, count(*) AS user_txn_count_1h,
+               sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 AS user_txn_amount_1h,
+               count(DISTINCT l_partkey) AS user_distinct_events_1h,
+               sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 / count(*) AS user_avg_amount_24h
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+r AS (SELECT count(*) AS n, {_moments_sql('ref')}),
+c AS (SELECT count(*) AS n, {_moments_sql('cur')}),
+s AS (SELECT ({' + '.join(f"least(1.0, abs(c.m_{k} - r.m_{k}) / (CASE WHEN coalesce(r.s_{k}, 0) = 0 THEN 1.0 ELSE r.s_{k} END + 1e-8))" for k in range(4))}) / 4 AS score
+      FROM r, c)
+SELECT true AS published, (SELECT count(*) FROM cur) AS online_rows, round(score, 4) AS drift_score,
+       score >= 0.3 AS drift_detected, 24 AS target_window_hours, (SELECT n FROM r) AS n_reference,
+       (SELECT n FROM c) AS n_current FROM s""")
+def q_hourly_decision(spark, d):
+    out = _hourly(spark, d)
+    gate = out["validation"].agg(F.bool_and("passed").alias("published"))
+    online = out["online"].agg(F.count(F.lit(1)).alias("online_rows"))
+    summary = spark.read.json(out["drift_summary_path"]).select(
+        "drift_score", "drift_detected", F.col("target_window_hours").cast("int").alias("target_window_hours"))
+    sides = out["drift"].select("n_reference", "n_current")
+    return round_doubles(gate.crossJoin(online).crossJoin(summary).crossJoin(sides))
 
 
 # ------------------------------------------------------------------ P2
@@ -46,15 +86,19 @@ FROM s, a, b""", "txns", "request_log"))
 def q_monitor(spark, d):
     path = q_monitoring._write_summary(spark, d)
     ref, cur = q_monitoring._log_sides(spark, d)
-    out = W.daily_monitoring(spark, path, perf_reference=ref, perf_current=cur, target="is_fraud", pred="blocked")
-    return round_doubles(out.drop("run_ts"))
+    daily = scratch_path(spark, "daily_summary")
+    out = W.daily_monitoring(spark, path, perf_reference=ref, perf_current=cur, target="is_fraud", pred="blocked",
+                             daily_path=daily)
+    # The decision rests on what the job has put on record.
+    stored = spark.read.json(daily).select(F.col("drift_score").alias("_stored"))
+    return round_doubles(out.drop("run_ts").join(stored, F.col("drift_score") == F.col("_stored")).drop("_stored"))
 
 
 # ------------------------------------------------------------------ P3 (rows-only: model search)
 @register("p3_weekly_training")
 def q_weekly(spark, d):
     um = M.user_metrics(V.users(spark, d), V.txns(spark, d), V.ticket_events(spark, d), sort=False)
-    return W.weekly_training(um, trials=2)["gate"]
+    return W.weekly_training(um)["gate"]
 
 
 # ------------------------------------------------------------------ P4 (rows-only: model scoring)
@@ -75,18 +119,19 @@ def q_scoring(spark, d):
         .join(requests.select("request_id", F.col("is_fraud").cast("double").alias("_label")).dropDuplicates(
             ["request_id"]), "request_id")
     model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep"),
-                             GBTClassifier(featuresCol="_features", labelCol="_label", maxDepth=3, maxIter=10,
-                                           seed=42)]).fit(train)
+                             GBTClassifier(featuresCol="_features", labelCol="_label", seed=42)]).fit(train)
     return W.batch_fraud_scoring(requests.drop("is_fraud"), snaps, model)
 
 
 # ------------------------------------------------------------------ P5
 @register("p5_batch_pricing", with_views(q_models.SQL_H3 + """,
 best AS (SELECT arg_max(arm, (alpha / (alpha + beta), -arm_order)) AS a FROM u),
-req AS (SELECT transaction_id AS request_id, event_id, ticket_price AS current_price,
+req AS (SELECT transaction_id AS request_id,
+               CASE WHEN quantity % 10 = 0 THEN event_id + 1000000000 ELSE event_id END AS event_id,
+               ticket_price AS current_price,
                CASE WHEN ticket_price > 2000 AND quantity > 25 THEN 'aggressive'
                     WHEN ticket_price > 2000 THEN 'baseline' END AS arm_hint FROM txns),
-snap AS (SELECT * FROM event_metrics WHERE event_timestamp >= TIMESTAMP '2024-01-10 00:00:00'),
+snap AS (SELECT * FROM event_metrics),
 f AS (SELECT req.*, coalesce(arm_hint, best.a) AS arm0, snap.current_inventory AS inv,
              snap.sell_through_rate_5min AS vel FROM req LEFT JOIN snap USING (event_id) CROSS JOIN best),
 p AS (SELECT *, greatest(current_price * (1 + CASE WHEN arm0 = 'aggressive' THEN 0.1 ELSE 0.0 END)
@@ -107,7 +152,11 @@ def q_pricing(spark, d):
 
 
 # ------------------------------------------------------------------ P6
-@register("p6_streaming_features", with_views(q_streaming.SQL_ALL_TIME, "raw_events"))
+# Both halves: the online rows, and per user what landed.
+@register("p6_streaming_features", with_views(q_streaming.SQL_ALL_TIME.rstrip().removesuffix("FROM a") + """,
+       n AS landed_rows, d AS landed_days FROM a JOIN (
+  SELECT user_id AS u, count(DISTINCT CAST("timestamp" AS DATE)) AS d FROM raw_events GROUP BY 1) l
+  ON a.user_id = l.u""", "raw_events"))
 def q_streaming_features(spark, d):
     root = scratch_path(spark, "p6")
     stream = q_streaming._raw_stream(spark, d)
@@ -115,5 +164,7 @@ def q_streaming_features(spark, d):
                               trigger={"availableNow": True})
     for q in qs.values():
         J.run_until_done(q)
-    return round_doubles(J.read_online(spark, f"{root}/online").drop("event_timestamp"))
-
+    landed = spark.read.parquet(f"{root}/landing").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("landed_rows"), F.countDistinct("dt").alias("landed_days"))
+    online = J.read_online(spark, f"{root}/online").drop("event_timestamp")
+    return round_doubles(online.join(landed, "user_id"))
