@@ -58,18 +58,16 @@ def test_no_cartesian_on_large_sides(spark, sf_dir):
 
 
 def test_all_registered_queries_run_on_smoke_data(spark, sf_dir):
-    skip = {"g3_tune_and_train", "g6_feature_attribution", "p3_weekly_training", "p4_batch_fraud_scoring"}
+    """Whole results; training-data queries run in tests/llm."""
     for name, fn in E.queries().items():
-        if name in skip:
-            continue
-        df = fn(spark, sf_dir)
-        df.limit(1).collect()
+        if name != "pipeline" and not name.startswith("op"):
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
 
 def test_require_columns_and_resolve_source(spark, sf_dir):
     raw = spark.createDataFrame([(1, 2)], "user_id long, event_id long")
     assert A.require_columns(raw) == (False, ["total_amount"])
-    assert [r.present for r in A.schema_gate(spark, raw).collect()] == [True, True, False]
+    assert [(r.present, r.rows) for r in A.schema_gate(spark, raw).collect()] == [(True, 1), (True, 1), (False, 0)]
     cfg = A.SourceConfig(local_root=sf_dir)
     assert A.resolve_source(spark, cfg, "region").count() == 5
     with pytest.raises(ValueError):
@@ -86,9 +84,8 @@ def test_scan_once_plans(spark, sf_dir):
     assert _scans(b4, "lineitem") == 0 and "Scan ExistingRDD" in b4  # reads the checkpointed event table
     f1 = _plan(q["f1_mean_shift_drift"](spark, sf_dir))
     assert _scans(f1, "lineitem") == 1 and _scans(f1, "orders") == 1  # both sides in one pass
-    i2 = _plan(q["i2_latency_sla"](spark, sf_dir))
-    assert _scans(i2, "events") == 0  # order statistics read the materialised value counts
     d2 = q["d2_get_historical_features"](spark, sf_dir)
+    assert _scans(_plan(d2), "lineitem") == 0  # both sides are read once, into the stored union
     assert "monotonically_increasing_id" not in d2._jdf.queryExecution().optimizedPlan().toString()
 
 
