@@ -42,30 +42,43 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance"), "u")
 
 
+ROWS_PER_TASK = 100_000  # links that one task reads at the start of a round
+
+
+def _kept(links: DataFrame) -> DataFrame:
+    """Links written once, in as many parts as their number asks for."""
+    links = reuse(links)
+    return links.coalesce(max(1, -(-links.count() // ROWS_PER_TASK)))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller node at most, and those
+    with one are nobody's root: then each root is its component's smallest."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")) \
+                .unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")) \
+               .where("up > 1 or (up = 1 and root = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """``node, component`` for every node that has a link; the component is
     its smallest node.
 
     Large-star links each node's larger neighbours to its smallest, small-star
-    links its smaller ones and itself; the two alternate until no link
-    changes, in a number of rounds that grows with the logarithm of the number
-    of nodes.  Links that are null or join a node to itself count for nothing;
-    repeated links count once; an empty table gives an empty result.
+    links its smaller ones and itself; the two alternate until every component
+    is a star, in a number of rounds that grows with the logarithm of the
+    number of nodes.  Links that are null or join a node to itself count for
+    nothing; repeated links count once; an empty table gives an empty result.
     """
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")) \
-                 .where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
-    links, before = reuse(links), None
-    while True:
+    links = _kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                  .where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         small = _smallest(large)
         # (u, m) once per u and (v, m) for its other neighbours; all point from the larger to the smaller node.
-        links = reuse(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+        links = _kept(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                    F.col("m").alias("v")).distinct())
-        after = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if after == before:
-            break
-        before = after
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
