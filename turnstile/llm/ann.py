@@ -151,7 +151,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor: fl
     valid = "vec is not null and vec_id is not null"
     rows = vector_rows(base, id_col, vec_col).where(valid)
     # Copies are one point; its k+1 smallest ids are all that any answer can name.
-    points = stored(rows.select("vec_id", "dims", "vec", "digest").distinct().groupBy("digest").agg(
+    points = stored(rows.groupBy("digest").agg(
         F.min("vec_id").alias("least"), F.first("dims").alias("dims"), F.first("vec").alias("vec")), "points")
     ids = rows.select("digest", "vec_id").distinct()
     shards = max(1, -(-points.count() // shard_vectors))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from turnstile.llm.common import hash_share, text_slices
 
-SAMPLE_CHARS = 40_000   # bound: characters learned per language
+SAMPLE_CHARS = 24_000   # bound: characters learned per language
 SAMPLE_DOCS = 200       # bound: documents drawn per language, on average
 MAX_LANGUAGES = 200     # bound: languages, the most frequent ones
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
