@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstile.functions.scalars import normalize_entity_id
+from turnstile.functions.scalars import normalize_entity_id, parse_utc
 from turnstile.operators import metrics as M
 from turnstile.operators import quality as Q
 from turnstile.operators import realtime as R
@@ -28,6 +28,23 @@ SELECT * FROM raw_events WHERE "timestamp" >= (SELECT max("timestamp") FROM raw_
     lambda spark, d: A.filter_recent(V.raw_events(spark, d), "timestamp", None, 24))
 
 
+# The window filter over times that come as text (ISO, Z for UTC); those that
+# cannot be read drop out.
+@register("a2_filter_recent_text", """
+WITH t AS (SELECT user_id, event_type AS event_id, round(value, 4) AS total_amount,
+                  CASE WHEN event_type = 'error' THEN NULL ELSE make_timestamp(epoch_us(ts) // 1000 * 1000) END AS tm FROM events)
+SELECT user_id, event_id, total_amount, tm AS "timestamp" FROM t
+WHERE tm >= (SELECT max(tm) FROM t) - INTERVAL 24 HOUR""")
+def q_filter_recent_text(spark, d):
+    raw = V.raw_events(spark, d)
+    # "…T10:00:00.000Z", as a producer writes UTC with an offset that is replaced by Z
+    offset = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+    text = F.when(F.col("event_id") == "error", F.lit("not a time")).otherwise(F.replace(offset, F.lit("+00:00"), F.lit("Z")))
+    recent = A.filter_recent(raw.withColumn("timestamp", text), "timestamp", None, 24)
+    return round_doubles(recent.where(F.col("timestamp").endswith("Z")).select(
+        "user_id", "event_id", "total_amount", parse_utc(F.col("timestamp")).cast("timestamp_ntz").alias("timestamp")))
+
+
 @register("a4_write_feature_table", with_views("""
 SELECT event_id, round(avg_ticket_price, 4) AS avg_ticket_price, total_tickets_sold FROM event_metrics""",
     "txns", "ticket_events", "event_metrics"))
