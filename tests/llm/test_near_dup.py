@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import PROSE, docs, odd_docs, rows_of
-from turnstile.llm import minhash
+from turnstile.llm import components, minhash
 from turnstile.llm.components import connected_components
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -91,8 +91,10 @@ def test_short_sequences_are_not_prefixes(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_components(spark, seed):
+def test_components(spark, seed, monkeypatch):
     rnd = random.Random(seed)
+    if seed % 2:  # as if no task held two links of a component: the stars do all the work
+        monkeypatch.setattr(components, "_contracted", lambda links: links)
     links = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range([20, 60, 90, 200][seed])]
     links += [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 960)]
     rnd.shuffle(links)
