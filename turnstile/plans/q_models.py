@@ -11,6 +11,7 @@ from turnstile.operators import training as G
 from turnstile.plans import views as V
 from turnstile.plans.registry import register, round_doubles
 from turnstile.plans.views import with_views
+from turnstile.session import reuse
 
 USER_VIEWS = ("txns", "ticket_events", "users", "user_metrics")
 
@@ -23,6 +24,11 @@ def _training_frame(spark, d):
     return G.fraud_training_frame(_user_metrics(spark, d))
 
 
+def _stored_frame(spark, d):
+    """The training frame written once, for steps that read it several times."""
+    return reuse(_training_frame(spark, d))
+
+
 # ------------------------------------------------------------------ G1
 SQL_G1 = """
 SELECT user_id, lifetime_purchases, round(fraud_risk_score, 4) AS fraud_risk_score,
@@ -46,7 +52,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY is_fraud_label ORDER BY {_H_SQL}
              count(*) OVER (PARTITION BY is_fraud_label) AS n FROM g)
 SELECT user_id, lifetime_purchases, fraud_risk_score, is_fraud_label,
        CASE WHEN r <= ceil(0.2::DOUBLE * n) THEN 'valid' ELSE 'train' END AS split FROM h""", *USER_VIEWS))(
-    lambda spark, d: round_doubles(G.stratified_split(_training_frame(spark, d), G.LABEL_COLUMN, "user_id")))
+    lambda spark, d: round_doubles(G.stratified_split(_stored_frame(spark, d), G.LABEL_COLUMN, "user_id")))
 
 
 # ------------------------------------------------------------------ G3 / G6 / G7 (rows-only: model fits)
@@ -55,7 +61,7 @@ FEATURES = ["lifetime_purchases", "fraud_risk_score"]
 
 @register("g3_tune_and_train")
 def q_tune(spark, d):
-    df = G.stratified_split(_training_frame(spark, d), G.LABEL_COLUMN, "user_id")
+    df = G.stratified_split(_stored_frame(spark, d), G.LABEL_COLUMN, "user_id")
     _, trials = G.tune_and_train(df.where("split = 'train'"), df.where("split = 'valid'"), FEATURES,
                                  parallelism=3)
     return trials
@@ -65,7 +71,7 @@ def _quick_model(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    df = G.stratified_split(_training_frame(spark, d), G.LABEL_COLUMN, "user_id")
+    df = G.stratified_split(_stored_frame(spark, d), G.LABEL_COLUMN, "user_id")
     tr = df.where("split = 'train'").select(*FEATURES, F.col(G.LABEL_COLUMN).cast("double").alias("_label"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep"),
                             GBTClassifier(featuresCol="_features", labelCol="_label", seed=42)])
@@ -122,7 +128,7 @@ WITH g AS ({SQL_G1}), n AS (SELECT is_fraud_label, count(*) AS n FROM g GROUP BY
 SELECT is_fraud_label, CAST(ceil(0.2::DOUBLE * n) AS BIGINT) AS valid_rows,
        CAST(n - ceil(0.2::DOUBLE * n) AS BIGINT) AS train_rows FROM n""", *USER_VIEWS))
 def q_split_sizes(spark, d):
-    split = G.stratified_split(_training_frame(spark, d), G.LABEL_COLUMN, "user_id")
+    split = G.stratified_split(_stored_frame(spark, d), G.LABEL_COLUMN, "user_id")
     return split.groupBy(G.LABEL_COLUMN).agg(F.count_if(F.col("split") == "valid").alias("valid_rows"),
                                              F.count_if(F.col("split") == "train").alias("train_rows"))
 

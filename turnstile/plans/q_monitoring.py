@@ -15,7 +15,7 @@ from turnstile.operators import realtime as R
 from turnstile.plans import views as V
 from turnstile.plans.registry import register, round_doubles
 from turnstile.plans.views import with_views
-from turnstile.session import scratch_path
+from turnstile.session import reuse, scratch_path
 from turnstile.sources import files as A
 
 SPLIT_TXNS = "1998-01-01 00:00:00"
@@ -130,9 +130,14 @@ t AS (SELECT * FROM ks UNION ALL SELECT * FROM js)
 SELECT col AS "column", kind, round(statistic, 4) AS statistic, round(threshold, 4) AS threshold,
        statistic > threshold AS drifted FROM t""", "txns", "users")
 
-register("f4_distribution_tests", SQL_F4)(
-    lambda spark, d: round_doubles(D.distribution_tests_split(_txn_table(spark, d, enrich=True), _is_ref_txn(),
-                                                              DRIFT_COLS + ["loyalty_tier"])))
+def _f4_tests(spark, d):
+    """F4 over a derived table: its columns are written once, as F4 reads them several times."""
+    cols = DRIFT_COLS + ["loyalty_tier"]
+    rows = reuse(_txn_table(spark, d, enrich=True).select(_is_ref_txn().alias("is_ref"), *cols))
+    return D.distribution_tests_split(rows, F.col("is_ref"), cols)
+
+
+register("f4_distribution_tests", SQL_F4)(lambda spark, d: round_doubles(_f4_tests(spark, d)))
 
 
 @register("f4_drifted_share", SQL_F4.replace(
@@ -142,8 +147,7 @@ register("f4_distribution_tests", SQL_F4)(
     "       round(coalesce(count(*) FILTER (WHERE statistic > threshold) / count(*), 0.0), 4) AS drift_score,\n"
     "       coalesce(count(*) FILTER (WHERE statistic > threshold) / count(*), 0.0) >= 0.3 AS drift_detected FROM t"))
 def q_drifted_share(spark, d):
-    tests = D.distribution_tests_split(_txn_table(spark, d, enrich=True), _is_ref_txn(), DRIFT_COLS + ["loyalty_tier"])
-    return round_doubles(D.drifted_share(None, None, tests=tests))
+    return round_doubles(D.drifted_share(None, None, tests=_f4_tests(spark, d)))
 
 
 # ------------------------------------------------------------------ F5 / F6
