@@ -66,9 +66,9 @@ class ProductCode:
 
 
 def code_words(classes: int) -> int:
-    """Codewords per half: as many directions as vectors of a label, so that
-    filters stay about as full at every size."""
-    return int(min(1024, max(16, 2 ** np.ceil(np.log2(max(1, classes)) / 2))))
+    """Codewords per half: a direction for every four vectors of the largest
+    label, so that caps stay about as full at every size."""
+    return int(min(1024, max(16, 2 ** np.ceil(np.log2(max(4, classes) / 4) / 2))))
 
 
 def _filters(classes: DataFrame, words: int) -> DataFrame:
