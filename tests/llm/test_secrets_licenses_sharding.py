@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -136,6 +137,27 @@ def test_licence_edges(spark, license_model):
     assert licenses.train(docs(spark, [(1, None)])).families == sorted(licenses.TEMPLATES)
 
 
+@pytest.mark.parametrize("family", ["AGPL", "GPL", "LGPL", "MIT"])
+@pytest.mark.parametrize("width", [40, 70, 80, 100])
+def test_wrapped_notices(spark, license_model, family, width):
+    notice = max(licenses.TEMPLATES[family], key=len)
+    lines = textwrap.wrap(notice, width, initial_indent=" * ", subsequent_indent=" * ")
+    rows = [(1, "\n".join(["Some heading", "", *lines, "", PROSE])),
+            (2, "\n".join([PROSE, *lines, PROSE]))]
+    got = sorted(licenses.scan(docs(spark, rows), license_model).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in got] == [(1, 2, family), (2, 1, family)]
+    assert all(r["text"] == "\n".join(lines) and r["similarity"] > 0.9 for r in got)
+
+
+def test_notices_within_a_long_line(spark, license_model):
+    mit, gpl = (max(licenses.TEMPLATES[f], key=len) for f in ("MIT", "GPL"))
+    rows = [(1, f"{PROSE} " * 20 + mit + f" {PROSE}" * 20), (2, f"{PROSE} " * 20),
+            (3, f"{PROSE} " * 20 + mit + f" {PROSE} " * 20 + gpl + f" {PROSE}" * 20)]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"])
+                 for r in licenses.scan(docs(spark, rows), license_model).collect())
+    assert got == [(1, 0, "MIT"), (3, 0, "GPL"), (3, 0, "MIT")]
+
+
 # ------------------------------------------------------------ sharding
 def test_table_against_step_by_step_fill():
     names, slots = [f"s{k}" for k in range(7)], 53

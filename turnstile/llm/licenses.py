@@ -1,15 +1,22 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with at least one word.  Its features are words and
+A paragraph is a line with at least one word, or a notice that is wrapped over
+neighbouring lines or embedded in a longer text.  Its features are words and
 pairs of neighbouring words; a sparse logistic regression names the licence
 family, and its scores are calibrated on held-out paragraphs so that
 ``unknown`` is a class with a meaningful probability.  A named family is
 confirmed where the paragraph shares enough word pairs with one of the
 family's templates.
+
+Windows of one and a half times a template's length slide over every block of
+non-blank lines.  One that shares enough of the template's pairs is classified
+with a few words around it, so neither line ends nor the length of a line hide
+a notice.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +32,7 @@ LEAST_PROBABILITY = 0.5   # a family below this is unknown
 CONFIRM = 0.5             # share of common word pairs that confirms a family
 SAMPLE_DOCS = 2_000       # bound: documents whose paragraphs teach the unknown class, on average
 SAMPLE_PARAGRAPHS = 4_000  # bound: paragraphs taken from them
+AROUND = 3                # words on either side of a window that are classified with it
 VARIANTS = 60             # altered copies of each template
 COMMON = 0.01             # a feature in a larger share of unknown paragraphs says nothing
 SEED = 17
@@ -112,6 +120,12 @@ class LicenseModel:
 
     def __post_init__(self):
         self.anchors = frozenset(w for f in self.vocabulary for w in f.split(b" "))
+        self.every = [t for own in self.templates.values() for t in own]
+        self.holders: dict[tuple, list[int]] = {}  # word pair -> templates that have it
+        for k, t in enumerate(self.every):
+            for pair in t:
+                self.holders.setdefault(pair, []).append(k)
+        self.window = 2 * max(map(len, self.every))
 
     def probabilities(self, words: list[bytes]) -> np.ndarray:
         return _softmax(self._scores(words)[None] / self.temperature)[0]
@@ -132,6 +146,111 @@ class LicenseModel:
         family = self.families[best]
         return family, float(p[best]), max(similarity(words, t) for t in self.templates[family])
 
+    def close(self, words: list[bytes]) -> dict[int, list[tuple[int, tuple]]]:
+        """Templates of which the words have CONFIRM of the pairs or more, with
+        the places of those pairs.  No other template can confirm any part."""
+        words = [b"0" if w.isdigit() else w for w in words]
+        hits = [(i, pair) for i, pair in enumerate(zip(words, words[1:])) if pair in self.holders]
+        if not hits:
+            return {}
+        tally: dict[int, int] = {}
+        for pair in {pair for _, pair in hits}:
+            for k in self.holders[pair]:
+                tally[k] = tally.get(k, 0) + 1
+        return {k: [h for h in hits if h[1] in self.every[k]] for k, n in tally.items()
+                if n >= CONFIRM * len(self.every[k])}
+
+    def notices(self, words: list[bytes]) -> list[tuple[int, int, str, float, float]]:
+        """(first word, end, family, probability, similarity) of all confirmed
+        notices in a text, whatever stands around them; of those that overlap
+        the one closest to its template stays."""
+        spans = {s for k, hits in self.close(words).items() for s in _windows(hits, len(self.every[k]))}
+        found = []
+        for a, b in spans:
+            family, p, share = self.classify(words[max(0, a - AROUND):b + AROUND])
+            if family != UNKNOWN and share >= CONFIRM:
+                found.append((a, b, family, p, share))
+        return _apart(found, lambda f: (-f[4], -f[3], f[0], f[1]))
+
+
+def _windows(hits: list[tuple[int, tuple]], size: int) -> list[tuple[int, int]]:
+    """(first word, end) of the windows of 1.5 template lengths that have CONFIRM
+    of a template's pairs or more, the fullest of those that overlap."""
+    reach = size + (size + 1) // 2
+    out, tally, end = [], {}, 0
+    for k, (start, pair) in enumerate(hits):
+        while end < len(hits) and hits[end][0] < start + reach:
+            tally[hits[end][1]] = tally.get(hits[end][1], 0) + 1
+            end += 1
+        if len(tally) >= CONFIRM * size:
+            out.append((start, hits[end - 1][0] + 2, len(tally)))
+        tally[pair] -= 1
+        if not tally[pair]:
+            del tally[pair]
+    return [(a, b) for a, b, _ in _apart(out, lambda w: (-w[2], w[1] - w[0], w[0]))]
+
+
+def _apart(spans: list[tuple], order) -> list[tuple]:
+    """Spans that overlap none of a better one, by place."""
+    kept: list[tuple] = []
+    for s in sorted(spans, key=order):
+        at = bisect_left(kept, s[0], key=lambda t: t[0])
+        if (at == 0 or kept[at - 1][1] <= s[0]) and (at == len(kept) or kept[at][0] >= s[1]):
+            kept.insert(at, s)
+    return kept
+
+
+def declared(text: str | None, model: LicenseModel, unconfirmed: bool = False) -> list[tuple]:
+    """(first line, last line, family, probability, similarity) of everything
+    that declares a licence in a text, at most one per first line and family.
+
+    Every line is judged as a whole, then every block of non-blank lines for
+    notices that are wrapped or embedded.  A notice in a line that was
+    recognised as a whole and is no longer than a window adds nothing; one over
+    several lines takes the place of weaker rows of its lines.
+    """
+    lines = paragraphs(text)
+    found: dict[tuple[int, str], tuple] = {}
+    block: list[bytes] = []
+    owner: list[int] = []
+
+    def finish():
+        whole = {n: r for (n, _), r in found.items() if owner[0] <= n and r[4] >= CONFIRM}
+        for a, b, family, p, share in model.notices(block):
+            first, last = owner[a], owner[b - 1]
+            if first == last:
+                if first not in whole or len(lines[first]) > model.window:
+                    _better(found, (first, first, family, p, share))
+                continue
+            inside = [r for n, r in whole.items() if first <= n <= last]
+            if all(r[4] < share for r in inside):
+                for r in inside:
+                    found.pop((r[0], r[2]), None)
+                _better(found, (first, last, family, p, share))
+
+    for n, words in enumerate([*lines, []]):
+        if words:
+            block += words
+            owner += [n] * len(words)
+            if unconfirmed or model.close(words):
+                pieces = [words]
+                if unconfirmed and len(words) > model.window:
+                    pieces += [words[k:k + model.window] for k in range(0, len(words), model.window // 2)]
+                for piece in pieces:
+                    family, p, share = model.classify(piece)
+                    if family != UNKNOWN and (unconfirmed or share >= CONFIRM):
+                        _better(found, (n, n, family, p, share))
+        elif block:
+            finish()
+            block, owner = [], []
+    return sorted(found.values())
+
+
+def _better(found: dict[tuple[int, str], tuple], row: tuple) -> None:
+    old = found.get((row[0], row[2]))
+    if old is None or old[4] < row[4]:
+        found[row[0], row[2]] = row
+
 
 def _length(mine: set) -> float:
     """A feature's value is 1 / sqrt(different features of the paragraph, known
@@ -232,11 +351,13 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text",
          unconfirmed: bool = False) -> DataFrame:
     """One row per paragraph that declares a licence: ``doc_id, paragraph``
-    (line number from 0), ``family, probability, similarity, confirmed`` and
-    the paragraph's ``text``.
+    (number of its first line, from 0), ``family, probability, similarity,
+    confirmed`` and the paragraph's ``text``, all its lines.  A line that
+    declares several families gives a row for each.
 
-    Every line of every whole text is classified.  Paragraphs that are unknown
-    give no row, nor (without ``unconfirmed``) do those whose family no
+    Every line of every whole text is judged, and every block of non-blank
+    lines for notices over several lines or within a long one (see
+    ``declared``).  Paragraphs that are unknown give no row, nor (without ``unconfirmed``) do those whose family no
     template confirms, so null, empty and blank texts give none.  Null ids and repeated rows
     are scanned like any other; other columns are not read.  An empty table
     gives an empty result.
@@ -254,13 +375,12 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
             for part, texts in text_slices(batch, "text"):
                 at, rows = [], []
                 for i, text in enumerate(texts):
-                    found = [(n, *c) for n, words in enumerate(paragraphs(text))
-                             if words and (c := m.classify(words))[0] != UNKNOWN
-                             and (unconfirmed or c[2] >= CONFIRM)]
+                    found = declared(text, m, unconfirmed)
                     if found:
                         lines = text.split("\n")
                         at += [i] * len(found)
-                        rows += [(n, f, p, s, s >= CONFIRM, lines[n]) for n, f, p, s in found]
+                        rows += [(n, f, p, s, s >= CONFIRM, "\n".join(lines[n:last + 1]))
+                                 for n, last, f, p, s in found]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(
                     (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int32())), *columns],
