@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain versions, and the queries."""
 
 import inspect
+import random
 
 import public_tokenizers
 import pytest
@@ -35,6 +36,20 @@ def test_language_stage_keeps_all_that_have_letters(spark, documents):
     assert rows_of(out) == sorted(map(tuple, want), key=repr)
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark, documents):
+    rnd = random.Random(4)
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+              "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ")
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. "
+    noise = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(2000))
+    clean = documents.where("lang = 'en' and n_chars between 500 and 3000").first()["text"]
+    strange = docs(spark, [(-1, polish * 2, None), (-2, russian * 3, None), (-3, noise, None), (-4, noise[:300], "en")])
+    plain = docs(spark, [(-11, clean, None), (-12, clean[:60], None), (-13, "zq", None), (-14, "A.", None)])
+    out = P.language_id(spark, documents.unionByName(strange).unionByName(plain), SF)
+    got = {r["doc_id"]: r["lang"] for r in out.where("doc_id < 0").collect()}
+    assert sorted(got) == [-14, -13, -12, -11] and got[-11] == "en" and None not in got.values()
+
+
 def test_quality_stage_keeps_clean_and_drops_junk(spark):
     sf = "/root/testdata/sf0.1"
     d = spark.read.parquet(f"{sf}/documents.parquet")

@@ -27,6 +27,10 @@ SAMPLE_CHARS = 24_000   # bound: characters learned per language
 SAMPLE_DOCS = 200       # bound: documents drawn per language, on average
 MAX_LANGUAGES = 200     # bound: languages, the most frequent ones
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
+LIMIT_DOCS = 1_000      # bound: documents per language whose entropy sets its limit, on average
+LEAST_LIMIT_DOCS = 20   # a language with fewer takes the widest limit of the others
+LIMIT_SHARE = 0.99      # share of labelled documents at or below a language's ordinary entropy
+CLEARLY = 1.75          # an entropy this many times the ordinary one is clearly above it
 UNKNOWN = "und"
 
 
@@ -94,6 +98,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, np.ndarray]):
         self.languages = sorted(samples)
+        self.limits: dict[str, float] = {}  # see learn_limits
         symbols = sorted(set().union(*(np.unique(s).tolist() for s in samples.values()))) if samples else []
         self.width = len(symbols) + 1
         self.symbol = {c: k + 1 for k, c in enumerate(symbols)}  # 0: in no sample
@@ -153,21 +158,34 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, confidence) per text; ties go to the smaller name."""
+        return [(language, score) for language, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, confidence, strange) per text; strange is a text above
+        the limits of all languages."""
         normal = [normalise(t) for t in texts]
         counts = self.phrases([codes for codes, _ in normal])
+        limits = np.array([self.limits.get(x, np.inf) for x in self.languages])
         out = []
         for (codes, letters), row in zip(normal, counts):
             if not letters or not self.languages:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, False))
                 continue
             entropy = row * self.weight / len(codes)
             best = int(np.argmin(entropy))
             others = np.delete(entropy, best)
             margin = 1.0 if not len(others) else 1.0 - entropy[best] / others.min()
-            out.append((self.languages[best], float(min(1.0, max(0.0, margin)))))
+            strange = bool((sure_entropy(row, self.weight, len(codes)) > limits).all())
+            out.append((self.languages[best], float(min(1.0, max(0.0, margin))), strange))
         return out
 
 
+def sure_entropy(phrases: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """Bits per character that a text shows beyond chance: with two standard
+    deviations (the root of the count) fewer phrases.  Short texts show little."""
+    return (phrases - 2 * np.sqrt(phrases)).clip(0) * weight / length
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
           sample_chars: int = SAMPLE_CHARS) -> CrossParser:
     """Learn from a bounded sample of labelled rows.
@@ -195,26 +213,68 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
                         if sum(map(len, v))})
 
 
+def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text",
+                 lang_col: str = "lang") -> CrossParser:
+    """``parser`` with a limit of the entropy for each of its languages.
+
+    One half of the texts (by a hash, so copies stay together) teaches a parser
+    of its own and a bounded sample of the other half is measured with it, so
+    no text is measured by itself.  A limit is ``CLEARLY`` times what
+    ``LIMIT_SHARE`` of a language's documents stay below.  Without enough
+    labelled documents of any language there is no limit.
+    """
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")) \
+                   .where("lang is not null and text is not null and lang <> 'und'")
+    half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
+    shared = labelled.sparkSession.sparkContext.broadcast(train(rows.where(half)))  # bounded by the sample sizes above
+    counts = rows.where(~half).groupBy("lang").count().withColumnRenamed("lang", "own")
+    drawn = rows.where(~half).join(counts, F.col("lang") == F.col("own")) \
+                .where(hash_share(F.col("text"), F.lit(float(LIMIT_DOCS)) / F.col("count"))).select("lang", "text")
+
+    def run(batches):
+        parser = shared.value
+        at = {x: k for k, x in enumerate(parser.languages)}
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                normal = [normalise(t) for t in texts]
+                rows = parser.phrases([codes for codes, _ in normal])
+                found = [(x, float(sure_entropy(row, parser.weight, len(codes))[at[x]]))
+                         for x, (codes, letters), row in zip(part.column("lang").to_pylist(), normal, rows)
+                         if letters and x in at]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()),
+                                                  pa.array([e for _, e in found], pa.float64())],
+                                                 names=["lang", "entropy"])
+
+    found = drawn.mapInArrow(run, "lang string, entropy double").groupBy("lang") \
+                 .agg(F.count(F.lit(1)).alias("n"), F.percentile("entropy", F.lit(LIMIT_SHARE)).alias("e")).collect()
+    limits = {r["lang"]: CLEARLY * r["e"] for r in found if r["n"] >= LEAST_LIMIT_DOCS}
+    widest = max(limits.values(), default=math.inf)
+    parser.limits = {x: limits.get(x, widest) for x in parser.languages}
+    return parser
+
+
 def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", pred_col: str = "lang_pred",
-             score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its confidence (0 to 1).
+             score_col: str = "score", strange_col: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its confidence (0 to 1), and
+    with ``strange_col`` also whether the text lies above all limits.
 
     Every whole text is parsed.  A null text, or one without a letter, is
-    ``und`` with confidence 0.  Existing columns of the two result names are
-    replaced; every other column, null or not, passes through unchanged.
+    ``und`` with confidence 0 and not strange.  Existing columns of the result
+    names are replaced; every other column, null or not, passes through unchanged.
     """
-    kept = [c for c in docs.columns if c not in (pred_col, score_col)]
+    kept = [c for c in docs.columns if c not in (pred_col, score_col, strange_col)]
     src = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*src.schema.fields, T.StructField(pred_col, T.StringType()),
-                           T.StructField(score_col, T.DoubleType())])
+                           T.StructField(score_col, T.DoubleType()),
+                           *([T.StructField(strange_col, T.BooleanType())] if strange_col else [])])
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by the sample sizes above
 
     def run(batches):
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
-                found = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([x for x, _ in found], pa.string()),
-                     pa.array([x for _, x in found], pa.float64())], names=schema.names)
+                found = shared.value.judge(texts)
+                results = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(
+                    (pa.string(), pa.float64(), pa.bool_())[:3 if strange_col else 2])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *results], names=schema.names)
 
     return src.mapInArrow(run, schema)
