@@ -100,6 +100,29 @@ def test_pairs_at_the_threshold_share_a_filter(words):
     assert min(shared) > 0
 
 
+def test_misses_do_not_grow_with_the_codebook():
+    """At 1,024 words, 16 directions a vector miss several of these pairs."""
+    rng, missed, missed_by_16 = np.random.default_rng(3), 0, 0
+    code = embed_dedup.ProductCode(64, 1024)
+    for _ in range(20):
+        u = rng.normal(size=(1000, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        v = 0.98 * u + math.sqrt(1 - 0.98 ** 2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        for a, b, a16, b16 in zip(*(code.decode(z, n).tolist() for n in (None, 16) for z in (u, v))):
+            missed += set(a).isdisjoint(b)
+            missed_by_16 += set(a16).isdisjoint(b16)
+    assert missed == 0 and missed_by_16 > 0
+
+
+def test_links_with_a_large_codebook(spark, monkeypatch):
+    rows = groups(np.random.default_rng(5), 25)
+    monkeypatch.setattr(embed_dedup, "code_words", lambda classes: 1024)
+    monkeypatch.setattr(embed_dedup, "SHARED", 7)
+    assert rows_of(embed_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute_links(rows)
+
+
 def brute_nearest(rows, asked, k=5):
     out = []
     for q in {r[0]: r for r in asked}.values():
