@@ -80,6 +80,32 @@ def test_language_edges(spark):
     assert row["lang_pred"] == "en" and isinstance(row["score"], float)
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(6)
+    word = {f"l{k:03}": "".join(rnd.choice("abcdefghijklmnop") for _ in range(60)) for k in range(230)}
+    rows = [(k, w, x) for k, (x, w) in enumerate(word.items())] + [(k, w + "z", x) for k, (x, w) in
+                                                                   enumerate(list(word.items())[30:])]
+    parser = langid.train(docs(spark, rows))
+    assert parser.languages == sorted(word)
+    found = langid.identify(docs(spark, [(k, w, None) for k, w in enumerate(word.values())]), parser).collect()
+    assert [r["lang_pred"] for r in sorted(found, key=lambda r: r["doc_id"])] == list(word)
+
+
+def test_a_large_script_beside_small_ones():
+    rnd = random.Random(7)
+    common = [chr(0x4E00 + k) for k in range(2600)]
+    samples = {f"s{k}": "".join(rnd.choice("abcdefgh ") for _ in range(3000)) for k in range(12)}
+    samples["zh"] = "".join(common[int(2600 * rnd.random() ** 4)] for _ in range(24_000))
+    parser = langid.CrossParser({k: codes(v) for k, v in samples.items()})
+    assert parser.width > 2000
+    # At most three moves a character, and the gaps between rows.
+    assert parser.table.size + parser.base.size < 6 * sum(map(len, samples.values())) + 40 * parser.width
+    texts = [samples["zh"][5000:5200] + "ab c" + "".join(rnd.choice(common) for _ in range(200)), samples["s3"][9:300],
+             "xyz"]
+    got = parser.phrases([codes(t) for t in texts])
+    assert got.tolist() == [[longest_match_phrases(t, samples[k]) for k in sorted(samples)] for t in texts]
+
+
 def test_training_sample_is_bounded(spark):
     long = docs(spark, [(k, PROSE * 300, "en") for k in range(20)])
     parser = langid.train(long, sample_chars=1000)

@@ -5,9 +5,9 @@ every substring of it.  A text is parsed greedily into the longest phrases
 that occur in a language's sample; the fewer phrases per character (times the
 logarithm of the sample's length), the closer the language.
 
-The automata are laid out as one dense transition table, and texts are parsed
-in windows side by side, so a step over all windows and languages is a
-handful of array operations.
+The automata are laid out in one sparse transition table, and texts are parsed
+in windows side by side, so a step over all windows is a handful of array
+operations.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from turnstile.llm.common import hash_share, text_slices
 
 SAMPLE_CHARS = 24_000   # bound: characters learned per language
 SAMPLE_DOCS = 200       # bound: documents drawn per language, on average
-MAX_LANGUAGES = 200     # bound: languages, the most frequent ones
+TRIES = 4096            # cells that are tried together when a row is placed
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
 LIMIT_DOCS = 1_000      # bound: documents per language whose entropy sets its limit, on average
 LEAST_LIMIT_DOCS = 20   # a language with fewer takes the widest limit of the others
@@ -88,11 +88,60 @@ class SuffixAutomaton:
         return new
 
 
-class CrossParser:
-    """The automata of all languages as one table.
+def _interleave(moves: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each state's row, each cell's state or -1, its next state): rows
+    of several moves where their first fit is among the free cells, longest
+    first, and those of one move in what is left.  The root has no row."""
+    total = sum(map(len, moves))
+    base = np.zeros(len(moves), dtype=np.int64)
+    owner = np.full(2 * total + 1024, -1, dtype=np.int64)
+    to = np.zeros(len(owner), dtype=np.int64)
+    low = 0  # no free cell before it
+    wide = sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: (-len(moves[s]), s))
+    for s in wide:
+        own = np.array(sorted(moves[s]), dtype=np.int64)
+        shift = own - own[0]
+        at = low
+        while True:
+            if at + TRIES + shift[-1] >= len(owner):
+                more = len(owner) + TRIES + int(shift[-1])
+                owner = np.concatenate([owner, np.full(more, -1, dtype=np.int64)])
+                to = np.concatenate([to, np.zeros(more, dtype=np.int64)])
+            free = np.flatnonzero(owner[at:at + TRIES] < 0) + at
+            for d in shift[1:].tolist():
+                free = free[owner[free + d] < 0]
+            if len(free):
+                break
+            at += TRIES
+        first = int(free[0])
+        base[s] = first - own[0]
+        owner[first + shift] = s
+        to[first + shift] = [moves[s][c] for c in own.tolist()]
+        taken = owner[low:low + TRIES] >= 0
+        low += int(taken.argmin()) if not taken.all() else TRIES
+    single = np.array([s for s in range(1, len(moves)) if len(moves[s]) == 1], dtype=np.int64)
+    short = len(single) - int((owner < 0).sum())
+    if short > 0:
+        owner = np.concatenate([owner, np.full(short, -1, dtype=np.int64)])
+        to = np.concatenate([to, np.zeros(short, dtype=np.int64)])
+    cell = np.flatnonzero(owner < 0)[:len(single)]
+    symbol, target = (np.array(z, dtype=np.int64) for z in zip(*[next(iter(moves[s].items())) for s in single.tolist()])) \
+        if len(single) else (np.empty(0, np.int64),) * 2
+    base[single] = cell - symbol
+    owner[cell], to[cell] = single, target
+    end = int(np.flatnonzero(owner >= 0)[-1]) + 1 if (owner >= 0).any() else 0
+    return base, owner[:end], to[:end]
+
 
-    A cell holds (row offset of the next state) * 2 + (1 if a new phrase
-    starts with this symbol).  A symbol that no sample has ends the phrase and
+class CrossParser:
+    """The automata of all languages, laid out sparsely in one table.
+
+    A state's move by a symbol is at cell ``base[state] + symbol``, which is the
+    state's own if it holds its number in the upper half; the lower half is the
+    next state.  Rows are shifted so that they fill each other's gaps, so the
+    table grows with the moves (fewer than three a character) and not with
+    states times symbols.  Without a move a new phrase starts, by the language's
+    row of ``fresh``.  A symbol that a sample does not have ends the phrase and
     counts as one of its own.
     """
 
@@ -104,22 +153,29 @@ class CrossParser:
         self.symbol = {c: k + 1 for k, c in enumerate(symbols)}  # 0: in no sample
         self.codes = np.array(symbols, dtype=np.uint32)
         self.weight = np.array([math.log2(max(2, len(samples[x]))) for x in self.languages])
-        tables, self.roots, base = [], [], 0
-        for language in self.languages:
+        self.fresh = np.zeros((len(self.languages), self.width), dtype=np.int32)
+        # A row may start before its first cell and end after its last one by the width.
+        tables, bases, roots, states, cells = [], [], [], 0, self.width
+        for k, language in enumerate(self.languages):
             automaton = SuffixAutomaton([self.symbol[c] for c in samples[language].tolist()])
-            n = len(automaton.moves)
-            table = np.zeros((n, self.width), dtype=np.int64)
-            for state, moves in enumerate(automaton.moves):
-                for c, to in moves.items():
-                    table[state, c] = (base + to * self.width) * 2
-            fresh = np.where(table[0] > 0, table[0] + 1, base * 2 + 1)
-            table[0] = fresh  # from the root every symbol starts a phrase
-            rest = table[1:]
-            np.copyto(rest, fresh, where=rest == 0)
+            roots.append(states)
+            self.fresh[k] = states
+            for c, to in automaton.moves[0].items():
+                self.fresh[k, c] = states + to
+            base, owner, to = _interleave(automaton.moves)
+            table = np.full(len(owner), -1, dtype=np.int64)
+            own = owner >= 0
+            table[own] = (owner[own] + states << 32) | (to[own] + states)
             tables.append(table)
-            self.roots.append(base)
-            base += n * self.width
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.empty(0, np.int32)
+            bases.append(base + cells)
+            states += len(automaton.moves)
+            cells += len(table)
+        if max(states, cells + self.width, self.fresh.size) >= 1 << 31:
+            raise OverflowError(f"{len(self.languages)} languages: {states} states, {cells} cells")
+        edge = np.full(self.width, -1, dtype=np.int64)
+        self.roots = np.array(roots, dtype=np.int32)
+        self.table = np.concatenate([edge, *tables, edge]) if tables else np.empty(0, np.int64)
+        self.base = np.concatenate(bases).astype(np.int32) if bases else np.empty(0, np.int32)
 
     def to_symbols(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
@@ -145,15 +201,18 @@ class CrossParser:
         for lane, k in enumerate(order.tolist()):
             steps[: sizes[k], lane] = lanes[k]
         active = len(lanes) - np.searchsorted(np.sort(sizes), np.arange(WINDOW), side="right")
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(lanes), axis=1)
-        count = np.zeros(state.shape, dtype=np.int32)
-        table = self.table
-        for t in range(int(sizes.max())):
-            n = int(active[t])
-            cell = table.take(state[:, :n] + steps[t, :n])
-            count[:, :n] += cell & 1
-            state[:, :n] = cell >> 1
-        np.add.at(out, np.array(owner)[order], count.T)
+        placed = np.array(owner)[order]
+        for k in range(len(self.languages)):
+            state = np.full(len(lanes), self.roots[k], dtype=np.int32)
+            count = np.zeros(len(lanes), dtype=np.int32)
+            for t in range(int(sizes.max())):
+                n = int(active[t])
+                symbol = steps[t, :n]
+                cell = self.table.take(self.base.take(state[:n]) + symbol)
+                new = (cell >> 32) != state[:n]
+                count[:n] += new
+                state[:n] = np.where(new, self.fresh[k].take(symbol), cell.astype(np.int32))
+            np.add.at(out[:, k], placed, count)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -190,18 +249,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
           sample_chars: int = SAMPLE_CHARS) -> CrossParser:
     """Learn from a bounded sample of labelled rows.
 
-    Rows with a null language or text teach nothing.  Per language, texts are
+    Every language is learned, however many there are.  Rows with a null
+    language or text teach nothing.  Per language, texts are
     drawn by a hash of their content until ``sample_chars`` characters are
     together, so the sample does not depend on partitioning; a language with
     less text than that is used whole.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")) \
                    .where("lang is not null and text is not null and lang <> 'und'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return CrossParser({})
-    share = F.create_map([x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["count"])))])
-    drawn = rows.where(hash_share(F.col("text"), share[F.col("lang")])) \
+    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "own")  # a row per language, so no text moves
+    drawn = rows.join(F.broadcast(counts), F.col("lang") == F.col("own")) \
+                .where(hash_share(F.col("text"), F.lit(float(SAMPLE_DOCS)) / F.col("count"))).select("lang", "text") \
                 .withColumn("text", F.substring("text", 1, sample_chars)) \
                 .withColumn("order", F.xxhash64("text", F.lit("order"))).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
@@ -228,7 +286,7 @@ def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
     shared = labelled.sparkSession.sparkContext.broadcast(train(rows.where(half)))  # bounded by the sample sizes above
     counts = rows.where(~half).groupBy("lang").count().withColumnRenamed("lang", "own")
-    drawn = rows.where(~half).join(counts, F.col("lang") == F.col("own")) \
+    drawn = rows.where(~half).join(F.broadcast(counts), F.col("lang") == F.col("own")) \
                 .where(hash_share(F.col("text"), F.lit(float(LIMIT_DOCS)) / F.col("count"))).select("lang", "text")
 
     def run(batches):
