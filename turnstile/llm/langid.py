@@ -26,6 +26,7 @@ from turnstile.llm.common import hash_share, text_slices
 SAMPLE_CHARS = 24_000   # bound: characters learned per language
 SAMPLE_DOCS = 200       # bound: documents drawn per language, on average
 TRIES = 4096            # cells that are tried together when a row is placed
+LEAST_PIECE = 100       # characters taken from one place of a text, at least
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
 LIMIT_DOCS = 1_000      # bound: documents per language whose entropy sets its limit, on average
 LEAST_LIMIT_DOCS = 20   # a language with fewer takes the widest limit of the others
@@ -250,25 +251,36 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Learn from a bounded sample of labelled rows.
 
     Every language is learned, however many there are.  Rows with a null
-    language or text teach nothing.  Per language, texts are
-    drawn by a hash of their content until ``sample_chars`` characters are
-    together, so the sample does not depend on partitioning; a language with
-    less text than that is used whole.
+    language or text teach nothing.  Per language, ``SAMPLE_DOCS`` texts are
+    drawn by a hash of their content.  Each gives one piece from a place chosen
+    by a hash, then each another one, until ``sample_chars`` characters are
+    together, so all drawn texts contribute and the sample does not depend on
+    partitioning; a language with less text than that is used whole.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")) \
                    .where("lang is not null and text is not null and lang <> 'und'")
     counts = rows.groupBy("lang").count().withColumnRenamed("lang", "own")  # a row per language, so no text moves
     drawn = rows.join(F.broadcast(counts), F.col("lang") == F.col("own")) \
-                .where(hash_share(F.col("text"), F.lit(float(SAMPLE_DOCS)) / F.col("count"))).select("lang", "text") \
-                .withColumn("text", F.substring("text", 1, sample_chars)) \
-                .withColumn("order", F.xxhash64("text", F.lit("order"))).distinct().collect()
-    samples: dict[str, list[np.ndarray]] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["order"], r["text"])):
-        own = samples.setdefault(r["lang"], [])
-        if sum(map(len, own)) < sample_chars:
-            own.append(normalise(r["text"])[0])
-    return CrossParser({k: np.concatenate(v)[:sample_chars] for k, v in samples.items()
-                        if sum(map(len, v))})
+                .where(hash_share(F.col("text"), F.lit(float(SAMPLE_DOCS)) / F.col("count"))) \
+                .withColumn("order", F.xxhash64("text", F.lit("order")))
+    piece = max(LEAST_PIECE, sample_chars // SAMPLE_DOCS)
+    # Few texts give many pieces each: enough for the sample even if only one in four has as many.
+    rounds = F.ceil(F.lit(4.0 * sample_chars / piece) / F.least("count", F.lit(SAMPLE_DOCS)))
+    last = F.greatest(F.lit(0), F.ceil(F.char_length("text") / F.lit(piece)) - 1).cast("int")
+    places = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64("order", k), k.alias("at"))))
+    drawn = drawn.select("lang", "text", "order", F.posexplode(F.slice(places, 1, rounds.cast("int"))).alias("round", "p")) \
+                 .select("lang", "order", "round", F.col("p.at").alias("at"),
+                         F.substring("text", F.col("p.at") * piece + 1, F.lit(piece)).alias("text")).distinct().collect()
+    samples: dict[str, list] = {}
+    held: dict[str, int] = {}
+    for r in sorted(drawn, key=lambda r: (r["lang"], r["round"], r["order"], r["text"])):
+        if held.get(r["lang"], 0) < sample_chars:
+            codes = normalise(r["text"])[0]
+            samples.setdefault(r["lang"], []).append((r["order"], r["at"], codes))
+            held[r["lang"]] = held.get(r["lang"], 0) + len(codes)
+    # Neighbouring pieces of a text stand side by side.
+    return CrossParser({k: np.concatenate([c for _, _, c in sorted(v, key=lambda x: x[:2])])[:sample_chars]
+                        for k, v in samples.items() if held[k]})
 
 
 def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text",
