@@ -106,18 +106,6 @@ def test_a_large_script_beside_small_ones():
     assert got.tolist() == [[longest_match_phrases(t, samples[k]) for k in sorted(samples)] for t in texts]
 
 
-def test_all_drawn_texts_contribute(spark, monkeypatch):
-    """One text that alone would fill the sample is a small part of it."""
-    seen = {}
-    monkeypatch.setattr(langid, "CrossParser", lambda samples: seen.update(samples))
-    rows = [(k, chr(0x4E00 + k) * 30_000, "en") for k in range(100)] + [(200, "ab" * 50, "fr"), (201, PROSE * 9, "de")]
-    langid.train(docs(spark, rows))
-    assert len(seen["en"]) == langid.SAMPLE_CHARS and len(set(seen["en"].tolist())) == 100
-    assert max(np.unique(seen["en"], return_counts=True)[1]) < langid.SAMPLE_CHARS / 25
-    assert "".join(map(chr, seen["fr"])) == "ab" * 50
-    assert len(seen["de"]) >= len(PROSE * 9) - 100
-
-
 def test_training_sample_is_bounded(spark):
     long = docs(spark, [(k, PROSE * 300, "en") for k in range(20)])
     parser = langid.train(long, sample_chars=1000)
