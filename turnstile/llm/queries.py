@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, whole tables each.
 
-``op1`` .. ``op10`` apply one operator with its production parameters;
+``op1`` .. ``op13`` apply one operator with its production parameters;
 ``pipeline`` runs ``corpus_pipeline.run``.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, embed_dedup, langid, licenses, minhash, packing, quality, secrets, sharding
+from turnstile.llm import ann, bpe, embed_dedup, exact_dedup, langid, licenses, minhash, packing, quality, secrets, sharding
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,17 @@ def op4_license_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Licence paragraphs of all documents."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.train(docs))
+
+
+_COPIES = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER g = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+
+
+@register("op12_two_pass_bloom_dedup", _COPIES)
+def op12_two_pass_bloom_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of equal texts of all documents and the row of each that stays."""
+    return exact_dedup.find_copies(table(spark, d, "documents"))
