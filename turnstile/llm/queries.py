@@ -13,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, embed_dedup, exact_dedup, langid, licenses, minhash, packing, quality, secrets, sharding
+from turnstile.llm import (ann, bpe, embed_dedup, exact_dedup, hard_negatives, langid, licenses, minhash, packing,
+                           quality, secrets, sharding)
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,29 @@ FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 def op12_two_pass_bloom_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal texts of all documents and the row of each that stays."""
     return exact_dedup.find_copies(table(spark, d, "documents"))
+
+
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                  CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+           FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same
+                AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5"""
+
+
+@register("op13_threshold_join_negatives", _NEGATIVES)
+def op13_threshold_join_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Positives and hard negatives of every hundredth embedding among all."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
