@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import (ann, bpe, embed_dedup, exact_dedup, hard_negatives, langid, licenses, minhash, packing,
-                           quality, secrets, sharding)
+from turnstile.llm import (ann, bpe, conversations, embed_dedup, exact_dedup, hard_negatives, langid, licenses,
+                           minhash, packing, quality, secrets, sharding)
 from turnstile.llm.common import held_out, learnable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,10 @@ def op13_threshold_join_negatives(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@register("op11_hirschberg_repair")
+def op11_hirschberg_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of all damaged conversations."""
+    given = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(conversations.damaged(given), given)
