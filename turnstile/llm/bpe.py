@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
 
 import numpy as np
@@ -26,15 +27,15 @@ from pyspark.sql import types as T
 
 from turnstile.llm.common import text_slices
 
-# The patterns that public byte-pair tokenizers cut words with.
-# White space is spelled out so that it means the same in every regex engine.
-SPACE = r"\t-\r\x20\x85\xA0  -     　"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-BYTE_WORDS = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
-              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-# Characters on which lower-casing, composition and the classes above are
+# Characters on which lower-casing, composition and the classes below are
 # plain; a text with any other goes through the library's own normaliser.
 PLAIN = regex.compile(r"[\x00-ɏ‐-‧€]*")
+# The patterns that public byte-pair tokenizers cut words with,
+# their classes spelled out for plain texts and what these become in lower case.
+LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ", "0-9²³¹¼½¾", r"\t-\r\x20\x85\xA0"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
+BYTE_WORDS = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+"
+              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 NO_RANK = 1 << 40
 HEAP_FROM = 192      # symbols from which merging goes through a heap
@@ -50,17 +51,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def is_plain(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
+
+
 class WordCache(dict):
-    """word -> its ids as 32-bit bytes, filled on demand by ``encode``."""
+    """word -> its ids as 32-bit bytes, filled on demand by ``encode`` until it
+    is full: frequent words come early and stay."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        got = self[word] = array("i", self.encode(word)).tobytes()
+        got = array("i", self.encode(word)).tobytes()
+        if len(self) < WORD_CACHE:
+            self[word] = got
         return got
 
 
@@ -79,7 +91,7 @@ class BpeCodec:
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.pattern = regex.compile(WORDS if self.lower else BYTE_WORDS)
+        self.pattern = re.compile(WORDS if self.lower else BYTE_WORDS)
         self.stand_in = byte_alphabet()
         self.to_byte = {c: b for b, c in self.stand_in.items()}
         self.symbol_id = [vocab.get(self.stand_in[s & 255] + (self.suffix if s > 255 else "")) for s in range(512)]
@@ -179,7 +191,7 @@ class BpeCodec:
         return [t for t in ids if t >= 0]
 
     def split_words(self, text: str) -> list[str]:
-        if text.isascii() or PLAIN.fullmatch(text):
+        if is_plain(text):
             return self.pattern.findall(text.lower() if self.lower else text)
         lib = self.library
         if lib.normalizer is not None:
@@ -189,8 +201,11 @@ class BpeCodec:
 
     def library_ids(self, word: str) -> list[int]:
         """Ids of one word from the library's own model."""
-        stand_in = self.stand_in
-        return [t.id for t in self.library.model.tokenize("".join([stand_in[b] for b in word.encode("utf-8")]))]
+        if word.isascii() and word.isprintable():  # all but the space stand for themselves
+            word = word.replace(" ", self.stand_in[0x20])
+        else:
+            word = "".join(map(self.stand_in.__getitem__, word.encode("utf-8")))
+        return [t.id for t in self.library.model.tokenize(word)]
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes.  Strings of
