@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -144,6 +145,62 @@ def test_plan_uses_every_piece_once(seed):
         assert own[0][0] == 0 and own[-1][1] == counts[x] and all(a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
+def best_fit_alone(counts, capacity=1024):
+    items = [((x,), n) for x, n in sorted(counts.items(), reverse=True) if x < capacity]
+    return sum(n for _, n in packing._best_fit(items, capacity)) + counts.get(capacity, 0)
+
+
+@pytest.mark.parametrize("name", ["uniform", "middle", "documents", *range(12)])
+def test_never_more_sequences_than_best_fit(name, spark):
+    if name == "uniform":
+        counts = {x: 1024 for x in range(1, 1025)}
+    elif name == "documents":
+        d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        counts = {r["length"]: r["count"] for r in packing.tokenised_pieces(d, BYTE).groupBy("length").count().collect()}
+    else:
+        rng = np.random.default_rng(0 if name == "middle" else name)
+        lengths = rng.integers(200, 601, 400_000) if name == "middle" else np.minimum(1024, np.maximum(1, (
+            rng.lognormal(5.5, 1.3, 2000) if name % 2 else rng.integers(1, 1025, 10 ** (name % 4 + 1))).astype(int)))
+        counts = dict(zip(*(a.tolist() for a in np.unique(lengths, return_counts=True))))
+    plan = packing.plan_bins(counts)
+    assert sum(n for _, n in plan) <= best_fit_alone(counts)
+    if name == "middle":  # where gaps have many exact fillings they pay
+        assert sum(n for _, n in plan) < 0.985 * best_fit_alone(counts)
+
+
+def test_index_of_sums_against_search():
+    """What the index calls an exact filling is one, and it misses none."""
+    rng = np.random.default_rng(4)
+    for even in (False, True):
+        for _ in range(300):
+            left = rng.integers(0, 3, 31) * (rng.random(31) < 0.3)
+            left[30] = 0
+            head = int(rng.integers(1, 30))
+            left[head] = max(1, left[head])
+            index = packing.SumIndex(left.astype(np.int64), even)
+            free = [x for x in range(1, 30) for _ in range(left[x] - (x == head))]
+            some = any(sum(c) == 30 - head for n in (1, 2, 3) for c in itertools.combinations(free, n))
+            found = index.fill(head, 30 - head)
+            assert (found is not None) == some
+            if found:
+                assert sum(found) == 30 - head and all(found.count(x) <= free.count(x) for x in found)
+
+
+def test_hot_length_is_numbered_in_many_buckets(spark, monkeypatch):
+    """A third of all documents without text or id: one length, one id."""
+    monkeypatch.setattr(packing, "DEAL_PARTS", 8)
+    rows = [(None, None)] * 400 + [(k, f"word {k}") for k in range(800)] + [(900, "word " * 5000), (None, "word " * 5000)]
+    out = packing.pack_documents(docs(spark, rows), BYTE).collect()
+    assert sum(r["length"] for r in out) == sum(len(Tokenizer.from_file(BYTE).encode(t or "", add_special_tokens=False).ids) + 1
+                                                for _, t in rows)
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by_sequence.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own]).tolist()[:-1]] and sum(n for _, n in own) <= 1024
+
+
 def test_bounded_plan():
     """Counts a thousand times larger do not make a larger plan."""
     rng = np.random.default_rng(0)

@@ -3,12 +3,17 @@
 How well pieces pack depends only on how many there are of each length, and
 there are at most ``capacity`` lengths.  So Spark counts the lengths, one
 small plan is made on the counts, and Spark deals the pieces out by the
-plan.  The plan takes the longest length still available, hashes the sums of
-one, two and three available lengths, and looks the gap up in that hash: a
-combination that fills the gap exactly is used as often as all its counts
-allow.  What no combination fills exactly is packed best-fit: the length
+plan.  An index has the sums of one and of two available lengths; the plan takes
+the longest length still available and looks its gap up there, or the gap less
+a third length.  A combination that fills the gap exactly is used as often as
+all its counts allow, and combinations whose lengths are used up leave the
+index.  What no combination fills exactly is packed best-fit: the length
 closest to the gap goes in until nothing fits.
 
+Which of several exact combinations is taken matters later, so plans that
+prefer long and that prefer even parts are made, and one of best fit
+alone; the one with the fewest sequences is used.
+
 The plan holds at most one line per use of a combination, each of which uses
 up a length or ends a search, so its size depends on ``capacity`` and not on
 the number of documents.
@@ -17,8 +22,6 @@ the number of documents.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,7 +33,8 @@ from turnstile.llm.common import stored, text_slices
 
 END_ID = 2          # fixed by the contract: closes every document
 CAPACITY = 1024     # tokens in a sequence
-DEAL_BUCKETS = 256  # parts into which the pieces of one length are numbered
+DEAL_ROWS = 250_000  # pieces of one length that are numbered in one task, at most; fewer in small tables
+DEAL_PARTS = 1024    # of all pieces, below which a bucket is not cut further
 
 
 def cut(n_tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -78,72 +82,90 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 # ---------------------------------------------------------------- the plan
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), given how many
-    pieces there are of each length; every piece is used exactly once."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    plan: list[tuple[tuple[int, ...], int]] = []
+class SumIndex:
+    """Sums of available lengths: one length by its count, two by the list of
+    their longer parts, three by a length and the index of the rest."""
 
-    def use(lengths: tuple[int, ...], times: int) -> None:
-        for x in lengths:
-            left[x] -= times
-        plan.append((lengths, times))
+    def __init__(self, left: np.ndarray, even: bool):
+        self.left, self.even = left, even
+        capacity = len(left) - 1
+        lengths = np.flatnonzero(left[:capacity])
+        self.lengths = lengths[::-1].tolist()  # longest first; used-up ones go when they are met
+        self.pairs: dict[int, list[int]] = {}
+        x, y = np.meshgrid(lengths, lengths, indexing="ij")
+        x, y = x[x >= y], y[x >= y]
+        x, total = x[x + y < capacity], (x + y)[x + y < capacity]
+        # The list's end is tried first: the longest part, or the one nearest to half the sum.
+        order = np.lexsort((-x if even else x, total))
+        sums, starts = np.unique(total[order], return_index=True)
+        for s, own in zip(sums.tolist(), np.split(x[order], starts[1:])):
+            self.pairs[s] = own.tolist()
 
-    def times_possible(lengths: Iterable[int]) -> int:
-        need: dict[int, int] = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        return int(min(left[x] // n for x, n in need.items()))
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often the lengths are available together."""
+        return min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
+
+    def pair(self, total: int, others: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """Two lengths of this sum that are available beside ``others``, none
+        over ``most``."""
+        own = self.pairs.get(total)
+        if not own:
+            return None
+        while own and not self.times((own[-1], total - own[-1])):
+            own.pop()  # counts only fall, so it never comes back
+        for x in reversed(own):
+            if x <= most and self.times((*others, x, total - x)):
+                return x, total - x
+        return None
 
-    if left[capacity]:
-        use((capacity,), int(left[capacity]))
-    open_bins: list[tuple[tuple[int, ...], int]] = []
+    def fill(self, head: int, gap: int) -> tuple[int, ...] | None:
+        """Available lengths whose sum is exactly ``gap`` beside one ``head``."""
+        if self.times((head, gap)):
+            return (gap,)
+        found = self.pair(gap, (head,), gap)
+        if found:
+            return found
+        while self.lengths and not self.left[self.lengths[0]]:
+            self.lengths.pop(0)
+        usable = [a for a in self.lengths if 3 * a >= gap and a <= gap - 2 and self.left[a]]
+        for a in reversed(usable) if self.even else usable:
+            found = self.pair(gap - a, (head, a), a)
+            if found:
+                return a, *found
+        return None
+
+
+def _exact_plan(counts: np.ndarray, even: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Exact combinations first, best fit for the lengths that are left."""
+    left, capacity = counts.copy(), len(counts) - 1
+    index, plan, residue = SumIndex(left, even), [], []
     for head in range(capacity - 1, 0, -1):
         while left[head]:
-            found = _exact_fill(left, head, capacity - head)
+            found = index.fill(head, capacity - head)
             if not found:
                 break
-            use((head, *found), max(1, times_possible((head, *found))))
-        if left[head]:  # no exact complement is left for this length now: best fit takes it
-            open_bins.append(((head,), int(left[head])))
+            lengths = (head, *found)
+            times = index.times(lengths)
+            for x in lengths:
+                left[x] -= times
+            plan.append((lengths, times))
+        if left[head]:  # no exact complement is left for this length: best fit takes it
+            residue.append(((head,), int(left[head])))
             left[head] = 0
-    # Best fit for the residuals, longest first: each goes to the fullest open sequence that has room.
-    return plan + _best_fit(open_bins, capacity)
-
-
-def _exact_fill(left: np.ndarray, head: int, gap: int) -> tuple[int, ...] | None:
-    """Available lengths whose sum is exactly ``gap`` beside one ``head``:
-    one, else two, else three of them, the longest first."""
-    free = left[: gap + 1].copy()
-    if head <= gap:
-        free[head] -= 1
-    if free[gap] > 0:
-        return (gap,)
-    have = free > 0
-    # Sums of two: x >= y, x + y = gap; y's flag is read in the reversed table.
-    x = np.arange(gap, dtype=np.int64)
-    pair = have[x] & have[gap - x] & (x >= gap - x) & ((x != gap - x) | (free[x] >= 2)) if gap > 1 else x < 0
-    if pair.any():
-        a = int(np.flatnonzero(pair)[-1])
-        return (a, gap - a)
-    lengths = np.flatnonzero(have[:gap])
-    for a in lengths[::-1]:  # sums of three: a is the longest, the rest is a sum of two
-        a = int(a)
-        rest = gap - a
-        if 3 * a < gap:
-            break
-        if rest < 2:
-            continue
-        free[a] -= 1
-        b = np.arange((rest + 1) // 2, min(a, rest - 1) + 1)
-        ok = (free[b] > 0) & (free[rest - b] > 0) & ((b != rest - b) | (free[b] >= 2))
-        free[a] += 1
-        if ok.any():
-            b1 = int(b[np.flatnonzero(ok)[-1]])
-            return (a, b1, rest - b1)
-    return None
+    return plan + _best_fit(residue, capacity)
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences), given how many
+    pieces there are of each length; every piece is used exactly once.  Never
+    more sequences than best fit alone."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in counts.items():
+        left[length] += n
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    longest_first = [((x,), int(left[x])) for x in range(capacity - 1, 0, -1) if left[x]]
+    plans = [_exact_plan(left, False), _exact_plan(left, True), _best_fit(longest_first, capacity)]
+    return full + min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def _best_fit(items: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -197,27 +219,40 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = stored(tokenised_pieces(docs, path, id_col, text_col, capacity, with_ids), "pieces")
-    # A hot length is numbered in buckets, so no task holds all its pieces.
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(DEAL_BUCKETS)).cast("int")
-    pieces = pieces.withColumn("_bucket", bucket)
-    # At most capacity x buckets rows: the only thing that reaches the driver.
-    counts = pieces.groupBy("length", "_bucket").count().toPandas().sort_values(["length", "_bucket"])
-    plan = plan_bins(counts.groupby("length")["count"].sum().to_dict(), capacity)
+    # Written once with a number for each row, so that ranks do not change.
+    pieces = stored(tokenised_pieces(docs, path, id_col, text_col, capacity, with_ids)
+                    .withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # At most ``capacity`` rows.
+    by_length = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan = [line for line in plan_bins(by_length, capacity) if line[0] != (capacity,)]
+    used = sum(times for _, times in plan)
     table = np.array(deal_table(plan), dtype=np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    counts["_base"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    bases = np.zeros((capacity + 1, DEAL_BUCKETS), dtype=np.int64)
-    bases[counts["length"].to_numpy(dtype=int), counts["_bucket"].to_numpy(dtype=int)] = counts["_base"]
-    shared = spark.sparkContext.broadcast((table, bases))
-
-    by = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(by).cast("long") - 1)
-    fields = [f for f in pieces.schema.fields if f.name != "_bucket"]
+    # A full piece is a sequence of its own, whatever its number.
+    out = [c for c in pieces.columns if c != "_row"]
+    full = pieces.where(F.col("length") == capacity) \
+                 .select(*out, (F.col("_row") + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # The pieces of a length are numbered in buckets that follow their count, so no task holds many.
+    each = min(DEAL_ROWS, max(1, sum(by_length.values()) // DEAL_PARTS))
+    buckets = [-(-by_length.get(x, 0) // each) or 1 for x in range(capacity)]
+    first = np.cumsum([0, *buckets])
+    parts = F.array(*map(F.lit, buckets))
+    short = pieces.where(F.col("length") < capacity).withColumn(
+        "_bucket", F.pmod(F.xxhash64("_row"), F.element_at(parts, (F.col("length") + 1).cast("int"))).cast("int"))
+    # At most 2 x capacity rows, and one for each DEAL_ROWS pieces.
+    counts = short.groupBy("length", "_bucket").count().toPandas().sort_values(["length", "_bucket"])
+    bases = np.zeros(first[-1], dtype=np.int64)
+    bases[first[counts["length"].to_numpy(dtype=int)] + counts["_bucket"].to_numpy(dtype=int)] = \
+        counts.groupby("length")["count"].cumsum() - counts["count"]
+    shared = spark.sparkContext.broadcast((table, bases, first))
+
+    by = Window.partitionBy("length", "_bucket").orderBy("_row")
+    ranked = short.withColumn("_rank", F.row_number().over(by).cast("long") - 1)
+    fields = [f for f in pieces.schema.fields if f.name != "_row"]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
-        table, bases = shared.value
+        table, bases, first = shared.value
         # One sorted key per slot range: its length, then its first rank.
         big = np.int64(1) << 48
         keys = table[:, 0] * big + table[:, 1]
@@ -225,10 +260,10 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if not batch.num_rows:
                 continue
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy() + bases[length, batch.column("_bucket").to_numpy()]
+            rank = batch.column("_rank").to_numpy() + bases[first[length] + batch.column("_bucket").to_numpy()]
             row = table[np.searchsorted(keys, length * big + rank, side="right") - 1]
             columns = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4].copy())], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return full.unionByName(ranked.mapInArrow(place, schema))
