@@ -27,11 +27,11 @@ def brute_links(rows):
     for i, j in links:
         count[i] += 1
         count[j] += 1
-    ids = [r[0] for r in rows]
-    root = smallest_reachable({x for x in ids if x is not None},
-                              [(ids[i], ids[j]) for i, j in links if ids[i] is not None and ids[j] is not None])
-    return sorted(((r[0], c, root.get(r[0]), r[0] is None or root[r[0]] == r[0]) for r, c in zip(rows, count)),
-                  key=repr)
+    # Rows of one id are one node; a vector without an id is a node behind all ids.
+    node = [r[0] if r[0] is not None else 10**9 + i for i, r in enumerate(rows)]
+    root = smallest_reachable(set(node), [(node[i], node[j]) for i, j in links])
+    return sorted(((r[0], c, None if r[0] is None else root[r[0]], r[0] is None or root[r[0]] == r[0])
+                   for r, c in zip(rows, count)), key=repr)
 
 
 def groups(rng, n, d=64):
@@ -76,6 +76,42 @@ def test_null_ids_count_as_vectors(spark):
     assert rows_of(embed_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute_links(rows)
 
 
+def test_vectors_without_id_connect_others(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(30):  # a chain: the middle one has no id and is the only link between the ends
+        centre, side = rng.normal(size=(2, 64))
+        for step, name in ((-0.16, 2 * k), (0.0, None), (0.16, 2 * k + 1)):
+            rows.append((name, (centre + step * side).astype(np.float32).tolist(), 0))
+    rows += [(r[0], r[1], 1) for r in rows[1::3]] * 2
+    want = brute_links(rows)
+    assert sum(r[2] is not None and r[2] != r[0] for r in want) >= 25
+    for block in (embed_dedup.BLOCK, 2):
+        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+        assert rows_of(embed_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA))) == want
+
+
+def test_contracting_a_matrix_equals_pair_by_pair():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(2, 12))
+        own = rng.integers(0, 2, n)
+        left, right = (np.arange(n),) * 2 if rng.random() < 0.5 else (np.flatnonzero(own == 0), np.flatnonzero(own == 1))
+        linked = rng.random((len(left), len(right))) < rng.choice([0.1, 0.3, 0.9])
+        if left is right:
+            linked = np.triu(linked, 1) | np.triu(linked, 1).T
+        got = embed_dedup._contract(left, right, linked, n)
+        pairs = [(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(linked))]
+        assert got.tolist() == [smallest_reachable(set(range(n)), pairs)[i] for i in range(n)]
+
+
+def test_the_codebook_keeps_growing():
+    """Members of a cap, vectors x caps of each over all caps, grow like the logarithm only."""
+    members = [n * embed_dedup.probes(k) / k**2 for n in (10**4, 10**6, 10**8, 10**10)
+               if (k := embed_dedup.code_words(n))]
+    assert max(members) < 6 * min(members) and embed_dedup.code_words(10**10) > 10_000
+
+
 def test_decode_finds_the_nearest_directions():
     rng = np.random.default_rng(2)
     code, x = embed_dedup.ProductCode(12, 8), rng.normal(size=(40, 12))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.common import stored
-from turnstile.llm.components import Forest, connected_components
+from turnstile.llm.components import connected_components
 from turnstile.llm.minhash import by_group, grouped, in_blocks, meets
 from turnstile.llm.vectors import as_matrix, cosine, vector_rows
 
@@ -75,8 +75,9 @@ def probes(words: int) -> int:
 
 def code_words(classes: int) -> int:
     """Codewords per half: a direction for every four vectors of the largest
-    label, so that caps stay about as full at every size."""
-    return int(min(1024, max(16, 2 ** np.ceil(np.log2(max(4, classes) / 4) / 2))))
+    label, so that caps stay about as full at every size (a cap's members grow
+    with ``probes``, that is with the logarithm of the size)."""
+    return int(max(16, 2 ** np.ceil(np.log2(max(4, classes) / 4) / 2)))
 
 
 def _filters(classes: DataFrame, words: int) -> DataFrame:
@@ -127,6 +128,25 @@ def _linked(group: pa.Table, link: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return left, right, linked
 
 
+def _contract(left: np.ndarray, right: np.ndarray, linked: np.ndarray, n: int) -> np.ndarray:
+    """A root for each of a group's n rows, the same one for rows that are
+    connected.  Whole rows of the matrix are joined at a time, so a block
+    of copies takes two steps and not one for each of its pairs."""
+    links = np.zeros((n, n), dtype=bool)
+    links[np.ix_(left, right)] = linked
+    links |= links.T
+    root = np.arange(n)
+    new = links.any(axis=1)
+    for seed in np.flatnonzero(new).tolist():
+        if not new[seed]:
+            continue
+        new[seed], border = False, np.array([seed])
+        while len(border):
+            border = np.flatnonzero(links[border].any(axis=0) & new)
+            root[border], new[border] = seed, False
+    return root
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                  link: float = LINK) -> DataFrame:
     """Links between vectors of equal label at cosine ``link`` or more.
@@ -136,16 +156,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     non-finite component, links with nothing, not even a copy; vectors of
     different length never link.  Rows that repeat an id are vectors of their
     own for ``n_links`` and one node for components; a null id counts as a
-    vector but has a null component and is kept.  An empty table gives an
+    vector, also as one that connects others, but has a null component and is kept.  An empty table gives an
     empty result.
     """
     rows = stored(vector_rows(df, id_col, vec_col, label_col), "vectors")
     usable = rows.where("vec is not null and label is not null")
-    # Exact copies are one class; only classes without any id have no node.
+    last = rows.agg(F.max("vec_id")).first()[0] or 0
+    # Exact copies are one class, named by its smallest id; a class without any id is a node behind all ids.
     classes = usable.groupBy("label", "digest").agg(
         F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"),
         F.first("dims").alias("dims"), F.first("vec").alias("vec"))
-    classes = stored(classes.withColumn("key", F.unhex(F.md5(F.concat("digest", F.encode("label", "UTF-8"))))), "vector_classes")
+    classes = stored(classes.withColumn("key", F.unhex(F.md5(F.concat("digest", F.encode("label", "UTF-8")))))
+                     .withColumn("node", F.coalesce("class_id", F.lit(last + 1) + F.monotonically_increasing_id())),
+                     "vector_classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     filtered = stored(_filters(classes, code_words(most)), "filtered")
     # Caps with one vector are dropped, and the rest dealt to blocks, before any vector moves.
@@ -153,7 +176,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     light = filtered.select("key", "label", "dims", F.explode("filters").alias("filter"))
     sizes = light.groupBy(*cap).count().where("count > 1")
     blocks = in_blocks(light.join(sizes, cap), "key", F.ceil(F.col("count") / BLOCK)).drop("count")
-    blocks = blocks.join(filtered.select("key", "class_id", "copies", "vec", "filters"), "key")
+    blocks = blocks.join(filtered.select("key", "node", "copies", "vec", "filters"), "key")
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("links", T.LongType()),
                            T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
@@ -169,22 +192,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             count[left] += linked @ copies[right]
             if left is not right:
                 count[right] += linked.T @ copies[left]
-            forest = Forest(group.num_rows)
-            for i, j in zip(*(z.tolist() for z in np.nonzero(linked))):
-                forest.union(int(left[i]), int(right[j]))
-            ids = group.column("class_id")
-            root = np.array([forest.find(i) for i in range(group.num_rows)])
+            root = _contract(left, right, linked, group.num_rows)
+            nodes = group.column("node").combine_chunks()
             touched = np.flatnonzero(count > 0)
             yield pa.RecordBatch.from_arrays(
                 [group.column("key").combine_chunks().take(pa.array(touched)),
-                 pa.array(count[touched].astype(np.int64)), ids.combine_chunks().take(pa.array(touched)),
-                 ids.combine_chunks().take(pa.array(root[touched]))], names=schema.names)
+                 pa.array(count[touched].astype(np.int64)), nodes.take(pa.array(touched)),
+                 nodes.take(pa.array(root[touched]))], names=schema.names)
 
     found = stored(grouped(blocks, cap).mapInArrow(run, schema), "vector_links")
-    components = connected_components(found).withColumnRenamed("node", "class_id")
+    components = connected_components(found).withColumn("component", F.when(F.col("component") <= last, F.col("component")))
     links = found.groupBy("key").agg(F.sum("links").alias("linked"))
-    named = classes.select("key", "label", "digest", "class_id", "copies").join(links, "key", "left") \
-                   .join(components, "class_id", "left") \
+    named = classes.select("key", "label", "digest", "class_id", "node", "copies").join(links, "key", "left") \
+                   .join(components, "node", "left") \
                    .select("label", "digest", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("linked"),
                            F.coalesce("component", "class_id").alias("component"))
     out = rows.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left")
