@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import PROSE, docs, odd_docs
 from turnstile.llm import langid, quality
-from turnstile.llm.common import held_out, learnable
+from turnstile.llm.common import distinct_sample, held_out, learnable
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,6 +112,31 @@ def test_training_sample_is_bounded(spark):
     assert parser.table.size <= 2 * 1000 * parser.width
 
 
+def test_languages_of_few_repeated_texts(spark):
+    """4,000 rows of four texts and 4,000 of three: both languages are learned."""
+    rnd = random.Random(8)
+    texts = {x: [" ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(40)) for _ in range(n)]
+             for x, letters, n in (("en", "abcdefgh", 4), ("fr", "hijklmno", 3))}
+    rows = [(k, texts[x][k % len(texts[x])], x) for x in texts for k in range(4000)]
+    d = docs(spark, rows)
+    parser = langid.train(d)
+    assert parser.languages == ["en", "fr"]
+    got = langid.identify(d, parser).groupBy("lang", "lang_pred").count().collect()
+    assert sorted(map(tuple, got)) == [("en", "en", 4000), ("fr", "fr", 4000)]
+
+
+def test_sample_is_the_smallest_hashes_of_different_texts(spark):
+    rows = [(k, f"text {k % 50}", "en" if k % 2 else "de") for k in range(1000)]
+    d = docs(spark, rows).repartition(7)
+    want = sorted((h, t, x) for x, t, h in docs(spark, rows).selectExpr("lang", "text", "xxhash64(text, 'sample')").distinct()
+                  .collect())
+    for x in ("de", "en"):
+        got = distinct_sample(d, "text", 10, "lang").where(F.col("lang") == x).collect()
+        assert sorted((r["_hash"], r["text"], x) for r in got) == [w for w in want if w[2] == x][:10]
+    assert sorted(r["text"] for r in distinct_sample(d, "text", 10).collect()) == sorted(t for _, t, _ in want[:10])
+    assert distinct_sample(d, "text", 1000, "lang").count() == 50 and distinct_sample(d.limit(0), "text", 3).count() == 0
+
+
 # ------------------------------------------------------------ quality
 def test_flat_trees_against_row_by_row_walk():
     rng = np.random.default_rng(0)

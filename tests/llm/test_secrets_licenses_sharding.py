@@ -1,6 +1,7 @@
 import random
 import re
 import textwrap
+import time
 
 import duckdb
 import pytest
@@ -38,6 +39,30 @@ def test_base_spans_against_plain_rules(spark):
     assert found > 500
 
 
+def test_covers_against_plain_comparison():
+    rnd = random.Random(12)
+    for _ in range(500):
+        spans = sorted((a, a + rnd.randint(1, 9), "hex") for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 8))))
+        covered = secrets.Covered(spans)
+        for _ in range(20):
+            a = rnd.randint(0, 70)
+            b = a + rnd.randint(1, 8)
+            assert covered.clear(a, b) == all(b <= s or a >= e for s, e, _ in spans)
+
+
+def test_a_very_long_text_takes_linear_time():
+    """Ten times the text, far less than a hundred times the time."""
+    def seconds(n):
+        text = "word0123456789abcdef x getElementsByTagName2longer " * n
+        began = time.process_time()
+        spans = secrets.spans_of(text, secrets.MarkovRatio(None))
+        secrets.labelled_tokens(text)
+        assert len(spans) == n
+        return time.process_time() - began
+    seconds(200)
+    assert seconds(20_000) < 40 * max(seconds(2_000), 0.01)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
@@ -149,6 +174,22 @@ def test_wrapped_notices(spark, license_model, family, width):
     assert all(r["text"] == "\n".join(lines) and r["similarity"] > 0.9 for r in got)
 
 
+def test_every_template_wrapped_at_every_width(license_model):
+    """One row, all its lines and no others, wherever the notice stands."""
+    wrong = []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in range(40, 101, 5):
+                for mark in (" * ", "", "# "):
+                    lines = textwrap.wrap(notice, width, initial_indent=mark, subsequent_indent=mark)
+                    for text, first in (("\n".join(["Some heading", "", *lines, "", PROSE]), 2),
+                                        ("\n".join([PROSE, *lines, PROSE]), 1)):
+                        got = [r[:3] for r in licenses.declared(text, license_model)]
+                        if got != [(first, first + len(lines) - 1, family)]:
+                            wrong.append((family, width, mark, got))
+    assert wrong == []
+
+
 def test_notices_within_a_long_line(spark, license_model):
     mit, gpl = (max(licenses.TEMPLATES[f], key=len) for f in ("MIT", "GPL"))
     rows = [(1, f"{PROSE} " * 20 + mit + f" {PROSE}" * 20), (2, f"{PROSE} " * 20),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile.session import scratch_path
@@ -40,6 +40,23 @@ def hash_share(col: Column, share: Column | float) -> Column:
     return unit < share
 
 
+def distinct_sample(rows: DataFrame, column: str, most: int, by: str | None = None) -> DataFrame:
+    """The ``most`` different values of ``column`` with the smallest hashes
+    (for each value of ``by``): ``column, _hash`` and ``by``.  How often a value
+    is repeated does not matter, nor how rows are partitioned.  Only hashes
+    are shuffled until the values are known."""
+    keys = [by] if by else []
+    hashed = rows.select(*keys, column, F.xxhash64(column, F.lit("sample")).alias("_hash"))
+    seen = hashed.select(*keys, "_hash").distinct()
+    if by:
+        order = Window.partitionBy(by).orderBy("_hash")
+        least = seen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    else:
+        least = seen.orderBy("_hash").limit(most)
+    # At most ``most`` hashes (for each value of ``by``) are broadcast.
+    return hashed.join(F.broadcast(least), [*keys, "_hash"]).groupBy(*keys, "_hash").agg(F.min(column).alias(column))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000,
                 max_rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut a batch so that one slice's texts stay within ``max_chars`` bytes

@@ -17,17 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import hash_share, text_slices
+from turnstile.llm.common import distinct_sample, text_slices
 
 SAMPLE_CHARS = 24_000   # bound: characters learned per language
-SAMPLE_DOCS = 200       # bound: documents drawn per language, on average
+SAMPLE_DOCS = 200       # bound: different texts drawn per language
 TRIES = 4096            # cells that are tried together when a row is placed
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
-LIMIT_DOCS = 1_000      # bound: documents per language whose entropy sets its limit, on average
+LIMIT_DOCS = 1_000      # bound: different texts per language whose entropy sets its limit
 LEAST_LIMIT_DOCS = 20   # a language with fewer takes the widest limit of the others
 LIMIT_SHARE = 0.99      # share of labelled documents at or below a language's ordinary entropy
 CLEARLY = 1.75          # an entropy this many times the ordinary one is clearly above it
@@ -250,25 +250,32 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Learn from a bounded sample of labelled rows.
 
     Every language is learned, however many there are.  Rows with a null
-    language or text teach nothing.  Per language, texts are
-    drawn by a hash of their content until ``sample_chars`` characters are
-    together, so the sample does not depend on partitioning; a language with
-    less text than that is used whole.
+    language or text teach nothing.  Per language, different texts are taken
+    whole in the order of a hash until ``sample_chars`` characters are
+    together, at most ``SAMPLE_DOCS`` of them; of the last one, and of a text
+    that is longer by itself, a part from a place chosen by its hash.  So
+    copies count once, the sample does not depend on partitioning, and a
+    language with less text than that is used whole.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")) \
                    .where("lang is not null and text is not null and lang <> 'und'")
-    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "own")  # a row per language, so no text moves
-    drawn = rows.join(F.broadcast(counts), F.col("lang") == F.col("own")) \
-                .where(hash_share(F.col("text"), F.lit(float(SAMPLE_DOCS)) / F.col("count"))).select("lang", "text") \
-                .withColumn("text", F.substring("text", 1, sample_chars)) \
-                .withColumn("order", F.xxhash64("text", F.lit("order"))).distinct().collect()
+    order = Window.partitionBy("lang").orderBy("_hash")
+    # The texts that the sample needs, a language's at most twice its size.
+    size = F.least(F.char_length("text"), F.lit(sample_chars))
+    drawn = distinct_sample(rows, "text", SAMPLE_DOCS, "lang") \
+        .withColumn("before", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1))) \
+        .where(F.coalesce("before", F.lit(0)) < sample_chars)
+    spare = F.greatest(F.lit(0), F.char_length("text") - sample_chars)
+    drawn = drawn.select("lang", "_hash", F.substring("text", F.pmod(F.col("_hash"), spare + 1).cast("int") + 1,
+                                                      F.lit(sample_chars)).alias("text")).collect()
     samples: dict[str, list[np.ndarray]] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["order"], r["text"])):
+    for r in sorted(drawn, key=lambda r: (r["lang"], r["_hash"])):
         own = samples.setdefault(r["lang"], [])
-        if sum(map(len, own)) < sample_chars:
-            own.append(normalise(r["text"])[0])
-    return CrossParser({k: np.concatenate(v)[:sample_chars] for k, v in samples.items()
-                        if sum(map(len, v))})
+        left = sample_chars - sum(map(len, own))
+        codes = normalise(r["text"])[0]
+        at = r["_hash"] % (max(0, len(codes) - left) + 1)
+        own.append(codes[at:at + max(0, left)])
+    return CrossParser({k: np.concatenate(v) for k, v in samples.items() if sum(map(len, v))})
 
 
 def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text",
@@ -285,9 +292,7 @@ def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text
                    .where("lang is not null and text is not null and lang <> 'und'")
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
     shared = labelled.sparkSession.sparkContext.broadcast(train(rows.where(half)))  # bounded by the sample sizes above
-    counts = rows.where(~half).groupBy("lang").count().withColumnRenamed("lang", "own")
-    drawn = rows.where(~half).join(F.broadcast(counts), F.col("lang") == F.col("own")) \
-                .where(hash_share(F.col("text"), F.lit(float(LIMIT_DOCS)) / F.col("count"))).select("lang", "text")
+    drawn = distinct_sample(rows.where(~half), "text", LIMIT_DOCS, "lang").select("lang", "text")
 
     def run(batches):
         parser = shared.value

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import hash_share, text_slices
+from turnstile.llm.common import distinct_sample, text_slices
 
 UNKNOWN = "unknown"
 LEAST_PROBABILITY = 0.5   # a family below this is unknown
 CONFIRM = 0.5             # share of common word pairs that confirms a family
-SAMPLE_DOCS = 2_000       # bound: documents whose paragraphs teach the unknown class, on average
-SAMPLE_PARAGRAPHS = 4_000  # bound: paragraphs taken from them
-AROUND = 3                # words on either side of a window that are classified with it
+SAMPLE_DOCS = 2_000       # bound: different texts whose paragraphs teach the unknown class
+SAMPLE_PARAGRAPHS = 4_000  # bound: different paragraphs taken from all of these texts
+SAMPLE_CHARS = 2_000       # bound: characters of a paragraph, from a place chosen by its hash
 VARIANTS = 60             # altered copies of each template
 COMMON = 0.01             # a feature in a larger share of unknown paragraphs says nothing
 SEED = 17
@@ -162,15 +162,18 @@ class LicenseModel:
 
     def notices(self, words: list[bytes]) -> list[tuple[int, int, str, float, float]]:
         """(first word, end, family, probability, similarity) of all confirmed
-        notices in a text, whatever stands around them; of those that overlap
-        the one closest to its template stays."""
+        notices in a text, whatever stands around them.  A span is judged by
+        its own words; of those that overlap the one with most of the word pairs of
+        its family's templates stays, of several the closest, the shortest."""
         spans = {s for k, hits in self.close(words).items() for s in _windows(hits, len(self.every[k]))}
         found = []
         for a, b in spans:
-            family, p, share = self.classify(words[max(0, a - AROUND):b + AROUND])
+            family, p, share = self.classify(words[a:b])
             if family != UNKNOWN and share >= CONFIRM:
-                found.append((a, b, family, p, share))
-        return _apart(found, lambda f: (-f[4], -f[3], f[0], f[1]))
+                own = pairs_of(words[a:b])
+                most = max(len(own & t) for t in self.templates[family])
+                found.append((a, b, family, p, share, most))
+        return [f[:5] for f in _apart(found, lambda f: (-f[5], -f[4], f[1] - f[0], -f[3], f[0]))]
 
 
 def _windows(hits: list[tuple[int, tuple]], size: int) -> list[tuple[int, int]]:
@@ -207,7 +210,8 @@ def declared(text: str | None, model: LicenseModel, unconfirmed: bool = False) -
     Every line is judged as a whole, then every block of non-blank lines for
     notices that are wrapped or embedded.  A notice in a line that was
     recognised as a whole and is no longer than a window adds nothing; one over
-    several lines takes the place of weaker rows of its lines.
+    several lines takes the place of its lines' rows of the same family and of
+    weaker ones.
     """
     lines = paragraphs(text)
     found: dict[tuple[int, str], tuple] = {}
@@ -223,7 +227,7 @@ def declared(text: str | None, model: LicenseModel, unconfirmed: bool = False) -
                     _better(found, (first, first, family, p, share))
                 continue
             inside = [r for n, r in whole.items() if first <= n <= last]
-            if all(r[4] < share for r in inside):
+            if all(r[2] == family or r[4] < share for r in inside):
                 for r in inside:
                     found.pop((r[0], r[2]), None)
                 _better(found, (first, last, family, p, share))
@@ -336,16 +340,16 @@ def fit(ordinary: list[list[bytes]], steps: int = 300, rate: float = 0.3, decay:
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
     """Learn from the templates and, for the unknown class, from paragraphs of
-    a bounded sample of documents, drawn by a hash of the text.  Paragraphs
-    that resemble a template are not taken as unknown."""
+    a bounded sample of different texts; both are drawn by their hashes, from
+    whole texts.  Paragraphs that resemble a template are not taken as unknown."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    # One paragraph from each of a text's first lines is enough variety; the number per text is bounded.
-    lines = F.slice(F.split("text", "\n"), 1, 2 * SAMPLE_PARAGRAPHS // sample_docs)
-    drawn = texts.where(hash_share(F.col("text"), share)).select(F.explode(lines).alias("line")).distinct()
-    rows = sorted(r["line"] for r in drawn.select(F.substring("line", 1, 2000).alias("line")).collect())
-    ordinary = [words_of(line.encode("utf-8", "replace").translate(_FOLD)) for line in rows[: 2 * SAMPLE_PARAGRAPHS]]
-    return fit([w for w in ordinary if w][:SAMPLE_PARAGRAPHS])
+    lines = distinct_sample(texts, "text", sample_docs).select(F.explode(F.split("text", "\n")).alias("line")) \
+        .where(F.col("line").rlike("[A-Za-z0-9]|[^\\x00-\\x7F]"))  # others have no word
+    drawn = distinct_sample(lines, "line", SAMPLE_PARAGRAPHS)
+    spare = F.greatest(F.lit(0), F.char_length("line") - SAMPLE_CHARS)
+    part = F.substring("line", F.pmod(F.col("_hash"), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    rows = drawn.select("_hash", part.alias("line")).collect()
+    return fit([words_of(r["line"].encode("utf-8", "replace").translate(_FOLD)) for r in sorted(rows)])
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text",

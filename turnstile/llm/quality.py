@@ -174,15 +174,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of labelled documents, drawn by a hash of the id.
 
     Rows with a null id or label teach nothing; an id with several labels
-    teaches their smallest.  The sampled labels are bounded by ``sample_rows``,
-    so they go to the texts and the texts are not shuffled.
+    teaches their smallest, an id with several texts the smallest text.  The
+    sampled labels are bounded by ``sample_rows``, so they go to the texts, and
+    only texts of the sample are shuffled.
     """
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
                 .where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     share = min(1.0, sample_rows / max(1, own.count()))
     own = own.where(hash_share(F.col("doc_id"), share))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-               .join(F.broadcast(own), "doc_id")
+               .join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sample = _statistics_of(rows, "text", "x").toPandas()
     if sample.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -9,7 +9,10 @@ explains it better by more than a margin.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import hash_share, text_slices
+from turnstile.llm.common import distinct_sample, text_slices
 
 # Fixed by the contract: the base rules and the least lengths of their values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -33,8 +36,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TOKEN_CHARS = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MARGIN = 0.5            # nats per character
-SAMPLE_DOCS = 20_000    # bound: documents whose tokens the models learn from, on average
-SAMPLE_TOKENS = 40      # bound: tokens of each class taken from one of these documents
+SAMPLE_DOCS = 20_000    # bound: different texts whose tokens the models learn from
+SAMPLE_TOKENS = 40      # bound: tokens of each class taken from one of these texts, by a checksum
 SMOOTHING = 0.5
 LIMIT = 3.0             # most that one character can weigh, nats
 GENERATED = 400         # generated random strings among the labelled samples
@@ -129,8 +132,22 @@ def fit(random: np.ndarray, ordinary: np.ndarray, margin: float = MARGIN) -> Mar
     return MarkovRatio(np.clip(log_p(random) - log_p(ordinary + known), -LIMIT, LIMIT), margin)
 
 
-def _clear_of(start: int, end: int, spans: list[Span]) -> bool:
-    return all(end <= a or start >= b for a, b, _ in spans)
+class Covered:
+    """What spans cover, to ask whether others are clear of it."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in spans:  # by start; overlapping ones become one
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def clear(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)  # the last cover that begins before the end
+        return not at or self.ends[at - 1] <= start
 
 
 def labelled_tokens(text: str) -> tuple[list[str], list[str]]:
@@ -141,16 +158,23 @@ def labelled_tokens(text: str) -> tuple[list[str], list[str]]:
         value = ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]
         if value.isascii() and all(_INDEX[ord(c)] >= 0 for c in value):
             random.append(value)
+    covered = Covered(spans)
     words = re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text)
-    ordinary = [m[0] for m in words if _clear_of(m.start(), m.end(), spans)]
-    return random[:SAMPLE_TOKENS], ordinary[:SAMPLE_TOKENS]
+    ordinary = [m[0] for m in words if covered.clear(m.start(), m.end())]
+    return _some(random), _some(ordinary)
+
+
+def _some(tokens: list[str]) -> list[str]:
+    """At most SAMPLE_TOKENS of a text's tokens, from wherever in the text."""
+    if len(tokens) <= SAMPLE_TOKENS:
+        return tokens
+    return heapq.nsmallest(SAMPLE_TOKENS, tokens, key=lambda t: (zlib.crc32(t.encode()), t))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> MarkovRatio:
-    """Learn both models from a bounded sample of documents, drawn by a hash of
-    the text.  Without a token of either class nothing is ever flagged."""
+    """Learn both models from a bounded sample of different texts, drawn by a
+    hash.  Without a token of either class nothing is ever flagged."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    share = min(1.0, sample_docs / max(1, texts.count()))
     schema = T.StructType([T.StructField("previous", T.IntegerType()), T.StructField("next", T.IntegerType()),
                            T.StructField("random", T.LongType()), T.StructField("ordinary", T.LongType())])
 
@@ -167,7 +191,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
              pa.array(total[0][a, b].astype(np.int64)), pa.array(total[1][a, b].astype(np.int64))],
             names=schema.names)
 
-    counts = texts.where(hash_share(F.col("text"), share)).mapInArrow(run, schema) \
+    counts = distinct_sample(texts, "text", sample_docs).select("text").mapInArrow(run, schema) \
                   .groupBy("previous", "next").agg(F.sum("random"), F.sum("ordinary")).collect()  # one row a bigram
     table = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
     for a, b, random, ordinary in counts:
@@ -181,8 +205,9 @@ def spans_of(text: str | None, model: MarkovRatio) -> list[Span]:
     if not text:
         return []
     spans = base_spans(text)
+    covered = Covered(spans)
     more = [(m.start(), m.end(), "markov") for m in TOKEN.finditer(text)
-            if _clear_of(m.start(), m.end(), spans) and model.is_random(m[0])]
+            if covered.clear(m.start(), m.end()) and model.is_random(m[0])]
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
