@@ -112,12 +112,17 @@ def q_parity(spark, d):
 WITH w AS (SELECT r.user_id, r.event_id, r.total_amount,
                   make_timestamp(CAST((floor(epoch_us(r."timestamp") / 300000000) - i) * 300000000 AS BIGINT)) AS ws
            FROM raw_events r, range(0, 12) t(i)),
-m AS (SELECT max("timestamp") AS mx FROM raw_events)
-SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, user_id, count(*) AS user_txn_count_1h,
-       round(sum(CAST(round(coalesce(total_amount, 0.0) * 100) AS BIGINT)) / 100.0, 4) AS user_txn_amount_1h,
-       count(DISTINCT event_id) AS user_distinct_events_1h
-FROM w, m WHERE ws + INTERVAL 1 HOUR <= mx - INTERVAL 10 MINUTE
-GROUP BY ws, user_id""", "raw_events"))
+m AS (SELECT max("timestamp") AS mx FROM raw_events),
+h AS (SELECT ws, user_id, count(*) AS n, sum(CAST(round(coalesce(total_amount, 0.0) * 100) AS BIGINT)) AS c,
+             count(DISTINCT event_id) AS de
+      FROM w, m WHERE ws + INTERVAL 1 HOUR <= mx - INTERVAL 10 MINUTE GROUP BY ws, user_id),
+d AS (SELECT h.ws, h.user_id, count(*) AS n, sum(CAST(round(coalesce(r.total_amount, 0.0) * 100) AS BIGINT)) AS c
+      FROM h JOIN raw_events r ON h.user_id = r.user_id AND r."timestamp" >= h.ws - INTERVAL 23 HOUR
+           AND r."timestamp" < h.ws + INTERVAL 1 HOUR GROUP BY h.ws, h.user_id)
+SELECT h.ws AS window_start, h.ws + INTERVAL 1 HOUR AS window_end, h.user_id, h.n AS user_txn_count_1h,
+       round(h.c / 100.0, 4) AS user_txn_amount_1h, h.de AS user_distinct_events_1h,
+       round(d.c / 100.0 / d.n, 4) AS user_avg_amount_24h
+FROM h JOIN d ON h.ws = d.ws AND h.user_id = d.user_id""", "raw_events"))
 def q_windows(spark, d):
     out, ck = _dirs(spark, "windows")
     w = J.windowed_user_features(_raw_stream(spark, d))
@@ -125,7 +130,8 @@ def q_windows(spark, d):
     r = spark.read.parquet(out)
     return round_doubles(r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                                   F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                                  "user_id", "user_txn_count_1h", "user_txn_amount_1h", "user_distinct_events_1h"))
+                                  "user_id", "user_txn_count_1h", "user_txn_amount_1h", "user_distinct_events_1h",
+                                  "user_avg_amount_24h"))
 
 
 # ------------------------------------------------------------------ H3 (stream)
