@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnstile.functions.ordered import COARSE, FINE, value_bucket
 from turnstile.operators import drift as D
 from turnstile.operators import realtime as R
 from turnstile.sources import files as A
@@ -205,3 +206,21 @@ def test_daily_job_writes_its_summary(spark, tmp_path):
     assert dec.needs_retrain
     back = spark.read.json(str(tmp_path / "daily")).collect()
     assert [(r.drift_score, r.source) for r in back] == [(0.5, "calibration_gap")]
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.3])
+def test_ks_opens_few_rows(spark, shift):
+    """Two equal halves of one distribution, and a shifted one: under 5 % of the rows are looked at by value."""
+    n = 1_000_000
+    x = spark.range(n).select((F.col("id") % 2).cast("int").alias("rc"), (F.rand(3) + 0.5).alias("u")) \
+        .select("rc", (1 - F.col("rc")).alias("cc"), (F.col("u") + shift * F.col("rc")).alias("v"), F.lit("x").alias("column"))
+    values = x.withColumn("b", value_bucket(F.col("v"), COARSE)).withColumn("f", value_bucket(F.col("v"), FINE))
+    opened = D._ks_opened(D._ks_buckets(values)).select("b", "f")
+    assert values.join(opened, ["b", "f"], "left_semi").count() < 0.05 * n
+
+
+def test_ks_of_few_values_opens_nothing(spark):
+    x = spark.range(1000).select((F.col("id") % 2).cast("int").alias("rc"), (F.col("id") % 7).cast("double").alias("v"),
+                                 F.lit("x").alias("column")).withColumn("cc", 1 - F.col("rc"))
+    values = x.withColumn("b", value_bucket(F.col("v"), COARSE)).withColumn("f", value_bucket(F.col("v"), FINE))
+    assert D._ks_opened(D._ks_buckets(values)).isEmpty()

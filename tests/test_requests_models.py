@@ -219,3 +219,15 @@ def test_auc_with_infinite_scores(spark):
     rows = [(float("inf"), 1), (5.0, 0), (0.5, 1), (0.5, 0), (float("-inf"), 0)]
     r = G.evaluate_scores(spark.createDataFrame(rows, "score double, label int")).collect()[0]
     assert r.auc == pytest.approx((3 + 1.5) / 6)
+
+
+def test_auc_of_crowded_scores(spark):
+    """Equal scores, scores that share a fine bucket, infinities and NaN against pair by pair."""
+    rnd = random.Random(4)
+    near = [0.7 * (1 + k * 1e-7) for k in range(40)]
+    rows = [(rnd.choice([0.5, 0.25, float("inf"), float("nan"), -1.0, *near]), float(rnd.random() < 0.4)) for _ in range(600)]
+    rank = lambda s: (2, 0.0) if s != s else (1, s)
+    pos, neg = ([rank(s) for s, y in rows if y == v] for v in (1.0, 0.0))
+    pairs = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg)
+    r = G.evaluate_scores(spark.createDataFrame(rows, "score double, label double")).first()
+    assert r.auc == pytest.approx(pairs / (len(pos) * len(neg))) and r.n == 600

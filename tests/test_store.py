@@ -130,6 +130,24 @@ def test_crowded_buckets_are_cut_finer(spark, monkeypatch):
     assert {r.id: r.x for r in got.collect()} == want
 
 
+def test_crowded_instants_are_split_by_rows(spark, monkeypatch):
+    """One key, one instant: many segments, none with more than its share."""
+    at = dt.datetime(2024, 1, 1)
+    feats = spark.range(4000).select(F.lit(1).cast("long").alias("k"), F.lit(at).cast("timestamp_ntz").alias("event_timestamp"),
+                                     F.col("id").alias("ingested_at"), F.col("id").cast("double").alias("x"))
+    ents = spark.range(4000).select("id", F.lit(1).cast("long").alias("k"),
+                                    F.lit(at).cast("timestamp_ntz").alias("event_timestamp"))
+    monkeypatch.setattr(S, "HOT_ROWS", 100)
+    cut = []
+    plain = S._segments
+    monkeypatch.setattr(S, "_segments", lambda rows, keys: cut.append(plain(rows, keys)) or cut[0])
+    view = S.FeatureView("v", ("k",), 3600, (("x", "double"),))
+    got = S.get_historical_features(ents, feats, view).groupBy("x").count().collect()
+    assert [tuple(r) for r in got] == [(3999.0, 4000)]
+    sizes = [r["count"] for r in cut[0].groupBy("k", "_pit_b", "_pit_s").count().collect()]
+    assert sum(sizes) == 8000 and len(sizes) >= 4 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_repeated_snapshot_keys_do_not_multiply_requests(spark):
     req = spark.createDataFrame([(1, 5), (2, 6)], "request_id long, k long")
     snap = spark.createDataFrame([(5, 1, 1.0), (5, 2, 2.0)], "k long, event_timestamp long, x double")

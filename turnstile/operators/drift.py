@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstile.functions.ordered import COARSE, value_bucket
+from turnstile.functions.ordered import COARSE, FINE, value_bucket
 from turnstile.functions.scalars import numeric_columns
 from turnstile.session import path_exists, reuse
 
@@ -161,38 +161,61 @@ def _stack_values(df: DataFrame, num: list[str], cat: list[str], rc: Column, cc:
     return df.select(rc.alias("rc"), cc.alias("cc"), F.inline(F.array(*items)))
 
 
-def _ks_statistics(stacked: DataFrame) -> DataFrame:
-    """(column, n_ref, n_cur, statistic): the largest distance of two empirical
-    distribution functions, exactly.
+def _ks_buckets(values: DataFrame) -> DataFrame:
+    """Every fine bucket of ``values`` (column, v, rc, cc, b, f) with counts of
+    both sides, the totals before it, the distance of the two distribution
+    functions at its ``end`` and the ``most`` that it could be inside.
 
-    First pass: counts per column and bucket (map-side, a bounded table), the
-    distance at every bucket's end, and how far it could rise inside a bucket.
-    Second pass: only buckets that could beat the best end are counted by
-    value.  No value is copied, and no task sees a column's whole range."""
-    values = stacked.where(F.col("v").isNotNull()).withColumn("b", value_bucket(F.col("v"), COARSE))
+    One pass counts fine buckets, map-side; totals come from prefix scans over
+    coarse buckets (a few thousand a column) and, side by side, over the fine
+    buckets of each."""
     counts = [F.sum("rc").alias("rc"), F.sum("cc").alias("cc")]
+    # Bounded by the buckets, whatever the rows: FINE an octave and column.
+    fine = reuse(values.groupBy("column", "b", "f").agg(*counts, F.min("v").alias("lo"), F.max("v").alias("hi")))
     whole = Window.partitionBy("column")
-    below = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
 
-    def before(c):
-        return F.coalesce(F.sum(c).over(below), F.lit(0))
-    t = values.groupBy("column", "b").agg(*counts).select(
-        "column", "b", "rc", "cc", before("rc").alias("r0"), before("cc").alias("c0"),
+    def before(c: str, window: Window) -> Column:
+        return F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy("column", "b").agg(*counts).select(
+        "column", "b", before("rc", whole.orderBy("b")).alias("r0"), before("cc", whole.orderBy("b")).alias("c0"),
         F.sum("rc").over(whole).alias("n_ref"), F.sum("cc").over(whole).alias("n_cur"))
+    inner = Window.partitionBy("column", "b").orderBy("f")
+    t = fine.join(coarse.where("n_ref > 0 and n_cur > 0"), ["column", "b"]) \
+            .withColumn("r0", F.col("r0") + before("rc", inner)).withColumn("c0", F.col("c0") + before("cc", inner))
     r0, r1 = F.col("r0") / F.col("n_ref"), (F.col("r0") + F.col("rc")) / F.col("n_ref")
     c0, c1 = F.col("c0") / F.col("n_cur"), (F.col("c0") + F.col("cc")) / F.col("n_cur")
-    both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
-    t = t.where(both).withColumn("end", F.abs(r1 - c1)).withColumn("most", F.greatest(r1 - c0, c1 - r0)) \
-         .withColumn("best", F.max("end").over(whole))
-    t = reuse(t)  # a few thousand rows a column, whatever the data
-    opened = t.where("most > best").select("column", "b", "r0", "c0", "n_ref", "n_cur")
-    inside = values.join(opened.select("column", "b"), ["column", "b"], "left_semi") \
-                   .groupBy("column", "b", "v").agg(*counts).join(opened, ["column", "b"])
-    up_to = Window.partitionBy("column", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs((F.col("r0") + F.sum("rc").over(up_to)) / F.col("n_ref")
-                - (F.col("c0") + F.sum("cc").over(up_to)) / F.col("n_cur"))
-    found = inside.select("column", "n_ref", "n_cur", gap.alias("d")) \
-                  .unionByName(t.select("column", "n_ref", "n_cur", F.col("end").alias("d")))
+    return t.withColumn("end", F.abs(r1 - c1)).withColumn("most", F.greatest(r1 - c0, c1 - r0))
+
+
+def _ks_opened(t: DataFrame) -> DataFrame:
+    """Buckets of several values that could beat the best end of their column.
+    Where both sides are alike the best end shrinks with the root of the
+    rows, but a fine bucket holds a millionth of them, so few are opened."""
+    best = t.groupBy("column").agg(F.max("end").alias("best"))
+    return t.join(F.broadcast(best), "column").where("most > best and lo < hi").select(
+        "column", "b", "f", "r0", "c0", "n_ref", "n_cur")  # best: one row a column
+
+
+def _ks_statistics(stacked: DataFrame) -> DataFrame:
+    """(column, n_ref, n_cur, statistic): the largest distance of two empirical
+    distribution functions, exactly.
+
+    The distance at every fine bucket's end is known after one pass; a second
+    pass counts by value inside the few buckets that could exceed it.  No task
+    sees more than a bucket of values or a table of buckets."""
+    values = stacked.where(F.col("v").isNotNull()).withColumn("b", value_bucket(F.col("v"), COARSE)) \
+                    .withColumn("f", value_bucket(F.col("v"), FINE))
+    t = reuse(_ks_buckets(values))
+    found = t.select("column", "n_ref", "n_cur", F.col("end").alias("d"))
+    opened = reuse(_ks_opened(t))
+    if not opened.isEmpty():
+        inside = values.join(opened.select("column", "b", "f"), ["column", "b", "f"], "left_semi") \
+                       .groupBy("column", "b", "f", "v").agg(F.sum("rc").alias("rc"), F.sum("cc").alias("cc")) \
+                       .join(opened, ["column", "b", "f"])
+        up_to = Window.partitionBy("column", "b", "f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        gap = F.abs((F.col("r0") + F.sum("rc").over(up_to)) / F.col("n_ref")
+                    - (F.col("c0") + F.sum("cc").over(up_to)) / F.col("n_cur"))
+        found = found.unionByName(inside.select("column", "n_ref", "n_cur", gap.alias("d")))
     return found.groupBy("column", "n_ref", "n_cur").agg(F.max("d").alias("statistic"))
 
 

@@ -90,6 +90,19 @@ def feature_view_health(sources: dict[FeatureView, DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D2
+def _segments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_pit_s``, the segment of its (keys, bucket): 0, or where
+    any bucket has more than HOT_ROWS rows the range of the whole order in
+    which a row lies, so that a bucket has a segment in each range it touches."""
+    most, total = rows.groupBy(*keys, "_pit_b").count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) <= HOT_ROWS:
+        return rows.withColumn("_pit_s", F.lit(0))
+    order = [*keys, "_pit_b", "_pit_us", "_pit_side", "_pit_ing", "_pit_h", "_pit_row"]
+    ranges = max(-(-total // HOT_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(ranges, *order)
+    return reuse(dealt.withColumn("_pit_s", F.spark_partition_id()))  # stored, so a segment stays what it is
+
+
 def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: FeatureView,
                             entity_ts: str = "event_timestamp", features=None,
                             bucket_seconds: int = 86400, prefix: str | None = None) -> DataFrame:
@@ -99,12 +112,15 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
 
     Built as union + window (Spark has no as-of join).  To keep a hot key
     from landing in one task, the window is partitioned by (keys, time
-    bucket), and crowded buckets are cut finer.  Rows with a null key match
+    bucket, segment): if a bucket is crowded, rows are dealt out by ranges of
+    their order and a segment is what one range holds, so even rows of one key
+    and one instant lie in many tasks.  Of feature rows that tie in both times the one
+    with the largest hash counts.  Rows with a null key match
     nothing; such entities keep null features.  Entity rows travel through the union as one struct, so no
     row id and no join back to the entity table are needed.  For entities
-    whose bucket holds no earlier feature row, the last feature row of the
-    nearest earlier bucket is carried forward by a second, small window
-    over one row per (keys, bucket), and joined on (keys, bucket) — the
+    whose segment holds no earlier feature row, the last feature row of the
+    nearest earlier segment is carried forward by a second, small window
+    over one row per segment, and joined on it — the
     partitioning the first window already produced.  Feature rows are
     wrapped in a struct so a latest row holding nulls is still the latest.
     """
@@ -128,33 +144,27 @@ def get_historical_features(entity_df: DataFrame, feature_df: DataFrame, view: F
         *keys, us_of(ets).alias("_pit_us"), F.lit(1).alias("_pit_side"),
         F.lit(None).cast(pay_type["ing"].dataType).alias("_pit_ing"), F.lit(None).cast(pay_type).alias("_pit_p"),
         F.struct(*[F.col(c) for c in entity_df.columns]).alias("_pit_e"))
-    # Both sides are read once; every later branch reads this copy.
-    u = reuse(f_rows.unionByName(e_rows))
     coarse = F.floor(F.col("_pit_us") / F.lit(bucket_us)) * F.lit(bucket_us)
-    u = u.withColumn("_pit_c", coarse)
-    # (keys, bucket) pairs of more than HOT_ROWS rows are cut finer.  There are
-    # at most rows / HOT_ROWS such pairs, so they may be broadcast.
-    hot = u.groupBy(*keys, "_pit_c").count().where((F.col("count") > HOT_ROWS) & have_keys) \
-           .withColumn("_pit_w", F.ceil(F.lit(bucket_us) / F.ceil(F.col("count") / HOT_ROWS))).drop("count")
-    u = u.join(F.broadcast(hot), [*keys, "_pit_c"], "left")
-    fine = F.coalesce(F.floor((F.col("_pit_us") - F.col("_pit_c")) / F.col("_pit_w")) * F.col("_pit_w"), F.lit(0))
-    u = u.withColumn("_pit_b", (F.col("_pit_c") + fine).cast("long")).drop("_pit_c", "_pit_w")
-    keyed = u.where(have_keys)
-    w = (Window.partitionBy(*keys, "_pit_b").orderBy("_pit_us", "_pit_side", "_pit_ing")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Both sides are read once; every later branch reads this copy.
+    u = reuse(f_rows.unionByName(e_rows).withColumn("_pit_b", coarse).withColumn("_pit_h", F.xxhash64("_pit_p"))
+              .withColumn("_pit_row", F.monotonically_increasing_id()))
+    keyed = _segments(u.where(have_keys), keys)
+    order = ["_pit_us", "_pit_side", "_pit_ing", "_pit_h", "_pit_row"]
+    unit = [*keys, "_pit_b", "_pit_s"]
+    w = Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inb = (keyed.withColumn("_pit_in", F.last("_pit_p", ignorenulls=True).over(w))
            .where(F.col("_pit_side") == 1)
-           .select(*keys, "_pit_b", "_pit_e", "_pit_in"))
-    # One row per (keys, bucket): its last feature row, and whether entities
-    # are in it.  A bucket takes the last row of strictly earlier buckets.
-    per_b = keyed.groupBy(*keys, "_pit_b").agg(
-        F.max_by("_pit_p", F.when(F.col("_pit_side") == 0, F.struct("_pit_us", "_pit_ing"))).alias("_pit_lb"),
-        F.max("_pit_side").alias("_pit_has"))
-    w2 = Window.partitionBy(*keys).orderBy("_pit_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (per_b.withColumn("_pit_prev", F.last("_pit_lb", ignorenulls=True).over(w2))
+           .select(*unit, "_pit_e", "_pit_in"))
+    # One row per segment: its last feature row, and whether entities are in
+    # it.  A segment takes the last row of strictly earlier ones.
+    latest = F.struct("_pit_us", "_pit_ing", "_pit_h", "_pit_row")
+    per_s = keyed.groupBy(*unit).agg(F.max_by("_pit_p", F.when(F.col("_pit_side") == 0, latest)).alias("_pit_lb"),
+                                     F.max("_pit_side").alias("_pit_has"))
+    w2 = Window.partitionBy(*keys).orderBy("_pit_b", "_pit_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (per_s.withColumn("_pit_prev", F.last("_pit_lb", ignorenulls=True).over(w2))
                     .where((F.col("_pit_has") == 1) & F.col("_pit_prev").isNotNull())
-                    .select(*keys, "_pit_b", "_pit_prev"))
-    res = inb.join(carried, [*keys, "_pit_b"], "left") \
+                    .select(*unit, "_pit_prev"))
+    res = inb.join(carried, unit, "left") \
              .select("_pit_e", F.coalesce("_pit_in", "_pit_prev").alias("_pit_f"))
     # An entity without a whole key has no features.
     keyless = u.where(~have_keys).select("_pit_e", F.lit(None).cast(pay_type).alias("_pit_f"))

@@ -8,12 +8,13 @@ collect.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.functions.ordered import COARSE, order_statistics, value_bucket
+from turnstile.functions.ordered import COARSE, FINE, order_statistics, value_bucket
 from turnstile.session import path_exists, reuse
 
 # Fixed values from the reference: label threshold, split, search space, gate.
@@ -146,32 +147,42 @@ def evaluate_scores(df: DataFrame, label: str = "label", score: str = "score",
     score ≥ threshold over rows with a score and a 0/1 label, as one row
     (auc null with a single class).
 
-    Scores are counted per bucket, map-side; a positive beats all negatives of
-    lower buckets, and inside a bucket the distinct scores are compared.  The
-    input is read twice, nothing is copied, and the only total over all
-    buckets is over a table of bounded size.
+    A positive beats all negatives of lower buckets: scores are counted per
+    coarse bucket, in those with both classes per fine bucket, and in fine
+    buckets with both classes and several scores per score.  Counts are combined
+    map-side; totals are taken over bounded tables of buckets, side by side for
+    each coarse and each fine bucket (16,384 a factor of two), so neither
+    scores of one range nor equal scores meet in one task.  Scores and labels
+    are written once, since scoring may cost more than all this.
     """
-    base = df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")) \
-             .where(F.col("_s").isNotNull() & F.col("_y").isin(0.0, 1.0)) \
-             .withColumn("_b", value_bucket(F.col("_s"), COARSE))
+    base = reuse(df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
+                 .where(F.col("_s").isNotNull() & F.col("_y").isin(0.0, 1.0)))
+    base = base.withColumn("_b", value_bucket(F.col("_s"), COARSE))
     hit = (F.col("_s") >= F.lit(threshold)) == (F.col("_y") == 1)
     sums = [F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")]
-
-    def wins(below: Column) -> Column:
-        return F.sum(F.col("pos") * below)
-    lower = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = base.groupBy("_b").agg(*sums, F.count_if(hit).alias("_hit")) \
-                  .withColumn("_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
-    between = buckets.agg(wins(F.col("_below")).alias("_u1"), F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
-                          F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"), F.sum("_hit").alias("_hit"))
-    up_to = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    within = base.groupBy("_b", "_s").agg(*sums) \
-                 .withColumn("_below", F.coalesce(F.sum("neg").over(up_to), F.lit(0)) + 0.5 * F.col("neg")) \
-                 .agg(wins(F.col("_below")).alias("_u2"))
+    span = [F.min("_s").alias("lo"), F.max("_s").alias("hi")]
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    ties = F.when(F.col("lo") == F.col("hi"), 0.5 * F.col("neg")).otherwise(F.lit(0.0))
+
+    def counted(rows: DataFrame, within: list[str], by: str, *more: Column) -> DataFrame:
+        lower = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.groupBy(*within, by).agg(*sums, *span, *more) \
+                   .withColumn("_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)) + ties)
+
+    def wins(counts: DataFrame, name: str) -> DataFrame:
+        return counts.agg(F.coalesce(F.sum(F.col("pos") * F.col("_below")), F.lit(0.0)).alias(name))
+    coarse = reuse(counted(base, [], "_b", F.count_if(hit).alias("_hit")))
+    inside = base.join(coarse.where(both & (F.col("lo") < F.col("hi"))).select("_b"), "_b", "left_semi") \
+                 .withColumn("_f", value_bucket(F.col("_s"), FINE))
+    fine = reuse(counted(inside, ["_b"], "_f"))
+    inside = inside.join(fine.where(both & (F.col("lo") < F.col("hi"))).select("_b", "_f"), ["_b", "_f"], "left_semi")
+    between = coarse.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
+                         F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"), F.sum("_hit").alias("_hit"))
+    parts = [wins(coarse, "_u1"), wins(fine, "_u2"), wins(counted(inside, ["_b", "_f"], "_s"), "_u3")]
     n = F.col("positives") + F.col("negatives")
     auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
-                 (F.col("_u1") + F.col("_u2")) / (F.col("positives") * F.col("negatives")))
-    return between.crossJoin(within).select(
+                 (F.col("_u1") + F.col("_u2") + F.col("_u3")) / (F.col("positives") * F.col("negatives")))
+    return reduce(DataFrame.crossJoin, parts, between).select(
         auc.alias("auc"), F.coalesce(F.try_divide(F.col("_hit"), n), F.lit(0.0)).alias("accuracy"),
         n.alias("n"), "positives", "negatives")
 
