@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnstile.operators import realtime as R
 from turnstile.plans import views as V
 from turnstile.streaming import jobs as J
+from turnstile.streaming import online as O
 
 
 def _dir(name):
@@ -73,11 +74,12 @@ def test_online_changelog_compaction(spark):
 def test_unreadable_base_is_an_error(spark):
     root = _dir("broken")
     J.write_online_batch(spark.createDataFrame([(1, 1.0)], "user_id long, f double"), 0, root)
-    base = J.compact_online(spark, root).removeprefix("file:")
-    for n in os.listdir(base):
-        if n.endswith(".parquet"):
-            with open(os.path.join(base, n), "wb") as f:
-                f.write(b"not parquet")
+    J.compact_online(spark, root)
+    for folder, _, names in os.walk(f"{root}/base"):
+        for n in names:
+            if n.endswith(".parquet"):
+                with open(os.path.join(folder, n), "wb") as f:
+                    f.write(b"not parquet")
     J.write_online_batch(spark.createDataFrame([(2, 2.0)], "user_id long, f double"), 1, root)
     with pytest.raises(Exception, match="(?i)parquet"):
         J.read_online(spark, root).collect()
@@ -100,19 +102,61 @@ def test_new_checkpoint_beats_an_older_run(spark):
     assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == want
 
 
-def test_failure_in_mid_compaction_keeps_the_old_base(spark):
+def test_a_crash_at_any_step_keeps_every_row(spark, monkeypatch):
+    """Rows written but no manifest; manifest but no vacuum; vacuum cut short."""
     root = _dir("midway")
-    schema = "user_id long, f double"
-    J.write_online_batch(spark.createDataFrame([(1, 1.0)], schema), 0, root)
-    first = J.compact_online(spark, root)
-    unfinished = spark.createDataFrame([(1, -1.0)], schema).withColumn("event_timestamp", F.current_timestamp()) \
-        .withColumn("run_id", F.lit("z")).withColumn("batch_id", F.lit(99).cast("long"))
-    target = f"{root}/base/version=0000000001"
-    unfinished.write.parquet(target)
-    os.unlink(f"{target}/_SUCCESS")
-    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 1.0}
-    assert J.compact_online(spark, root).endswith("version=0000000001") and first.endswith("version=0000000000")
-    assert {r.user_id: r.f for r in J.read_online(spark, root).collect()} == {1: 1.0}
+    write = lambda rows, n: J.write_online_batch(spark.createDataFrame(rows, "user_id long, f double"), n, root)
+    read = lambda: {r.user_id: r.f for r in J.read_online(spark, root).collect()}
+    write([(k, 0.0) for k in range(40)], 0)
+    want = {k: 0.0 for k in range(40)}
+    for n in range(1, 6):
+        write([(n, float(n)), (100 + n, 1.0)], n)
+        want |= {n: float(n), 100 + n: 1.0}
+        O.write_base(spark, root, buckets=8)  # crash: no manifest
+        assert read() == want
+        before = O.current(spark, root).version
+        J.compact_online(spark, root, buckets=8)  # the unfinished version is replaced
+        assert O.current(spark, root).version == before + 1 and read() == want
+        if n == 3:  # crash after one removal of a vacuum
+            removed, real = [], O.delete_path
+
+            def once(spark, path):
+                if removed:
+                    raise RuntimeError("lost")
+                removed.append(path)
+                real(spark, path)
+            monkeypatch.setattr(O, "delete_path", once)
+            with pytest.raises(RuntimeError, match="lost"):
+                J.vacuum_online(spark, root)
+            monkeypatch.setattr(O, "delete_path", real)
+            assert read() == want
+            J.vacuum_online(spark, root)
+            assert read() == want
+    assert J.compact_online(spark, root) is None  # nothing new
+    J.vacuum_online(spark, root, keep=1)
+    assert read() == want
+    assert not [f for f, _, names in os.walk(f"{root}/changes") if "_SUCCESS" in names]  # all were folded
+    assert len(os.listdir(f"{root}/manifest")) == 1
+    write([(1, 50.0)], 9)
+    assert read() == want | {1: 50.0}
+
+
+def test_compaction_rewrites_touched_buckets_only(spark):
+    root = _dir("partial")
+    J.write_online_batch(spark.range(4000).selectExpr("id AS user_id", "0.0D AS f"), 0, root)
+    J.compact_online(spark, root, buckets=100)
+    assert len(O.current(spark, root).held) == 100
+    J.write_online_batch(spark.createDataFrame([(7, 1.0)], "user_id long, f double"), 1, root)
+    J.compact_online(spark, root)
+    now = O.current(spark, root)
+    assert sorted(now.held.values()) == [0] * 99 + [1]
+    assert len([n for n in os.listdir(f"{root}/base/version=0000000001") if n.startswith("bucket=")]) == 1
+    assert J.read_online(spark, root).where("f = 1").count() == 1 and J.read_online(spark, root).count() == 4000
+    # A reader of the version before still finds all that it needs after a vacuum.
+    J.vacuum_online(spark, root, keep=2)
+    assert O._rows(spark, root, O._load(spark, O.manifests(spark, root)[0]).held, []).count() == 4000
+    J.vacuum_online(spark, root, keep=1)
+    assert J.read_online(spark, root).count() == 4000
 
 
 def test_streams_carry_their_run(spark, sf_dir):
@@ -168,3 +212,38 @@ def test_rows_behind_the_watermark_are_dropped(spark):
     rows = spark.read.parquet(out).collect()
     # the 12:00 row's twelve windows are closed and emitted; the late row adds to none of them
     assert len(rows) == 12 and all(r.user_txn_amount_1h == 1.0 and r.user_txn_count_1h == 1 for r in rows)
+
+
+def test_windows_with_trailing_mean_match_brute_force(spark):
+    """One busy user, one quiet one, two runs of the stream; every closed window against the rows."""
+    import datetime as dt
+    import random
+    rnd = random.Random(5)
+    src, out, ck = _dir("win-src") + "/t", _dir("win-out") + "/o", _dir("win-ck")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice([1, 1, 1, 1, 2]), rnd.choice(["a", "b", "c", None]), rnd.choice([1.0, 2.5, None]),
+             t0 + dt.timedelta(seconds=rnd.randrange(40 * 3600))) for _ in range(300)]
+    rows += [(3, "a", 1.0, t0 + dt.timedelta(hours=h)) for h in (0, 1, 30)]  # idle for longer than a day
+    rows.sort(key=lambda r: r[3])
+    _write_src(spark, src, rows[:200])
+    sch = spark.read.parquet(src).schema
+    run = lambda: J.run_until_done(J.write_to_table(J.windowed_user_features(J.file_stream(spark, src, sch)), out, ck))
+    run()
+    _write_src(spark, src, rows[200:])
+    run()
+    closed = rows[-1][3] - dt.timedelta(minutes=10)
+    want = {}
+    for user in (1, 2, 3):
+        own = [r for r in rows if r[0] == user]
+        for k in range(-12, 41 * 12):
+            start = t0 + dt.timedelta(minutes=5 * k)
+            end = start + dt.timedelta(hours=1)
+            hour = [r for r in own if start <= r[3] < end]
+            day = [r[2] or 0.0 for r in own if end - dt.timedelta(hours=24) <= r[3] < end]
+            if hour and end <= closed:
+                want[user, start] = (len(hour), sum(r[2] or 0.0 for r in hour), len({r[1] for r in hour} - {None}),
+                                     sum(day) / len(day))
+    got = {(r[0], r[1]): (r[3], r[4], r[5], pytest.approx(r[6])) for r in spark.read.parquet(out).select(
+        "user_id", F.col("window_start").cast("timestamp_ntz"), "window_end", "user_txn_count_1h", "user_txn_amount_1h",
+        "user_distinct_events_1h", "user_avg_amount_24h").collect()}
+    assert len(got) > 500 and got == want

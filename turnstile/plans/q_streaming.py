@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnstile.functions.scalars import money_sum
 from turnstile.operators import metrics as M
 from turnstile.operators import realtime as R
 from turnstile.plans import views as V
 from turnstile.plans.registry import register, round_doubles
 from turnstile.plans.views import with_views
-from turnstile.session import scratch_path
+from turnstile.session import reuse, scratch_path
 from turnstile.streaming import jobs as J
 
 
@@ -107,6 +108,30 @@ def q_parity(spark, d):
     return R.feature_parity(stream_out, batch_out, features=R.FEATURES, tol=1e-6)
 
 
+# ------------------------------------------------------------------ D4
+# A week of features is a batch; two compactions and a vacuum lie between the batches.
+@register("d4_online_store", with_views("""
+WITH w AS (SELECT user_id, CAST(floor(epoch("timestamp" - TIMESTAMP '2024-01-01 00:00:00') / 604800) AS BIGINT) AS week,
+                  count(*) AS n, sum(CAST(round(coalesce(total_amount, 0.0) * 100) AS BIGINT)) AS c
+           FROM raw_events WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, max(week) AS week, arg_max(n, week) AS txn_count, round(arg_max(c, week) / 100.0, 4) AS amount
+FROM w GROUP BY user_id""", "raw_events"))
+def q_online_store(spark, d):
+    root = scratch_path(spark, "online_store")
+    raw = V.raw_events(spark, d).where("user_id is not null")
+    week = F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
+                   / 604800).alias("week")
+    weekly = raw.groupBy("user_id", week).agg(F.count(F.lit(1)).alias("txn_count"),
+                                              money_sum(F.coalesce(F.col("total_amount"), F.lit(0.0))).alias("amount"))
+    weekly = reuse(weekly)
+    for k, (w,) in enumerate(sorted(weekly.select("week").distinct().collect())):  # a batch a week
+        J.write_online_batch(weekly.where(F.col("week") == w), k, root)
+        if k % 2:
+            J.compact_online(spark, root, buckets=16)
+            J.vacuum_online(spark, root, keep=1)
+    return round_doubles(J.read_online(spark, root).drop("event_timestamp"))
+
+
 # ------------------------------------------------------------------ C5
 @register("c5_windowed_user_features", with_views("""
 WITH w AS (SELECT r.user_id, r.event_id, r.total_amount,

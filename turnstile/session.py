@@ -124,6 +124,19 @@ def committed_folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().getParent().toString() for f in found or [])
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a glob, sorted by name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().toString() for f in found or [] if f.isDirectory())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it; one that is gone is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per context.
 

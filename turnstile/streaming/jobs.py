@@ -21,7 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from turnstile.functions.scalars import cents, normalize_entity_id, parse_utc
-from turnstile.session import committed_folders, path_exists
+from turnstile.streaming.online import _run_id, compact_online, read_online, vacuum_online, write_online_batch
+
+__all__ = ["compact_online", "read_online", "vacuum_online", "write_online_batch"]  # D4, beside the jobs below
 
 # The stream record (field, default) and the consumer's limits.
 RAW_FIELDS = [
@@ -148,72 +150,7 @@ def stream_user_aggregates(stream: DataFrame) -> DataFrame:
                     (F.col("_cents") / F.lit(100.0) / F.col("user_txn_count_1h")).alias("user_avg_amount_24h"))
 
 
-# ---------------------------------------------------------------- C4 / D4
-# Newest row first: by time of writing, then by run (one per checkpoint) and
-# batch, so a new checkpoint's batch 0 beats an older run's batch 5.
-_ORDER = ("event_timestamp", "run_id", "batch_id")
-
-
-def _run_id(batch: DataFrame) -> str:
-    """Id of the streaming query that delivers ``batch``, kept by its
-    checkpoint; rows written outside a stream share one run."""
-    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
-
-
-def write_online_batch(batch: DataFrame, batch_id: int, root: str, keys=("user_id",),
-                       run_id: str | None = None) -> None:
-    """Append one micro-batch of changed rows to the online changelog.
-
-    Each batch of each run lands in its own folder, overwritten on replay, so
-    a retried batch is idempotent and no run touches another's rows.  Only
-    changed keys move (update mode), never the whole table."""
-    run = run_id or _run_id(batch)
-    batch.withColumn("event_timestamp", F.current_timestamp()) \
-         .write.mode("overwrite").parquet(f"{root}/changes/run_id={run}/batch_id={batch_id}")
-
-
-def _online_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the newest complete base and of the changelog.  A part that was
-    never written is skipped; a part that cannot be read is an error."""
-    parts = []
-    bases = committed_folders(spark, f"{root}/base/version=*")
-    if bases:
-        parts.append(spark.read.parquet(bases[-1]))
-    if path_exists(spark, f"{root}/changes"):
-        parts.append(spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes")
-                     .withColumn("run_id", F.col("run_id").cast("string"))
-                     .withColumn("batch_id", F.col("batch_id").cast("long")))
-    if not parts:
-        raise FileNotFoundError(f"no online rows under {root}")
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-
-
-def _newest(rows: DataFrame, keys) -> DataFrame:
-    others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*_ORDER)).alias("_r")).select(*keys, "_r.*")
-
-
-def read_online(spark: SparkSession, root: str, keys=("user_id",)) -> DataFrame:
-    """Current online snapshot: newest row per key over the compacted base and
-    the changelog."""
-    return _newest(_online_rows(spark, root), keys).drop("run_id", "batch_id")
-
-
-def compact_online(spark: SparkSession, root: str, keys=("user_id",)) -> str:
-    """Fold base + changelog into a new base version (run periodically).
-
-    The version counts once its writer has finished; until then, and after a
-    failure midway, readers keep the previous one.  Rows keep the run and
-    batch they come from, so change folders that a finished base has folded,
-    and older versions, can be removed by retention."""
-    latest = _newest(_online_rows(spark, root), keys)
-    versions = committed_folders(spark, f"{root}/base/version=*")
-    number = int(versions[-1].rsplit("=", 1)[1]) + 1 if versions else 0
-    target = f"{root}/base/version={number:010d}"
-    latest.write.mode("overwrite").parquet(target)  # an unfinished attempt of the same number is replaced
-    return target
-
-
+# ---------------------------------------------------------------- C4
 def publish_user_features(aggregates: DataFrame, root: str, checkpoint: str,
                           trigger: dict | None = None) -> StreamingQuery:
     """C4: push changed per-user features at most every 30 s (update mode +
