@@ -97,9 +97,8 @@ def sample_params(trials: int = N_TRIALS, seed: int = SPLIT_SEED) -> list[dict]:
 
 def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LABEL_COLUMN,
                    trials: int = N_TRIALS, seed: int = SPLIT_SEED, parallelism: int = 1):
-    """Random search maximising validation AUC over GBT settings; the
-    best setting is refit on the training split.  Each trial is a
-    distributed fit; ``parallelism`` trials run concurrently (as
+    """Random search maximising validation AUC over GBT settings.  Each
+    trial is a distributed fit on the training split; ``parallelism`` trials run concurrently (as
     ``TrainValidationSplit(parallelism=…)`` does); only the small parameter
     list lives on the driver.
 
@@ -121,21 +120,18 @@ def tune_and_train(train: DataFrame, valid: DataFrame, features, label: str = LA
         model = Pipeline(stages=[asm, gbt]).fit(tr)
         ev = evaluate_scores(score_batch(va, model), label="_label", score="fraud_score").first()
         auc = float(ev["auc"]) if ev["auc"] is not None else 0.0
-        return (i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"],
-                p["featureSubsetStrategy"], auc, float(ev["accuracy"]))
+        return model, (i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"],
+                       p["featureSubsetStrategy"], auc, float(ev["accuracy"]))
 
     points = list(enumerate(sample_params(trials, seed)))
     if parallelism > 1:
         from concurrent.futures import ThreadPoolExecutor
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows = list(pool.map(trial, points))
+            fitted = list(pool.map(trial, points))
     else:
-        rows = [trial(x) for x in points]
-    best_i = max(rows, key=lambda r: (r[6], -r[0]))[0]  # best AUC, earliest trial on ties
-    best = (rows[best_i][6], points[best_i][1])
-    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", seed=seed, **best[1])
-    final = Pipeline(stages=[asm, gbt]).fit(tr)
-    trials_df = spark.createDataFrame(rows, "trial int, max_depth int, learning_rate double, n_estimators int, "
+        fitted = [trial(x) for x in points]
+    final = max(fitted, key=lambda f: (f[1][6], -f[1][0]))[0]  # best AUC, earliest trial on ties
+    trials_df = spark.createDataFrame([row for _, row in fitted], "trial int, max_depth int, learning_rate double, n_estimators int, "
                                             "subsample double, colsample string, roc_auc double, accuracy double")
     return final, trials_df
 
@@ -275,11 +271,17 @@ def select_model_version(registry: DataFrame, stage: str = "Production") -> Data
                        .alias("model_uri"))
 
 
-def register_if_accepted(gate: DataFrame, registry_path: str, name: str, source: str = "pyspark.ml") -> bool:
+def register_if_accepted(gate: DataFrame, registry_path: str, name: str, source: str = "pyspark.ml",
+                         model=None, models_root: str | None = None) -> bool:
     """Append the next version of ``name`` to the registry table, in stage
     Staging, when the gate row says accepted.  Returns accepted.  Only a
     registry that was never written starts at version 1; one that cannot be
-    read is an error."""
+    read is an error.
+
+    A ``model`` (``pyspark.ml``, fitted) is saved first, under ``models_root``
+    (the shared folder of all artifacts) by name and version, and the row's
+    ``source`` is that folder.  So a row never names an artifact that is not
+    whole; what an interrupted registration left is overwritten by the next."""
     spark = gate.sparkSession
     row = gate.select("accepted", "auc", "accuracy").first()
     if not row or not row["accepted"]:
@@ -289,12 +291,44 @@ def register_if_accepted(gate: DataFrame, registry_path: str, name: str, source:
         reg = spark.read.parquet(registry_path)
         nxt = reg.where(F.col("name") == name).agg(F.max(F.col("version").cast("long")).alias("v")).first()["v"]
     version = str((nxt or 0) + 1)
+    if model is not None:
+        source = f"{(models_root or registry_path + '_artifacts').rstrip('/')}/{name}/version={version}"
+        model.write().overwrite().save(source)
     spark.createDataFrame([(name, version, "Staging", f"auc={row['auc']:.4f};accuracy={row['accuracy']:.4f}", source)],
                           "name string, version string, stage string, run_id string, source string") \
          .write.mode("append").parquet(registry_path)
     return True
 
 
+def resolve_model(registry: DataFrame, uri: str) -> dict:
+    """The registry row that ``models:/name/version`` or ``models:/name/stage``
+    means: that version, or what ``select_model_version`` gives for the stage."""
+    scheme, _, rest = uri.partition(":/")
+    name, _, which = rest.strip("/").rpartition("/")
+    if scheme != "models" or not name or not which:
+        raise ValueError(f"not a model URI (models:/name/version or models:/name/stage): {uri}")
+    own = registry.where(F.col("name") == name)
+    if which.isdigit():
+        own = own.where(F.col("version").cast("long") == int(which))
+        found = own.select("name", "version", "stage", "run_id", "source").first()
+    else:
+        found = select_model_version(own, which).first()
+    if found is None:
+        raise LookupError(f"{uri} is not in the registry")
+    return found.asDict()
+
+
+def load_model(registry: DataFrame, uri: str):
+    """The saved model behind a URI, in whatever session asks."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(resolve_model(registry, uri)["source"])
+
+
+def model_inputs(model) -> list[str] | None:
+    """Columns that a fitted pipeline assembles, none where it has no assembler."""
+    return next((list(s.getInputCols()) for s in getattr(model, "stages", []) if hasattr(s, "getInputCols")), None)
+
+
 def list_model_versions(registry: DataFrame) -> DataFrame:
     """Listing: versions sorted numerically descending; a null stage shows as "None"."""
     return registry.select("name", F.col("version").cast("string").alias("version"),

@@ -8,12 +8,13 @@ from turnstile.operators import metrics as M
 from turnstile.operators import pricing as H
 from turnstile.operators import realtime as R
 from turnstile.operators import store as S
+from turnstile.operators import training as G
 from turnstile.plans import q_features, q_models, q_monitoring, q_streaming
 from turnstile.plans import views as V
 from turnstile.plans import workflows as W
 from turnstile.plans.registry import register, round_doubles
 from turnstile.plans.views import with_views
-from turnstile.session import scratch_path
+from turnstile.session import reuse, scratch_path
 from turnstile.sources import files as A
 from turnstile.streaming import jobs as J
 
@@ -123,6 +124,37 @@ def q_scoring(spark, d):
     return W.batch_fraud_scoring(requests.drop("is_fraud"), snaps, model)
 
 
+# P3 saves and registers, P4 loads by URI in another session: its scores are those of the model that was trained.
+# The label is a threshold on a feature, so the model is accepted wherever both classes exist.
+@register("p4_registered_model", with_views("""
+WITH g AS (SELECT count(DISTINCT coalesce(fraud_risk_score >= 0.05, false)) = 2 AS ok FROM user_metrics),
+n AS (SELECT count(*) AS n FROM txns)
+SELECT CASE WHEN ok THEN 'models:/fraud_detection/1' END AS model_uri, CASE WHEN ok THEN 'Staging' END AS stage,
+       CASE WHEN ok THEN n ELSE 0 END AS scored, CAST(0 AS BIGINT) AS other_scores FROM g, n""",
+    "txns", "ticket_events", "users", "user_metrics"))
+def q_registered(spark, d):
+    root = scratch_path(spark, "registry")
+    tx = V.txns(spark, d)
+    um = reuse(M.user_metrics(V.users(spark, d), tx, V.ticket_events(spark, d), sort=False))
+    trained = W.weekly_training(um, trials=1, registry_path=f"{root}/table", models_root=f"{root}/models")
+    if not trained["registered"]:
+        return spark.sql("SELECT CAST(NULL AS STRING) AS model_uri, CAST(NULL AS STRING) AS stage, 0L AS scored, "
+                         "0L AS other_scores")
+    registry = spark.newSession().read.parquet(f"{root}/table")
+    row = G.resolve_model(registry, "models:/fraud_detection/Production")
+    uri = f"models:/fraud_detection/{row['version']}"
+    requests = tx.select(F.col("transaction_id").alias("request_id"),
+                         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"))
+    refs = ("user_purchase_behavior:lifetime_purchases", "user_purchase_behavior:fraud_risk_score")
+    by = {"model": trained["model"], "loaded": uri}
+    one, other = (W.batch_fraud_scoring(requests, {S.USER_PURCHASE: um}, m, refs, registry=registry)
+                  .groupBy("request_id").agg(F.max("fraud_score").alias(k), F.count(F.lit(1)).alias(f"n_{k}"))
+                  for k, m in by.items())
+    return one.join(other, "request_id", "full").agg(
+        F.lit(uri).alias("model_uri"), F.lit(row["stage"]).alias("stage"), F.sum("n_loaded").alias("scored"),
+        F.count_if(~F.col("model").eqNullSafe(F.col("loaded"))).alias("other_scores"))
+
+
 # ------------------------------------------------------------------ P5
 @register("p5_batch_pricing", with_views(q_models.SQL_H3 + """,
 best AS (SELECT arg_max(arm, (alpha / (alpha + beta), -arm_order)) AS a FROM u),

@@ -107,10 +107,11 @@ def daily_monitoring(spark: SparkSession, summary_path: str | None, predictions:
 
 # ---------------------------------------------------------------- P3
 def weekly_training(user_metrics: DataFrame, trials: int = G.N_TRIALS, registry_path: str | None = None,
-                    model_name: str = "fraud_detection") -> dict:
-    """G1 → G2 → G3 → G4 → G5; an accepted model is added to the
-    registry table (next version, stage Staging) when ``registry_path`` is
-    given.  The split is written once and read by every trial."""
+                    model_name: str = "fraud_detection", models_root: str | None = None) -> dict:
+    """G1 → G2 → G3 → G4 → G5; an accepted model is saved under
+    ``models_root`` and added to the registry table (next version, stage
+    Staging) when ``registry_path`` is given.  The split is written once and
+    read by every trial."""
     frame = G.fraud_training_frame(user_metrics)
     split = reuse(G.stratified_split(reuse(frame), G.LABEL_COLUMN, "user_id"))
     features = ["lifetime_purchases", "fraud_risk_score"]
@@ -120,22 +121,31 @@ def weekly_training(user_metrics: DataFrame, trials: int = G.N_TRIALS, registry_
     gate = G.baseline_gate(metrics)
     out = {"model": model, "trials": trials_df, "metrics": metrics, "gate": gate}
     if registry_path:
-        out["registered"] = G.register_if_accepted(gate, registry_path, model_name)
+        out["registered"] = G.register_if_accepted(gate, registry_path, model_name, model=model, models_root=models_root)
     return out
 
 
 # ---------------------------------------------------------------- P4
 def batch_fraud_scoring(requests: DataFrame, snapshots: dict, model, refs=S.FRAUD_REFS,
-                        threshold: float = G.SCORE_THRESHOLD, missing_as: float | None = 0.0) -> DataFrame:
+                        threshold: float = G.SCORE_THRESHOLD, missing_as: float | None = 0.0,
+                        registry: DataFrame | None = None) -> DataFrame:
     """D6 → D5 → D7 → G7 (requests carry ``request_id``, raw user/event ids).
 
+    ``model`` is a fitted model or, with ``registry``, the URI of a registered
+    one (``models:/name/version`` or ``/stage``), loaded here.  A model that
+    was trained on plain feature names reads them from ``view__feature``.
     Entities missing from the online store score with ``missing_as`` (Spark
     GBT models reject NaN inputs); pass None for models that handle NaN."""
     req = S.normalize_ids(requests, [c for c in ("user_id", "event_id") if c in requests.columns])
     feats = S.get_online_features(req, snapshots, refs)
     cols = [r.replace(":", "__") for r in refs]
     frame = S.build_feature_frame(feats, cols, null_as=missing_as)
-    return G.score_batch(frame, model, threshold)
+    if isinstance(model, str):
+        model = G.load_model(registry, model)
+    plain = {r.split(":", 1)[1]: c for r, c in zip(refs, cols)}
+    wanted = [c for c in G.model_inputs(model) or [] if c not in frame.columns and c in plain]
+    scored = G.score_batch(frame.select("*", *[F.col(plain[c]).alias(c) for c in wanted]), model, threshold)
+    return scored.drop(*wanted)
 
 
 # ---------------------------------------------------------------- P5
