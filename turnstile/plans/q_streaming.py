@@ -16,6 +16,7 @@ from turnstile.plans import views as V
 from turnstile.plans.registry import register, round_doubles
 from turnstile.plans.views import with_views
 from turnstile.session import reuse, scratch_path
+from turnstile.sources import topic as T
 from turnstile.streaming import jobs as J
 
 
@@ -61,6 +62,34 @@ FROM txns""", "txns"))(
         "payment_status", "is_fraud"))
 
 
+# ------------------------------------------------------------------ A7
+# Transactions into a topic in two appends; one consumer stops between them and goes on, another reads all at once.
+@register("a7_topic_source", with_views("""
+SELECT CAST(user_id AS BIGINT) AS user_id, event_id, round(quantity * ticket_price, 2) AS total_amount,
+       CAST(quantity AS BIGINT) AS num_tickets, CAST(2 AS BIGINT) AS consumers FROM txns""", "txns"))
+def q_topic(spark, d):
+    root = scratch_path(spark, "topic")
+    wire = reuse(_wire(spark, d))
+    early = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+
+    def consume(name):
+        parsed = J.parse_transactions(T.topic_source(spark, f"{root}/t")).select(
+            "user_id", "event_id", "total_amount", "num_tickets", "timestamp")
+        J.run_until_done(J.write_to_table(parsed, f"{root}/{name}", f"{root}/{name}-ck"))
+    T.write_topic(wire.where(early), f"{root}/t")
+    consume("restarted")
+    T.write_topic(wire.where(~early), f"{root}/t")
+    consume("restarted")
+    consume("fresh")
+    both = [spark.read.parquet(f"{root}/{n}") for n in ("restarted", "fresh")]
+    cols = both[0].columns
+    same = both[0].withColumn("c", F.lit(1)).unionByName(both[1].withColumn("c", F.lit(2))).groupBy(*cols).agg(
+        F.count_if(F.col("c") == 1).alias("n"), F.count_if(F.col("c") == 2).alias("m"))
+    rows = same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("n", "m"))))
+    consumers = (F.col("copy") <= F.col("n")).cast("long") + (F.col("copy") <= F.col("m")).cast("long")
+    return rows.select("user_id", "event_id", "total_amount", "num_tickets", consumers.alias("consumers"))
+
+
 # ------------------------------------------------------------------ A6
 @register("a6_land_stream", """
 SELECT event_id, user_id, ts, value, CAST(ts AS DATE) AS dt FROM events""")
