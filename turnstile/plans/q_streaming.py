@@ -18,6 +18,7 @@ from turnstile.plans.views import with_views
 from turnstile.session import reuse, scratch_path
 from turnstile.sources import topic as T
 from turnstile.streaming import jobs as J
+from turnstile.streaming import landing as L
 
 
 def _events_stream(spark, d):
@@ -62,6 +63,51 @@ FROM txns""", "txns"))(
         "payment_status", "is_fraud"))
 
 
+# Messages of some baskets are cut short.  Per user what was decoded and what is on record as malformed, and the counts.
+@register("a5_side_output", with_views("""
+SELECT CAST(user_id AS VARCHAR) AS "key", count(*) FILTER (WHERE quantity % 10 <> 3) AS good,
+       count(*) FILTER (WHERE quantity % 10 = 3) AS bad,
+       round(coalesce(sum(CAST(round(quantity * ticket_price * 100) AS BIGINT))
+                      FILTER (WHERE quantity % 10 <> 3), 0) / 100.0, 4) AS amount,
+       (SELECT count(*) FROM txns) AS messages, (SELECT count(*) FROM txns WHERE quantity % 10 = 3) AS malformed
+FROM txns GROUP BY user_id""", "txns"))
+def q_side_output(spark, d):
+    root = scratch_path(spark, "side_output")
+    wire = J.encode_transactions(M.transaction_amounts(V.txns(spark, d)).withColumn("cut", F.col("num_tickets") % 10 == 3))
+    cut = F.when(F.col("value").contains('"cut":true'), F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
+    wire.select("key", cut.alias("value")).write.parquet(f"{root}/messages")
+    stream = J.file_stream(spark, f"{root}/messages", "key string, value string")
+    J.run_until_done(L.land_transactions(stream, f"{root}/landed", f"{root}/ckpt", trigger={"availableNow": True}))
+    good = L.read_good(spark, f"{root}/landed").groupBy("key").agg(F.count(F.lit(1)).alias("good"),
+                                                                   money_sum("total_amount").alias("amount"))
+    bad = L.read_bad(spark, f"{root}/landed").where(F.col("malformed").isNotNull()).groupBy("key").agg(
+        F.count(F.lit(1)).alias("bad"))
+    counts = L.read_counts(spark, f"{root}/landed").agg(F.sum("messages").alias("messages"), F.sum("malformed").alias("malformed"))
+    both = good.join(bad, "key", "full").crossJoin(counts)
+    return round_doubles(both.select("key", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"),
+                                     F.coalesce("amount", F.lit(0.0)).alias("amount"), "messages", "malformed"))
+
+
+# The stream lands in several micro-batches; compactions and a vacuum run between them, the last batches stay unfolded.
+@register("a6_compacted_landing", """
+SELECT event_id, user_id, ts, value, CAST(ts AS DATE) AS dt, true AS few_files FROM events""")
+def q_compacted(spark, d):
+    root = scratch_path(spark, "landing")
+    events = V.table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    events.repartition(6, "event_id").write.parquet(f"{root}/source")
+    for k in range(3):  # two files a micro-batch, then a pause
+        stream = J.file_stream(spark, f"{root}/source", events.schema, max_files=1, glob=f"part-0000[{2 * k}{2 * k + 1}]*")
+        J.run_until_done(L.land_batches(stream, f"{root}/landed", f"{root}/ckpt{k}", ts_col="ts", trigger={"availableNow": True}))
+        if k < 2:
+            L.compact_landed(spark, f"{root}/landed")
+            L.vacuum_landed(spark, f"{root}/landed", keep=1)
+    parts = L.current(spark, f"{root}/landed").parts
+    files = spark.read.parquet(*[L._part(f"{root}/landed", *p) for p in parts]).select(
+        F.countDistinct("_metadata.file_path").alias("files"))
+    few = files.select((F.col("files") == len(parts)).alias("few_files"))  # one file a date, since each is below the target
+    return L.read_landed(spark, f"{root}/landed").crossJoin(few)
+
+
 # ------------------------------------------------------------------ A7
 # Transactions into a topic in two appends; one consumer stops between them and goes on, another reads all at once.
 @register("a7_topic_source", with_views("""

@@ -131,6 +131,12 @@ def folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [] if f.isDirectory())
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder and what is in it; one that is gone is no error."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

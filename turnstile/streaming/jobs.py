@@ -79,14 +79,23 @@ def parse_transactions(df: DataFrame, value_col: str = "value", observe_as: str
     corrupt-record field, and the parsed struct is materialised through a
     generator so the optimizer cannot split it into one parse per field.
     """
-    v = F.col(value_col).cast("string")
-    parsed = F.from_json(v, _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    d = df.select(F.inline(F.array(F.struct(parsed.alias("r")))))
-    ok = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
-    d = d.withColumn("_ok", ok)
+    d = decode_transactions(df, value_col)
     if observe_as:
         d = d.observe(observe_as, F.count(F.lit(1)).alias("messages"), F.count_if(~F.col("_ok")).alias("malformed"))
-    d = d.where(F.col("_ok"))
+    return d.where(F.col("_ok")).select(*defaulted_fields())
+
+
+def decode_transactions(df: DataFrame, value_col: str = "value", keep: list | tuple = ()) -> DataFrame:
+    """Each message once parsed: ``keep``, its text ``_value``, the record
+    ``r``, and whether it is well-formed, ``_ok``."""
+    v = F.col(value_col).cast("string")
+    parsed = F.from_json(v, _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    d = df.select(*keep, F.inline(F.array(F.struct(v.alias("_value"), parsed.alias("r")))))
+    return d.withColumn("_ok", F.col("r").isNotNull() & F.col("r._corrupt_record").isNull())
+
+
+def defaulted_fields() -> list:
+    """The record's fields of ``r`` with defaults and whole-number ids."""
     cols = []
     for name, typ, default in RAW_FIELDS:
         c = F.col(f"r.{name}")
@@ -95,7 +104,7 @@ def parse_transactions(df: DataFrame, value_col: str = "value", observe_as: str
         elif default is not None:
             c = F.coalesce(c, F.lit(default).cast(typ))
         cols.append(c.alias(name))
-    return d.select(*cols)
+    return cols
 
 
 # ---------------------------------------------------------------- A8
