@@ -28,7 +28,7 @@ def test_every_oracle_has_a_query():
     # The training-data queries come with their subpackage, all or none.
     import importlib.util
     there = sorted(k for k in q if k.startswith("op") or k == "pipeline")
-    assert len(there) == (11 if importlib.util.find_spec("turnstile.llm") else 0)
+    assert len(there) == (14 if importlib.util.find_spec("turnstile.llm") else 0)
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, sf_dir):

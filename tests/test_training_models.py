@@ -105,3 +105,16 @@ def test_batch_scoring_takes_a_registered_model(spark, tmp_path):
     out = {r.request_id: r for r in W.batch_fraud_scoring(req, {view: snap}, "models:/fraud/1", ("v:x",),
                                                           registry=spark.read.parquet(table)).collect()}
     assert not out[10].is_fraud and out[11].is_fraud and not out[12].is_fraud and "x" not in out[10].asDict()
+
+
+def test_permutation_depends_on_rows_and_seed_only(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id AS user_id", "cast(id AS double) AS x", "cast(id % 3 AS double) AS y")
+    for rows in (G.PERMUTE_ROWS, 700):
+        monkeypatch.setattr(G, "PERMUTE_ROWS", rows)
+        one = {r.user_id: r.x for r in G._permute_column(df, "x", 1).collect()}
+        other = {r.user_id: r.x for r in G._permute_column(df.repartition(7, "y"), "x", 1).collect()}
+        assert one == other and sorted(one.values()) == [float(k) for k in range(5000)]
+        assert sum(k == v for k, v in one.items()) < 100
+        assert one != {r.user_id: r.x for r in G._permute_column(df, "x", 2).collect()}
+        moved = np.corrcoef(list(one), list(one.values()))[0, 1]
+        assert abs(moved) < 0.08

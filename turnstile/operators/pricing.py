@@ -97,50 +97,49 @@ def beta_draw(key: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarra
     return x / (x + y)
 
 
-MAX_ARMS = 10_000  # a catalogue of arms, not data; a larger state is an error
-
-
-def _thompson(key: pd.Series, arms: pd.Series) -> pd.Series:
-    """Per request: a Beta draw for every arm, keyed by (request, arm name);
-    the largest wins, ties go to the earlier arm.  All rows carry the same
-    state, so draws are vectorised per arm over the Arrow batch."""
-    if len(key) == 0:
-        return pd.Series([], dtype=object)
-    state = [(a["arm"], a["arm_key"], a["alpha"], a["beta"]) for a in arms.iloc[0]]
-    k = key.to_numpy().astype(np.int64).view(np.uint64)
+def _thompson(key: np.ndarray, arms: list[tuple]) -> np.ndarray:
+    """Per request: the place of the arm with the largest Beta draw, ties to
+    the earlier one.  Draws are keyed by (request, arm name) and vectorised per arm."""
+    k = key.astype(np.int64).view(np.uint64)
     best, pick = np.full(len(k), -np.inf), np.zeros(len(k), dtype=np.int64)
-    for i, (_, arm_key, a, b) in enumerate(state):
+    for i, (_, arm_key, a, b) in enumerate(arms):
         own = _splitmix(k ^ _splitmix(np.full(len(k), np.int64(arm_key)).view(np.uint64)))
         draw = beta_draw(own, np.full(len(k), float(a)), np.full(len(k), float(b)))
         pick = np.where(draw > best, i, pick)
         best = np.maximum(best, draw)
-    return pd.Series(np.array([x[0] for x in state], dtype=object)[pick])
+    return pick
 
 
 def choose_arm(requests: DataFrame, state: DataFrame, seed: int = 0, hint_col: str = "arm_hint",
                deterministic: bool = False) -> DataFrame:
     """H2: the hinted arm, else the arm with the largest Beta(α, β) draw
-    (ties → the earlier ``arm_order``, then name).
+    (ties → the earlier ``arm_order``, then name; null without any arm).
 
     Draws come from a hash of (request id, seed, arm name), so they do not
     depend on partitioning, retries or the other arms, and every arm draws on
-    its own.  The state is a catalogue of at most ``MAX_ARMS`` arms, packed
-    into one row that joins every request; a larger one is an error.
-    ``deterministic=True`` ranks arms by posterior mean α/(α+β) as a JVM
-    expression instead.
+    its own.  Every request without a hint is drawn for every arm, so the state
+    is a catalogue, a line an arm; it is read once and sent to each
+    executor, not along with the requests.  ``deterministic=True`` ranks arms by
+    posterior mean α/(α+β) as a JVM expression instead.
     """
     hint = F.col(hint_col) if hint_col in requests.columns else F.lit(None).cast("string")
-    packed = F.array_sort(F.collect_list(F.struct("arm_order", "arm", F.xxhash64("arm").alias("arm_key"),
-                                                  "alpha", "beta")))
-    checked = F.when(F.count(F.lit(1)) <= MAX_ARMS, packed).otherwise(F.raise_error(F.lit("too many arms")))
-    x = requests.crossJoin(state.agg(checked.alias("_arms")))  # one row
     if deterministic:
-        means = F.transform("_arms", lambda a: a["alpha"] / (a["alpha"] + a["beta"]))
-        sampled = F.element_at("_arms", F.array_position(means, F.array_max(means)).cast("int"))["arm"]
-    else:
-        key = F.xxhash64(F.col("request_id"), F.lit(seed))
-        sampled = F.pandas_udf(_thompson, T.StringType())(key, F.col("_arms"))
-    return x.select(*requests.columns, F.coalesce(hint, sampled).alias("arm"))
+        mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
+        best = state.agg(F.min_by("arm", F.struct(-mean, "arm_order", "arm")).alias("_best"))  # one row
+        return requests.crossJoin(best).select(*requests.columns, F.coalesce(hint, F.col("_best")).alias("arm"))
+    arms = [tuple(r) for r in state.orderBy("arm_order", "arm").select("arm", F.xxhash64("arm"), "alpha", "beta").collect()]
+    shared = requests.sparkSession.sparkContext.broadcast(arms)
+
+    def draw(key: pd.Series) -> pd.Series:
+        out = np.full(len(key), None, dtype=object)
+        asked = key.notna().to_numpy()  # a hinted request draws nothing
+        if asked.any() and shared.value:
+            names = np.array([a[0] for a in shared.value], dtype=object)
+            out[asked] = names[_thompson(key[asked].to_numpy(), shared.value)]
+        return pd.Series(out)
+    key = F.when(hint.isNull(), F.xxhash64(F.col("request_id"), F.lit(seed)).cast("string"))
+    sampled = F.pandas_udf(draw, T.StringType())(key)
+    return requests.select(*requests.columns, F.coalesce(hint, sampled).alias("arm"))
 
 
 def initial_arms(spark, arms=ARMS) -> DataFrame:

@@ -223,20 +223,24 @@ def score_batch(df: DataFrame, model, threshold: float = SCORE_THRESHOLD, score_
 
 
 # ---------------------------------------------------------------- G6
+PERMUTE_ROWS = 100_000  # rows among which one task shuffles a value, about
+
+
 def _permute_column(df: DataFrame, col: str, seed: int) -> DataFrame:
-    """Shuffle one column's values across rows: random repartition, then a
-    seeded permutation inside each partition (Arrow batches)."""
-    import numpy as np
-    schema = df.schema
-
-    def perm(batches):
-        for number, pdf in enumerate(batches):
-            if len(pdf):
-                rng = np.random.default_rng((seed, int(pdf["_pid"].iloc[0]), number))
-                pdf[col] = pdf[col].to_numpy()[rng.permutation(len(pdf))]
-            yield pdf.drop(columns=["_pid"])
-    tagged = df.repartition(F.xxhash64(*df.columns, F.lit(seed))).withColumn("_pid", F.spark_partition_id())
-    return tagged.mapInPandas(perm, schema)
+    """Shuffle one column's values across rows: rows are dealt to groups by a
+    hash, each group is put in two orders by two other hashes, and the k-th row of
+    one takes the value of the k-th row of the other.  Everything follows from
+    the rows and the seed, so a retried task gives the same values."""
+    own = F.xxhash64(*df.columns, F.lit(seed))
+    groups = max(1, -(-df.count() // PERMUTE_ROWS))
+    dealt = df.withColumn("_group", F.pmod(own, F.lit(groups)))
+
+    def ordered(salt: int) -> Column:
+        keys = [F.xxhash64(*df.columns, F.lit(seed), F.lit(salt)), F.xxhash64(*df.columns, F.lit(salt))]
+        return F.row_number().over(Window.partitionBy("_group").orderBy(*keys))
+    rows = dealt.withColumn("_place", ordered(1)).drop(col)
+    values = dealt.select("_group", ordered(2).alias("_place"), col)
+    return rows.join(values, ["_group", "_place"]).select(*df.columns)
 
 
 def feature_attribution(model, df: DataFrame, features, label: str = LABEL_COLUMN,
