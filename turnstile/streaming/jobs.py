@@ -199,15 +199,17 @@ def windowed_user_features(stream: DataFrame, ts_col: str = "timestamp", waterma
     by_user = by_event.groupBy("w", "user_id").agg(
         F.sum("n").alias("n"), F.sum("c").alias("c"), F.count("event_id").alias("events"),
         F.sum("new_n").alias("new_n"), F.sum("new_c").alias("new_c"))
+    # Plain columns: a struct would reach Python as an object a row.
+    flat = by_user.select("user_id", F.window_time("w").alias("t"), F.unix_micros("w.start").alias("start"),
+                          F.unix_micros("w.end").alias("end"), "n", "c", "events", "new_n", "new_c")
     span = int(trailing.total_seconds() * 1_000_000)
-    return by_user.groupBy("user_id").transformWithStateInPandas(
-        TrailingMean(span), T.StructType([by_user.schema["user_id"], *WINDOW_FEATURES]), "Append", "EventTime")
-
-
-WINDOW_FEATURES = [T.StructField(n, t) for n, t in (
-    ("window_start", T.TimestampType()), ("window_end", T.TimestampType()), ("user_txn_count_1h", T.LongType()),
-    ("user_txn_amount_1h", T.DoubleType()), ("user_distinct_events_1h", T.LongType()),
-    ("user_avg_amount_24h", T.DoubleType()))]
+    out = flat.groupBy("user_id").transformWithStateInPandas(
+        TrailingMean(span), T.StructType([by_user.schema["user_id"], *[
+            T.StructField(c, T.LongType()) for c in ("start", "end", "n", "c", "events", "day_n", "day_c")]]), "Append", "EventTime")
+    return out.select(F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("end").alias("window_end"),
+                      "user_id", F.col("n").alias("user_txn_count_1h"), (F.col("c") / 100.0).alias("user_txn_amount_1h"),
+                      F.col("events").alias("user_distinct_events_1h"),
+                      (F.col("day_c") / 100.0 / F.col("day_n")).alias("user_avg_amount_24h"))
 
 
 class TrailingMean(StatefulProcessor):
@@ -224,9 +226,8 @@ class TrailingMean(StatefulProcessor):
         self.panes = handle.getValueState("panes", "panes binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        w = pd.concat(list(rows))
-        w = w.assign(start=[x["start"] for x in w["w"]], end=[x["end"] for x in w["w"]]).sort_values("end")
-        end = w["end"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        w = pd.concat(list(rows)).sort_values("end")
+        end = w["end"].to_numpy()
         known = self.panes.get()[0] if self.panes.exists() else b""
         fresh = w[["new_n", "new_c"]].to_numpy().astype(np.int64)
         panes = np.concatenate([np.frombuffer(known, dtype=np.int64).reshape(-1, 3),
@@ -238,10 +239,8 @@ class TrailingMean(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(int(end[-1] + self.span) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(w), "window_start": w["start"], "window_end": w["end"],
-                            "user_txn_count_1h": w["n"], "user_txn_amount_1h": w["c"] / 100.0,
-                            "user_distinct_events_1h": w["events"],
-                            "user_avg_amount_24h": total[:, 1] / 100.0 / total[:, 0]})
+        out = w[["user_id", "start", "end", "n", "c", "events"]]
+        yield out.assign(day_n=total[:, 0], day_c=total[:, 1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.panes.clear()
