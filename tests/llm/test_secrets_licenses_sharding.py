@@ -73,8 +73,14 @@ def test_markov_adds_random_strings_and_leaves_words(model):
     alphabet = secrets.ALPHABET
     keys = ["".join(rnd.choice(alphabet) for _ in range(40)) for _ in range(200)]
     assert sum(model.is_random(k) for k in keys) >= 195
+    for n in (16, 20, 32):  # letters and digits, letters of both cases, capitals and digits
+        for own in (alphabet[:62], alphabet[:52], alphabet[26:62]):
+            short = ["".join(rnd.choice(own) for _ in range(n)) for _ in range(300)]
+            assert sum(model.is_random(k) for k in short) >= 280
     plain = ["getElementsByTagName2", "therentionandthereonthe", "user_account_settings_page_1",
-             "internationalization18n", "erstandtheoninghathe2024"]
+             "internationalization18n", "erstandtheoninghathe2024", "XXXXXXXXXXXXXXXXXXXX", "_" * 24, "=" * 24,
+             "DonaudampfschifffahrtsGesellschaft", "AnticonstitutionnellementDit", "https/www/example/com/Path",
+             "2024-01-15-12-30-45-00", "THEQUICKBROWNFOXJUMPS", "aAaAaAaAaAaAaAaA1111"]
     assert not any(map(model.is_random, plain))
     text = f"é see {keys[0]} and password = abcdefghijkl0123"
     spans = secrets.spans_of(text, model)

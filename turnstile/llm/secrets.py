@@ -32,7 +32,9 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "markov")
 
 # Tokens that the models judge: characters of keys and identifiers.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_KINDS = 2   # of lower case, capitals and digits in a key; one kind alone is a word, a number or a ruler
+LEAST_CHARS = 8   # different characters in a key
 TOKEN_CHARS = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MARGIN = 0.5            # nats per character
@@ -101,8 +103,8 @@ class MarkovRatio:
         return float(self.ratio[np.concatenate([[0], s[:-1] + 1]), s].mean())
 
     def is_random(self, token: str) -> bool:
-        # Letters of one case alone are words run together, not keys; a key mixes letters with digits.
-        if self.ratio is None or not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))):
+        kinds = any(map(str.islower, token)) + any(map(str.isupper, token)) + any(map(str.isdigit, token))
+        if self.ratio is None or kinds < LEAST_KINDS or len(set(token)) < LEAST_CHARS:
             return False
         return self.per_character(token) > self.margin
 
