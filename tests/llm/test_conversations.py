@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import types as T
 
 from turnstile.llm import conversations as C
-from turnstile.llm.queries import QUERIES
+from turnstile.llm.queries import ORACLE, QUERIES
 
 TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                       T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -219,3 +220,17 @@ def test_query_same_as_brute_force(spark):
     want = report(damage(rows), sorted({r[0] for r in rows}))
     assert rows_of(QUERIES["op11_hirschberg_repair"](spark, d)) == want
     assert any("R" in r[7] for r in want) and any("D" in r[7] for r in want)
+
+
+def test_oracle_same_as_brute_force():
+    """The SQL against the table of states, with nulls and conversations that lose all rows."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations AS SELECT conv_id, turn, role, text FROM "
+                "read_parquet('/root/testdata/sf0.01/conversations.parquet')")
+    rnd = random.Random(11)
+    rows = [(5000 + k // 3, k % 3, rnd.choice([*ROLES, None]), rnd.choice([*TEXTS, None])) for k in range(600)]
+    rows += [(None, 0, "user", "Hi."), (None, None, None, None), (6000, None, "assistant", "x")]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rows = [tuple(r) for r in con.execute("SELECT * FROM conversations").fetchall()]
+    got = sorted(con.execute(ORACLE["op11_hirschberg_repair"]).fetchall(), key=repr)
+    assert got == report(damage(rows), {r[0] for r in rows})

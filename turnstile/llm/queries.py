@@ -169,7 +169,67 @@ def op13_threshold_join_negatives(spark: SparkSession, d: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-@register("op11_hirschberg_repair")
+# The checksum bit by bit, the four states as a fold over rows and insertions, least (cost, audit) first.
+_REPAIR = r"""
+WITH keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+drawn AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 20 AS draw FROM keyed),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn WHERE draw <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text)), copy) AS n FROM rows),
+told AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS f,
+         coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i NOT IN ('su', 'ua', 'au'), false) AS bad FROM placed),
+steps AS (
+  SELECT conv_id, n, 1 AS part, f, i, role, text FROM told
+  UNION ALL SELECT conv_id, n, 0, 9, '', '', '' FROM told, range(3)
+  UNION ALL SELECT conv_id, max(n) + 1, 0, 9, '', '', '' FROM told, range(3) GROUP BY conv_id, range),
+none AS (SELECT {'c': CAST(1000000000000 AS BIGINT), 'a': '', 'o': ''} AS s),
+lists AS (
+  SELECT conv_id, list({'f': f, 'i': i, 'r': role, 't': text, 'z': none.s, 's': none.s, 'u': none.s, 'v': none.s} ORDER BY n, part) AS l
+  FROM steps, none GROUP BY conv_id),
+ends AS (
+  SELECT conv_id, list_reduce(list_prepend(
+    {'f': 0, 'i': '', 'r': '', 't': '', 'z': {'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}, 's': none.s, 'u': none.s, 'v': none.s}, l),
+    lambda p, x: CASE WHEN x.f = 9 THEN
+      {'f': 0, 'i': '', 'r': '', 't': '', 'z': p.z, 's': p.s,
+       'u': list_min([p.u, {'c': p.z.c + 5, 'a': p.z.a || 'I', 'o': p.z.o || chr(10) || 'user:'},
+                      {'c': p.s.c + 5, 'a': p.s.a || 'I', 'o': p.s.o || chr(10) || 'user:'},
+                      {'c': p.v.c + 5, 'a': p.v.a || 'I', 'o': p.v.o || chr(10) || 'user:'}]),
+       'v': list_min([p.v, {'c': p.u.c + 5, 'a': p.u.a || 'I', 'o': p.u.o || chr(10) || 'assistant:'}])}
+    ELSE
+      {'f': 0, 'i': '', 'r': '', 't': '', 'z': {'c': p.z.c + 2, 'a': p.z.a || 'D', 'o': p.z.o},
+       's': list_min([{'c': p.s.c + 2, 'a': p.s.a || 'D', 'o': p.s.o},
+         {'c': p.z.c + CASE WHEN x.f > 1 OR x.i <> 's' THEN 1000000000000 ELSE 5 * x.f END, 'a': p.z.a || 'K', 'o': p.z.o || chr(10) || x.r || ':' || x.t}]),
+       'u': list_min(list_concat([{'c': p.u.c + 2, 'a': p.u.a || 'D', 'o': p.u.o}], list_concat(
+         list_transform([p.z, p.s, p.v], lambda y: {'c': y.c + CASE WHEN x.f > 1 THEN 1000000000000 ELSE 1 + 5 * x.f END, 'a': y.a || 'R', 'o': y.o || chr(10) || 'user:' || x.t}),
+         list_transform([p.z, p.s, p.v], lambda y: {'c': y.c + CASE WHEN x.f > 1 OR x.i <> 'u' THEN 1000000000000 ELSE 5 * x.f END, 'a': y.a || 'K', 'o': y.o || chr(10) || x.r || ':' || x.t})))),
+       'v': list_min([{'c': p.v.c + 2, 'a': p.v.a || 'D', 'o': p.v.o},
+         {'c': p.u.c + CASE WHEN x.f > 1 THEN 1000000000000 ELSE 1 + 5 * x.f END, 'a': p.u.a || 'R', 'o': p.u.o || chr(10) || 'assistant:' || x.t},
+         {'c': p.u.c + CASE WHEN x.f > 1 OR x.i <> 'a' THEN 1000000000000 ELSE 5 * x.f END, 'a': p.u.a || 'K', 'o': p.u.o || chr(10) || x.r || ':' || x.t}])} END) AS e
+  FROM lists, none),
+best AS (SELECT conv_id, list_min([e.z, e.v]) AS b FROM ends),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 3) AS blank,
+         count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 1) AS truncated, count(*) FILTER (WHERE bad) AS illegal
+  FROM told GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
+@register("op11_hirschberg_repair", _REPAIR)
 def op11_hirschberg_repair(spark: SparkSession, d: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of all damaged conversations."""
     given = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
