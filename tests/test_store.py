@@ -155,6 +155,13 @@ def test_repeated_snapshot_keys_do_not_multiply_requests(spark):
     assert got == [(1, 2.0), (2, None)]
 
 
+def test_a_view_without_a_key_in_the_request_gives_nulls(spark):
+    req = spark.createDataFrame([(1, 5)], "request_id long, other long")
+    snap = spark.createDataFrame([(5, 1, 1.0)], "k long, event_timestamp long, x double")
+    out = S.get_online_features(req, {KEYED: snap}, ["v:x"])
+    assert [tuple(r) for r in out.collect()] == [(1, 5, None)] and dict(out.dtypes)["v__x"] == "double"
+
+
 def test_an_update_beats_the_snapshot_at_equal_times(spark):
     old = spark.createDataFrame([(1, 5, 1.0)], "k long, ts long, x double")
     new = spark.createDataFrame([(1, 5, 2.0)], "k long, ts long, x double")

@@ -237,7 +237,8 @@ def get_online_features(entities: DataFrame, snapshots: dict[FeatureView, DataFr
 
     ``entities`` must carry a ``request_id`` so callers can restore order.
     A view whose keys are not all in the request resolves the missing keys
-    through the snapshot itself (SURVEY R6: event → promoter).
+    through the snapshot itself (SURVEY R6: event → promoter); one that shares
+    no key with the request gives nulls.
     """
     by_view: dict[str, list[str]] = {}
     for r in refs:
@@ -252,6 +253,10 @@ def get_online_features(entities: DataFrame, snapshots: dict[FeatureView, DataFr
     out = entities
     for (_, keys), views in sides.items():
         snap = views[0][1]
+        if not keys:  # the request says nothing about the view's entities
+            out = out.select("*", *[F.lit(None).cast(snap.schema[f].dataType).alias(f"{v.name}__{f}")
+                                    for v, _ in views for f in by_view[v.name]])
+            continue
         values = {f"{v.name}__{f}": F.col(f) for v, _ in views for f in by_view[v.name]}
         # One whole row per key, the latest: repeated keys never multiply
         # requests, and keys missing from the request (e.g. promoter for an

@@ -371,3 +371,15 @@ def q_historical_multi(spark, d):
         ent, {USER_DAILY: user_daily_features(spark, d), S.USER_PURCHASE: um},
         ["user_daily_purchases:user_txn_count", "user_purchase_behavior:lifetime_purchases",
          "user_purchase_behavior:preferred_category"], full_feature_names=True, bucket_seconds=30 * 86400)
+
+
+# ------------------------------------------------------------------ K9 / K10
+# Names with their separator replaced, and tests of how segments begin and end.
+@register("k_text_functions", """
+SELECT c_custkey AS user_id, replace(c_name, '#', '-') AS name, ends_with(c_mktsegment, 'ING') AS ends,
+       starts_with(c_mktsegment, 'B') AS starts FROM customer""")
+def q_text_functions(spark, d):
+    c = V.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("user_id"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("name"),
+                    F.endswith("c_mktsegment", F.lit("ING")).alias("ends"),
+                    F.startswith("c_mktsegment", F.lit("B")).alias("starts"))
