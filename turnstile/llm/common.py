@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstile.session import scratch_path
+from turnstile.session import reuse, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,14 @@ def distinct_sample(rows: DataFrame, column: str, most: int, by: str | None = No
     hashed = rows.select(*keys, column, F.xxhash64(column, F.lit("sample")).alias("_hash"))
     seen = hashed.select(*keys, "_hash").distinct()
     if by:
+        # A thousand ranges of hashes per value are counted; only those that hold the smallest are ranked.
+        seen = reuse(seen.withColumn("_range", F.shiftright("_hash", 54)))
+        lower = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        needed = seen.groupBy(by, "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(lower), F.lit(0))) \
+                     .where(F.col("_before") < most).select(by, "_range")
         order = Window.partitionBy(by).orderBy("_hash")
-        least = seen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+        least = seen.join(needed, [by, "_range"], "left_semi").withColumn("_rank", F.row_number().over(order)) \
+                    .where(F.col("_rank") <= most).select(by, "_hash")
     else:
         least = seen.orderBy("_hash").limit(most)
     # At most ``most`` hashes (for each value of ``by``) are broadcast.
