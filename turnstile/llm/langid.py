@@ -17,17 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstile.functions.ordered import interpolated_percentiles
 from turnstile.llm.common import distinct_sample, text_slices
+from turnstile.session import reuse
 
 SAMPLE_CHARS = 24_000   # bound: characters learned per language
 SAMPLE_DOCS = 200       # bound: different texts drawn per language
 TRIES = 4096            # cells that are tried together when a row is placed
 WINDOW = 1024           # characters parsed as one lane; phrases end at its end
-LIMIT_DOCS = 1_000      # bound: different texts per language whose entropy sets its limit
 LEAST_LIMIT_DOCS = 20   # a language with fewer takes the widest limit of the others
 LIMIT_SHARE = 0.99      # share of labelled documents at or below a language's ordinary entropy
 CLEARLY = 1.75          # an entropy this many times the ordinary one is clearly above it
@@ -282,34 +284,37 @@ def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text
                  lang_col: str = "lang") -> CrossParser:
     """``parser`` with a limit of the entropy for each of its languages.
 
-    One half of the texts (by a hash, so copies stay together) teaches a parser
-    of its own and a bounded sample of the other half is measured with it, so
-    no text is measured by itself.  A limit is ``CLEARLY`` times what
-    ``LIMIT_SHARE`` of a language's documents stay below.  Without enough
-    labelled documents of any language there is no limit.
+    Every labelled text is measured, by a parser that has not learned it: each
+    half of the texts (by a hash, so copies stay together) teaches one that
+    measures the other half.  A limit is ``CLEARLY`` times what ``LIMIT_SHARE``
+    of a language's different texts stay below.  Without enough labelled
+    documents of any language there is no limit.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")) \
-                   .where("lang is not null and text is not null and lang <> 'und'")
-    half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
-    shared = labelled.sparkSession.sparkContext.broadcast(train(rows.where(half)))  # bounded by the sample sizes above
-    drawn = distinct_sample(rows.where(~half), "text", LIMIT_DOCS, "lang").select("lang", "text")
+                   .where("lang is not null and text is not null and lang <> 'und'") \
+                   .withColumn("half", F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int"))
+    # Two parsers, each bounded by the sample sizes above; the first has learned from half 1.
+    shared = labelled.sparkSession.sparkContext.broadcast([train(rows.where(F.col("half") == 1 - k)) for k in range(2)])
 
     def run(batches):
-        parser = shared.value
-        at = {x: k for k, x in enumerate(parser.languages)}
+        at = [{x: k for k, x in enumerate(p.languages)} for p in shared.value]
         for batch in batches:
-            for part, texts in text_slices(batch, "text"):
-                normal = [normalise(t) for t in texts]
-                rows = parser.phrases([codes for codes, _ in normal])
-                found = [(x, float(sure_entropy(row, parser.weight, len(codes))[at[x]]))
-                         for x, (codes, letters), row in zip(part.column("lang").to_pylist(), normal, rows)
-                         if letters and x in at]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()),
-                                                  pa.array([e for _, e in found], pa.float64())],
-                                                 names=["lang", "entropy"])
-
-    found = drawn.mapInArrow(run, "lang string, entropy double").groupBy("lang") \
-                 .agg(F.count(F.lit(1)).alias("n"), F.percentile("entropy", F.lit(LIMIT_SHARE)).alias("e")).collect()
+            for k, parser in enumerate(shared.value):
+                for part, texts in text_slices(batch.filter(pc.equal(batch.column("half"), k)), "text"):
+                    normal = [normalise(t) for t in texts]
+                    counts = parser.phrases([codes for codes, _ in normal])
+                    found = [(x, h, float(sure_entropy(row, parser.weight, len(codes))[at[k][x]]))
+                             for x, h, (codes, letters), row in zip(part.column("lang").to_pylist(),
+                                                                    part.column("hash").to_pylist(), normal, counts)
+                             if letters and x in at[k]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64()))],
+                        names=["lang", "hash", "entropy"])
+
+    measured = rows.withColumn("hash", F.xxhash64("text", F.lit("sample"))) \
+                   .mapInArrow(run, "lang string, hash long, entropy double")
+    measured = reuse(measured.groupBy("lang", "hash").agg(F.min("entropy").alias("entropy")))  # numbers, copies once
+    found = interpolated_percentiles(measured, "entropy", {"e": LIMIT_SHARE}, ["lang"]).collect()  # a row a language
     limits = {r["lang"]: CLEARLY * r["e"] for r in found if r["n"] >= LEAST_LIMIT_DOCS}
     widest = max(limits.values(), default=math.inf)
     parser.limits = {x: limits.get(x, widest) for x in parser.languages}
