@@ -88,19 +88,21 @@ def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp", buc
     known = F.col("event_id").isNotNull()
     base = base.withColumn("_starts", (known & F.coalesce(F.col("_us") - last >= HOUR_US, F.lit(True))).cast("int")) \
                .withColumn("_ends", (known & F.coalesce(after - F.col("_us") >= HOUR_US, F.lit(True))).cast("int"))
+    # A row is written once, and its steps are made where they are read.  Only the step of its arrival names it.
+    base = reuse(base.drop("event_id"))
     c = F.coalesce(F.col("_cents"), F.lit(0))
     zero = F.lit(0)
 
     def step(at, own, n1, s1, d1, n24, s24):
-        return F.struct(at.alias("_at"), F.lit(own).alias("_own"), n1.alias("_n1"), s1.alias("_s1"), d1.alias("_d1"),
+        named = [F.when(F.lit(own), F.col(x)).alias(x) for x in ("transaction_id", ts_col)]
+        return F.struct(*named, at.alias("_at"), F.lit(own).alias("_own"), n1.alias("_n1"), s1.alias("_s1"), d1.alias("_d1"),
                         n24.alias("_n24"), s24.alias("_s24"))
     one = F.lit(1)
     steps = F.array(step(F.col("_us"), True, one, c, F.col("_starts"), one, c),
                     step(F.col("_us") + HOUR_US, False, -one, -c, -F.col("_ends"), zero, zero),
                     step(F.col("_us") + day, False, zero, zero, zero, -one, -c))
     width = bucket_hours * HOUR_US
-    points = reuse(base.select("transaction_id", "user_id", ts_col, F.inline(steps))
-                   .withColumn("_bucket", F.floor(F.col("_at") / F.lit(width))))
+    points = base.select("user_id", F.inline(steps)).withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
     names = ["_n1", "_s1", "_d1", "_n24", "_s24"]
     totals = points.groupBy("user_id", "_bucket").agg(*[F.sum(x).alias(x) for x in names])
     before = Window.partitionBy("user_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
