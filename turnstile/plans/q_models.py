@@ -68,14 +68,9 @@ def q_tune(spark, d):
 
 
 def _quick_model(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     df = G.stratified_split(_stored_frame(spark, d), G.LABEL_COLUMN, "user_id")
     tr = df.where("split = 'train'").select(*FEATURES, F.col(G.LABEL_COLUMN).cast("double").alias("_label"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep"),
-                            GBTClassifier(featuresCol="_features", labelCol="_label", seed=42)])
-    return pipe.fit(tr), df
+    return G.fit_boosted_trees(tr, FEATURES, "_label"), df
 
 
 @register("g7_score_batch")
