@@ -1,12 +1,14 @@
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import PROSE, docs, odd_docs, rows_of
-from turnstile.llm import components, minhash
+from turnstile.llm import common, components, minhash
 from turnstile.llm.components import connected_components
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -119,3 +121,40 @@ def test_minima_estimate_similarity():
     x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
     a, b = minhash.minima(x[:3000]), minhash.minima(x[500:3500])
     assert abs((a == b).mean() - 2500 / 3500) < 0.08
+
+
+@pytest.mark.parametrize("other", [0, 1])
+def test_a_unit_takes_few_bytes_a_shingle(other):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 2000, 4000)) for _ in range(80)]
+    texts += [t + " a b c" for t in texts]
+    n = len(texts)
+    group = pa.table({"_own": pa.array([0] * 80 + [other] * 80, pa.int32()), "_lo": pa.array([0] * n, pa.int32()),
+                      "_hi": pa.array([other] * n, pa.int32()), "text": texts})
+    forest = components.Forest(n)
+    tracemalloc.start()
+    minhash._join_by_sets(group, np.arange(n), forest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [forest.find(i) for i in range(n)] == [*range(80)] * 2
+    assert peak < 32 * 4000 * n
+
+
+def test_a_task_gives_its_memory_back(spark, monkeypatch):
+    class Rows:  # what mapInArrow gets, without a job
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(len(minhash._HASHES)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b c d e f", None]})
+    run = minhash.sketches(Rows(), "doc_id", "text").run
+    assert [b.num_rows for b in run(iter([batch]))] == [2] and given == [0]
+    stopped = run(iter([batch]))
+    next(stopped)
+    stopped.close()
+    assert len(given) == 2

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstile.llm.common import giving_back
 from turnstile.session import reuse
 
 
@@ -70,7 +71,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         members, roots = own.links()
         return pa.RecordBatch.from_arrays([pa.array(nodes[members]), pa.array(nodes[roots])], names=["u", "v"])
 
-    return links.mapInArrow(run, "u long, v long")
+    return links.mapInArrow(giving_back(run), "u long, v long")
 
 
 def _parts(links: DataFrame) -> int:

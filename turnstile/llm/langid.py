@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.functions.ordered import interpolated_percentiles
-from turnstile.llm.common import distinct_sample, text_slices
+from turnstile.llm.common import distinct_sample, giving_back, text_slices
 from turnstile.session import reuse
 
 SAMPLE_CHARS = 24_000   # bound: characters learned per language
@@ -312,7 +312,7 @@ def learn_limits(parser: CrossParser, labelled: DataFrame, text_col: str = "text
                         names=["lang", "hash", "entropy"])
 
     measured = rows.withColumn("hash", F.xxhash64("text", F.lit("sample"))) \
-                   .mapInArrow(run, "lang string, hash long, entropy double")
+                   .mapInArrow(giving_back(run), "lang string, hash long, entropy double")
     measured = reuse(measured.groupBy("lang", "hash").agg(F.min("entropy").alias("entropy")))  # numbers, copies once
     found = interpolated_percentiles(measured, "entropy", {"e": LIMIT_SHARE}, ["lang"]).collect()  # a row a language
     limits = {r["lang"]: CLEARLY * r["e"] for r in found if r["n"] >= LEAST_LIMIT_DOCS}
@@ -345,4 +345,4 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", pred_
                     (pa.string(), pa.float64(), pa.bool_())[:3 if strange_col else 2])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *results], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(giving_back(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import stored, text_slices
+from turnstile.llm.common import giving_back, stored, text_slices
 from turnstile.llm.components import Forest, connected_components
 
 WORDS = 5               # words in a shingle
@@ -54,6 +54,13 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+
+
+def forget_words() -> None:
+    """At the end of a task: its words are not kept for the worker's next stage."""
+    _HASHES.clear()
+
+
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH_A = np.random.default_rng(21).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _HASH_B = np.random.default_rng(22).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -132,8 +139,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), bands], names=schema.names)
+        forget_words()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(giving_back(run), schema)
 
 
 # ------------------------------------------------------------ blocks
@@ -195,11 +203,12 @@ def forest_links(rows: DataFrame, key: str, member: str,
                 members, roots = forest.links()
                 src.append(ids[members])
                 dst.append(ids[roots])
+        forget_words()
         if src:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))],
                                              names=["src", "dst"])
 
-    return grouped(rows, [key]).mapInArrow(run, EDGES)
+    return grouped(rows, [key]).mapInArrow(giving_back(run), EDGES)
 
 
 def meets(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +228,23 @@ def _join_by_sketch(group: pa.Table, ids: np.ndarray, forest: Forest) -> None:
             forest.union(i, j)
 
 
+def _numbered(sets: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sets' shingles one after the other, each as its rank among all
+    different ones (four bytes each), and how many there are."""
+    every = np.concatenate(sets)
+    every.sort()
+    new = np.ones(len(every), dtype=bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    every = every[new]
+    number = np.empty(int(starts[-1]), dtype=np.int32 if len(every) < 1 << 31 else np.int64)
+    for k, s in enumerate(sets):
+        number[starts[k]:starts[k + 1]] = np.searchsorted(every, s)
+    return number, len(every)
+
+
 def _join_by_sets(group: pa.Table, ids: np.ndarray, forest: Forest) -> None:
     """Exact intersections of whole sets through posting lists of the block."""
-    sets = [shingles(t) for t in group.column("text").to_pylist()]
+    sets = [shingles(t.as_py()) for t in group.column("text")]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     left, right = meets(group)
     if len(ids) == 2:
@@ -229,20 +252,21 @@ def _join_by_sets(group: pa.Table, ids: np.ndarray, forest: Forest) -> None:
         if 100 * common >= LINK_PERCENT * (sizes[0] + sizes[1] - common):
             forest.union(0, 1)
         return
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    owners = np.repeat(np.arange(len(sets)), sizes)
-    facing = np.zeros(len(sets), dtype=bool)
+    number, numbers = _numbered(sets, starts)
+    del sets
+    facing = np.zeros(len(sizes), dtype=bool)
     facing[right] = True
-    kept = np.flatnonzero(facing[owners])
-    order = kept[np.argsort(number[kept], kind="stable")]
-    posting = owners[order]                       # documents by shingle number
-    first = np.concatenate([[0], np.cumsum(np.bincount(number[order], minlength=int(number.max()) + 1))])
+    owners = np.repeat(np.arange(len(sizes), dtype=np.int32), np.where(facing, sizes, 0))
+    faced = number[np.repeat(facing, sizes)]
+    first = np.concatenate([[0], np.cumsum(np.bincount(faced, minlength=numbers))])
+    posting = owners[np.argsort(faced, kind="stable")]  # documents by shingle number
+    del owners, faced
     for i in left.tolist():
         mine = number[starts[i]:starts[i + 1]]
         at, n = first[mine], first[mine + 1] - first[mine]
         hits = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        common = np.bincount(posting[hits], minlength=len(sets))
+        common = np.bincount(posting[hits], minlength=len(sizes))
         linked = facing & (100 * common >= LINK_PERCENT * (sizes + sizes[i] - common))
         for j in np.flatnonzero(linked).tolist():
             forest.union(i, j)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.bpe import codec
-from turnstile.llm.common import stored, text_slices
+from turnstile.llm.common import giving_back, stored, text_slices
 
 END_ID = 2          # fixed by the contract: closes every document
 CAPACITY = 1024     # tokens in a sequence
@@ -78,7 +78,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     columns.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(giving_back(run), T.StructType(fields))
 
 
 # ---------------------------------------------------------------- the plan

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import hash_share, text_slices
+from turnstile.llm.common import giving_back, hash_share, text_slices
 
 SAMPLE_ROWS = 20_000    # bound: labelled rows learned from, on average
 TREES, DEPTH, BINS = 120, 5, 64
@@ -166,7 +166,7 @@ def _statistics_of(rows: DataFrame, text_col: str, out: str) -> DataFrame:
                     [*(part.column(c) for c in kept),
                      pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -214,4 +214,4 @@ def score_documents(docs: DataFrame, model: Forest, text_col: str = "text", scor
                     [*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                     names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(giving_back(run), schema)

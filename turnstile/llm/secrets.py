@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import distinct_sample, text_slices
+from turnstile.llm.common import distinct_sample, giving_back, text_slices
 
 # Fixed by the contract: the base rules and the least lengths of their values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -193,7 +193,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
              pa.array(total[0][a, b].astype(np.int64)), pa.array(total[1][a, b].astype(np.int64))],
             names=schema.names)
 
-    counts = distinct_sample(texts, "text", sample_docs).select("text").mapInArrow(run, schema) \
+    counts = distinct_sample(texts, "text", sample_docs).select("text").mapInArrow(giving_back(run), schema) \
                   .groupBy("previous", "next").agg(F.sum("random"), F.sum("ordinary")).collect()  # one row a bigram
     table = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
     for a, b, random, ordinary in counts:
@@ -242,7 +242,7 @@ def scan(docs: DataFrame, model: MarkovRatio, text_col: str = "text", spans_col:
                 rows = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, arrow)], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(giving_back(run), schema)
 
 
 def redacted(text: str | None, spans: list[Span], mark: str) -> str | None:
