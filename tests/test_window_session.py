@@ -30,3 +30,43 @@ def test_windows_keep_state_where_the_processor_can(spark, tmp_path):
     finally:
         spark.conf.set(PROVIDER, before)
     assert len(found) == 12 and {r.user_avg_amount_24h for r in found} == {2.0}
+
+
+def _rows(at, src, spark, rows):
+    spark.createDataFrame([(u, e, 1.0, f"2024-01-01 {t}") for u, e, t in rows],
+                          "user_id long, event_id long, total_amount double, timestamp string").write.mode(at).parquet(src)
+
+
+def test_windows_are_worked_out_not_kept(spark, tmp_path):
+    """State takes a row per pane and event and one per user, not twelve windows of each."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    _rows("error", src, spark, [(k % 5, k % 3, f"{8 + k // 60:02d}:{k % 60:02d}:00") for k in range(240)])
+    q = J.write_to_table(J.windowed_user_features(J.file_stream(spark, src, spark.read.parquet(src).schema)), out, str(tmp_path / "ck"))
+    J.run_until_done(q)
+    assert spark.read.parquet(out).count() > 200
+    operators = [op for p in q.recentProgress for op in p.stateOperators]
+    assert sum(op.numRowsUpdated for op in operators) < 2 * 240
+    assert len({op.operatorName for op in operators}) == 2
+
+
+def test_windows_close_without_new_rows_of_the_user(spark, tmp_path):
+    """A window that ends when the watermark gets there is emitted, by new rows or by the clock, once; whole-number
+    events beside nulls are told apart."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    big = 2 ** 53
+    found = lambda: sorted((str(r.e), r.n, r.d) for r in spark.read.parquet(out).where("user_id = 1").selectExpr(
+        "date_format(window_end, 'HH:mm') AS e", "user_txn_count_1h AS n", "user_distinct_events_1h AS d").collect())
+
+    def more(*rows):
+        _rows("append", src, spark, rows)
+        J.run_until_done(J.write_to_table(J.windowed_user_features(
+            J.file_stream(spark, src, spark.read.parquet(src).schema)), out, str(tmp_path / "ck")))
+        return found()
+    first = more((1, big, "12:00:00"), (1, big + 1, "12:01:00"), (1, None, "12:02:00"), (2, 1, "12:20:00"))
+    assert first == [("12:05", 3, 2), ("12:10", 3, 2)]
+    second = more((2, 1, "12:50:00"))  # watermark 12:40, nothing new of user 1
+    assert second == [(f"12:{m:02d}", 3, 2) for m in range(5, 45, 5)]
+    third = more((1, big + 1, "12:52:00"), (2, 1, "13:40:00"))  # watermark 13:30; the new pane ends at 12:55
+    assert third == [(f"12:{m:02d}", 3, 2) for m in range(5, 55, 5)] + [("12:55", 4, 2)] \
+        + [("13:00", 4, 2)] + [(f"13:{m:02d}", 1, 1) for m in range(5, 35, 5)]
+    assert more((2, 1, "23:00:00"))[-1] == ("13:50", 1, 1)
