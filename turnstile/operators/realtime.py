@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions.scalars import cents, money_sum
-from turnstile.session import reuse
 
 FEATURES = ["user_txn_count_1h", "user_txn_amount_1h", "user_distinct_events_1h", "user_avg_amount_24h"]
 HOUR_US = 3600 * 1_000_000
@@ -66,7 +65,7 @@ def reference_features(seed_txns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C6
-def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp", bucket_hours: int = 1) -> DataFrame:
+def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp", bucket_hours: int = 24) -> DataFrame:
     """The realtime features as of each transaction (training-time form):
     trailing 1 h count, amount and distinct events, trailing 24 h mean amount,
     over ``(ts - width, ts]``; rows at equal timestamps see each other.
@@ -75,49 +74,47 @@ def trailing_user_features(txns: DataFrame, ts_col: str = "event_timestamp", buc
     the 1 h and the 24 h window, so a trailing total is a running total over
     these steps: linear, no frame is summed again.  An event counts as distinct
     from an occurrence to its last repetition plus one hour, found from the
-    neighbouring occurrences of (user, event).  Running totals are taken per
-    (user, hour) and carried over by a table of one row per (user, hour), so
-    a busy user is many tasks.
+    neighbouring occurrences of (user, event).
+
+    Rows are shuffled once, by (user, bucket of time), so a busy user is many
+    tasks.  A row goes to its own bucket, and without id to later ones that
+    begin less than 24 h after it: for buckets of a day at most one.  So a bucket
+    holds all that its windows see, and steps are made and summed within it.
     """
-    day = 24 * HOUR_US
+    day, width = 24 * HOUR_US, bucket_hours * HOUR_US
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = txns.select("transaction_id", "user_id", "event_id", ts_col, us.alias("_us"),
-                       cents("total_amount").alias("_cents"))
-    same = Window.partitionBy("user_id", "event_id").orderBy("_us")
+
+    def begin(at: Column) -> Column:
+        return at - F.pmod(at, F.lit(width))
+    rows = txns.select("transaction_id", "user_id", "event_id", ts_col, cents("total_amount").alias("_cents"),
+                       F.explode(F.sequence(begin(us), begin(us + F.lit(day - 1)), F.lit(width))).alias("_bucket"))
+    own = F.col("_us") >= F.col("_bucket")
+    rows = rows.withColumn("transaction_id", F.when(us >= F.col("_bucket"), F.col("transaction_id"))) \
+               .repartition("user_id", "_bucket").withColumn("_us", us)
+    same = Window.partitionBy("user_id", "_bucket", "event_id").orderBy("_us")
     last, after = F.lag("_us").over(same), F.lead("_us").over(same)
     known = F.col("event_id").isNotNull()
-    base = base.withColumn("_starts", (known & F.coalesce(F.col("_us") - last >= HOUR_US, F.lit(True))).cast("int")) \
+    rows = rows.withColumn("_starts", (known & F.coalesce(F.col("_us") - last >= HOUR_US, F.lit(True))).cast("int")) \
                .withColumn("_ends", (known & F.coalesce(after - F.col("_us") >= HOUR_US, F.lit(True))).cast("int"))
-    # A row is written once, and its steps are made where they are read.  Only the step of its arrival names it.
-    base = reuse(base.drop("event_id"))
     c = F.coalesce(F.col("_cents"), F.lit(0))
-    zero = F.lit(0)
+    zero, one = F.lit(0), F.lit(1)
 
-    def step(at, own, n1, s1, d1, n24, s24):
-        named = [F.when(F.lit(own), F.col(x)).alias(x) for x in ("transaction_id", ts_col)]
-        return F.struct(*named, at.alias("_at"), F.lit(own).alias("_own"), n1.alias("_n1"), s1.alias("_s1"), d1.alias("_d1"),
-                        n24.alias("_n24"), s24.alias("_s24"))
-    one = F.lit(1)
+    # Only the step of a row's arrival in its own bucket names it; its time is never null.
+    def step(at, arrives, n1, s1, d1, n24, s24):
+        named = [F.when(F.lit(arrives) & own, F.col(x)).alias(x) for x in ("transaction_id", ts_col)]
+        return F.struct(*named, at.alias("_at"), n1.alias("_n1"), s1.alias("_s1"), d1.alias("_d1"), n24.alias("_n24"),
+                        s24.alias("_s24"))
     steps = F.array(step(F.col("_us"), True, one, c, F.col("_starts"), one, c),
                     step(F.col("_us") + HOUR_US, False, -one, -c, -F.col("_ends"), zero, zero),
                     step(F.col("_us") + day, False, zero, zero, zero, -one, -c))
-    width = bucket_hours * HOUR_US
-    points = base.select("user_id", F.inline(steps)).withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
-    names = ["_n1", "_s1", "_d1", "_n24", "_s24"]
-    totals = points.groupBy("user_id", "_bucket").agg(*[F.sum(x).alias(x) for x in names])
-    before = Window.partitionBy("user_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(F.col("user_id").alias("_u"), F.col("_bucket").alias("_b"),
-                          *[F.coalesce(F.sum(x).over(before), zero).alias(f"{x}_0") for x in names])
+    points = rows.select("user_id", "_bucket", F.inline(steps)).where(F.col("_at") < F.col("_bucket") + width)
     up_to = Window.partitionBy("user_id", "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    running = points.select("*", *[F.sum(x).over(up_to).alias(f"{x}_r") for x in names]).where("_own")
-    j = running.join(carry, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_bucket") == F.col("_b")))
-
-    def total(x):
-        return F.col(f"{x}_0") + F.col(f"{x}_r")
-    return j.select("transaction_id", "user_id", ts_col, total("_n1").alias("user_txn_count_1h"),
-                    (total("_s1") / F.lit(100.0)).alias("user_txn_amount_1h"),
-                    total("_d1").alias("user_distinct_events_1h"),
-                    (total("_s24") / F.lit(100.0) / F.greatest(total("_n24"), F.lit(1))).alias("user_avg_amount_24h"))
+    j = points.select("transaction_id", "user_id", ts_col, *[
+        F.sum(x).over(up_to).alias(x) for x in ("_n1", "_s1", "_d1", "_n24", "_s24")]).where(F.col(ts_col).isNotNull())
+    return j.select("transaction_id", "user_id", ts_col, F.col("_n1").alias("user_txn_count_1h"),
+                    (F.col("_s1") / F.lit(100.0)).alias("user_txn_amount_1h"),
+                    F.col("_d1").alias("user_distinct_events_1h"),
+                    (F.col("_s24") / F.lit(100.0) / F.greatest(F.col("_n24"), F.lit(1))).alias("user_avg_amount_24h"))
 
 
 # ---------------------------------------------------------------- C7
