@@ -70,3 +70,20 @@ def test_windows_close_without_new_rows_of_the_user(spark, tmp_path):
     assert third == [(f"12:{m:02d}", 3, 2) for m in range(5, 55, 5)] + [("12:55", 4, 2)] \
         + [("13:00", 4, 2)] + [(f"13:{m:02d}", 1, 1) for m in range(5, 35, 5)]
     assert more((2, 1, "23:00:00"))[-1] == ("13:50", 1, 1)
+
+
+def test_null_users_are_skipped_and_move_the_watermark(spark, tmp_path):
+    """They failed the query: their key made the keys beside it floats."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    _rows("error", src, spark, [(k % 7 or None, k % 3, f"12:{k:02d}:00") for k in range(40)] + [(None, 1, "15:00:00")])
+    J.run_until_done(J.write_to_table(J.windowed_user_features(
+        J.file_stream(spark, src, spark.read.parquet(src).schema)), out, str(tmp_path / "ck")))
+    got = {(r.user_id, str(r.e)): r.n for r in spark.read.parquet(out).selectExpr(
+        "user_id", "date_format(window_end, 'HH:mm') AS e", "user_txn_count_1h AS n").collect()}
+    want = {}
+    for user in range(1, 7):
+        for end in range(5, 105, 5):
+            n = sum(k % 7 == user and end - 60 <= k < end for k in range(40))
+            if n:
+                want[user, f"{12 + end // 60}:{end % 60:02d}"] = n
+    assert len(want) > 70 and got == want
